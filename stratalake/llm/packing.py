@@ -10,6 +10,7 @@ due, are tried beside it.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections import deque
 from collections.abc import Iterator
@@ -30,37 +31,62 @@ BLOCK, STEP = 1 << 20, 256
 WORDS_KEPT = 400_000
 
 
-class WordTokens:
-    """Ids of whole texts, joined from the ids of their words.
+class WordTokens(dict):
+    """word bytes -> little-endian 32-bit ids; texts are joined from their words.
 
-    The tokenizer cuts at white space and never merges across it, so a text's ids are those of its words in turn; words
-    recur and are looked up. Only ASCII white space is cut at here; what else counts as white space the tokenizer sees.
+    The tokenizer cuts at white space and never merges across it, so a text's ids are those of its words in turn. Only
+    ASCII white space is cut at here; what else counts as white space the tokenizer sees. Words of plain letters, digits
+    and signs are cut further as the tokenizer's own pattern cuts them and their parts, which recur more often, are given
+    to its merge table; any other word goes through the whole tokenizer.
     """
 
+    #: Code points that lower-casing and composition treat one by one: ASCII and the accented letters of Latin-1.
+    PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+    #: The tokenizer's pattern, over those code points.
+    PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z\u00df-\u00f6\u00f8-\u00ff0-9]+")
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer = Tokenizer.from_file(path)
         size = self.tokenizer.get_vocab_size()
         self.ends = np.zeros(size + 1, bool)
         for i in range(size):
             token = self.tokenizer.id_to_token(i) or ""
             self.ends[i] = token.endswith("</w>") and token[:-4].endswith((".", "!", "?"))
-
-    def encode(self, all_texts: list[str | None]) -> list[np.ndarray]:
-        words = [(t or "").encode("utf-8", "replace").split() for t in all_texts]
-        if len(self.known) > WORDS_KEPT:
-            self.known.clear()
-        new = list({w for ws in words for w in ws}.difference(self.known))
-        for w, e in zip(new, self.tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False)):
-            self.known[w] = np.array(e.ids, np.uint32).tobytes()
-        return [np.frombuffer(b"".join(map(self.known.__getitem__, ws)), np.uint32) for ws in words]
+        spelt = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.bytes = {c: spelt.pre_tokenize_str(chr(c))[0][0] for c in range(0xC0, 0x100)}
+        self.merge, self.parts = self.tokenizer.model.tokenize, {}
+        self.raw = [i.to_bytes(4, "little") for i in range(size)]
+
+    def __missing__(self, word: bytes) -> bytes:
+        if len(self) > WORDS_KEPT:
+            self.clear()
+        text = word.decode()
+        if self.PLAIN.fullmatch(text) and "<|" not in text:
+            found = b"".join([self.parts.get(p) or self.part(p) for p in self.PARTS.findall(text.lower())])
+        else:
+            found = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        self[word] = found
+        return found
+
+    def part(self, text: str) -> bytes:
+        if len(self.parts) > WORDS_KEPT:
+            self.parts.clear()
+        spelt = text if text.isascii() else text.translate(self.bytes)
+        found = self.parts[text] = b"".join([self.raw[t.id] for t in self.merge(spelt)])
+        return found
+
+    def encode(self, text: str | None) -> np.ndarray:
+        return np.frombuffer(b"".join(map(self.__getitem__, (text or "").encode("utf-8", "replace").split())), "<u4")
 
 
 def best_cuts(at: list[int], penalty: list[float], limit: int = LIMIT) -> list[int]:
     """Chosen cuts among the candidates `at` (ascending, the last one is the end; none more than limit apart)."""
     powers = [1 << k for k in range(limit.bit_length()) if 1 << k < limit]
+    large, tail = [p for p in powers if p >= 128], at[-1] - limit  # short sequences pay near the end alone
     index = {0: 0}
     starts, cost, back = [0], [0.0], [0]
     queue = deque([0])
@@ -69,7 +95,7 @@ def best_cuts(at: list[int], penalty: list[float], limit: int = LIMIT) -> list[i
             queue.popleft()
         a = queue[0]
         best = cost[a] + limit - (b - starts[a])
-        for p in powers:
+        for p in large if b < tail else powers:
             j = index.get(b - p)
             if j is not None and cost[j] < best:
                 best, a = cost[j], j
@@ -149,14 +175,13 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, limit: int = LIM
         tokens, sequence = WordTokens(tokenizer_path), TaskContext.get().partitionId() << 32
         ids, held, size = [], [], 0
         for b in batches:
-            some = list(rows(b, "doc_id", "text"))
-            for (doc, _), found in zip(some, tokens.encode([t for _, t in some])):
+            for doc, text in rows(b, "doc_id", "text"):
                 ids.append(doc)
-                held.append(np.append(found, np.uint32(end_id)))
+                held.append(np.append(tokens.encode(text), np.uint32(end_id)))
                 size += len(held[-1])
-            if size >= BLOCK:
-                yield from packed()
-                ids, held, size = [], [], 0
+                if size >= BLOCK:
+                    yield from packed()
+                    ids, held, size = [], [], 0
         if ids:
             yield from packed()
 
