@@ -64,7 +64,8 @@ def best_paths(messages: DataFrame, top: int = 1) -> DataFrame:
         best = leaves.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= top).select("tree", "id", "length")
     path = cut(best.select("tree", F.col("id").alias("path"), "id", (F.col("length") - 1).alias("depth")))
     for k in reversed(range(len(jumps))):  # each message of a path is reached once: distances are sums of distinct powers of two
-        path = path.union(path.join(jumps[k], "id").select("tree", "path", F.col("up").alias("id"), (F.col("depth") - (1 << k)).alias("depth")))
+        more = path.join(jumps[k], "id").select("tree", "path", F.col("up").alias("id"), (F.col("depth") - (1 << k)).alias("depth"))
+        path = cut(path.union(more))
     return path
 
 
