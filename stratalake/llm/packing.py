@@ -14,6 +14,7 @@ import re
 import zlib
 from collections import deque
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -58,12 +59,16 @@ class WordTokens(dict):
             self.ends[i] = token.endswith("</w>") and token[:-4].endswith((".", "!", "?"))
         spelt = ByteLevel(add_prefix_space=False, use_regex=False)
         self.bytes = {c: spelt.pre_tokenize_str(chr(c))[0][0] for c in range(0xC0, 0x100)}
-        self.merge, self.parts = self.tokenizer.model.tokenize, {}
+        self.merge, self.parts, self.older, self.older_parts = self.tokenizer.model.tokenize, {}, {}, {}
         self.raw = [i.to_bytes(4, "little") for i in range(size)]
 
     def __missing__(self, word: bytes) -> bytes:
-        if len(self) > WORDS_KEPT:
+        if len(self) > WORDS_KEPT:  # the words before last go; those met again come back from the generation before
+            self.older = dict(self)
             self.clear()
+        if found := self.older.get(word):
+            self[word] = found
+            return found
         text = word.decode()
         if self.PLAIN.fullmatch(text) and "<|" not in text:
             found = b"".join([self.parts.get(p) or self.part(p) for p in self.PARTS.findall(text.lower())])
@@ -74,7 +79,10 @@ class WordTokens(dict):
 
     def part(self, text: str) -> bytes:
         if len(self.parts) > WORDS_KEPT:
-            self.parts.clear()
+            self.parts, self.older_parts = {}, self.parts
+        if found := self.older_parts.get(text):
+            self.parts[text] = found
+            return found
         spelt = text if text.isascii() else text.translate(self.bytes)
         found = self.parts[text] = b"".join([self.raw[t.id] for t in self.merge(spelt)])
         return found
@@ -83,6 +91,12 @@ class WordTokens(dict):
         return np.frombuffer(b"".join(map(self.__getitem__, (text or "").encode("utf-8", "replace").split())), "<u4")
 
 
+@lru_cache(maxsize=2)
+def word_tokens(path: str) -> WordTokens:
+    """One for each Python worker, which keeps what it has learnt from one task to the next."""
+    return WordTokens(path)
+
+
 def best_cuts(at: list[int], penalty: list[float], limit: int = LIMIT) -> list[int]:
     """Chosen cuts among the candidates `at` (ascending, the last one is the end; none more than limit apart)."""
     powers = [1 << k for k in range(limit.bit_length()) if 1 << k < limit]
@@ -172,7 +186,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, limit: int = LIM
                 sequence = columns[5][-1] + 1
                 yield pa.record_batch([pa.array(c, pa.int64()) for c in columns], names)
 
-        tokens, sequence = WordTokens(tokenizer_path), TaskContext.get().partitionId() << 32
+        tokens, sequence = word_tokens(tokenizer_path), TaskContext.get().partitionId() << 32
         ids, held, size = [], [], 0
         for b in batches:
             for doc, text in rows(b, "doc_id", "text"):
