@@ -52,9 +52,9 @@ def best_paths(messages: DataFrame, top: int = 1) -> DataFrame:
             break
         jumps.append(jump)
         above = step.select(F.col("id").alias("up"), *(F.col(c).alias(f"{c}_") for c in ("up", "root", "far", "total")))
-        step = cut(step.join(above, "up", "left").select(
-            "id", F.col("up_").alias("up"), F.coalesce("root_", "root").alias("root"),
-            (F.col("far") + F.coalesce("far_", F.lit(0))).alias("far"), (F.col("total") + F.coalesce("total_", F.lit(0.0))).alias("total")))
+        going = step.where("up is not null").join(above, "up").select(
+            "id", F.col("up_").alias("up"), F.col("root_").alias("root"), (F.col("far") + F.col("far_")).alias("far"), (F.col("total") + F.col("total_")).alias("total"))
+        step = cut(going.union(step.where("up is null").select("id", "up", "root", "far", "total")))
     done = step.where("up is null").select("id", F.col("root").alias("tree"), F.col("far").alias("length"), (F.col("total") / F.col("far")).alias("mean"))
     leaves = done.join(base.where("up is not null").select(F.col("up").alias("id")), "id", "left_anti")
     if top == 1:  # combined before the shuffle, however many leaves a tree has
