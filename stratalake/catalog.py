@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["relational", "temporal"]
+MODULES = ["relational", "temporal", "retrieval", "store_log"]
 
 
 def queries() -> dict:

@@ -39,8 +39,8 @@ def nearest(queries: DataFrame, corpus: DataFrame, key: str, vector: str, k: int
     c = corpus.select(F.pmod(F.xxhash64(key), F.lit(blocks)).alias("b"), F.lit(0).alias("part"), F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("vec"))
     parts = max(1, -(-queries.count() // BLOCK))
     q = queries.select(F.pmod(F.xxhash64(key), F.lit(parts)).alias("part"), F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("vec"))
-    q = q.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long"))
-    c = c.drop("part").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).cast("long"))
+    q = q.withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    c = c.drop("part").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
     kind = dict(corpus.select(F.col(key).alias("key")).dtypes)["key"]
 
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:

@@ -214,7 +214,7 @@ def knee_cut(spark, d):
 
 @query(SPLIT.format(pre=f"WITH {SERIES},", rows="SELECT value::DOUBLE AS v FROM series", anchor="") + """, high AS (SELECT user_id, us, value > coalesce(cut, -1) AS hit FROM series, cut), w AS (SELECT *, lag(hit) OVER (PARTITION BY user_id ORDER BY us) AS before FROM high),
   i AS (SELECT *, sum(CASE WHEN hit AND before IS NOT TRUE THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY us ROWS UNBOUNDED PRECEDING) AS island FROM w),
-  r AS (SELECT user_id, island, min(us) AS since, max(us) AS until, count(*) AS n FROM i WHERE hit GROUP BY 1, 2), l AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY until DESC) AS k FROM r), now AS (SELECT max(us) AS now FROM series)
+  found AS (SELECT user_id, island, min(us) AS since, max(us) AS until, count(*) AS n FROM i WHERE hit GROUP BY 1, 2), l AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY until DESC) AS k FROM found), now AS (SELECT max(us) AS now FROM series)
   SELECT user_id, since, until, n, CASE WHEN (now - until) / 1e6 < 90 THEN round((now - until) / 1e6)::BIGINT || ' seconds ago' WHEN (now - until) / 1e6 < 5400 THEN round((now - until) / 6e7)::BIGINT || ' minutes ago'
   WHEN (now - until) / 1e6 < 172800 THEN round((now - until) / 3.6e9)::BIGINT || ' hours ago' ELSE round((now - until) / 8.64e10)::BIGINT || ' days ago' END AS said FROM l, now WHERE k = 1""")
 def last_active_above_cut(spark, d):
