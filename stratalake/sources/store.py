@@ -303,10 +303,10 @@ class Store:
 
         out = self.spark.range(-(-t0 // step), t1 // step + 1).select((F.col("id") * step).alias("ts"))
         for n in tables:
-            df = self.table(n).scan(t0, t1).withColumn("_k", F.lit(0))
+            df = self.table(n).scan(t0, t1).withColumn("_one", F.lit(0))
             for c, k in df.dtypes:
-                if k in ("double", "float", "int", "bigint") and c not in ("ts", "t1", "_k"):
-                    out = out.join(resample(df.withColumn(c, F.col(c).cast("double")), ["_k"], "ts", c, step, how).select("ts", F.col(c).alias(f"{n}_{c}")), "ts", "left")
+                if k in ("double", "float", "int", "bigint") and c not in ("ts", "t1", "_one"):
+                    out = out.join(resample(df.withColumn(c, F.col(c).cast("double")), ["_one"], "ts", c, step, how).select("ts", F.col(c).alias(f"{n}_{c}")), "ts", "left")
         return out
 
     def ingest(self, name: str, df: DataFrame, ts_column: str, evolve: bool = False) -> int:
