@@ -65,5 +65,18 @@ def queries() -> dict:
     return {f.__name__: f for f in found}
 
 
+#: Texts escaped as the template escapes them, and what a turn adds around role and text.
+_ESCAPED = "replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '[', '&#91;')"
+CHAT_SQL = f"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT * FROM (VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')))
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum({len(chat.TURN) + len(chat.END) + 1} + length(replace({_ESCAPED.format('role')}, chr(10), '&#10;')) + length({_ESCAPED.format('text')})
+    + CASE WHEN role = 'assistant' THEN {len(chat.LOSS) + len(chat.UNLOSS)} ELSE 0 END)::BIGINT AS formatted_chars
+FROM c GROUP BY conv_id"""
+
+
 def oracle_sql() -> dict:
-    return {}
+    """The others learn, infer, cluster or tokenize: their tests hold them against brute force and libraries."""
+    return {"op6_chat": CHAT_SQL}
