@@ -69,6 +69,13 @@ class WordTokens(dict):
         if found := self.older.get(word):
             self[word] = found
             return found
+        if word[:-1].isalpha() and (word.isalpha() or word[-1] in b".,!?;:|"):  # ASCII letters, and a sign at most: the commonest
+            text, sign = (word.lower().decode(), "") if word.isalpha() else (word[:-1].lower().decode(), chr(word[-1]))
+            found = self.parts.get(text) or self.part(text)
+            if sign:
+                found += self.parts.get(sign) or self.part(sign)
+            self[word] = found
+            return found
         text = word.decode()
         if self.PLAIN.fullmatch(text) and "<|" not in text:
             found = b"".join([self.parts.get(p) or self.part(p) for p in self.PARTS.findall(text.lower())])
