@@ -29,7 +29,7 @@ SEQUENCE, SENTENCE, WITHIN = 4.0, 2.0, 12.0
 #: Tokens after which a block is packed and sent on, and the widest stretch without a candidate.
 BLOCK, STEP = 1 << 20, 256
 #: Words a worker remembers the ids of.
-WORDS_KEPT = 400_000
+WORDS_KEPT = 300_000
 
 
 class WordTokens(dict):
