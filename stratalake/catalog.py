@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["relational", "temporal", "retrieval", "store_log", "analysis"]
+MODULES = ["relational", "temporal", "retrieval", "store_log", "analysis", "search"]
 
 
 def queries() -> dict:
