@@ -225,6 +225,59 @@ def round_trip(docs: DataFrame, model_path: str) -> DataFrame:
     return texts(docs).mapInArrow(run, "doc_id long, n_ids long, ids_crc32 long, decoded_sha256 string")
 
 
+def relational(docs: DataFrame, model_path: str) -> DataFrame:
+    """doc_id, ids: the rows of `encode` from joins and higher-order functions alone.
+
+    Distinct words are exploded into bounded substrings, joined to the piece table by equality, grouped into a lattice,
+    and folded by merges; a second join gives each occurrence its word's ids. The piece table is bounded by its model
+    and broadcast. Words of more than LONG characters take the heap. Null and empty texts have no ids; rows that repeat
+    get equal ids. `encode` gives the same with nothing moved, see README for the figures of both.
+    """
+    spark = ready(docs.sparkSession)
+    p = Pieces(model_path)
+    table = spark.createDataFrame([(t, int(p.rank[i]) << 32 | i) for t, i in p.ids.items()], "piece string, code long")
+    # equal texts have equal ids, so only different texts of one doc_id could be mistaken for each other
+    keyed = texts(docs).withColumn("key", F.struct(F.coalesce("doc_id", F.lit(0)).alias("id"), F.xxhash64("text").alias("hash")))
+    marked = F.concat(F.lit(SPACE), F.replace("text", F.lit(" "), F.lit(SPACE)))
+    placed = keyed.where("text <> ''").dropDuplicates(["key"]).select("key", F.posexplode(F.regexp_extract_all(marked, F.lit(SEGMENT.pattern), F.lit(0))).alias("pos", "word"))
+    each = placed.select("word").distinct()
+    short = each.where(F.length("word") <= LONG)
+    spans = short.select("word", F.explode(F.sequence(F.lit(0), F.length("word") - 1)).alias("begin"))
+    spans = spans.select("word", "begin", F.explode(F.sequence(F.col("begin") + 1, F.least(F.col("begin") + p.longest, F.length("word")))).alias("end"))
+    spans = spans.withColumn("piece", F.substring(F.col("word"), F.col("begin") + 1, F.col("end") - F.col("begin")))
+    edges = spans.join(F.broadcast(table), "piece").groupBy("word").agg(F.map_from_entries(F.collect_list(F.struct((F.col("begin") * 64 + F.col("end")).alias("k"), "code"))).alias("edges"))
+    lattice = short.join(edges, "word", "left")
+
+    code = lambda begin, end: F.coalesce(F.try_element_at("edges", begin * 64 + end), F.lit(0).cast("long"))
+    before = lambda ends, i: F.coalesce(F.get(ends, i - 1), F.lit(0))
+
+    def merge(ends, _):
+        pairs = F.transform(F.slice(ends, F.lit(2), F.size(ends)), lambda e, i: F.struct(F.shiftright(code(before(ends, i), e), 32).alias("rank"), (-i).alias("left")))
+        best = F.array_max(pairs)
+        return F.transform(F.array(best), lambda b: F.when(b["rank"] > 0, F.filter(ends, lambda e, j: j != -b["left"])).otherwise(ends))[0]
+
+    spelt = F.array(*(F.lit(p.byte[b]) for b in range(256)))
+
+    def ids(e, begin):
+        raw = F.encode(F.substring(F.col("word"), begin + 1, e - begin), "UTF-8")
+        byte = lambda i: F.conv(F.hex(F.substring(raw, i, F.lit(1))), 16, 10).cast("int")
+        fallback = F.transform(F.sequence(F.lit(1), F.octet_length(raw)), lambda i: F.get(spelt, byte(i)))
+        return F.transform(F.array(code(begin, e)), lambda c: F.when(c > 0, F.array(c.bitwiseAND(F.lit(2**32 - 1)).cast("int"))).otherwise(fallback))[0]
+
+    folded = lattice.withColumn("ends", F.aggregate(F.sequence(F.lit(1), F.length("word")), F.sequence(F.lit(1), F.length("word")), merge))
+    folded = folded.select("word", F.flatten(F.transform("ends", lambda e, i: ids(e, before(F.col("ends"), i)))).alias("part"))
+
+    def heap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Pieces(model_path)
+        for b in batches:
+            parts = [np.frombuffer(own.fold_long(w), "<u4").astype(np.int32).tolist() for w in b.column(0).to_pylist()]
+            yield pa.record_batch([b.column(0), pa.array(parts, pa.list_(pa.int32()))], ["word", "part"])
+
+    known = folded.unionByName(each.where(F.length("word") > LONG).mapInArrow(heap, "word string, part array<int>"))
+    whole = placed.join(known, "word").groupBy("key").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pos", "part"))), lambda x: x["part"])).alias("ids"))
+    return keyed.join(whole, "key", "left").select("doc_id", F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
+
+
 def viterbi(words: DataFrame, pieces: DataFrame, unknown: float = -100.0) -> DataFrame:
     """word, pieces (array<string>), score: the best-scoring segmentation of each distinct word, for a unigram table.
 

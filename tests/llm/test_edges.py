@@ -97,3 +97,11 @@ def test_trees_choose_the_best_branch(spark):
     assert two == [("d", 0, "a"), ("d", 1, "c"), ("d", 2, "d"), ("e", 0, "a"), ("e", 1, "c"), ("e", 2, "e")]
     long = spark.range(700).selectExpr("id", "nullif(id, 0) - 1 as parent", "1.0 as score")
     assert chat.best_paths(long).count() == 700
+
+
+def test_relational_encoding_equals_the_arrays(docs, empty):
+    path = tokenizer_path("piece_bpe_32k.model")
+    rows = lambda df: sorted(((r["doc_id"], list(r["ids"])) for r in df.collect()), key=repr)
+    odd = docs.union(docs.sparkSession.createDataFrame([(7, "x" * 300 + " a▁b ▁▁ c", 1, "x", 1), (8, "  \n\n\t tail  ", 1, "x", 1)], SCHEMA))
+    assert rows(pieces.relational(odd, path)) == rows(pieces.encode(odd, path))
+    assert rows(pieces.relational(empty, path)) == []
