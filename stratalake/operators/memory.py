@@ -33,6 +33,7 @@ SCHEMAS = {
     "answers": "ts long, query string, rank long, rec long, begin long, end long, score double, apart boolean",
     "sightings": "ts long, id string, owner string, name string, rec long, t0 long, t1 long, by string, score double, confirmed boolean, rejected boolean",
     "notes": "ts long, id string, person string, subject string, note string",
+    "messages": "ts long, id string, session string, n long, role string, text string",
 }
 
 
@@ -211,6 +212,58 @@ class Memory:
             return {"name": name, "status": "not_seen"}
         return {"name": name, "status": "seen" if now - last["until"] <= FADE else "believed", "rec": last["rec"], "until": last["until"], "age": now - last["until"]}
 
+    # reads in world time
+
+    def clock(self) -> DataFrame:
+        """rec, person, started, ended of every recording; ended is its start plus its steps."""
+        size = self.rows("steps").groupBy("rec").agg((F.max("pos") + 1).alias("size"))
+        return self.rows("footage").join(size, "rec", "left").select("rec", "source", "person", "started", (F.col("started") + F.coalesce("size", F.lit(0))).alias("ended"))
+
+    def example(self, source: str, a: int, b: int) -> tuple[int, int, int]:
+        """The source's recording that holds the world times a to b, and the positions: the last one begun by a."""
+        if b <= a:
+            raise ValueError("an observation ends after it starts")
+        r = self.clock().where((F.col("source") == source) & (F.col("started") <= a)).orderBy(F.desc("started"), F.desc("rec")).first()
+        if r is None or a >= r["ended"]:
+            raise ValueError(f"no recording of {source} holds {a} to {b}")
+        return r["rec"], a - r["started"], min(b, r["ended"]) - r["started"] - 1
+
+    def last_seen(self, source: str, a: int, b: int, direction: str = "reverse") -> dict | None:
+        """What happened after an observation, backwards by default: the best span after it, and from its begin to the
+        end of its recording; None if nothing is found."""
+        id = self.enqueue(*self.example(source, a, b), direction=direction, scope="after", top=5)
+        moved = self.answer(id).first()
+        if moved is None:
+            return None
+        r = self.clock().where(F.col("rec") == moved["rec"]).first()
+        return {"query": id, "rec": moved["rec"], "begin": moved["begin"], "end": moved["end"], "score": moved["score"], "until": r["ended"]}
+
+    def timeline(self, since: int | None = None, until: int | None = None, apart_only: bool = False, limit: int = 100) -> DataFrame:
+        """Moments that questions found, newest first: each span once, with its best score and how many found it."""
+        found = self.rows("answers").where("apart") if apart_only else self.rows("answers")
+        once = found.groupBy("rec", "begin", "end").agg(F.max("score").alias("score"), F.count_distinct("query").alias("found_by"))
+        at = once.join(self.clock(), "rec").withColumn("t0", F.col("started") + F.col("begin"))
+        at = at if since is None else at.where(F.col("t0") >= since)
+        at = at if until is None else at.where(F.col("t0") <= until)
+        return at.select("rec", "person", "t0", (F.col("started") + F.col("end")).alias("t1"), "score", "found_by").orderBy(F.desc("t0"), "rec", "t1").limit(limit)
+
+    def between(self, owner: str, a: int, b: int) -> DataFrame:
+        """The owner's sightings and all moments apart that meet the world times a to b, in order."""
+        clock = self.clock().select("rec", "started")
+        mine = self.rows("sightings").where((F.col("owner") == owner) & ~F.col("rejected")).select(F.lit("sighting").alias("kind"), F.col("name").alias("what"), "rec", "t0", "t1")
+        moments = self.rows("answers").where("apart").select(F.lit("moment").alias("kind"), F.col("query").alias("what"), "rec", F.col("begin").alias("t0"), F.col("end").alias("t1"))
+        at = mine.unionByName(moments).join(clock, "rec").select("kind", "what", "rec", (F.col("started") + F.col("t0")).alias("t0"), (F.col("started") + F.col("t1")).alias("t1"))
+        return at.where((F.col("t1") >= a) & (F.col("t0") <= b)).orderBy("t0", "rec", "kind", "what")
+
+    # conversations
+
+    def say(self, session: str, n: int, role: str, text: str) -> None:
+        """The n-th message of a session; said again it is replaced."""
+        self._put("messages", ["id"], id=f"{session}:{n}", session=session, n=n, role=role, text=text)
+
+    def messages(self, session: str, skip: int = 0, limit: int = 50) -> DataFrame:
+        return self.rows("messages").where(F.col("session") == session).orderBy("n").offset(skip).limit(limit).select("n", "role", "text")
+
     # notes and questions in words
 
     def remember(self, person: str, subject: str, note: str) -> None:

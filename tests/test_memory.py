@@ -77,3 +77,42 @@ def test_notes_are_recalled_by_their_owner_alone(memory):
     ("What do I know about the car", ("recall", "the car")), ("Which cameras are there?", ("context", None)), ("Why?", (None, None))])
 def test_grammar(question, want):
     assert understood(question, ["key", "house key"]) == want
+
+
+def test_world_time_reads(memory):
+    assert memory.example("p1", 4, 7) == (0, 4, 6)
+    for wrong in ((7, 4), (500, 600)):
+        with pytest.raises(ValueError):
+            memory.example("p1", *wrong)
+    seen = memory.last_seen("p1", 4, 7)
+    assert (seen["rec"], seen["begin"], seen["end"], seen["until"]) == (2, 3, 5, 2015)
+    line = memory.timeline(since=1000, limit=50).collect()
+    assert line and all(r["t0"] >= 1000 and r["found_by"] >= 1 for r in line)
+    assert [r["t0"] for r in line] == sorted((r["t0"] for r in line), reverse=True)
+    assert len({(r["rec"], r["t0"], r["t1"]) for r in line}) == len(line)
+    assert {r["rec"] for r in memory.between("p", 2000, 2999).collect()} <= {2}
+
+
+def test_messages_are_paged_and_replaced(memory):
+    for n, t in enumerate(("hello", "hi", "where?")):
+        memory.say("s1", n, "user", t)
+    memory.say("s1", 1, "assistant", "hi there")
+    assert [(r["n"], r["text"]) for r in memory.messages("s1", 1, 2).collect()] == [(1, "hi there"), (2, "where?")]
+
+
+def test_terminal_commands(spark, tmp_path):
+    from stratalake.__main__ import run
+
+    at = f"{tmp_path}/s"
+    assert run(spark, [at, "create"]) == {"created": at}
+    run(spark, [at, "person", "p", "Pat"])
+    run(spark, [at, "source", "c", "p", "webcam", "desk"])
+    run(spark, [at, "add-footage", "0", "c", "100"])
+    run(spark, [at, "remember", "p", "keys", "they hang by the door"])
+    assert run(spark, [at, "recall", "p", "keys"]).first()["note"] == "they hang by the door"
+    assert run(spark, [at, "footage"]).first()["recordings"] == 1
+    assert run(spark, [at, "where", "p", "keys"])["status"] == "not_seen"
+    assert run(spark, [at, "sql", "SELECT count(*) AS n FROM people"]).first()["n"] == 1
+    assert run(spark, [at, "history", "people"]).count() == 1 and run(spark, [at, "check"]).count() == 4
+    with pytest.raises(SystemExit):
+        run(spark, [at, "source", "x", "p", "toaster", "y"])
