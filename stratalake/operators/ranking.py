@@ -7,9 +7,40 @@ import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, Window
 
 
+#: Rows of one bucket of a global order on average, and the most buckets.
+BUCKET_ROWS, BUCKETS = 200_000, 4096
+
+
+def global_places(df: DataFrame, score: str, tie: str, name: str) -> DataFrame:
+    """Adds 0-based places in the order of a score, best first, over all rows without one task that sees them all; rows
+    without a score get the middle place of those known (0 if none is).
+
+    Quantiles of the score, found in one pass, deal rows into buckets; a row's place is its place in its bucket plus the
+    rows of better buckets, of which there are BUCKETS at most, counted in a second pass if there are several. Equal
+    scores share a bucket. Checkpoint rows that are costly to compute.
+    """
+    shares = ", ".join(f"{k / BUCKETS!r}D" for k in range(1, BUCKETS))
+    n, at = df.agg(F.count(score), F.expr(f"percentile_approx(`{score}`, array({shares}), {10 * BUCKETS})")).first()
+    wanted = min(BUCKETS, -(-n // BUCKET_ROWS))
+    bounds = sorted({float(at[k * BUCKETS // wanted - 1]) for k in range(1, wanted)}) if wanted > 1 else []
+    bucket, better = F.lit(0), F.lit(0)
+    if bounds:  # how many bounds are below the score, by halving
+        array, steps = F.array(*map(F.lit, bounds)), [1 << k for k in reversed(range(len(bounds).bit_length()))]
+        bucket = F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda a, s: F.when((a + s <= len(bounds)) & (F.get(array, F.least(a + s, F.lit(len(bounds))) - 1) < F.col(score).cast("double")), a + s).otherwise(a))
+        sizes = dict(df.where(F.col(score).isNotNull()).groupBy(bucket.alias("b")).count().collect())  # BUCKETS rows at most
+        above = [sum(sizes.get(j, 0) for j in range(i + 1, len(bounds) + 1)) for i in range(len(bounds) + 1)]
+        better = F.get(F.array(*map(F.lit, above)), F.col("_bucket"))
+    # rows without a score are spread, as their order doesn't matter
+    dealt = df.withColumn("_bucket", F.when(F.col(score).isNotNull(), bucket).otherwise(-1 - F.pmod(F.xxhash64(tie), F.lit(BUCKETS)).cast("int")))
+    place = F.row_number().over(Window.partitionBy("_bucket").orderBy(F.desc(score), tie)) - 1
+    return dealt.withColumn(name, F.when(F.col("_bucket") >= 0, (place + better).cast("double")).otherwise(max(0.0, (n - 1) / 2))).drop("_bucket")
+
+
 def ranks(df: DataFrame, score: str, tie: str, name: str, by: list[str] | None = None) -> DataFrame:
     """Adds 0-based ranks, best first. A null score abstains: it gets the middle rank of those known (0 if none is)."""
-    w = Window.partitionBy(*(by or [F.lit(0)]))
+    if not by:
+        return global_places(df, score, tie, name)
+    w = Window.partitionBy(*by)
     known = F.count(score).over(w)
     r = F.row_number().over(w.orderBy(F.col(score).desc_nulls_last(), tie)) - 1
     return df.withColumn(name, F.when(F.col(score).isNotNull(), r.cast("double")).otherwise(F.greatest(F.lit(0.0), (known - 1) / 2)))

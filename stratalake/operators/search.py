@@ -125,7 +125,7 @@ def chains(scores: DataFrame, follows: DataFrame, inside: DataFrame, relations:
     """node, path, score: chains best by mean and those best by weakest fit, pooled and ordered by both ranks."""
     both = [chain_paths(scores, follows, inside, relations, by).select("node", "path", "fits") for by in ("mean", "min")]
     pool = both[0].unionByName(both[1]).dropDuplicates(["path"])
-    pool = pool.withColumn("mean", F.round(F.aggregate("fits", F.lit(0.0), lambda s, x: s + x) / len(relations), 9)).withColumn("low", F.round(F.array_min("fits"), 9))
+    pool = pool.withColumn("mean", F.round(F.aggregate("fits", F.lit(0.0), lambda s, x: s + x) / len(relations), 9)).withColumn("low", F.round(F.array_min("fits"), 9)).checkpoint()
     pool = ranking.ranks(ranking.ranks(pool, "mean", "path", "r_mean"), "low", "path", "r_low")
     return pool.select("node", "path", (F.col("mean") * 1e-3 - F.col("r_mean") - F.col("r_low")).alias("score"))
 
@@ -141,7 +141,7 @@ def recalled(df: DataFrame, by: str, pos: str, channels: dict[str, float], tie:
     wide = best.distinct().join(ends, by).select(by, F.greatest(F.col(pos) - pad, "_lo").alias("t0"), F.least(F.col(pos) + pad, "_hi").alias("t1"))
     spans = islands.merge_spans(wide, [by], "t0", "t1").groupBy(by, "island").agg(F.min("t0").alias("t0"), F.max("t1").alias("t1")).drop("island")
     each = spans.withColumn(pos, F.explode(F.sequence("t0", "t1"))).join(df.select(by, pos, *channels), [by, pos])
-    held = each.groupBy(by, "t0", "t1").agg(*(F.max(c).alias(c) for c in channels)).withColumn("_tie", F.struct(by, "t0"))
+    held = each.groupBy(by, "t0", "t1").agg(*(F.max(c).alias(c) for c in channels)).withColumn("_tie", F.struct(by, "t0")).checkpoint()
     return ranking.fuse(held, channels, "_tie").drop("_tie")
 
 
@@ -160,7 +160,7 @@ def hybrid(docs: DataFrame, key: str, body: str, query: str, appearance: DataFra
     meaning = lsa.embed(w, key, terms, dims).join(F.broadcast(point), F.lit(True), "left").select(key, F.aggregate(F.zip_with(unit(F.col("vec")), "q", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x).alias("meaning"))
     known = meaning.join(wording, key, "left").fillna(0.0, ["wording"])
     rows = docs.select(key).join(appearance, key, "left").join(known, key, "left")
-    rows = rows.withColumns({c: F.round(c, 9) for c in ("appearance", "meaning", "wording")})
+    rows = rows.withColumns({c: F.round(c, 9) for c in ("appearance", "meaning", "wording")}).checkpoint()
     fused = ranking.fuse(rows, {"appearance": 1.0, "meaning": 1.0, "wording": 1.0}, key)
     return fused.orderBy(F.desc("rrf"), key).limit(k).select(key, "rrf", "rank_appearance", "rank_meaning", "rank_wording")
 

@@ -110,3 +110,18 @@ def test_registered_functions(spark):
     assert spark.sql("SELECT vec_mean(v) AS m FROM VALUES (array(1D, 3D)), (array(3D, 5D)) AS t(v)").first()["m"] == [2.0, 4.0]
     path = spark.sql("SELECT * FROM dtw_path(array(array(1D, 0D), array(0D, 1D)), array(array(1D, 0D), array(1D, 0D), array(0D, 1D)))").collect()
     assert [(p["i"], p["j"]) for p in path] == [(0, 0), (0, 1), (1, 2)]
+
+
+def test_global_places_over_many_buckets(spark, monkeypatch):
+    from stratalake.operators import ranking
+
+    monkeypatch.setattr(ranking, "BUCKET_ROWS", 50)
+    rng = np.random.default_rng(8)
+    rows = [(i, None if i % 7 == 0 else float(rng.integers(0, 300))) for i in range(2000)] + [(5000 + i, 150.0) for i in range(700)]
+    got = {r["id"]: r["r"] for r in ranking.ranks(spark.createDataFrame(rows, "id long, s double"), "s", "id", "r").collect()}
+    known = sorted((r for r in rows if r[1] is not None), key=lambda r: (-r[1], r[0]))
+    assert len(got) == 2700 and all(got[r[0]] == k for k, r in enumerate(known))
+    assert {got[i] for i, s in rows if s is None} == {(len(known) - 1) / 2}
+    none = spark.createDataFrame([(1, None)], "id long, s double")
+    assert ranking.ranks(none, "s", "id", "r").first()["r"] == 0
+    assert ranking.ranks(none.where("id > 1"), "s", "id", "r").count() == 0
