@@ -1,9 +1,9 @@
 """License scans by a positional index of rare licence words.
 
-The templates' words are indexed by position. Of a text, the licence words with the highest IDF are looked up; each
-place votes for the alignments (template, start) that its postings imply. Alignments with enough votes whose mandatory
-key phrases stand in the text, nearby, give the template's label; the score is the share of the template's words that
-the best alignment finds in place.
+The templates' words are indexed by position. Of each template, its rarest postings by IDF over all documents are looked
+up at every place of a text, as many as leave no alignment (template, start) of enough words in place without two votes.
+Alignments with two votes whose mandatory key phrases stand in the text, nearby, give the template's label; the score is
+the share of the template's words that the best alignment finds in place. Which postings vote decides the work alone.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from stratalake.llm.common import ready, rows, texts
 
@@ -32,8 +33,8 @@ TEMPLATES = (
     ("cc", "this work is licensed under a creative commons attribution 4 0 international license", ("creative commons attribution",)),
     ("unlicense", "this is free and unencumbered software released into the public domain", ("unencumbered software released into the public domain",)),
 )
-#: Rarest distinct licence words of a text that vote, and the share of a template's words that must stand in place.
-RAREST, COVER = 12, 0.6
+#: Share of a template's words that must stand in place.
+COVER = 0.6
 _WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
@@ -42,15 +43,22 @@ def words(text: str | None) -> list[bytes]:
 
 
 class Index:
-    def __init__(self, templates: tuple = TEMPLATES, phrases: dict[str, str] = PHRASES):
+    def __init__(self, templates: tuple = TEMPLATES, phrases: dict[str, str] = PHRASES, idf: dict[bytes, float] | None = None):
         self.templates = [(label, body.encode().split(), [k.encode().split() for k in keys]) for label, body, keys in templates]
         self.phrases = [(p.encode().split(), label) for p, label in phrases.items()]
         postings: dict[bytes, list] = defaultdict(list)
         for t, (_, body, _) in enumerate(self.templates):
             for i, w in enumerate(body):
                 postings[w].append((t, i))
-        self.postings = dict(postings)
-        self.idf = {w: math.log(len(self.templates) / len({t for t, _ in p})) + 1 / (1 + len(p)) for w, p in postings.items()}
+        #: Of the corpus where it is known, else of the templates.
+        self.idf = idf or {w: math.log(len(self.templates) / len({t for t, _ in p})) + 1 / (1 + len(p)) for w, p in postings.items()}
+        self.postings = defaultdict(list)
+        for t, (_, body, _) in enumerate(self.templates):
+            # an alignment with `least` words in place misses len(body) - least postings: with two more, two of them vote
+            least = next(m for m in range(len(body) + 1) if m / len(body) >= COVER)
+            for i in sorted(range(len(body)), key=lambda i: (-self.idf.get(body[i], 9.0), i))[: len(body) - least + 2]:
+                self.postings[body[i]].append((t, i))
+        self.postings = dict(self.postings)
         #: A text without any of these can hold neither phrase nor key phrase: the rarest word of each.
         rare = lambda ws: max(ws, key=lambda w: (self.idf.get(w, 9.0), w))
         self.signs = sorted({rare(p) for p, _ in self.phrases} | {rare(k) for _, _, keys in self.templates for k in keys[:1]})
@@ -70,13 +78,8 @@ class Index:
         return out
 
     def aligned(self, ws: list[bytes]) -> dict[str, float]:
-        """Label -> best share in place, over alignments voted for by the rarest licence words."""
-        places = defaultdict(list)
-        for i, w in enumerate(ws):
-            if w in self.postings:
-                places[w].append(i)
-        rarest = sorted(places, key=lambda w: (-self.idf[w], w))[:RAREST]
-        votes = Counter((t, i - p) for w in rarest for i in places[w] for t, p in self.postings[w])
+        """Label -> best share in place, over alignments voted for by the templates' rarest postings."""
+        votes = Counter((t, i - p) for i, w in enumerate(ws) if w in self.postings for t, p in self.postings[w])
         found: dict[str, float] = {}
         for (t, start), n in votes.items():
             label, body, keys = self.templates[t]
@@ -113,6 +116,22 @@ def scan(text: str | None, index: Index) -> tuple:
     return len(ws), len(base), min(starts, default=None), max(starts, default=None), ",".join(sorted(labels)), ",".join(sorted(labels | found.keys())), float(score)
 
 
+def corpus_idf(docs: DataFrame) -> dict[bytes, float]:
+    """IDF of every template word over all documents; as many rows as templates have words come back."""
+    known = {w for _, body, _ in TEMPLATES for w in body.encode().split()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, having = 0, Counter()
+        for b in batches:
+            total += b.num_rows
+            for (t,) in rows(b, "text"):
+                having.update(known.intersection(words(t)))
+        yield pa.record_batch([pa.array([b"", *having]), pa.array([total, *having.values()])], ["word", "n"])
+
+    found = {bytes(r["word"]): r["n"] for r in texts(docs).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()}
+    return {w: math.log((1 + found.get(b"", 0)) / (1 + found.get(w, 0))) for w in known}
+
+
 def scan_licenses(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score for each row of docs.
 
@@ -122,9 +141,10 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     ready(docs.sparkSession)
     names = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
     kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64()]
+    idf = corpus_idf(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = default_index()
+        index = Index(idf=idf)
         for b in batches:
             columns = list(zip(*(scan(t, index) for (t,) in rows(b, "text")))) or [()] * 7
             yield pa.record_batch([b.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds))], ["doc_id", *names])

@@ -131,6 +131,33 @@ def test_op5_templates_align(spark):
     assert "bsd" not in licenses.scan(half, index)[5]
 
 
+def test_op5_finds_every_alignment(spark):
+    """All labels of texts with several licences and common licence words, as a search of all starts finds them."""
+    from stratalake.llm import licenses
+
+    idf = licenses.corpus_idf(spark.read.parquet(f"{DATA}/documents.parquet"))
+    bodies, rng = [b for _, b, _ in licenses.TEMPLATES], np.random.default_rng(5)
+    wording = {label: body for label, body, _ in licenses.TEMPLATES}
+    both = "associated binary charge code compliance conditions deal distribute documentation domain except "
+    texts = [" x ".join(wording[k] for k in ks) for ks in (("mit", "apache", "bsd", "mpl"), ("mit", "bsd", "cc", "unlicense"))] + [both + b for b in bodies]
+    for _ in range(300):
+        ws = " x ".join(bodies[k] for k in rng.permutation(len(bodies))[: rng.integers(1, 6)]).split()
+        for i in rng.integers(0, len(ws), rng.integers(0, len(ws) // 3)):
+            ws[i] = rng.choice(["the", "not", "license", "other"])
+        texts.append(" ".join(ws))
+    for index in (licenses.default_index(), licenses.Index(idf=idf)):
+        for text in texts:
+            ws, want = licenses.words(text), {}
+            for label, body, keys in index.templates:
+                for start in range(-len(body), len(ws)):
+                    near = b" ".join([b"", *ws[max(0, start - 2) : max(0, start + len(body) + 2)], b""])
+                    share = sum(0 <= start + i < len(ws) and ws[start + i] == w for i, w in enumerate(body)) / len(body)
+                    if share >= licenses.COVER and all(b" ".join([b"", *k, b""]) in near for k in keys):
+                        want[label] = max(want.get(label, 0.0), share)
+            assert index.aligned(ws) == want
+    assert {"mit", "apache", "bsd", "mpl"} <= set(licenses.scan(texts[0], licenses.default_index())[5].split(","))
+
+
 def test_op6(spark):
     conv = defaultdict(list)
     for c, t, r, x in duckdb.sql(f"select * from '{DATA}/conversations.parquet' order by conv_id, turn").fetchall():
