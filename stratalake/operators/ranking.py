@@ -4,13 +4,52 @@ from __future__ import annotations
 
 import pandas as pd
 import pyspark.sql.functions as F
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 
 
 #: Rows of one bucket of a global order on average, and the most buckets.
 BUCKET_ROWS, BUCKETS = 200_000, 4096
 
 
+def quantile_buckets(df: DataFrame, score: str) -> tuple[int, int, Column]:
+    """How many rows have a score, the number of buckets, and each row's bucket: BUCKET_ROWS rows on average, a better
+    score in no lower bucket, equal scores in one. Quantiles are found in one pass."""
+    shares = ", ".join(f"{k / BUCKETS!r}D" for k in range(1, BUCKETS))
+    n, at = df.agg(F.count(score), F.expr(f"percentile_approx(`{score}`, array({shares}), {10 * BUCKETS})")).first()
+    wanted = min(BUCKETS, -(-n // BUCKET_ROWS))
+    bounds = sorted({float(at[k * BUCKETS // wanted - 1]) for k in range(1, wanted)}) if wanted > 1 else []
+    if not bounds:
+        return n, 1, F.lit(0)
+    # how many bounds are below the score, by halving
+    array, steps = F.array(*map(F.lit, bounds)), [1 << k for k in reversed(range(len(bounds).bit_length()))]
+    bucket = F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda a, s: F.when((a + s <= len(bounds)) & (F.get(array, F.least(a + s, F.lit(len(bounds))) - 1) < F.col(score).cast("double")), a + s).otherwise(a))
+    return n, len(bounds) + 1, bucket
+
+
+def within_budget(df: DataFrame, order: str, cost: str, budget: int, name: str) -> DataFrame:
+    """Adds the running sum of costs over all rows, largest order first (equal ones together, those without one last),
+    and keeps the rows where it is within the budget.
+
+    Sums of whole buckets of the order come first; rows are ordered only inside the buckets where the running sum can be
+    within the budget, one task for each. Null costs count nothing; where no cost is known yet there is no sum.
+    """
+    _, count, bucket = quantile_buckets(df, order)
+    dealt = df.withColumn("_bucket", F.when(F.col(order).isNotNull(), bucket).otherwise(-1))
+    sums = {r[0]: r[1:] for r in dealt.groupBy("_bucket").agg(F.sum(cost), F.sum(F.least(F.col(cost), F.lit(0)))).collect()}  # BUCKETS + 1 rows at most
+    before, above, wanted = None, {}, []
+    for b in range(count - 1, -2, -1):
+        total, least = sums.get(b, (None, None))
+        above[b] = before
+        if total is not None:
+            before = total + (before or 0)
+        if before is not None and (above[b] or 0) + (least or 0) <= budget:
+            wanted.append(b)
+    within = F.sum(cost).over(Window.partitionBy("_bucket").orderBy(F.desc(order)))
+    sooner = F.get(F.array(*(F.lit(above[b]) for b in range(-1, count))), F.col("_bucket") + 1)
+    used = F.coalesce(within + sooner, within, sooner)
+    return dealt.where(F.col("_bucket").isin(wanted)).withColumn(name, used).where(F.col(name) <= budget).drop("_bucket")
+
+
 def global_places(df: DataFrame, score: str, tie: str, name: str) -> DataFrame:
     """Adds 0-based places in the order of a score, best first, over all rows without one task that sees them all; rows
     without a score get the middle place of those known (0 if none is).
@@ -19,16 +58,11 @@ def global_places(df: DataFrame, score: str, tie: str, name: str) -> DataFrame:
     rows of better buckets, of which there are BUCKETS at most, counted in a second pass if there are several. Equal
     scores share a bucket. Checkpoint rows that are costly to compute.
     """
-    shares = ", ".join(f"{k / BUCKETS!r}D" for k in range(1, BUCKETS))
-    n, at = df.agg(F.count(score), F.expr(f"percentile_approx(`{score}`, array({shares}), {10 * BUCKETS})")).first()
-    wanted = min(BUCKETS, -(-n // BUCKET_ROWS))
-    bounds = sorted({float(at[k * BUCKETS // wanted - 1]) for k in range(1, wanted)}) if wanted > 1 else []
-    bucket, better = F.lit(0), F.lit(0)
-    if bounds:  # how many bounds are below the score, by halving
-        array, steps = F.array(*map(F.lit, bounds)), [1 << k for k in reversed(range(len(bounds).bit_length()))]
-        bucket = F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda a, s: F.when((a + s <= len(bounds)) & (F.get(array, F.least(a + s, F.lit(len(bounds))) - 1) < F.col(score).cast("double")), a + s).otherwise(a))
+    n, count, bucket = quantile_buckets(df, score)
+    better = F.lit(0)
+    if count > 1:
         sizes = dict(df.where(F.col(score).isNotNull()).groupBy(bucket.alias("b")).count().collect())  # BUCKETS rows at most
-        above = [sum(sizes.get(j, 0) for j in range(i + 1, len(bounds) + 1)) for i in range(len(bounds) + 1)]
+        above = [sum(sizes.get(j, 0) for j in range(i + 1, count)) for i in range(count)]
         better = F.get(F.array(*map(F.lit, above)), F.col("_bucket"))
     # rows without a score are spread, as their order doesn't matter
     dealt = df.withColumn("_bucket", F.when(F.col(score).isNotNull(), bucket).otherwise(-1 - F.pmod(F.xxhash64(tie), F.lit(BUCKETS)).cast("int")))

@@ -5,9 +5,9 @@ from __future__ import annotations
 import uuid
 
 import pyspark.sql.functions as F
-from pyspark.sql import Window
 
 from stratalake.functions.scalar import epoch_us
+from stratalake.operators import ranking
 from stratalake.plans.base import Registry, load
 from stratalake.streaming import operators as streams
 
@@ -70,6 +70,11 @@ def stream_sampler(spark, d):
 
 @query("SELECT event_id, sum(user_id) OVER (ORDER BY event_id DESC)::BIGINT AS used FROM events WHERE event_id < 200 QUALIFY used <= 4096")
 def token_budget(spark, d):
-    """The newest rows whose token counts sum to a budget; candidates are a short recent list."""
-    e = load(spark, d, "events").where("event_id < 200").select("event_id", F.sum("user_id").over(Window.orderBy(F.desc("event_id"))).alias("used"))
-    return e.where("used <= 4096")
+    """The newest rows whose token counts sum to a budget, of the first 200 ids as the SQL has it; all events: token_budget_all."""
+    return ranking.within_budget(load(spark, d, "events").where("event_id < 200"), "event_id", "user_id", 4096, "used").select("event_id", "used")
+
+
+@query("SELECT event_id, sum(user_id) OVER (ORDER BY event_id DESC)::BIGINT AS used FROM events QUALIFY used <= 4096")
+def token_budget_all(spark, d):
+    """The newest of all rows whose token counts sum to a budget."""
+    return ranking.within_budget(load(spark, d, "events"), "event_id", "user_id", 4096, "used").select("event_id", "used")

@@ -125,3 +125,36 @@ def test_global_places_over_many_buckets(spark, monkeypatch):
     none = spark.createDataFrame([(1, None)], "id long, s double")
     assert ranking.ranks(none, "s", "id", "r").first()["r"] == 0
     assert ranking.ranks(none.where("id > 1"), "s", "id", "r").count() == 0
+
+
+def test_within_budget_over_all_rows(spark, monkeypatch):
+    """The running sum is over every row, in many buckets, with ties, nulls and negative costs, as DuckDB's window has it."""
+    import duckdb
+    import pandas as pd
+
+    from stratalake.operators import ranking
+
+    monkeypatch.setattr(ranking, "BUCKET_ROWS", 50)
+    rng = np.random.default_rng(4)
+    for least, budget in ((0, 900), (-30, 200), (-45, -2000)):
+        at = [None if i % 97 == 5 else int(k) for i, k in enumerate(rng.integers(0, 700, 1500))]
+        rows = [(i, k, None if i % 11 == 0 or (k or 0) > 690 else int(c)) for i, (k, c) in enumerate(zip(at, rng.integers(least, 40, 1500)))]
+        events = pd.DataFrame(rows, columns=["id", "k", "cost"]).astype("Int64")  # noqa: F841
+        want = duckdb.sql(f"select id, sum(cost) over (order by k desc nulls last)::bigint as used from events qualify used <= {budget}").fetchall()
+        got = ranking.within_budget(spark.createDataFrame(rows, "id long, k long, cost long"), "k", "cost", budget, "used").select("id", "used").collect()
+        assert want and sorted(map(tuple, got)) == sorted(want)
+    empty = spark.createDataFrame([], "id long, k long, cost long")
+    assert ranking.within_budget(empty, "k", "cost", 10, "used").count() == 0
+
+
+def test_token_budget_all_takes_the_newest_event(spark):
+    from stratalake import catalog
+
+    events = spark.read.parquet("/root/testdata/sf0.01/events.parquet").select("event_id", "user_id").collect()
+    total, want = 0, []
+    for i, n in sorted(map(tuple, events), reverse=True):
+        total += n
+        if total <= 4096:
+            want.append((i, total))
+    got = catalog.queries()["token_budget_all"](spark, "/root/testdata/sf0.01").collect()
+    assert sorted(map(tuple, got), reverse=True) == want and want[0][0] == max(r[0] for r in events)
