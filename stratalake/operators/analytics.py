@@ -7,9 +7,9 @@ import pandas as pd
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame, Window
 
-from stratalake.functions.scalar import cosine, dot
+from stratalake.functions.scalar import dot
 from stratalake.operators.sequence import align_path
-from stratalake.operators.vectors import mean_vector
+from stratalake.operators.vectors import BLOCK, mean_vector
 
 
 def local_peaks(df: DataFrame, by: list[str], on: str, score: str) -> DataFrame:
@@ -111,11 +111,42 @@ def smallest_enclosing(df: DataFrame, by: list[str], key: str, x0: str, y0: str,
 
 
 def opposites(df: DataFrame, key: str, vector: str) -> DataFrame:
-    """key, opposite: the row most unlike each one after the common mean is taken away (a bounded dictionary)."""
-    mean = df.select(F.posexplode(vector).alias("i", "x")).groupBy("i").agg(F.avg("x").alias("m")).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda e: e["m"]).alias("_mean"))
-    c = df.join(F.broadcast(mean), F.lit(True)).select(F.col(key).alias("k"), F.zip_with(vector, "_mean", lambda x, y: x - y).alias("v"))
-    pair = c.alias("a").join(F.broadcast(c.alias("b")), F.col("a.k") != F.col("b.k"))
-    return pair.groupBy(F.col("a.k").alias(key)).agg(F.min_by(F.col("b.k"), F.struct(F.round(cosine(F.col("a.v"), F.col("b.v")), 9), F.col("b.k"))).alias("opposite"))
+    """key, opposite: the row most unlike each one after the common mean is taken away; cosines equal to nine digits go to
+    the smaller key, and rows that lie in the mean are unlike nothing.
+
+    Blocked products as in vectors.nearest: each block meets each other once, in memory bounded by a block, so the work
+    grows with the square of the rows.
+    """
+    known = df.where(F.col(vector).isNotNull())
+    mean = known.select(F.posexplode(vector).alias("i", "x")).groupBy("i").agg(F.avg("x").alias("m")).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda e: e["m"]).alias("_mean"))
+    c = known.join(F.broadcast(mean), F.lit(True)).select(F.col(key).alias("key"), F.zip_with(vector, "_mean", lambda x, y: x.cast("double") - y).alias("vec"))
+    blocks = max(1, -(-known.count() // BLOCK))
+    each = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
+    dealt = lambda own, other: c.select(F.pmod(F.xxhash64("key"), F.lit(blocks)).alias(own), F.col("key").alias("key"), F.col("vec").alias("vec")).withColumn(other, each).groupBy("a", "b")
+    kind = dict(c.dtypes)["key"]
+
+    def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        keys, match, found = [], [], []
+        if len(left) and len(right):
+            right = right.sort_values("key")
+            a, b = (np.stack(x["vec"].to_numpy()).astype(float) for x in (left, right))
+            with np.errstate(invalid="ignore"):
+                a, b = (x / np.linalg.norm(x, axis=1, keepdims=True) for x in (a, b))
+            left_keys, right_keys = left["key"].to_numpy(), right["key"].to_numpy()
+            for lo in range(0, len(a), 512):
+                s = np.round(a[lo : lo + 512] @ b.T, 9)
+                s[np.isnan(s)] = 2.0
+                s[left_keys[lo : lo + 512, None] == right_keys[None, :]] = np.inf
+                least = s.argmin(1)  # the first of equal ones, so the smallest key
+                best = s[np.arange(len(s)), least]
+                ok = np.isfinite(best)
+                keys.append(left_keys[lo : lo + 512][ok])
+                match.append(right_keys[least][ok])
+                found.append(best[ok])
+        return pd.DataFrame({n: np.concatenate(v) if v else [] for n, v in (("key", keys), ("match", match), ("cosine", found))})
+
+    met = dealt("a", "b").cogroup(dealt("b", "a")).applyInPandas(meet, f"key {kind}, match {kind}, cosine double")
+    return met.groupBy(F.col("key").alias(key)).agg(F.min_by("match", F.struct("cosine", "match")).alias("opposite"))
 
 
 def cached_scores(asked: DataFrame, cache: DataFrame, keys: list[str], score: str, judge) -> tuple[DataFrame, DataFrame]:

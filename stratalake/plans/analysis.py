@@ -66,9 +66,16 @@ def region_nesting(spark, d):
 @query(f"""WITH {VECTORS}, s AS (SELECT * FROM vectors WHERE vec_id < 40), e AS (SELECT vec_id, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM s), m AS (SELECT i, avg(x) AS m FROM e GROUP BY 1), c AS (SELECT vec_id, list(x - m ORDER BY i) AS v FROM e JOIN m USING (i) GROUP BY 1)
   SELECT a.vec_id, arg_min(b.vec_id, (round(list_cosine_similarity(a.v, b.v), 9), b.vec_id)) AS opposite FROM c a JOIN c b ON a.vec_id <> b.vec_id GROUP BY 1""")
 def opposite_pairs(spark, d):
+    """Of the first 40 ids, as the SQL has it; all vectors: opposite_pairs_all."""
     return analytics.opposites(vectors(spark, d).where("vec_id < 40"), "vec_id", "v")
 
 
+@query(f"""WITH {VECTORS}, e AS (SELECT vec_id, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM vectors), m AS (SELECT i, avg(x) AS m FROM e GROUP BY 1), c AS (SELECT vec_id, list(x - m ORDER BY i) AS v FROM e JOIN m USING (i) GROUP BY 1)
+  SELECT a.vec_id, arg_min(b.vec_id, (round(list_cosine_similarity(a.v, b.v), 9), b.vec_id)) AS opposite FROM c a JOIN c b ON a.vec_id <> b.vec_id GROUP BY 1""")
+def opposite_pairs_all(spark, d):
+    return analytics.opposites(vectors(spark, d), "vec_id", "v")
+
+
 @query(f"""WITH {SCORES}, t AS (SELECT *, row_number() OVER (ORDER BY a DESC, vec_id) - 1 AS r FROM s), h AS (SELECT *, row_number() OVER (ORDER BY b DESC, vec_id) - 1 AS q FROM t WHERE r < 30) SELECT vec_id, round(0.6 * (1 - r / 29) + 0.4 * (1 - q / 29), 6) AS blend FROM h""")
 def rerank_blend(spark, d):
     return analytics.rerank_blend(_scores(spark, d), "a", "b", "vec_id", 0.4, 30).select("vec_id", F.round("blend", 6).alias("blend"))

@@ -158,3 +158,20 @@ def test_token_budget_all_takes_the_newest_event(spark):
             want.append((i, total))
     got = catalog.queries()["token_budget_all"](spark, "/root/testdata/sf0.01").collect()
     assert sorted(map(tuple, got), reverse=True) == want and want[0][0] == max(r[0] for r in events)
+
+
+def test_opposites_over_all_rows_in_blocks(spark, monkeypatch):
+    """Every row, met in several blocks, with equal vectors, rows in the mean, and null vectors."""
+    from stratalake.operators import analytics
+
+    monkeypatch.setattr(analytics, "BLOCK", 40)
+    v = np.random.default_rng(6).integers(-2, 3, (150, 3)).astype(float)
+    v = np.concatenate([v, -v, np.zeros((2, 3))])
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)] + [(999, None)], "id long, v array<double>")
+    got = {r["id"]: r["opposite"] for r in analytics.opposites(df, "id", "v").collect()}
+    want = {}
+    for i, a in enumerate(v):
+        n = [np.linalg.norm(a) * np.linalg.norm(b) for b in v]
+        want[i] = min((round(float(a @ b) / n[j], 9) + 0.0 if n[j] else 2.0, j) for j, b in enumerate(v) if j != i)[1]
+    assert got == want
+    assert analytics.opposites(df.where("id = 1"), "id", "v").count() == 0
