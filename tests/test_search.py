@@ -175,3 +175,21 @@ def test_opposites_over_all_rows_in_blocks(spark, monkeypatch):
         want[i] = min((round(float(a @ b) / n[j], 9) + 0.0 if n[j] else 2.0, j) for j, b in enumerate(v) if j != i)[1]
     assert got == want
     assert analytics.opposites(df.where("id = 1"), "id", "v").count() == 0
+
+
+def test_density_clusters_of_all_rows(spark, monkeypatch):
+    """Small clusters of a larger table are found, as by the tree of all rows in one place, over many blocks and merges."""
+    rng = np.random.default_rng(7)
+    centres = rng.normal(0, 1, (30, 16))
+    x = np.concatenate([c / np.linalg.norm(c) + rng.normal(0, 0.02, (12, 16)) for c in centres] + [rng.normal(0, 1, (2600, 16))])
+    df = rows_of(spark, x)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = clusters.density_labels(unit, 8)
+    for block, part, edges in ((4000, 1024, 16), (300, 100, 2)):
+        monkeypatch.setattr(clusters, "BLOCK", block)
+        monkeypatch.setattr(clusters, "PART", part)
+        monkeypatch.setattr(clusters, "EDGES", edges)
+        got = {r["id"]: r["cluster"] for r in clusters.density_clusters(df, "id", "v").collect()}
+        label = np.array([got[i] for i in range(len(x))])
+        assert len(got) == len(x) and len(set(zip(label, want))) == len(set(want)) == len(set(label))
+        assert all(len(set(label[12 * k : 12 * k + 12])) == 1 and label[12 * k] >= 0 for k in range(30))
