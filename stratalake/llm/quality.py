@@ -7,6 +7,7 @@ the weights. Only text enters.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +27,7 @@ EPOCHS, ALPHA, BETA, L1, L2, SCALE = 4, 0.5, 1.0, 0.001, 0.01, 20.0
 
 _CLASSES = bytes(
     97 if 97 <= c <= 122 or c >= 128 else 65 if 65 <= c <= 90 else 48 if 48 <= c <= 57 else c for c in range(256))
+_RUN = re.compile(rb"(.)\1+", re.DOTALL)
 
 
 class WordFeatures(dict):
@@ -34,11 +36,8 @@ class WordFeatures(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) >= WORDS_KEPT:
             self.clear()
-        shape = bytearray()
-        for c in word.translate(_CLASSES)[:64]:
-            if not shape or shape[-1] != c:
-                shape.append(c)
-        value = self[word] = (xxhash.xxh3_64_intdigest(word) & 0x7FFFFFFF) << 32 | xxhash.xxh32_intdigest(bytes(shape))
+        shape = _RUN.sub(rb"\1", word.translate(_CLASSES))
+        value = self[word] = (xxhash.xxh3_64_intdigest(word) & 0x7FFFFFFF) << 32 | xxhash.xxh32_intdigest(shape)
         return value
 
 

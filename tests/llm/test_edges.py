@@ -105,3 +105,11 @@ def test_relational_encoding_equals_the_arrays(docs, empty):
     odd = docs.union(docs.sparkSession.createDataFrame([(7, "x" * 300 + " a▁b ▁▁ c", 1, "x", 1), (8, "  \n\n\t tail  ", 1, "x", 1)], SCHEMA))
     assert rows(pieces.relational(odd, path)) == rows(pieces.encode(odd, path))
     assert rows(pieces.relational(empty, path)) == []
+
+
+def test_shape_of_a_long_word_is_that_of_the_whole_word():
+    start = b"ab1-" * 16
+    table = quality.WordFeatures()
+    shape = lambda w: table[w] & 0xFFFFFFFF
+    assert shape(start + b"x" * 100) != shape(start + b"X9" * 50) != shape(start)
+    assert shape(start + b"x" * 100) == shape(start + b"y" * 7) and shape(b"aaB12") == shape(b"cD9")
