@@ -23,15 +23,39 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ready(spark: SparkSession) -> SparkSession:
-    """Small Arrow batches, and a checkpoint folder: the cluster's own, or a local one where none is named."""
+    """Small Arrow batches, and a checkpoint folder: the cluster's own. Where none is named, a session of one machine
+    (master local) gets a temporary one; on a cluster that is an error, as its machines share no temporary folder."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "stratalake-checkpoints"))
     return spark
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores added until df has no such column (in any case)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        out.append(n)
+    return out
+
+
+def joined_spread(many: DataFrame, one: DataFrame, key: str, weight: str, total: int, how: str = "inner") -> DataFrame:
+    """many joined on key (inner or left) with one, a row a key, whose `weight` is how many rows of many have the key and
+    of which `total` is the sum. Keys with more than a quarter of an average task's rows are met by broadcast, so that no
+    task gets all rows of a key: there are fewer than four times as many such keys as tasks, by that very sum."""
+    tasks = int(many.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    limit = max(64, total // (4 * tasks))
+    hot, cold = one.where(F.col(weight) > limit).drop(weight), one.where(F.col(weight) <= limit).drop(weight)
+    rest = many.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key, how)
+    return many.join(F.broadcast(hot), key).unionByName(rest)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialises in the shared checkpoint folder, so that a lost executor costs no recomputation."""
     ready(df.sparkSession)
@@ -74,7 +98,7 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternates two star contractions until nothing changes: first each node's larger neighbours, then its smaller
     ones, are tied to the smallest neighbour. Every step is a grouped minimum (combined before the shuffle) and an
-    equi-join that adaptive execution can split where one node has very many edges. Loops and repeats are harmless.
+    equi-join in which nodes with very many edges are met by broadcast. Loops and repeats are harmless.
     """
 
     def state(e: DataFrame) -> tuple:
@@ -86,11 +110,11 @@ def components(edges: DataFrame) -> DataFrame:
     before, here = None, state(now)
     while here != before and here[0]:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        large = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("k")).select("u", F.least("u", "m").alias("m"), "k")
+        large = joined_spread(both, least, "u", "k", 2 * here[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        large = cut(large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("k"))
+        small = joined_spread(large, least, "u", "k", 2 * here[0]).select(F.explode(F.array(
             F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
         now = cut(small.select("e.u", "e.v").where("u <> v").distinct())
         before, here = here, state(now)
