@@ -8,7 +8,10 @@ summed for each pair.
 
 Which fragments a document posts follows the prefix principle, so no pair is lost: with d the most differences that any
 partner within the threshold can have, it posts its d + 1 fullest fragments (ties by position) at the level of its own
-size class and at the one below, where partners of the next size class meet.
+size class and at the one below, where partners of the next size class meet. At the levels of small sets, whose fragments
+would often be empty and hence equal by chance, each n-gram is a fragment of its own: a set of n posts the first
+n - ceil(threshold * n) + 1, one of which any partner posts too, in an order that has the n-grams common among small sets
+last, so that a line which many of them hold doesn't tie them.
 """
 
 from __future__ import annotations
@@ -22,15 +25,22 @@ import pyarrow as pa
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame
 
-from stratalake.llm.common import WordHashes, components, cut, mixed, ready, rows, texts
+from stratalake.llm.common import WordHashes, components, cut, joined_spread, mixed, ready, rows, texts, unused
 
 #: Postings a task gathers before it combines equal ones and sends them on (16 bytes each).
 POSTINGS_HELD = 3_000_000
 #: Sets joined in one task: larger families go through pairs of blocks.
 BLOCK_SETS, BLOCK_GRAMS = 512, 4_000_000
+#: Largest size of sets whose n-grams are posted one by one, and the share of all their n-grams above which an n-gram is
+#: common: fewer than COMMON are (8 bytes each, broadcast).
+SMALL_SET, COMMON = 96, 250_000
+#: Nodes a task remembers to have posted; afterwards it starts afresh, and repeats meet in the shuffle.
+NODES_KEPT = 1_000_000
 #: Columns of one fragment's incidence matrix.
 FRAGMENT_COLUMNS = 4096
-#: Representatives up to which their ids are broadcast (16 bytes each); a shuffled join beyond.
+#: What a row is known by.
+ROW = ("doc_id", "nameless", "key", "h")
+#: Representatives up to which their names are broadcast (some 50 bytes each); a shuffled join beyond.
 BROADCAST_ROWS = 500_000
 
 
@@ -82,6 +92,10 @@ class Levels:
         m = self.apart(2 * top) + 2
         return np.array([(2**64 * j) // m for j in range(m)], np.uint64)
 
+    def small(self, i: int) -> bool:
+        """Whether n-grams are posted one by one at level i: no set that meets there is larger than SMALL_SET."""
+        return self.start(i + 2) - 1 <= SMALL_SET
+
     @lru_cache(maxsize=200_000)  # noqa: B019
     def roles(self, size: int) -> tuple:
         """(level, fragments to post) for the own class and the class below; none where only equal sets can match."""
@@ -92,10 +106,19 @@ class Levels:
         return tuple((level, d + 1) for level, d in out if d)
 
 
-def postings(grams: np.ndarray, levels: Levels) -> np.ndarray:
+def postings(grams: np.ndarray, levels: Levels, common: np.ndarray = np.empty(0, np.uint64)) -> np.ndarray:
+    """Signatures of a sorted set; common: sorted n-grams that come last among those posted one by one."""
     out = []
     sums = None
-    for level, post in levels.roles(len(grams)):
+    n = len(grams)
+    roles = levels.roles(n)
+    if any(levels.small(level) for level, _ in roles):
+        last = np.isin(grams, common, assume_unique=True)
+        ordered = np.concatenate((grams[~last], grams[last]))
+        out.append(mixed(ordered[: n - -(-levels.num * n // levels.den) + 1] ^ np.uint64(0xA5A5A5A5A5A5A5A5)))
+    for level, post in roles:
+        if levels.small(level):
+            continue
         cuts = levels.cuts(level)
         if sums is None:
             sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mixed(grams), dtype=np.uint64)))
@@ -110,12 +133,14 @@ def _sets(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = WordHashes()
         for b in batches:
-            out = []
-            for doc, text in rows(b, "doc_id", "text"):
+            sizes, nodes, small = [], [], []
+            for (text,) in rows(b, "text"):
                 g = gram_set(text, n, table)
-                out.append((doc, len(g), identity(g) if len(g) else None))
-            ids, sizes, nodes = zip(*out) if out else ((), (), ())
-            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64())], ["doc_id", "n", "node"])
+                sizes.append(len(g))
+                nodes.append(identity(g) if len(g) else None)
+                small.append(g.view(np.int64) if 0 < len(g) <= SMALL_SET else None)
+            kept = [b.column(b.schema.get_field_index(c)) for c in ROW]
+            yield pa.record_batch([*kept, pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(small, pa.list_(pa.int64()))], [*ROW, "n", "node", "small"])
 
     return run
 
@@ -136,16 +161,28 @@ def _combined(sig: np.ndarray, node: np.ndarray) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(part), pa.array(u[i : i + 100_000]), pa.nulls(len(part), pa.int64())], ["sig", "u", "v"])
 
 
-def _postings(n: int, num: int, den: int):
+def common_grams(sets: DataFrame) -> np.ndarray:
+    """The n-grams, sorted, that are more than one in COMMON of those of all small sets, each different set counted once:
+    fewer than COMMON, by that share."""
+    each = sets.where("small is not null").groupBy("node").agg(F.first("small").alias("small"))
+    counts = cut(each.select(F.explode("small").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("k")).where("k > 1"))
+    total = each.agg(F.sum(F.size("small"))).first()[0] or 0
+    found = [r["gram"] for r in counts.where(F.col("k") > max(1, total // COMMON)).collect()]
+    return np.sort(np.array(found, np.int64).view(np.uint64))
+
+
+def _postings(n: int, num: int, den: int, shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, levels, seen, sigs, nodes, held = WordHashes(), Levels(num, den), set(), [], [], 0
+        table, levels, seen, sigs, nodes, held, common = WordHashes(), Levels(num, den), set(), [], [], 0, shared.value
         for b in batches:
             for (text,) in rows(b, "text"):
                 g = gram_set(text, n, table)
                 if not len(g) or (node := identity(g)) in seen:
                     continue
+                if len(seen) >= NODES_KEPT:
+                    seen.clear()
                 seen.add(node)
-                p = postings(g, levels)
+                p = postings(g, levels, common)
                 if len(p):
                     sigs.append(p)
                     nodes.append(np.full(len(p), node, np.int64))
@@ -175,14 +212,23 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _grams(n: int):
+    """The n-grams of the chosen texts; a text chosen for several equal rows is sent on once a task."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = WordHashes()
+        table, sent = WordHashes(), set()
+        names = ["family", "node", "copies", "n", "blocks"]
         for b in batches:
-            at = [b.schema.get_field_index(c) for c in ("family", "rep", "copies", "n", "blocks")]
+            first = []
+            for (node,) in rows(b, "node"):
+                first.append(node not in sent)
+                if len(sent) >= NODES_KEPT:
+                    sent.clear()
+                sent.add(node)
+            b = b.filter(pa.array(first, pa.bool_()))
             sets = [gram_set(t, n, table) for (t,) in rows(b, "text")]
             flat = np.concatenate(sets).view(np.int64) if sets else np.empty(0, np.int64)
             ends = np.cumsum([0] + [len(s) for s in sets]).astype(np.int32)
-            yield pa.record_batch([*(b.column(i) for i in at), pa.ListArray.from_arrays(ends, pa.array(flat))], ["family", "rep", "copies", "n", "blocks", "grams"])
+            yield pa.record_batch([*(b.column(b.schema.get_field_index(c)) for c in names), pa.ListArray.from_arrays(ends, pa.array(flat))], [*names, "grams"])
 
     return run
 
@@ -246,51 +292,69 @@ def _join(num: int, den: int):
         group: list = []
         for b in batches:
             lists = b.column(b.schema.get_field_index("grams"))
-            for i, r in enumerate(rows(b, "family", "bi", "bj", "block", "rep", "copies")):
+            for i, r in enumerate(rows(b, "family", "bi", "bj", "block", "node", "copies")):
                 if group and group[0][:3] != r[:3]:
                     yield from ended()
                     group = []
+                if group and group[-1][4] == r[4]:  # equal rows, sent by several tasks; sorted by node
+                    continue
                 group.append((*r, lists[i].values.to_numpy(zero_copy_only=False)))
         yield from ended()
 
     return run
 
 
-def jaccard_components(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10) -> DataFrame:
-    """doc_id, n_shingles, component_id, n_links: one row for each row of docs, linked where Jaccard >= num / den.
+def _linked(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """ROW columns, n, node, component, low, best, links: what jaccard_components and one_of_each need of each row.
 
-    A set is the distinct n-word shingles of the whole text (A-Z lowered, words between ASCII white space); with fewer
-    words the whole sequence. Null, empty or blank texts have the empty set: they link with nothing and are components
-    of their own, as are rows with a null doc_id (component null). component_id is the smallest doc_id reachable,
-    n_links the number of other rows linked directly; rows with equal sets link. Other columns are ignored.
+    A row is known by its id (or, without one, its text's hash) and its text's hash, so that rows that repeat an id are
+    rows of their own. node names the set; low is the smallest doc_id of the component, best its first row (rows with an
+    id first, by id, then by hash), links the number of other rows linked directly.
     """
-    spark = ready(docs.sparkSession)
-    base = texts(docs)
-    sets = cut(base.mapInArrow(_sets(n), "doc_id long, n long, node long"))
-    classes = sets.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"))
-    posted = base.select("text").mapInArrow(_postings(n, num, den), "sig long, u long, v long")
+    ready(docs.sparkSession)
+    base = texts(docs).withColumn("h", F.xxhash64("text")).select("doc_id", "text", "h", F.col("doc_id").isNull().alias("nameless"), F.coalesce("doc_id", "h").alias("key"))
+    sets = cut(base.mapInArrow(_sets(n), "doc_id long, nameless boolean, key long, h long, n long, node long, small array<long>"))
+    shared = docs.sparkSession.sparkContext.broadcast(common_grams(sets))
+    sets = sets.drop("small")
+    classes = cut(sets.where("node is not null").groupBy("node").agg(
+        F.min(F.struct("nameless", "key", "h")).alias("rep"), F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n")))
+    posted = base.select("text").mapInArrow(_postings(n, num, den, shared), "sig long, u long, v long")
     posted = posted.repartition(F.when(F.col("sig").isNull(), F.xxhash64("u", "v")).otherwise(F.col("sig")))
     ties = cut(posted.mapInArrow(_tied, "u long, v long").distinct())
     families = components(ties)
     sizes = families.join(classes, "node")
     stats = sizes.groupBy("component").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("g")).select(
-        "component", F.greatest(F.ceil(F.col("k") / BLOCK_SETS), F.ceil(F.col("g") / BLOCK_GRAMS)).cast("int").alias("blocks"))
-    members = cut(sizes.join(stats, "component").select(F.col("component").alias("family"), "rep", "copies", "n", "blocks"))
-    if members.count() <= BROADCAST_ROWS:
-        chosen = base.join(F.broadcast(members), F.col("doc_id") == F.col("rep"))
-    else:
-        chosen = base.join(members.hint("shuffle_hash"), F.col("doc_id") == F.col("rep"))
-    grams = chosen.select("family", "rep", "copies", "n", "blocks", "text").mapInArrow(_grams(n), "family long, rep long, copies long, n long, blocks int, grams array<long>")
-    block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+        "component", F.greatest(F.ceil(F.col("k") / BLOCK_SETS), F.ceil(F.col("g") / BLOCK_GRAMS)).cast("int").alias("blocks"), "k")
+    members = cut(joined_spread(sizes, stats, "component", "k", classes.count()).select(
+        F.col("component").alias("family"), "node", F.col("rep.key").alias("key"), F.col("rep.h").alias("h"), "copies", "n", "blocks"))
+    few = members.count() <= BROADCAST_ROWS
+    chosen = base.join(F.broadcast(members) if few else members.hint("shuffle_hash"), ["key", "h"])
+    grams = chosen.select("family", "node", "copies", "n", "blocks", "text").mapInArrow(_grams(n), "family long, node long, copies long, n long, blocks int, grams array<long>")
+    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     dealt = grams.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "family", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "block", "rep", "copies", "grams")
-    found = cut(dealt.repartition("family", "bi", "bj").sortWithinPartitions("family", "bi", "bj", "rep").mapInArrow(_join(num, den), "u long, v long, links long"))
-    joined = components(found.select("u", "v"))
-    degree = found.groupBy("u").agg(F.sum("links").alias("links"))
-    known = classes.join(degree.withColumnRenamed("u", "rep"), "rep", "left").join(joined.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    known = known.select("node", F.coalesce("component", "rep").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
-    return sets.join(known, "node", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"))
+        "family", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "block", "node", "copies", "grams")
+    found = cut(dealt.repartition("family", "bi", "bj").sortWithinPartitions("family", "bi", "bj", "node").mapInArrow(_join(num, den), "u long, v long, links long"))
+    together = components(found.select("u", "v")).join(classes, "node").select("node", "component", "rep", "low")
+    firsts = together.groupBy("component").agg(F.min("rep").alias("best"), F.min("low").alias("lowest"), F.count(F.lit(1)).alias("k"))
+    together = joined_spread(together, firsts, "component", "k", classes.count()).select("node", "component", "best", "lowest")
+    degree = found.groupBy(F.col("u").alias("node")).agg(F.sum("links").alias("links"))
+    known = cut(classes.join(degree, "node", "left").join(together, "node", "left").select(
+        "node", "copies", F.coalesce("component", "node").alias("component"), F.coalesce("best", "rep").alias("best"), F.coalesce("lowest", "low").alias("low"),
+        (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links")))
+    return joined_spread(sets, known, "node", "copies", sets.count(), "left")
+
+
+def jaccard_components(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10) -> DataFrame:
+    """doc_id, n_shingles, component_id, n_links: one row for each row of docs, linked where Jaccard >= num / den.
+
+    A set is the distinct n-word shingles of the whole text (A-Z lowered, words between ASCII white space); with fewer
+    words the whole sequence. Null, empty or blank texts have the empty set: they link with nothing and are components
+    of their own. component_id is the smallest doc_id reachable (null where no reachable row has one), n_links the number
+    of other rows linked directly; rows with equal sets link, and rows that repeat an id are rows of their own. Very long
+    texts are read whole, an empty table gives none, and other columns, whatever their names, are ignored.
+    """
+    return _linked(docs, n, num, den).select(
+        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("low", "doc_id").alias("component_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def _tied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -310,6 +374,17 @@ def _tied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def one_of_each(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10) -> DataFrame:
-    """docs without all but the smallest doc_id of each component. Columns stay; rows that link with nothing stay."""
-    found = jaccard_components(docs, n, num, den).where("component_id <> doc_id").select(F.col("doc_id").alias("_gone"))
-    return docs.join(found, F.col("doc_id") == F.col("_gone"), "left_anti")
+    """docs with one row of each component: the one with the smallest doc_id (rows without come last), and of differing
+    texts under that id the one with the smaller hash. Of rows equal in id and text one stays. Rows that link with
+    nothing stay, among them all rows with a null, empty or blank text. Columns, whatever their names, stay as they are.
+    """
+    linked = _linked(docs, n, num, den).where("node is not null")
+    same = (F.col("nameless") == F.col("best.nameless")) & (F.col("key") == F.col("best.key")) & (F.col("h") == F.col("best.h"))
+    marked = cut(linked.groupBy("doc_id", "h").agg(F.count(F.lit(1)).alias("rows"), F.max(same).alias("kept")).where("not kept or rows > 1"))
+    id_, h, kept, first = unused(docs, "row_id", "row_hash", "row_kept", "row_first")
+    marked = marked.select(F.col("doc_id").alias(id_), F.col("h").alias(h), F.col("kept").alias(kept))
+    marked = F.broadcast(marked) if marked.count() <= BROADCAST_ROWS else marked
+    on = F.col("doc_id").cast("long").eqNullSafe(F.col(id_)) & (F.xxhash64(F.col("text").cast("string")) == F.col(h))
+    alone = docs.join(marked, on, "left_anti")
+    again = docs.join(marked.where(kept), on).groupBy(id_, h).agg(F.first(F.struct(*(F.col(f"`{c}`") for c in docs.columns))).alias(first))
+    return alone.unionByName(again.select(f"{first}.*"))

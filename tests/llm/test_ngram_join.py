@@ -72,3 +72,83 @@ def test_empty_tables_null_ids_repeats_and_clashing_columns(spark):
 def test_one_of_each_keeps_the_smallest(spark):
     df = spark.createDataFrame([(5, "a b c d"), (3, "a b c d"), (9, "x")], "doc_id long, text string")
     assert sorted(r[0] for r in one_of_each(df).collect()) == [3, 9]
+
+
+def rows_kept(rows, n, num, den):
+    """One row a component, by brute force over rows: ids that repeat are rows of their own."""
+    label = [r[2] for r in sorted(brute([(k, t) for k, (_, t) in enumerate(rows)], n, num, den))]
+    out = []
+    for c in sorted(set(label)):
+        group = [rows[k] for k in range(len(rows)) if label[k] == c]
+        if not (group[0][1] or "").strip():
+            out += group
+            continue
+        least = min((i is None, i or 0) for i, _ in group)
+        texts = {t for i, t in group if (i is None, i or 0) == least}
+        out.append((None if least[0] else least[1], texts))
+    return out
+
+
+def test_one_of_each_goes_by_row(spark):
+    """Repeated ids with equal and with other texts, rows without ids, blanks, and columns with helper names."""
+    words = [f"w{k}" for k in range(30)]
+    a, near, b, c = " ".join(words), " ".join(words[:-1]), "q r s t u v", "k l m n o p"
+    rows = [(5, a), (5, "another text that stands alone here"), (3, a), (7, b), (7, b), (None, c), (None, c), (None, near), (8, c.upper()), (2, ""), (2, None), (9, " \n"), (None, "z1 z2"), (None, "z1  z2")]
+    df = spark.createDataFrame([(i, t, 1, 2, 3, 4) for i, t in rows], "doc_id int, text string, _gone int, row_id int, h int, node int").repartition(4)
+    got = one_of_each(df, 3, 9, 10)
+    assert got.schema == df.schema
+    kept = [(r["doc_id"], r["text"]) for r in got.collect()]
+    want = rows_kept(rows, 3, 90, 100)
+    assert len(kept) == len(want)
+    for w in want:
+        assert w in kept if not isinstance(w[1], set) else any(i == w[0] and t in w[1] for i, t in kept)
+    again = {(r["doc_id"], r["text"]) for r in one_of_each(df.repartition(3), 3, 9, 10).where("doc_id is not null").collect()}
+    assert again == {k for k in kept if k[0] is not None}
+    assert {(r["component_id"], r["n_links"]) for r in jaccard_components(df, 3, 9, 10).where("doc_id = 5").collect()} == {(3, 2), (5, 0)}
+
+
+@pytest.mark.parametrize("num", [8, 9])
+def test_unrelated_short_sets_share_no_signature(num):
+    import numpy as np
+
+    from stratalake.llm import ngram_join as nj
+
+    rng, levels = np.random.default_rng(1), nj.Levels(num, 10)
+    for n in (4, 8, 12, 24, 60, 90, 110, 200):
+        sigs = np.concatenate([np.unique(nj.postings(np.unique(rng.integers(0, 2**64, n, dtype=np.uint64)), levels)) for _ in range(12_000)] or [[]])
+        assert not len(sigs) or np.unique(sigs, return_counts=True)[1].max() <= 3
+
+
+def test_a_common_line_ties_no_family_of_short_texts(spark):
+    """100,000 unrelated short texts, all with one line: no family above a handful."""
+    from stratalake.llm import ngram_join as nj
+    from stratalake.llm.common import components
+
+    line = "this file may be copied under the terms that follow below"
+    df = spark.range(100_000).selectExpr("id as doc_id", f"concat('{line} ', array_join(transform(sequence(1, 20), i -> hex(xxhash64(id, i) & 16777215)), ' ')) as text")
+    base = df.selectExpr("doc_id", "text", "false as nameless", "doc_id as key", "xxhash64(text) as h")
+    sets = base.mapInArrow(nj._sets(5), "doc_id long, nameless boolean, key long, h long, n long, node long, small array<long>")
+    shared = spark.sparkContext.broadcast(nj.common_grams(sets))
+    assert len(shared.value) == 7
+    posted = base.select("text").mapInArrow(nj._postings(5, 8, 10, shared), "sig long, u long, v long").repartition("sig")
+    families = components(posted.mapInArrow(nj._tied, "u long, v long"))
+    assert (families.groupBy("component").count().agg({"count": "max"}).first()[0] or 0) <= 4
+
+
+def test_components_with_hubs(spark):
+    from stratalake.llm.common import components
+
+    rng = random.Random(4)
+    edges = [(0, k) for k in range(1, 900)] + [(2000 + k, 2001 + k) for k in range(40)] + [(5000, 4000 + k) for k in range(500)] + [(rng.randrange(6000, 6400), rng.randrange(6000, 6400)) for _ in range(150)] + [(1, 1)]
+    parent = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        a, b = root(a), root(b)
+        parent[max(a, b)] = min(a, b)
+    want = {x: root(x) for x in parent if any(x in e and e[0] != e[1] for e in edges)}
+    assert {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "u long, v long")).collect()} == want
