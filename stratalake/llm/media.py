@@ -19,35 +19,51 @@ WIDTH = 64
 
 def decode(data: bytes) -> np.ndarray:
     """Binary or plain Netpbm (P2, P3, P5, P6; 8 or 16 bits) or uncompressed BMP (8-bit grey or palette, 24, 32 bits)
-    as an array of height x width (grey) or height x width x 3. Anything else raises ValueError."""
+    as an array of height x width (grey) or height x width x 3. Anything else raises ValueError: other formats, pictures
+    without pixels, sample values above the stated range, and sizes that need more bytes than there are, which are told
+    from the header before anything is allocated. Bytes after the last sample are ignored."""
     if data[:2] == b"BM":
         return _bmp(data)
     head = re.match(rb"(P[2356])(?:\s|#[^\n]*\n)+(\d+)(?:\s|#[^\n]*\n)+(\d+)(?:\s|#[^\n]*\n)+(\d+)\s", data)
     if not head:
         raise ValueError("neither Netpbm nor BMP")
-    w, h, top = (int(x) for x in head.groups()[1:])
+    w, h, top = (int(x[:20]) for x in head.groups()[1:])
     planes = 3 if head[1] in (b"P3", b"P6") else 1
-    if not 0 < top < 65536:
-        raise ValueError("sample range")
+    if not 0 < top < 65536 or not w or not h:
+        raise ValueError("sample range or size")
+    count, width, body = w * h * planes, 1 if top < 256 else 2, len(data) - head.end()
     if head[1] in (b"P2", b"P3"):
-        flat = np.array(data[head.end() :].split()[: w * h * planes], np.int64).astype(np.uint8 if top < 256 else np.uint16)
+        if 2 * count - 1 > body:  # a digit for each sample and a space between any two
+            raise ValueError("too few samples")
+        found = data[head.end() :].split(None, count)[:count]
+        if len(found) < count or not all(x.isdigit() and len(x) < 10 for x in found):
+            raise ValueError("too few samples, or none")
+        flat = np.array(found, np.int64)
     else:
-        flat = np.frombuffer(data, np.uint8 if top < 256 else ">u2", w * h * planes, head.end())
-    return flat.reshape((h, w, 3) if planes == 3 else (h, w))
+        if count * width > body:
+            raise ValueError("too few samples")
+        flat = np.frombuffer(data, np.uint8 if width == 1 else ">u2", count, head.end())
+    if flat.max() > top:
+        raise ValueError("sample range")
+    return flat.astype(np.uint8 if width == 1 else np.uint16, copy=False).reshape((h, w, 3) if planes == 3 else (h, w))
 
 
 def _bmp(data: bytes) -> np.ndarray:
     start, size = int.from_bytes(data[10:14], "little"), int.from_bytes(data[14:18], "little")
     w, h = (int.from_bytes(data[i : i + 4], "little", signed=True) for i in (18, 22))
     bits, packed = int.from_bytes(data[28:30], "little"), int.from_bytes(data[30:34], "little")
-    if packed or bits not in (8, 24, 32) or w <= 0 or not h:
+    if len(data) < 54 or packed or bits not in (8, 24, 32) or w <= 0 or not h or size < 40:
         raise ValueError("BMP kind")
     line = (w * bits + 31) // 32 * 4
+    if start < 14 + size or start + line * abs(h) > len(data):
+        raise ValueError("too few samples")
     grid = np.frombuffer(data, np.uint8, line * abs(h), start).reshape(abs(h), line)[:, : w * bits // 8]
     grid = grid[::-1] if h > 0 else grid
     if bits > 8:
         return grid.reshape(abs(h), w, bits // 8)[:, :, 2::-1]
     colours = int.from_bytes(data[46:50], "little") or 256
+    if colours > 256 or 14 + size + 4 * colours > start or grid.max() >= colours:
+        raise ValueError("palette")
     palette = np.zeros((256, 3), np.uint8)
     palette[:colours] = np.frombuffer(data, np.uint8, 4 * colours, 14 + size).reshape(-1, 4)[:, 2::-1]
     out = palette[grid]
@@ -104,12 +120,13 @@ def tile(image: np.ndarray, side: int = 16) -> bytes:
 
 
 def media_columns(pictures: DataFrame, data: str = "data", side: int = 16) -> DataFrame:
-    """Adds height, width, tile (NPY bytes) and dhash to rows with a binary column of Netpbm or BMP files. Null, empty
-    or undecodable data gives nulls there. Columns of those names must not exist already."""
+    """Adds height, width, tile (NPY bytes) and dhash to rows with a binary column of Netpbm or BMP files, a row for each
+    row. Null, empty or undecodable data gives nulls there, equal data equal values; an empty table stays empty. Columns
+    of those names must not exist already (in any case): that is an error at once."""
     from pyspark.sql import types as T
 
     ready(pictures.sparkSession)
-    if clash := {"height", "width", "tile", "dhash"} & set(pictures.columns):
+    if clash := {"height", "width", "tile", "dhash"} & {c.lower() for c in pictures.columns}:
         raise ValueError(f"columns exist already: {sorted(clash)}")
     schema = T.StructType([*pictures.schema, *(T.StructField(n, k) for n, k in (("height", T.IntegerType()), ("width", T.IntegerType()), ("tile", T.BinaryType()), ("dhash", T.StringType())))])
 
@@ -137,7 +154,11 @@ def store_text(text: str | None) -> tuple[int, bytes]:
 
 
 def text_media(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, media: each text kept losslessly as a PGM picture (null: as the empty text)."""
+    """doc_id, n_bytes, media: each text kept losslessly as a PGM picture (null: as the empty text), a row for each row.
+
+    Texts of any length are one picture each; repeated rows give equal ones, ids may be null, an empty table gives none,
+    and other columns are ignored.
+    """
     ready(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,7 +170,7 @@ def text_media(docs: DataFrame) -> DataFrame:
 
 
 def read_back(media: DataFrame) -> DataFrame:
-    """Digests and features of stored pictures, from their decoded samples alone: doc_id, n_bytes, payload_bytes,
+    """Digests and features of stored pictures, a row for each, from their decoded samples alone: doc_id, n_bytes, payload_bytes,
     payload_sha256, tail_crc32, media_bytes, media_sha256, feature (difference hash, then the 4 x 4 means as hex),
     tile_sha256 (of the 16 x 16 NPY tile)."""
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "tile_sha256"]
