@@ -1,10 +1,11 @@
 """Secret scans: fixed patterns, and probabilistic automata inferred from labelled credentials.
 
-A prefix tree of example credentials (characters reduced to classes) is generalised by merging states whose outgoing
-frequencies are compatible within a Hoeffding bound, and its frequencies become probabilities. A candidate, any long
-run of token characters with digits, is kept if its likelihood under the automaton exceeds that under a background of
-ordinary identifiers by a margin calibrated on held-out examples. The credentials are made by a seeded generator of
-common formats, since no table labels such spans.
+A prefix tree of example credentials is generalised by merging states whose outgoing frequencies are compatible within a
+Hoeffding bound, and its frequencies become probabilities. A step of the tree is a character of its own where that
+character stands out among its class (the fixed prefixes of a format), and its class elsewhere. A candidate, any long run
+of token characters with digits, is kept if its likelihood under the automaton exceeds that under a background of ordinary
+identifiers by a margin calibrated on held-out examples. The credentials are made by a seeded generator of common formats
+and of made-up ones (some prefix, some alphabet), since no table labels such spans.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from __future__ import annotations
 import math
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -27,7 +29,12 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 KINDS = (*BASE, "format")
 #: Confidence of the merge test, examples used for inference, and the share of ordinary identifiers that may pass.
-ALPHA, EXAMPLES, FALSE_SHARE = 0.05, 800, 0.0
+ALPHA, EXAMPLES, FALSE_SHARE = 0.05, 2000, 0.001
+#: Character classes and their members; any other character is a class of its own.
+CLASSES = {"vowel of hex": "ae", "consonant of hex": "bcdf", "vowel": "iou", "consonant": "ghjklmnpqrstvwxyz", "digit": "0123456789", "upper": "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
+CLASS_OF = {c: k for k, members in CLASSES.items() for c in members}
+#: A character is a step of its own where it comes this often, and this many times its share of its class.
+OWN_COUNT, OWN_RATIO = 8, 3.0
 _HEX = bytes(120 if chr(c) in "0123456789abcdef" else 32 for c in range(256))
 _DIGITS = bytes(range(48, 58))
 
@@ -45,52 +52,57 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(out, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
-def symbols(token: str) -> str:
-    """Characters reduced to classes: letters that hex digits use, other letters, upper case, digits, signs."""
-    return "".join("d" if c.isdigit() else "h" if c in "abcdef" else "l" if c.islower() else "u" if c.isupper() else c for c in token)
-
-
 class Automaton:
-    """States as {symbol: next}, visit counts, and counts of ends; scores in bits."""
+    """States as {symbol: next}, visit counts, and counts of ends; scores in bits. A symbol is a class or, where it stands
+    out, a character."""
 
     def __init__(self, words: list[str], alpha: float = ALPHA):
         self.next: list[dict] = [{}]
         self.seen: list[dict] = [{}]
         self.ends = [0]
-        for w in words:
-            s = 0
-            for c in w:
-                self.seen[s][c] = self.seen[s].get(c, 0) + 1
-                if c not in self.next[s]:
-                    self.next[s][c] = len(self.next)
+        todo = [(0, 0, words)]
+        while todo:  # the prefix tree, a state's words at once
+            s, depth, here = todo.pop()
+            self.ends[s] = sum(len(w) == depth for w in here)
+            by: dict[str, list] = {}
+            for w in here:
+                if len(w) > depth:
+                    by.setdefault(CLASS_OF.get(w[depth], w[depth]), []).append(w)
+            for kind, group in by.items():
+                share = OWN_RATIO / len(CLASSES.get(kind, "."))
+                own = {c for c, n in Counter(w[depth] for w in group).items() if n >= max(OWN_COUNT, share * len(group))}
+                parts: dict[str, list] = {}
+                for w in group:
+                    parts.setdefault(w[depth] if w[depth] in own else kind, []).append(w)
+                for symbol, part in parts.items():
+                    self.seen[s][symbol] = len(part)
+                    self.next[s][symbol] = len(self.next)
+                    todo.append((len(self.next), depth + 1, part))
                     self.next.append({})
                     self.seen.append({})
                     self.ends.append(0)
-                s = self.next[s][c]
-            self.ends[s] += 1
         self.spread = math.sqrt(0.5 * math.log(2 / alpha))
         self._merge()
 
     def _total(self, s: int) -> int:
         return self.ends[s] + sum(self.seen[s].values())
 
-    def _near(self, a: int, n: int, b: int, m: int) -> bool:
-        return abs(a / n - b / m) < self.spread * (1 / math.sqrt(n) + 1 / math.sqrt(m))
-
     def _compatible(self, p: int, q: int) -> bool:
+        """Whether the shares of ends and of every symbol differ by less than the bound in all states reached by both."""
         todo = [(p, q)]
         while todo:
             a, b = todo.pop()
             n, m = self._total(a), self._total(b)
-            if not n or not m:
+            bound = self.spread * (1 / math.sqrt(n) + 1 / math.sqrt(m)) if n and m else 2
+            if bound > 1:  # no shares differ by more, here or below, where there are no more examples
                 continue
-            if not self._near(self.ends[a], n, self.ends[b], m):
+            seen_a, seen_b, next_b = self.seen[a], self.seen[b], self.next[b]
+            if abs(self.ends[a] / n - self.ends[b] / m) >= bound:
                 return False
-            for c in self.seen[a].keys() | self.seen[b].keys():
-                if not self._near(self.seen[a].get(c, 0), n, self.seen[b].get(c, 0), m):
+            for c in seen_a.keys() | seen_b.keys():
+                if abs(seen_a.get(c, 0) / n - seen_b.get(c, 0) / m) >= bound:
                     return False
-                if c in self.next[a] and c in self.next[b]:
-                    todo.append((self.next[a][c], self.next[b][c]))
+            todo += [(s, next_b[c]) for c, s in self.next[a].items() if c in next_b]
         return True
 
     def _fold(self, into: int, tree: int) -> None:
@@ -107,9 +119,9 @@ class Automaton:
 
     def _merge(self) -> None:
         """Kept states grow from the root; each state next to them, a tree still, joins the first compatible one."""
-        kept = [0]
+        kept, known = [0], {0}
         while True:
-            fringe = [(s, c) for s in kept for c in sorted(self.next[s]) if self.next[s][c] not in kept]
+            fringe = [(s, c) for s in kept for c in sorted(self.next[s]) if self.next[s][c] not in known]
             if not fringe:
                 break
             s, c = min(fringe, key=lambda f: self.next[f[0]][f[1]])
@@ -121,52 +133,78 @@ class Automaton:
                     break
             else:
                 kept.append(q)
+                known.add(q)
+        self.total = {s: self._total(s) for s in kept}
 
     def bits(self, word: str) -> float:
-        """log2 of the probability, a symbol on average; unseen steps get a small share."""
+        """log2 of the probability, a character on average; the members of a class are equally likely, unseen steps get a
+        small share, and after one the scan goes on from the state that its class leads to at the start, if any."""
         total, s = 0.0, 0
-        for i, c in enumerate(word):
-            n, k = (self._total(s), self.seen[s].get(c, 0)) if s is not None else (0, 0)
-            total += math.log2((k + 0.02) / (n + 1))
-            s = self.next[s].get(c) if s is not None else None
-        n, k = (self._total(s), self.ends[s]) if s is not None else (0, 0)
-        return (total + math.log2((k + 0.02) / (n + 1))) / (len(word) + 1)
+        for c in word:
+            kind = CLASS_OF.get(c, c)
+            symbol = c if c in self.next[s] else kind
+            size = 1 if symbol == c else len(CLASSES[kind])
+            total += math.log2((self.seen[s].get(symbol, 0) + 0.02) / (self.total[s] + 1) / size)
+            s = self.next[s].get(symbol, self.next[0].get(kind, 0))
+        return (total + math.log2((self.ends[s] + 0.02) / (self.total[s] + 1))) / (len(word) + 1)
 
 
 def credentials(seed: int, count: int) -> list[str]:
-    """Labelled credentials: made-up keys in common formats."""
+    """Labelled credentials: made-up keys, half of them in common formats, half with some prefix and some alphabet."""
     rng = random.Random(seed)
     upper, lower, digit = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
     pick = lambda s, n: "".join(rng.choice(s) for _ in range(n))
     forms = (
         lambda: "AKIA" + pick(upper + digit, 16), lambda: "ghp_" + pick(upper + lower + digit, 36), lambda: "sk_live_" + pick(upper + lower + digit, 24),
         lambda: "xoxb-" + pick(digit, 11) + "-" + pick(digit, 11) + "-" + pick(upper + lower + digit, 24), lambda: pick(upper + lower + digit + "+/", 40),
-        lambda: pick("0123456789abcdef", 32), lambda: "AIza" + pick(upper + lower + digit, 35),
+        lambda: pick("0123456789abcdef", 32), lambda: "AIza" + pick(upper + lower + digit + "_-", 35),
     )
-    return [rng.choice(forms)() for _ in range(count)]
+    alphabets = (upper + lower + digit, upper + lower + digit + "_-", "0123456789abcdef", upper + digit, lower + digit, upper + lower + digit)
+
+    def any_form() -> str:
+        parts = [pick(rng.choice((lower, lower, upper)), rng.randint(2, 6)) for _ in range(rng.choice((0, 1, 1, 1, 2)))]
+        if len(parts) > 1 and rng.random() < 0.5:
+            parts[1] = parts[1][0] + rng.choice(digit)
+        sign = rng.choice("_-")
+        return sign.join([*parts, pick(rng.choice(alphabets), rng.randint(18, 48))])
+
+    return [(any_form if rng.random() < 0.5 else rng.choice(forms))() for _ in range(count)]
 
 
 def ordinary(seed: int, count: int) -> list[str]:
-    """Long runs of token characters that are no secrets: identifiers, paths, dates, numbers, addresses, words."""
+    """Long runs of token characters that are no secrets: identifiers, paths, dates, numbers, words, slugs, codes."""
     rng = random.Random(seed)
-    word = lambda: "".join(rng.choice("etaoinshrdlucm") for _ in range(rng.randint(2, 9)))
+    onsets, vowels, codas = "b c d f g h j k l m n p r s t v w br ch cl cr dr fl gr pl pr sc sh sp st str th tr".split(), "a e i o u ai ea io ou".split(), ["", "", "n", "r", "s", "t", "l", "m", "ng", "st", "ck"]
+    word = lambda: "".join(rng.choice(onsets) + rng.choice(vowels) + rng.choice(codas) for _ in range(rng.randint(1, 4)))
     number = lambda a, b: str(rng.randint(10**a, 10**b))
+    year = lambda: str(rng.randint(1950, 2039))
+    date = lambda sign: f"{year()}{sign}{rng.randint(1, 12):02d}{sign}{rng.randint(1, 28):02d}"
+
+    def mixed(sign: str, least: int, most: int) -> str:
+        """Words, and numbers among them or at their ends."""
+        parts = [word() for _ in range(rng.randint(least, most))]
+        for _ in range(rng.randint(1, 2)):
+            k = rng.randrange(len(parts))
+            parts[k] = rng.choice((parts[k] + number(0, 2), number(0, 4), year(), number(0, 1) + parts[k][0]))
+        return sign.join(parts)
+
     forms = (
-        lambda: "_".join(word() for _ in range(3)) + "_" + number(0, 4), lambda: "/".join(word() for _ in range(4)) + "/" + number(1, 5),
-        lambda: "-".join(word() for _ in range(4)) + "-" + number(1, 3), lambda: "".join(word().title() for _ in range(3)) + number(0, 3),
-        lambda: number(15, 19), lambda: f"20{number(1, 2)[:2]}-0{number(0, 1)[:1]}-1{number(0, 1)[:1]}-" + word(),
-        lambda: word().upper() + "-" + number(4, 8) + "-" + word().upper(), lambda: "=" * rng.randint(8, 20) + number(1, 9), lambda: number(3, 4) + "-" + number(3, 4) + "-" + number(3, 4) + "-" + number(3, 4),
-        lambda: word() + word() + number(1, 4) + word(),
+        lambda: mixed("_", 2, 6), lambda: mixed("/", 3, 8), lambda: mixed("-", 3, 8), lambda: "/" + mixed("/", 2, 5) + "/" + mixed("_", 2, 4), lambda: mixed("/", 2, 5) + "/" + mixed("-", 2, 5),
+        lambda: "".join(word().title() for _ in range(rng.randint(2, 5))) + number(0, 3), lambda: mixed("_", 2, 4).upper(), lambda: mixed("-", 2, 4).upper(), lambda: word() + word() + word() + number(0, 4),
+        lambda: (word() + word() + word()).upper() + number(0, 4), lambda: "".join(word().title() for _ in range(2)) + number(0, 1) + word().title() + word(), lambda: number(15, 25), lambda: date("-") + "-" + mixed("-", 1, 4),
+        lambda: word().upper() + "-" + number(4, 8) + "-" + word().upper(), lambda: "=" * rng.randint(8, 20) + number(1, 9), lambda: "-".join(number(2, 4) for _ in range(rng.randint(3, 6))), lambda: date("/") + "/" + word() + "-" + word(),
+        lambda: "".join(word().title() for _ in range(rng.randint(2, 4))) + number(0, 1) + rng.choice("abvx") + rng.choice(("", word().title())), lambda: word() + "".join(word().title() for _ in range(2)) + number(0, 2),
+        lambda: word() + "+" + number(0, 2) + "-" + mixed("_", 2, 3), lambda: word() + "=" + number(2, 6) + "=" + word() + word(), lambda: word()[:2].upper() + "-" + number(3, 6) + "-" + word()[:2].upper() + "-" + number(3, 6),
     )
     return [w for w in (rng.choice(forms)() for _ in range(count)) if len(w) >= 16]
 
 
 @lru_cache(maxsize=1)
 def model() -> tuple[Automaton, Automaton, float]:
-    """Automata of credentials and of ordinary runs, and the margin that no held-out ordinary run reaches."""
-    secret, plain = (Automaton([symbols(w) for w in make(1, EXAMPLES)]) for make in (credentials, ordinary))
-    held = sorted((secret.bits(symbols(w)) - plain.bits(symbols(w)) for w in ordinary(2, EXAMPLES)), reverse=True)
-    return secret, plain, max(0.5, held[int(FALSE_SHARE * len(held))] + 0.1)
+    """Automata of credentials and of ordinary runs, and the margin that FALSE_SHARE of held-out ordinary runs reach."""
+    secret, plain = (Automaton(make(1, EXAMPLES)) for make in (credentials, ordinary))
+    held = sorted((secret.bits(w) - plain.bits(w) for w in ordinary(2, 5 * EXAMPLES)), reverse=True)
+    return secret, plain, max(0.1, held[int(FALSE_SHARE * len(held))] + 0.02)
 
 
 def by_format(text: str, base: list, secret: Automaton, plain: Automaton, margin: float) -> list[tuple[int, int, str]]:
@@ -174,11 +212,13 @@ def by_format(text: str, base: list, secret: Automaton, plain: Automaton, margin
     raw = text.encode("utf-8", "replace")
     if len(raw.translate(None, _DIGITS)) == len(raw):
         return []
-    out = []
+    out, k, reach = [], 0, 0
     for m in CANDIDATE.finditer(text):
-        if sum(c.isdigit() for c in m[0]) >= 2 and sum(c.isalpha() for c in m[0]) >= 4 and all(m.end() <= a or b <= m.start() for a, b, _ in base):
-            s = symbols(m[0])
-            if secret.bits(s) - plain.bits(s) >= margin:
+        while k < len(base) and base[k][0] < m.end():  # base spans go by start, candidates too
+            reach = max(reach, base[k][1])
+            k += 1
+        if reach <= m.start() and any(c.isdigit() for c in m[0]) and sum(c.isalpha() for c in m[0]) >= 4:
+            if secret.bits(m[0]) - plain.bits(m[0]) >= margin:
                 out.append((*m.span(), "format"))
     return out
 
@@ -186,7 +226,9 @@ def by_format(text: str, base: list, secret: Automaton, plain: Automaton, margin
 def find_secrets(docs: DataFrame) -> DataFrame:
     """A row for each row of docs: doc_id, text, base and spans (arrays of struct<start, end, kind>, in code points).
 
-    Null text counts as empty and has no spans. Ids may be null or repeated; other columns are ignored.
+    Null text counts as empty and has no spans; texts of any length are scanned whole, in linear time. Ids may be null or
+    repeated, equal texts have equal spans, spans with one start are ordered by kind and end; an empty table gives none,
+    and other columns are ignored.
     """
     learnt = model()
     ready(docs.sparkSession)
@@ -205,7 +247,8 @@ def find_secrets(docs: DataFrame) -> DataFrame:
 
 def redact_secrets(docs: DataFrame) -> DataFrame:
     """docs with every secret in text replaced by its kind in brackets, and n_chars, where there is such a column,
-    counted anew for the texts that changed. All other columns, and rows without secrets, stay as they are."""
+    counted anew for the texts that changed. All other columns, and rows without secrets, stay as they are: null and empty
+    texts, null and repeated ids, columns of any name. An empty table stays empty."""
     from stratalake.llm.pii import redacted
 
     learnt = model()

@@ -209,7 +209,7 @@ def test_models_separate_what_they_should():
     from stratalake.llm import pii, secrets
 
     secret, plain, margin = secrets.model()
-    found = lambda ws: np.mean([secret.bits(s) - plain.bits(s) >= margin for s in map(secrets.symbols, ws)])
+    found = lambda ws: np.mean([secret.bits(s) - plain.bits(s) >= margin for s in ws])
     assert found(secrets.credentials(77, 300)) >= 0.95 and found(secrets.ordinary(78, 300)) <= 0.02
     trees, cuts = pii.model()
     text = "call (437) 555-0689 about order 12345678, iban DE89 3704 0044 0532 0130 00 or jo at mail dot org"

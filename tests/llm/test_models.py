@@ -1,0 +1,112 @@
+"""The learnt parts of op7 and op9 on examples written by hand or in formats that their generators don't make."""
+
+import random
+from collections import defaultdict
+
+import pytest
+
+from stratalake.llm import pii, secrets
+
+#: Sentences with the personal data in double brackets and its kind, and sentences that hold none.
+PERSONAL = [
+    ("local_phone", "You can reach Dana on [[555-867-5309]] after six."), ("local_phone", "Tel. [[(212) 555-0187]], ask for the night desk."), ("local_phone", "mobile [[415.555.2671]]"),
+    ("local_phone", "Please phone [[020 7946 0958]] before Friday"), ("local_phone", "Fax: [[312-555-0143]]\nWeb: none"), ("local_phone", "My number is [[303 555 0119]], text me."),
+    ("local_phone", "Contact the clinic at [[(617) 555-0172]] for results."), ("local_phone", "Emergency contact: Maria, [[718-555-0110]]"), ("local_phone", "call me [[(503) 555-0190]]!"), ("local_phone", "Home phone [[404.555.0136]], no voicemail"),
+    ("id_number", "SSN [[078-05-1120]] was printed on the card."), ("id_number", "Her social security number is [[219-09-9999]]."), ("id_number", "social security no. [[457-55-5462]]"), ("id_number", "Employee ssn: [[123-45-6789]]; start date June"),
+    ("id_number", "tax id [[536-22-1234]] on the form"), ("id_number", "Applicant SSN=[[601-34-7788]]"), ("id_number", "his social is [[212-43-8765]], keep it safe"), ("id_number", "SSN# [[345-67-8901]]"),
+    ("account", "Pay to IBAN [[GB82 WEST 1234 5698 7654 32]] by Monday."), ("account", "Konto: [[DE89370400440532013000]]"), ("account", "the account [[FR14 2004 1010 0505 0001 3M02 606]] is closed"),
+    ("account", "IBAN: [[NL91ABNA0417164300]]"), ("account", "transfer it to [[ES91 2100 0418 4502 0005 1332]] please"), ("account", "bank account [[CH93 0076 2011 6238 5295 7]]"), ("account", "iban [[AT611904300234573201]], name Huber"), ("account", "wire: [[BE68 5390 0754 7034]]"),
+    ("written_email", "mail me: [[jane.doe at example dot com]]"), ("written_email", "Write to [[support(at)acme(dot)org]] with logs."), ("written_email", "contact [[bob [at] mailhost [dot] net]]"), ("written_email", "e-mail [[k.lee(at)uni dot edu]] for slides"),
+    ("written_email", "reach me at [[sam_w at fastmail dot com]] any time"), ("written_email", "Email: [[info[at]shop[dot]de]]"), ("written_email", "send photos to [[anna at web dot de]]"), ("written_email", "author [[j-smith (at) lab (dot) gov]]"),
+    ("written_email", "questions go to [[maria at inbox dot com]]"), ("written_email", "please mail [[paul at corp dot io]] about it"), ("written_email", "[[team(at)startup(dot)co]] answers within a day"),
+]
+CLEAN = [
+    "Order 555-1234-567 has shipped.", "Version 10.2.3 build 4521 was released on 2021-03-04.", "ISBN 978-3-16-148410-0, page 112", "The total was 1 234 567 and the price 99.", "part no. 123-456-7890 in stock",
+    "Chapter 12 345 678 lines of code", "Flight LH1234 5678 leaves at 10", "serial 8842-113-2291", "We met at noon and the dot com boom followed.", "look at it dot by dot", "he sat at home dot painting", "meet at noon dot said the note", "coordinates 212.555.0187 x 40.71 m", "ticket 219-09-9999 was closed",
+    "the years 1999 2000 2001 saw growth", "Item 303-555-0119 costs 5", "score 100 200 3000 points", "date 2024-05-06 and 2024-05-07", "REF AB12 CDEF 1234 ZZ99 order form", "key values 12 345 6789 in the table", "isbn 0-306-40615-2", "invoice total: 123 456 7890",
+]
+
+
+def test_personal_data_written_by_hand():
+    trees, cuts = pii.model()
+    hit, total, lost = defaultdict(int), defaultdict(int), []
+    for kind, marked in PERSONAL:
+        text, a = marked.replace("[[", "").replace("]]", ""), marked.index("[[")
+        span = (a, marked.rindex("]]") - 2, kind)
+        found = pii.selected(text, pii.base_spans(text), trees, cuts)
+        total[kind] += 1
+        hit[kind] += span in found
+        lost += [marked] * (span not in found)
+    assert all(hit[k] >= 0.9 * n for k, n in total.items()), lost
+    wrong = [t for t in CLEAN if pii.selected(t, pii.base_spans(t), trees, cuts)]
+    assert len(wrong) <= 2, wrong
+
+
+def test_candidates_reach_beyond_base_spans():
+    trees, cuts = pii.model()
+    text = "iban GB50 NWBK 3607 5983 8675 65 of the firm"
+    base = [(15, 32, "card")]
+    found = pii.selected(text, base, trees, cuts)
+    assert (5, 32, "account") in found
+    assert pii.uncovered([(16, 30, "x"), (15, 32, "x"), (15, 33, "x"), (0, 5, "x")], base) == [(0, 5, "x"), (15, 33, "x")]
+    assert pii.redacted(text, [*base, *found]) == "iban [account] of the firm"
+
+
+def formats(rng):
+    """Credential formats; those named new_ are not among the generator's."""
+    pick = lambda s, n: "".join(rng.choice(s) for _ in range(n))
+    upper, lower, digit = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    every, hexa = upper + lower + digit, digit + "abcdef"
+    return {
+        "AKIA": "AKIA" + pick(upper + digit, 16), "ghp": "ghp_" + pick(every, 36), "sk_live": "sk_live_" + pick(every, 24), "xoxb": f"xoxb-{pick(digit, 11)}-{pick(digit, 11)}-{pick(every, 24)}",
+        "AIza": "AIza" + pick(every + "_-", 35), "base64": pick(every + "+/", 40), "hex": pick(hexa, 32),
+        "new_glpat": "glpat-" + pick(every + "_-", 20), "new_npm": "npm_" + pick(every, 36), "new_hf": "hf_" + pick(upper + lower, 17) + pick(every, 17), "new_dop": "dop_v1_" + pick(hexa, 64), "new_short": "zq-" + pick(every, 20),
+        "new_upper": pick(upper + digit, 32), "new_rk": "rk_test_" + pick(every, 30), "new_url": pick(every + "_-", 43), "new_shp": "shpat_" + pick(hexa, 32),
+    }
+
+
+def test_recall_of_each_credential_format():
+    secret, plain, margin = secrets.model()
+    rng, hit = random.Random(123), defaultdict(int)
+    for _ in range(200):
+        for k, w in formats(rng).items():
+            hit[k] += bool(secrets.by_format(f"the value {w} here", [], secret, plain, margin))
+    print(dict(hit))
+    assert all(n >= 180 for n in hit.values()), {k: n / 200 for k, n in hit.items() if n < 180}
+
+
+def test_ordinary_runs_are_left_alone():
+    secret, plain, margin = secrets.model()
+    text = """see https://example.org/docs/reference/2024/guide-to-installation-1 and /usr/local/share/python3/site-packages/setup99/tools
+    user_account_manager_2 get_value_from_config_2020 NORTH-AMERICA-2021-REPORT INTERNATIONALIZATION2024 ==========12== 1234567890123456789 2024-01-15-release-notes
+    donaudampfschifffahrtsgesellschaft1871 utf8_general_ci_2_sorted HttpServletRequestWrapper2b libstdc++-v3/testsuite/22_locale ISO-8859-15-compatible-text well-known-2023-problem-set-07"""
+    assert secrets.by_format(text, [], secret, plain, margin) == []
+    assert sum(bool(secrets.by_format(w, [], secret, plain, margin)) for w in secrets.ordinary(991, 2000)) <= 10
+
+
+@pytest.mark.parametrize("unit", ["a", "-", "1", "1.", "@", "a@", "@a", "a.", "(", "+1", "1-", "1 ", " at ", "a(at)", "AB12", "_", "=", "token=", "token: ", "ab12", "AKIA", "'", " ", "Ab1"])
+def test_long_runs_of_one_kind_take_linear_time(unit):
+    import time
+
+    text, (trees, cuts), learnt = unit * (1_000_000 // len(unit)), pii.model(), secrets.model()
+    pii.base_spans("x"), secrets.base_spans("x")
+    began = time.process_time()
+    pii.base_spans(text)
+    pii.candidates(text)
+    assert time.process_time() - began < 4  # under a second alone on a machine; quadratic patterns never end
+    secrets.by_format(text, secrets.base_spans(text), *learnt)
+    assert time.process_time() - began < 12
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_anchored_scans_equal_the_plain_patterns(seed):
+    import re
+
+    email, ip = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+    written = re.compile(r"(?<!\w)[a-z0-9._-]+\x20?(?:\(at\)|\[at\]|\x20at\x20)\x20?[a-z0-9-]+\x20?(?:\(dot\)|\[dot\]|\x20dot\x20)\x20?[a-z]+(?!\w)", re.A | re.I)
+    rng, bits = random.Random(seed), ["a", "b.", "@", "@", "-", "1", "2", "255", ".", ".", "256", " ", "+", "%", "(at)", " at ", "[AT]", " dot ", "(dot)", "[dot]", "é", "_", "\n", "x y", "0000", "at", "dot", "K", "ſ", "İ"]
+    for _ in range(20_000):
+        text = "".join(rng.choice(bits) for _ in range(rng.randint(0, 18)))
+        assert list(pii.emails(text)) == [m.span() for m in email.finditer(text)]
+        assert list(pii.addresses(text)) == [m.span() for m in ip.finditer(text) if all(int(x) <= 255 for x in m[0].split("."))]
+        assert list(pii.written_emails(text)) == [m.span() for m in written.finditer(text)]
