@@ -62,6 +62,7 @@ def words(text: str | None) -> list[bytes]:
 class Index:
     def __init__(self, templates: tuple = TEMPLATES, phrases: dict[str, str] = PHRASES, idf: dict[bytes, float] | None = None):
         self.templates = [(label, body.encode().split(), [k.encode().split() for k in keys]) for label, body, keys in templates]
+        self.keys = [[f" {k} ".encode() for k in keys] for _, _, keys in templates]
         self.phrases = [(p.encode().split(), label) for p, label in phrases.items()]
         postings: dict[bytes, list] = defaultdict(list)
         for t, (_, body, _) in enumerate(self.templates):
@@ -123,8 +124,12 @@ class Index:
     def aligned(self, ws: list[bytes]) -> dict[str, float]:
         """Label -> best share that an alignment of one of its templates is worth."""
         found: dict[str, float] = {}
-        for t, a, b in self.stretches(ws):
+        whole = b" ".join([b"", *ws, b""])
+        held = [all(k in whole for k in keys) for keys in self.keys]  # nothing to align without them
+        for t, a, b in self.stretches(ws) if any(held) else ():
             label, body, keys = self.templates[t]
+            if not held[t]:
+                continue
             worth = alignment(body, ws[a:b])
             ends = np.nonzero(worth >= COVER * len(body) - 1e-9)[0]
             for k in keys:
