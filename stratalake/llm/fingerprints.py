@@ -2,9 +2,9 @@
 
 Paragraphs, cut further at sentence ends and after PIECE characters, are hashed to wide vectors whose sum, modulo powers
 of two, is the fingerprint: it does not depend on the order of the pieces, and adding or taking away a piece adds or
-subtracts its vector. Of the WORDS components, 40 hold 120 counters of 20 bits (a hash bit each), two hold hash sums
-modulo 2**60, and one counts pieces. Centred counters are a random projection of the multiset: their cosine estimates
-how alike two texts are.
+subtracts its vector. Of the WORDS components, 60 hold 120 counters of 30 bits (a hash bit each), two hold hash sums
+modulo 2**60, and one counts pieces. No text that Spark can hold has 2**30 pieces, so no counter runs into its neighbour.
+Centred counters are a random projection of the multiset: their cosine estimates how alike two texts are.
 """
 
 from __future__ import annotations
@@ -13,10 +13,11 @@ import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame, Window
 
 PIECE = 96
-#: Counters of 20 bits, three to a word; a sum modulo 2**60 keeps every word.
-FIELD = (1 << 40) + (1 << 20) + 1
+#: Counters of 30 bits, two to a word; a sum modulo 2**60 keeps every word.
+BITS = 30
+FIELD = (1 << BITS) + 1
 MODULUS = 1 << 60
-SEEDS, SHIFTS = (11, 29), 20
+SEEDS, SHIFTS = (11, 29), 30
 WORDS = len(SEEDS) * SHIFTS + len(SEEDS) + 1
 
 
@@ -62,8 +63,8 @@ def _centred(vector: Column) -> Column:
     per = SHIFTS + 1
     kept = F.concat(*(F.slice(vector, k * per + 1, SHIFTS) for k in range(len(SEEDS))))
     n = F.element_at(vector, -1)
-    field = lambda s: F.transform(kept, lambda x: (F.shiftrightunsigned(x, s).bitwiseAND(F.lit((1 << 20) - 1)) * 2 - n).cast("double"))
-    return F.concat(field(0), field(20), field(40))
+    field = lambda s: F.transform(kept, lambda x: (F.shiftrightunsigned(x, s).bitwiseAND(F.lit((1 << BITS) - 1)) * 2 - n).cast("double"))
+    return F.concat(field(0), field(BITS))
 
 
 def likeness(df: DataFrame, a: str, b: str, name: str) -> DataFrame:
@@ -117,13 +118,14 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
 
     The edited text keeps all but the last floor(n / 2) code points and goes on with the first as many (or all) of the
     next row's text, by doc_id and text. Null text counts as empty; a single row is its own next; repeated rows follow
-    each other. Other columns are ignored.
+    each other; null ids come first; texts of any length are read whole; an empty table gives none. Other columns are
+    ignored. A row's vector is computed once and goes along to the row before it.
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    both = with_next(base)
+    both = with_next(vectors(base, "text", "v"), "v").withColumnRenamed("next_v", "x")
     half = F.floor(F.length("text") / 2).cast("int")
     both = both.withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), F.length("text") - half), F.substring(F.col("next_text"), F.lit(1), half)))
-    made = vectors(vectors(vectors(both, "text", "v"), "edited", "e"), "next_text", "x")
+    made = vectors(both, "edited", "e")
     made = made.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "v", "e", "x")
     made = likeness(likeness(made, "v", "e", "near_edited"), "v", "x", "near_next")
     return made.select("doc_id", "n_chars", "edited_sha256", as_text(F.col("v")).alias("fingerprint"), as_text(F.col("e")).alias("edited_fingerprint"), "near_edited", "near_next")
