@@ -32,14 +32,18 @@ def unescaped(s: str) -> str:
     return s.replace("&#10;", "\n").replace("&#91;", "[").replace("&lt;", "<").replace("&amp;", "&")
 
 
-def best_paths(messages: DataFrame, top: int = 1) -> DataFrame:
+def best_paths(messages: DataFrame, top: int = 1, distinct_ids: bool = False) -> DataFrame:
     """(tree, path, depth, id): the messages of the top-ranked root-to-leaf paths of every tree.
 
-    messages: id (unique, not null), parent (null or unknown: a root) and score (null: 0). tree is the root's id, path
-    the leaf's; leaves rank by the mean score of their path, then its length, then their id. Messages on a cycle reach
-    no root and are left out.
+    messages: id, parent (null or unknown: a root) and score (null: 0). tree is the root's id, path the leaf's; leaves
+    rank by the mean score of their path, then its length, then their id. Of rows with one id the one with the largest
+    score, then parent, counts; rows without an id, and messages on a cycle, which reach no root, are left out. An empty
+    table gives none; other columns are ignored. distinct_ids: a caller's word that no id is null or repeated, which
+    saves a shuffle.
     """
     base = messages.select("id", "parent", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
+    if not distinct_ids:
+        base = base.where("id is not null").groupBy("id").agg(F.max(F.struct("score", "parent")).alias("m")).select("id", "m.parent", "m.score")
     known = base.select(F.col("id").alias("parent"), F.lit(True).alias("there"))
     base = cut(base.join(known, "parent", "left").select("id", F.when(F.col("there"), F.col("parent")).alias("up"), "score"))
     count = base.count()
@@ -77,29 +81,57 @@ def formatted(turns: DataFrame) -> DataFrame:
     return turns.withColumn("formatted", F.concat(F.lit(TURN), role, F.lit("\n"), inside, F.lit(END)))
 
 
+def format_trees(messages: DataFrame, top: int = 1, distinct_ids: bool = False) -> DataFrame:
+    """tree, path, place, formatted: the turns of each chosen path of every reply tree in the template; a path's
+    concatenation by place is one conversation.
+
+    messages: id, parent, score, role, text, ranked and chosen as best_paths does; of rows with one id the one that
+    counts there does here too, then the largest role and text. Null roles and texts are empty. No tree or path is
+    gathered: their turns are rows.
+    """
+    ready(messages.sparkSession)
+    base = messages.select("id", "parent", F.col("score").cast("double").alias("score"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
+    turn = base.select("id", "role", "text") if distinct_ids else base.where("id is not null").groupBy("id").agg(F.max(F.struct(F.coalesce("score", F.lit(0.0)), "parent", "role", "text")).alias("m")).select("id", "m.role", "m.text")
+    return formatted(turn.join(best_paths(base, top, distinct_ids), "id")).select("tree", "path", F.col("depth").alias("place"), "formatted")
+
+
+def placed(turns: DataFrame, key: str, *order: str) -> DataFrame:
+    """Adds `place`, from 0, in the order within each key, without one task for a key however many rows it has.
+
+    Rows are dealt by ranges of key and order; a row's place is its place among the rows of its key in its range plus
+    those of the ranges before, of which there is one row for each key and range.
+    """
+    ranges = cut(turns.repartitionByRange(key, order[0]).withColumn("range", F.spark_partition_id()))
+    sizes = ranges.groupBy(key, "range").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy(key).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    known = F.col(key).eqNullSafe(F.col("key_")) & (F.col("range") == F.col("range_"))
+    sizes = sizes.select(F.col(key).alias("key_"), F.col("range").alias("range_"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    inside = F.row_number().over(Window.partitionBy(key, "range").orderBy(*order)).cast("long") - 1
+    return ranges.withColumn("inside", inside).join(sizes, known).withColumn("place", F.col("inside") + F.col("first")).drop("range", "inside", "key_", "range_", "first")
+
+
 def format_conversations(conversations: DataFrame) -> DataFrame:
     """conv_id, place, formatted: the turns of each conversation in the template, whose concatenation by place is its text.
 
     conv_id, turn, role, text may be null: null conversations are one, null turns come first, null roles and texts are
-    empty. Turns answer the one before; ties in turn go by role and text, and equal rows are turns of their own. Other
-    columns are ignored. A conversation is never gathered: its turns are rows.
+    empty. Turns answer the one before; ties in turn go by role and text, and equal rows are turns of their own. An empty
+    table gives none; other columns are ignored. A conversation is a tree of one path, which goes through format_trees;
+    it is never gathered: its turns are rows.
     """
     ready(conversations.sparkSession)
-    rows_ = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
-    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    rows_ = cut(rows_.withColumn("place", F.row_number().over(order).cast("long") - 1))
-    # one key of a message: conversation and place as a struct, so that joins spread a long conversation over all tasks
-    name = lambda place: F.struct(F.coalesce("conv_id", F.lit(-(2**63))).alias("c"), place.alias("p"))
-    messages = rows_.select(name(F.col("place")).alias("id"), F.when(F.col("place") > 0, name(F.col("place") - 1)).alias("parent"), F.lit(1.0).alias("score"))
-    chosen = best_paths(messages).select("id", "depth")
-    turns = rows_.withColumn("id", name(F.col("place"))).join(chosen, "id")
-    return formatted(turns).select("conv_id", F.col("depth").alias("place"), "formatted")
+    turns = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
+    turns = placed(turns, "conv_id", "turn", "role", "text")
+    # one key of a message: conversation (null kept apart) and place as a struct, so that joins spread a long conversation
+    name = lambda place: F.struct(F.col("conv_id").isNull().alias("n"), F.coalesce("conv_id", F.lit(0)).alias("c"), place.alias("p"))
+    messages = cut(turns.select(name(F.col("place")).alias("id"), F.when(F.col("place") > 0, name(F.col("place") - 1)).alias("parent"), F.lit(1.0).alias("score"), "role", "text"))
+    return format_trees(messages, distinct_ids=True).select(F.when(~F.col("tree.n"), F.col("tree.c")).alias("conv_id"), "place", "formatted")
 
 
 def read_back(written: DataFrame) -> DataFrame:
     """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars from formatted conversations alone.
 
-    Turns are streamed in order through running hashes, so a conversation of any length needs constant memory.
+    Turns are streamed in order through running hashes, so a conversation of any length needs constant memory; its hash
+    is sequential by nature, so its turns go through one task, as its text would.
     """
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
