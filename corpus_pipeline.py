@@ -1,5 +1,11 @@
 """From raw documents to packed training sequences: reject poor texts, keep one of each group of near duplicates,
-redact secrets, and pack."""
+redact secrets, and pack.
+
+Stages keep the columns of documents (the last gives pieces) whatever their names, work on rows of any id (null and
+repeated ids too) and on whole texts of any length, and turn an empty table into an empty one. What each does with null
+and empty texts and with repeated rows is in its docstring. run() leaves its stage tables in the shared checkpoint folder:
+the result is read from the last of them.
+"""
 
 from __future__ import annotations
 
@@ -14,22 +20,29 @@ from stratalake.llm.vocabulary import tokenizer_path
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose quality scores 0.7 or more; labels of the input table train the classifier."""
+    """Documents whose quality scores 0.7 or more; labels of the input table train the classifier.
+
+    Null and empty texts score alike, as a text without words; repeated rows score alike and stay or go together. With no
+    usable label every score is 0.5, so nothing stays.
+    """
     return quality.keep_good(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest doc_id of each group linked by a Jaccard similarity of 0.8 or more of five-word shingles."""
+    """One row of each group linked by a Jaccard similarity of 0.8 or more of five-word shingles: that with the smallest
+    doc_id. Null and blank texts link with nothing and stay; of rows equal in id and text one stays; rows that share an id
+    but no text are groups of their own.
+    """
     return ngram_join.one_of_each(docs, 5, 8, 10)
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with every secret redacted."""
+    """The documents with every secret redacted, a row for each row; null and empty texts stay as they are."""
     return secrets.redact_secrets(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of at most 2048 tokens."""
+    """Pieces of at most 2048 tokens; a null or empty text is one piece with the end token, repeated rows are packed each."""
     return packing.pack(docs, tokenizer_path("word_bpe_49k.json"))
 
 
