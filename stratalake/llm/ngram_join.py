@@ -8,10 +8,9 @@ summed for each pair.
 
 Which fragments a document posts follows the prefix principle, so no pair is lost: with d the most differences that any
 partner within the threshold can have, it posts its d + 1 fullest fragments (ties by position) at the level of its own
-size class and at the one below, where partners of the next size class meet. At the levels of small sets, whose fragments
-would often be empty and hence equal by chance, each n-gram is a fragment of its own: a set of n posts the first
-n - ceil(threshold * n) + 1, one of which any partner posts too, in an order that has the n-grams common among small sets
-last, so that a line which many of them hold doesn't tie them.
+size class and at the one below, where partners of the next size class meet. Empty fragments are never posted, as they
+are equal by chance. Only two sets that both have too few full fragments could need one; such sets post pairs of n-grams
+instead: of the first n - ceil(threshold * n) + 2 of the order, two of which any partner has there too.
 """
 
 from __future__ import annotations
@@ -31,9 +30,6 @@ from stratalake.llm.common import WordHashes, components, cut, joined_spread, mi
 POSTINGS_HELD = 3_000_000
 #: Sets joined in one task: larger families go through pairs of blocks.
 BLOCK_SETS, BLOCK_GRAMS = 512, 4_000_000
-#: Largest size of sets whose n-grams are posted one by one, and the share of all their n-grams above which an n-gram is
-#: common: fewer than COMMON are (8 bytes each, broadcast).
-SMALL_SET, COMMON = 96, 250_000
 #: Nodes a task remembers to have posted; afterwards it starts afresh, and repeats meet in the shuffle.
 NODES_KEPT = 1_000_000
 #: Columns of one fragment's incidence matrix.
@@ -92,10 +88,6 @@ class Levels:
         m = self.apart(2 * top) + 2
         return np.array([(2**64 * j) // m for j in range(m)], np.uint64)
 
-    def small(self, i: int) -> bool:
-        """Whether n-grams are posted one by one at level i: no set that meets there is larger than SMALL_SET."""
-        return self.start(i + 2) - 1 <= SMALL_SET
-
     @lru_cache(maxsize=200_000)  # noqa: B019
     def roles(self, size: int) -> tuple:
         """(level, fragments to post) for the own class and the class below; none where only equal sets can match."""
@@ -106,26 +98,24 @@ class Levels:
         return tuple((level, d + 1) for level, d in out if d)
 
 
-def postings(grams: np.ndarray, levels: Levels, common: np.ndarray = np.empty(0, np.uint64)) -> np.ndarray:
-    """Signatures of a sorted set; common: sorted n-grams that come last among those posted one by one."""
-    out = []
+def postings(grams: np.ndarray, levels: Levels) -> np.ndarray:
+    """Signatures of a sorted set: its fullest fragments, and pairs of n-grams where there are too few."""
+    out, n, few = [], len(grams), False
     sums = None
-    n = len(grams)
-    roles = levels.roles(n)
-    if any(levels.small(level) for level, _ in roles):
-        last = np.isin(grams, common, assume_unique=True)
-        ordered = np.concatenate((grams[~last], grams[last]))
-        out.append(mixed(ordered[: n - -(-levels.num * n // levels.den) + 1] ^ np.uint64(0xA5A5A5A5A5A5A5A5)))
-    for level, post in roles:
-        if levels.small(level):
-            continue
+    for level, post in levels.roles(n):
         cuts = levels.cuts(level)
         if sums is None:
             sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mixed(grams), dtype=np.uint64)))
-        at = np.append(np.searchsorted(grams, cuts), len(grams))
+        at = np.append(np.searchsorted(grams, cuts), n)
         count = np.diff(at)
         j = np.argsort(-count, kind="stable")[:post]
-        out.append(mixed(sums[at[j + 1]] - sums[at[j]] + mixed(j.astype(np.uint64) + np.uint64(level << 32))))
+        full = j[count[j] > 0]
+        few |= len(full) < post
+        out.append(mixed(sums[at[full + 1]] - sums[at[full]] + mixed(full.astype(np.uint64) + np.uint64(level << 32))))
+    if few:
+        first = grams[: n - -(-levels.num * n // levels.den) + 2]
+        a, b = np.triu_indices(len(first), 1)
+        out.append(mixed(mixed(first[a]) * np.uint64(3) + first[b]))
     return np.concatenate(out) if out else np.empty(0, np.uint64)
 
 
@@ -133,14 +123,13 @@ def _sets(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = WordHashes()
         for b in batches:
-            sizes, nodes, small = [], [], []
+            sizes, nodes = [], []
             for (text,) in rows(b, "text"):
                 g = gram_set(text, n, table)
                 sizes.append(len(g))
                 nodes.append(identity(g) if len(g) else None)
-                small.append(g.view(np.int64) if 0 < len(g) <= SMALL_SET else None)
             kept = [b.column(b.schema.get_field_index(c)) for c in ROW]
-            yield pa.record_batch([*kept, pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(small, pa.list_(pa.int64()))], [*ROW, "n", "node", "small"])
+            yield pa.record_batch([*kept, pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64())], [*ROW, "n", "node"])
 
     return run
 
@@ -161,19 +150,9 @@ def _combined(sig: np.ndarray, node: np.ndarray) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(part), pa.array(u[i : i + 100_000]), pa.nulls(len(part), pa.int64())], ["sig", "u", "v"])
 
 
-def common_grams(sets: DataFrame) -> np.ndarray:
-    """The n-grams, sorted, that are more than one in COMMON of those of all small sets, each different set counted once:
-    fewer than COMMON, by that share."""
-    each = sets.where("small is not null").groupBy("node").agg(F.first("small").alias("small"))
-    counts = cut(each.select(F.explode("small").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("k")).where("k > 1"))
-    total = each.agg(F.sum(F.size("small"))).first()[0] or 0
-    found = [r["gram"] for r in counts.where(F.col("k") > max(1, total // COMMON)).collect()]
-    return np.sort(np.array(found, np.int64).view(np.uint64))
-
-
-def _postings(n: int, num: int, den: int, shared):
+def _postings(n: int, num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, levels, seen, sigs, nodes, held, common = WordHashes(), Levels(num, den), set(), [], [], 0, shared.value
+        table, levels, seen, sigs, nodes, held = WordHashes(), Levels(num, den), set(), [], [], 0
         for b in batches:
             for (text,) in rows(b, "text"):
                 g = gram_set(text, n, table)
@@ -182,7 +161,7 @@ def _postings(n: int, num: int, den: int, shared):
                 if len(seen) >= NODES_KEPT:
                     seen.clear()
                 seen.add(node)
-                p = postings(g, levels, common)
+                p = postings(g, levels)
                 if len(p):
                     sigs.append(p)
                     nodes.append(np.full(len(p), node, np.int64))
@@ -313,12 +292,10 @@ def _linked(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """
     ready(docs.sparkSession)
     base = texts(docs).withColumn("h", F.xxhash64("text")).select("doc_id", "text", "h", F.col("doc_id").isNull().alias("nameless"), F.coalesce("doc_id", "h").alias("key"))
-    sets = cut(base.mapInArrow(_sets(n), "doc_id long, nameless boolean, key long, h long, n long, node long, small array<long>"))
-    shared = docs.sparkSession.sparkContext.broadcast(common_grams(sets))
-    sets = sets.drop("small")
+    sets = cut(base.mapInArrow(_sets(n), "doc_id long, nameless boolean, key long, h long, n long, node long"))
     classes = cut(sets.where("node is not null").groupBy("node").agg(
         F.min(F.struct("nameless", "key", "h")).alias("rep"), F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n")))
-    posted = base.select("text").mapInArrow(_postings(n, num, den, shared), "sig long, u long, v long")
+    posted = base.select("text").mapInArrow(_postings(n, num, den), "sig long, u long, v long")
     posted = posted.repartition(F.when(F.col("sig").isNull(), F.xxhash64("u", "v")).otherwise(F.col("sig")))
     ties = cut(posted.mapInArrow(_tied, "u long, v long").distinct())
     families = components(ties)

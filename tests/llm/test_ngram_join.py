@@ -119,22 +119,39 @@ def test_unrelated_short_sets_share_no_signature(num):
         assert not len(sigs) or np.unique(sigs, return_counts=True)[1].max() <= 3
 
 
-def test_a_common_line_ties_no_family_of_short_texts(spark):
-    """100,000 unrelated short texts, all with one line: no family above a handful."""
+def test_unrelated_short_texts_make_no_family(spark):
+    """100,000 unrelated short texts at 0.8: no family above a handful."""
     from stratalake.llm import ngram_join as nj
     from stratalake.llm.common import components
 
-    line = "this file may be copied under the terms that follow below"
-    df = spark.range(100_000).selectExpr("id as doc_id", f"concat('{line} ', array_join(transform(sequence(1, 20), i -> hex(xxhash64(id, i) & 16777215)), ' ')) as text")
-    base = df.selectExpr("doc_id", "text", "false as nameless", "doc_id as key", "xxhash64(text) as h")
-    sets = base.mapInArrow(nj._sets(5), "doc_id long, nameless boolean, key long, h long, n long, node long, small array<long>")
-    shared = spark.sparkContext.broadcast(nj.common_grams(sets))
-    assert len(shared.value) == 7
-    posted = base.select("text").mapInArrow(nj._postings(5, 8, 10, shared), "sig long, u long, v long").repartition("sig")
+    df = spark.range(100_000).selectExpr("array_join(transform(sequence(1, cast(5 + id % 40 as int)), i -> hex(xxhash64(id, i) & 16777215)), ' ') as text")
+    posted = df.mapInArrow(nj._postings(5, 8, 10), "sig long, u long, v long").repartition("sig")
     families = components(posted.mapInArrow(nj._tied, "u long, v long"))
     assert (families.groupBy("component").count().agg({"count": "max"}).first()[0] or 0) <= 4
 
 
+@pytest.mark.parametrize(("num", "den"), [(8, 10), (9, 10), (6, 10)])
+def test_any_two_sets_within_the_threshold_share_a_signature(num, den):
+    """Sets with few full fragments, grown and shrunk to the edge of the threshold."""
+    import numpy as np
+
+    from stratalake.llm import ngram_join as nj
+
+    rng, levels, few = np.random.default_rng(3), nj.Levels(num, den), 0
+    for k in range(6000):
+        n = int(rng.integers(2, 60))
+        top = 2**64 if k % 2 else 2**int(rng.integers(58, 64))  # crowded into some fragments, or not
+        a = np.unique(rng.integers(0, top, n, dtype=np.uint64))
+        gone = int(rng.integers(0, max(1, len(a) * (den - num) // den) + 1))
+        b = np.delete(a, rng.permutation(len(a))[:gone])
+        b = np.unique(np.concatenate((b, rng.integers(0, top, int(rng.integers(0, 4)), dtype=np.uint64))))
+        both = len(np.intersect1d(a, b))
+        if len(b) and both < len(np.union1d(a, b)) and den * both >= num * (len(a) + len(b) - both):
+            assert len(np.intersect1d(nj.postings(a, levels), nj.postings(b, levels)))
+            few += 1
+    assert few > 500
+
+
 def test_components_with_hubs(spark):
     from stratalake.llm.common import components
 
