@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
+
 import pandas as pd
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame, Window
@@ -99,22 +101,27 @@ def rank01(df: DataFrame, by: list[str], score: str, tie: str, name: str) -> Dat
     return df.withColumn(name, F.row_number().over(w.orderBy(score, tie)) / F.count(F.lit(1)).over(w))
 
 
-def suppress(df: DataFrame, by: list[str], t0: str, t1: str, score: str, k: int) -> DataFrame:
-    """Greedy, best first: a row goes if its span overlaps or touches a kept one of the same key; then the best k of all.
+def suppress(df: DataFrame, by: list[str], t0: str, t1: str, score: str, k: int | None) -> DataFrame:
+    """Greedy, best first: a row goes if its span overlaps or touches a kept one of the same key; then the best k of all,
+    or all without k, in no order.
 
     A kept span suppresses within its key alone, and at most k of a key can be among the k best of all, so a key's fold
     stops there.
     """
-    import numpy as np
-
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values([score, t0, t1], ascending=[False, True, True])
-        a, b, kept = pdf[t0].to_numpy(), pdf[t1].to_numpy(), []
-        for i in range(len(pdf)):
-            if not kept or not (np.less_equal(a[i], b[kept]) & np.less_equal(a[kept], b[i])).any():
+        starts: list = []
+        ends: list = []  # kept spans are apart, so the neighbours of a place decide
+        kept = []
+        for i, (a, b) in enumerate(zip(pdf[t0].tolist(), pdf[t1].tolist())):
+            at = bisect_right(starts, b)
+            if not at or ends[at - 1] < a:
+                starts.insert(at, a)
+                ends.insert(at, b)
                 kept.append(i)
                 if len(kept) == k:
                     break
         return pdf.iloc[kept]
 
-    return df.groupBy(*by).applyInPandas(one, df.schema).orderBy(F.desc(score), *by, t0).limit(k)
+    found = df.groupBy(*by).applyInPandas(one, df.schema)
+    return found if k is None else found.orderBy(F.desc(score), *by, t0).limit(k)

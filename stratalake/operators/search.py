@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, Window
 
@@ -53,30 +51,9 @@ def spend(df: DataFrame, held: DataFrame, key: str, vector: str, budget: int) ->
     return out.join(F.broadcast(cut), F.lit(True)).where("cut is null or gain >= cut").drop("cut")
 
 
-def whole_path_score(cost: np.ndarray) -> float:
-    """Less the cost of aligning both ends to ends, over the sum of lengths."""
-    n, m = cost.shape
-    row = np.cumsum(cost[0])
-    for i in range(1, n):
-        new = np.empty(m)
-        new[0] = row[0] + cost[i, 0]
-        for j in range(1, m):
-            new[j] = cost[i, j] + min(row[j - 1], row[j], new[j - 1])
-        row = new
-    return -float(row[-1]) / (n + m)
-
-
 def plain_scores(scores: DataFrame, spans: DataFrame) -> DataFrame:
     """rec, begin, end, score: end-to-end alignment of the anchor (scores: a, rec, pos, s) with each span."""
-    each = spans.select("rec", "begin", "end", F.explode(F.sequence("begin", "end")).alias("pos"))
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        s = pdf.pivot(index="a", columns="pos", values="s").sort_index().sort_index(axis=1)
-        return pdf[["rec", "begin", "end"]].iloc[:1].assign(score=whole_path_score(1 - s.to_numpy()))
-
-    kind = dict(spans.dtypes)
-    made = each.join(scores, ["rec", "pos"]).groupBy("rec", "begin", "end")
-    return made.applyInPandas(one, f"rec {kind['rec']}, begin {kind['begin']}, end {kind['end']}, score double")
+    return sequence.whole(scores, spans).withColumnRenamed("s", "score")
 
 
 def contrasted(steps: DataFrame, rec: int, begin: int, end: int, spans: DataFrame, union_k: int = 24) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 import pyspark.sql.functions as F
@@ -58,23 +60,39 @@ def similarity(steps: DataFrame, anchor: DataFrame, vocab: DataFrame) -> DataFra
     return rows.join(part, ["a", "rec", "pos"], "left").select("a", "rec", "pos", (F.col("floor") + F.coalesce("x", F.lit(0.0)) + F.col("u") * F.coalesce("sum", F.lit(0.0)) - F.col("c")).alias("s"))
 
 
-def curve(cost: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Subsequence alignment of n anchor rows (cost n x m): normalised cost of the best path ending at each column, and
-    the column it starts at. Any start is free; of equal predecessors the diagonal, then the anchor's, comes first."""
-    n, m = cost.shape
-    best, start = cost[0].copy(), np.arange(m)
-    for i in range(1, n):
-        new, began = np.empty(m), np.empty(m, np.int64)
-        new[0], began[0] = best[0] + cost[i, 0], start[0]
-        for j in range(1, m):
-            c, s = best[j - 1], start[j - 1]
-            if best[j] < c:
-                c, s = best[j], start[j]
-            if new[j - 1] < c:
-                c, s = new[j - 1], began[j - 1]
-            new[j], began[j] = c + cost[i, j], s
+def curves(cost: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Subsequence alignment of n anchor rows with many recordings at once (cost: recordings x n x m): for each recording
+    and column the cost of the best path that ends there, over the rows of the anchor and the columns it spans, and the
+    column it starts at.
+
+    A path may start at any column and takes every anchor row; costs may be below 0, so the first row too can go on to the
+    left. Of equal predecessors the diagonal comes first, then the anchor's row before, then the column before. A path
+    that comes from above its own column starts after it and spans none, which counts as one.
+    """
+    many, n, m = cost.shape
+    best, start = np.zeros((many, m + 1)), np.tile(np.arange(m + 1), (many, 1))
+    for i in range(n):
+        new, began = np.full((many, m + 1), np.inf), np.zeros((many, m + 1), np.int64)
+        # the better of diagonal and row before is known for all columns; the column before chains along the row
+        up = best[:, 1:] < best[:, :-1]
+        before, first = np.where(up, best[:, 1:], best[:, :-1]), np.where(up, start[:, 1:], start[:, :-1])
+        for j in range(m):
+            left = new[:, j] < before[:, j]
+            new[:, j + 1] = np.where(left, new[:, j], before[:, j]) + cost[:, i, j]
+            began[:, j + 1] = np.where(left, began[:, j], first[:, j])
         best, start = new, began
-    return best / (n + np.maximum(np.arange(m) - start, 1)), start
+    return best[:, 1:] / (n + np.maximum(np.arange(1, m + 1) - start[:, 1:], 1)), start[:, 1:]
+
+
+def curve(cost: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same for one recording (cost: n x m)."""
+    c, s = curves(cost[None])
+    return c[0], s[0]
+
+
+def local_minima(c: np.ndarray) -> np.ndarray:
+    """Whether each value is no more than the one before and less than the one after."""
+    return np.append(True, c[1:] <= c[:-1]) & np.append(c[:-1] < c[1:], True)
 
 
 def chunked(scores: DataFrame) -> DataFrame:
@@ -88,29 +106,100 @@ def chunked(scores: DataFrame) -> DataFrame:
 
 
 def subsequences(scores: DataFrame) -> DataFrame:
-    """rec, begin, end, score: local minima of the alignment curve of every recording; a chunk is one task's group."""
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        s = pdf.pivot(index="a", columns="pos", values="s").sort_index().sort_index(axis=1)
-        c, start = curve(1 - s.to_numpy())
-        j = np.arange(len(c))
-        low = (np.append(True, c[1:] <= c[:-1])) & np.append(c[:-1] < c[1:], True)
-        cols = s.columns.to_numpy()
-        return pd.DataFrame({"rec": pdf["rec"].iloc[0], "chunk": pdf["chunk"].iloc[0], "begin": cols[start[low]], "end": cols[j[low]], "score": -c[low]})
+    """rec, begin, end, score: local minima of the alignment curve of every recording. A recording's scores are gathered
+    by chunks of CHUNK rows at most, and the chunks of a batch are aligned at once."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = []
+            grids = [np.array(list(cells), float).reshape(-1, size) for cells, size in zip(pdf["cells"], pdf["size"])]
+            for shape in sorted({g.shape for g in grids}):
+                at = [k for k, g in enumerate(grids) if g.shape == shape]
+                cost, start = curves(1 - np.stack([grids[k] for k in at]))
+                for k, c, s in zip(at, cost, start):
+                    ends = np.nonzero(local_minima(c) & (s <= np.arange(len(c))))[0]
+                    low = pdf["low"].iloc[k]
+                    found += [(pdf["rec"].iloc[k], pdf["chunk"].iloc[k], low + s[j], low + j, -c[j]) for j in ends]
+            yield pd.DataFrame(found, columns=["rec", "chunk", "begin", "end", "score"])
 
     kind = dict(scores.dtypes)["rec"]
-    found = chunked(scores).groupBy("rec", "chunk").applyInPandas(one, f"rec {kind}, chunk long, begin long, end long, score double")
+    cells = F.array_sort(F.collect_list(F.struct("a", "pos", "s")))
+    gathered = chunked(scores).groupBy("rec", "chunk").agg(F.transform(cells, lambda e: e["s"]).alias("cells"), F.min("pos").alias("low"), F.count_distinct("pos").cast("int").alias("size"))
+    found = gathered.mapInPandas(run, f"rec {kind}, chunk long, begin long, end long, score double")
     return found.groupBy("rec", "begin", "end").agg(F.max_by("score", "chunk").alias("score"))  # the later chunk's, where two see one span
 
 
-def find(steps: DataFrame, anchor: DataFrame, top: int, union_k: int = 24, exclude: DataFrame | None = None) -> DataFrame:
+def whole(scores: DataFrame, spans: DataFrame) -> DataFrame:
+    """rec, begin, end, s: how like each span (rec, begin, end) is to the whole anchor, end to end: less the cost of the
+    best path from corner to corner over the rows of both."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            grids = [np.array(list(cells), float).reshape(-1, e - b + 1) for cells, b, e in zip(pdf["cells"], pdf["begin"], pdf["end"])]
+            out = np.zeros(len(grids))
+            for shape in sorted({g.shape for g in grids}):
+                at = [k for k, g in enumerate(grids) if g.shape == shape]
+                out[at] = corner_costs(1 - np.stack([grids[k] for k in at])) / -sum(shape)
+            yield pd.DataFrame({"rec": pdf["rec"], "begin": pdf["begin"], "end": pdf["end"], "s": out})
+
+    kind = dict(scores.dtypes)["rec"]
+    places = spans.select("rec", "begin", "end").distinct().withColumn("pos", F.explode(F.sequence("begin", "end")))
+    cells = places.join(scores, ["rec", "pos"]).groupBy("rec", "begin", "end").agg(F.transform(F.array_sort(F.collect_list(F.struct("a", "pos", "s"))), lambda e: e["s"]).alias("cells"))
+    return cells.mapInPandas(run, f"rec {kind}, begin long, end long, s double")
+
+
+def corner_costs(cost: np.ndarray) -> np.ndarray:
+    """The cost of the best path from the first to the last corner of each table (tables x n x m)."""
+    many, n, m = cost.shape
+    best = np.full((many, m + 1), np.inf)
+    best[:, 0] = 0
+    for i in range(n):
+        before, new = np.minimum(best[:, 1:], best[:, :-1]), np.full((many, m + 1), np.inf)
+        for j in range(m):
+            new[:, j + 1] = np.minimum(new[:, j], before[:, j]) + cost[:, i, j]
+        best = new
+    return best[:, -1]
+
+
+def find(steps: DataFrame, anchor: DataFrame | list[DataFrame], top: int, union_k: int = 24, exclude: DataFrame | None = None, shots: int = 1, recs: DataFrame | None = None) -> DataFrame:
     """The best `top` spans like the anchor, none overlapping or touching another, none that overlaps an excluded span
-    (rec, x0, x1)."""
-    found = subsequences(similarity(steps, anchor, vocabulary(steps, union_k)))
-    if exclude is not None:
-        x = exclude.select(F.col("rec").alias("_r"), "x0", "x1")
-        found = found.join(F.broadcast(x), (F.col("rec") == F.col("_r")) & (F.col("begin") <= F.col("x1")) & (F.col("x0") <= F.col("end")), "left_anti")
-    return suppress(found, ["rec"], "begin", "end", "score", top)
+    (rec, x0, x1), of all recordings or those in recs (rec).
+
+    Of several anchors every one proposes spans, and a span's score is its mean likeness to all, end to end. With more
+    shots than one the best span of each recording whose best is no worse than the mean of these bests becomes an anchor
+    as well. Anchors are few: a list, and a span of each recording; each is searched for by a pass of its own.
+    """
+    vocab = vocabulary(steps, union_k)
+    anchors = anchor if isinstance(anchor, list) else [anchor]
+
+    def proposed(a: DataFrame) -> tuple[DataFrame, DataFrame]:
+        scores = similarity(steps, a, vocab)
+        if recs is not None:
+            scores = scores.join(recs.select("rec").distinct(), "rec", "left_semi")
+        found = subsequences(scores)
+        if exclude is not None:
+            x = exclude.select(F.col("rec").alias("_r"), "x0", "x1")
+            found = found.join(F.broadcast(x), (F.col("rec") == F.col("_r")) & (F.col("begin") <= F.col("x1")) & (F.col("x0") <= F.col("end")), "left_anti")
+        return scores, found
+
+    made = [proposed(a) for a in anchors]
+    pool = made[0][1]
+    for _, more in made[1:]:
+        pool = pool.unionByName(more)
+    pool = pool.groupBy("rec", "begin", "end").agg(F.max("score").alias("score"))
+    if shots > 1:
+        best = pool.groupBy("rec").agg(F.max_by(F.struct("begin", "end", "score"), F.struct("score", -F.col("begin"), -F.col("end"))).alias("b")).select("rec", "b.*")
+        bar = best.agg(F.avg("score").alias("bar"))
+        for r in best.join(F.broadcast(bar), F.col("score") >= F.col("bar")).orderBy("rec").collect():  # a span of a recording each
+            made.append(proposed(steps.where((F.col("rec") == r["rec"]) & F.col("pos").between(r["begin"], r["end"]))))
+            pool = pool.select("rec", "begin", "end").unionByName(made[-1][1].select("rec", "begin", "end")).distinct()
+    if len(made) > 1:
+        likeness = [whole(scores, pool) for scores, _ in made]
+        total = likeness[0]
+        for more in likeness[1:]:
+            total = total.unionByName(more)
+        pool = total.groupBy("rec", "begin", "end").agg((F.sum("s") / len(made)).alias("score"))
+    return suppress(pool, ["rec"], "begin", "end", "score", top)
 
 
 def align_path(cost: np.ndarray) -> list[tuple[int, int]]:

@@ -87,28 +87,54 @@ def test_ago_buckets(spark):
 
 
 def naive_curve(d):
+    """The whole table of the recurrence, with a free row above the anchor's first: columns and matched lengths count
+    from 1, the start is the number of columns before the match."""
     n, m = d.shape
-    c, s = np.full((n, m), np.inf), np.zeros((n, m), int)
-    for i in range(n):
-        for j in range(m):
-            if i == 0:
-                c[i, j], s[i, j] = d[i, j], j
-                continue
-            options = [(c[i - 1, j], s[i - 1, j])]
-            if j:
-                options = [(c[i - 1, j - 1], s[i - 1, j - 1]), *options, (c[i, j - 1], s[i, j - 1])]
-            best = min(options, key=lambda o: o[0])
-            c[i, j], s[i, j] = best[0] + d[i, j], best[1]
-    return [c[-1, j] / (n + max(j - s[-1, j], 1)) for j in range(m)], s[-1].tolist()
+    cost = {(0, j): 0.0 for j in range(m + 1)} | {(i, 0): np.inf for i in range(1, n + 1)}
+    began = {(0, j): j for j in range(m + 1)} | {(i, 0): 0 for i in range(1, n + 1)}
+    for i in range(1, n + 1):
+        for j in range(1, m + 1):
+            a, b, c = (i - 1, j - 1), (i - 1, j), (i, j - 1)
+            best = a if cost[a] <= cost[b] and cost[a] <= cost[c] else b if cost[b] <= cost[c] else c
+            cost[i, j], began[i, j] = d[i - 1, j - 1] + cost[best], began[best]
+    return [cost[n, j] / (n + max(j - began[n, j], 1)) for j in range(1, m + 1)], [began[n, j] for j in range(1, m + 1)]
 
 
 def test_alignment_curve_equals_a_naive_one():
     rng = np.random.default_rng(0)
-    for _ in range(40):
-        d = rng.integers(0, 4, (rng.integers(1, 6), rng.integers(1, 30))).astype(float)
-        got, start = sequence.curve(d)
-        want, began = naive_curve(d)
-        assert np.allclose(got, want) and start.tolist() == began
+    for _ in range(60):
+        many, n, m = rng.integers(1, 5), rng.integers(1, 6), rng.integers(1, 30)
+        d = rng.integers(-2, 4, (many, n, m)).astype(float) / 4
+        got, start = sequence.curves(d)
+        for k in range(many):
+            want, began = naive_curve(d[k])
+            assert np.allclose(got[k], want) and start[k].tolist() == began
+
+
+def test_alignment_curve_of_literal_costs():
+    c, s = sequence.curve(np.array([[1.0, 0.0, 1.0, 1.0], [1.0, 1.0, 0.0, 1.0]]))
+    assert c.tolist() == [2 / 3, 1 / 3, 0.0, 1 / 5] and s.tolist() == [0, 1, 1, 1]  # both rows meet columns 1 and 2: two matched
+    c, s = sequence.curve(np.array([[-1.0, -1.0, 2.0]]))
+    assert c.tolist() == [-1 / 2, -2 / 3, 0.0] and s.tolist() == [0, 0, 0]  # a cost below 0 carries the first row to the left
+
+
+def test_search_by_several_anchors_shots_and_recordings(spark):
+    """Recordings 1 and 2 repeat an event of recording 0; 3 holds half of it."""
+    rng = np.random.default_rng(8)
+    rows = {(r, i): (4 * rng.permutation(40) / 40).tolist() for r in range(4) for i in range(24)}
+    for i in range(4):
+        rows[1, 9 + i] = rows[2, 15 + i] = rows[0, 5 + i]
+    rows[3, 3], rows[3, 4] = rows[0, 5], rows[0, 6]
+    df = spark.createDataFrame([(100 * r + i, r, v) for (r, i), v in rows.items()], "vec_id long, label long, v array<double>")
+    steps = sequence.steps_from_vectors(df, 8).cache()
+    anchor, own = steps.where("rec = 0 and pos between 5 and 8"), spark.createDataFrame([(0, 5, 8)], "rec long, x0 long, x1 long")
+    span = lambda r: (r["rec"], r["begin"], r["end"])
+    only = sequence.find(steps, anchor, 5, 8, own, recs=spark.createDataFrame([(2,)], "rec long")).collect()
+    assert span(only[0]) == (2, 15, 18) and {r["rec"] for r in only} == {2}
+    both = sequence.find(steps, [anchor, steps.where("rec = 1 and pos between 9 and 12")], 3, 8, own).collect()
+    assert {span(r) for r in both[:2]} == {(1, 9, 12), (2, 15, 18)} and both[0]["score"] == pytest.approx(both[1]["score"])
+    shots = sequence.find(steps, anchor, 4, 8, own, shots=2).collect()
+    assert {span(r) for r in shots[:2]} == {(1, 9, 12), (2, 15, 18)} and not any(span(r)[0] == 0 and r["begin"] <= 8 and r["end"] >= 5 for r in shots)
 
 
 def test_alignment_path_goes_from_corner_to_corner():

@@ -99,8 +99,10 @@ def test_chain_takes_what_lies_inside(spark):
 
 
 def test_whole_path_score():
-    assert search.whole_path_score(np.array([[0.0, 1.0], [1.0, 0.0]])) == 0
-    assert search.whole_path_score(np.array([[0.5, 0.25]])) == -0.25
+    costs = np.array([[[0.0, 1.0], [1.0, 0.0]], [[0.0, 1.0], [2.0, 5.0]]])
+    from stratalake.operators import sequence
+
+    assert sequence.corner_costs(costs).tolist() == [0.0, 5.0] and sequence.corner_costs(np.array([[[0.5, 0.25]]])).tolist() == [0.75]
 
 
 def test_registered_functions(spark):
