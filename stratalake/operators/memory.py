@@ -49,10 +49,10 @@ class Memory:
         t = self.store.table(name)
         return t.read() if t.schema() is not None else self.spark.createDataFrame([], SCHEMAS[name])
 
-    def _put(self, table: str, keys: list[str], /, **row) -> None:
+    def _put(self, table: str, keys: list[str], on: int | None = None, /, **row) -> None:
         row.setdefault("ts", time.time_ns())
         df = self.spark.createDataFrame([tuple(row.get(c) for c in _columns(table))], SCHEMAS[table])
-        self.store.upsert(table, df, keys, ("ts",))
+        self.store.upsert(table, df, keys, ("ts",), on)
 
     # people, sources, steps
 
@@ -95,14 +95,19 @@ class Memory:
         self._put("queries", ["id"], id=id, rec=rec, x0=x0, x1=x1, direction=direction, scope=scope, top=top, status="queued")
         return id
 
-    def _mark(self, row, **new) -> None:
-        self._put("queries", ["id"], **(row.asDict() | new))
+    def _mark(self, row, on: int | None = None, /, **new) -> None:
+        self._put("queries", ["id"], on, **(row.asDict() | new))
 
     def claim(self, worker: str) -> str | None:
         """The oldest queued question, now this worker's; None if there is none."""
-        while (q := self.rows("queries").where("status = 'queued'").orderBy("ts", "id").first()) is not None:
-            try:
-                self._mark(q, status="running", worker=worker, started=int(time.time()))
+        t = self.store.table("queries")
+        while t.schema() is not None:
+            version = t.state()["version"]
+            q = t.read(version).where("status = 'queued'").orderBy("ts", "id").first()
+            if q is None:
+                return None
+            try:  # holds for the version in which the question was seen queued, and no other
+                self._mark(q, version, status="running", worker=worker, started=int(time.time()))
                 return q["id"]
             except CommitConflict:
                 continue
@@ -125,14 +130,14 @@ class Memory:
             steps_in = steps.join(footage.where(F.col("person") != own["person"]).select("rec"), "rec", "left_semi")
         else:
             steps_in = steps
-        top = q["top"] if q["scope"] != "after" else 10**6
-        example = self.spark.createDataFrame([(q["rec"], q["x0"], q["x1"])], "rec long, x0 long, x1 long")
+        example = self.spark.createDataFrame([(q["rec"], q["x0"], q["x1"])], "_r long, x0 long, x1 long")
         scores = sequence.similarity(steps, anchor, sequence.vocabulary(steps, 24)).join(steps_in.select("rec").distinct(), "rec", "left_semi")
-        found = sequence.subsequences(scores).join(F.broadcast(example.withColumnRenamed("rec", "_r")), (F.col("rec") == F.col("_r")) & (F.col("begin") <= F.col("x1")) & (F.col("x0") <= F.col("end")), "left_anti")
-        best = sequence.suppress(found, ["rec"], "begin", "end", "score", top)
-        if q["scope"] == "after":
-            began = footage.select("rec", "started")
-            best = best.join(F.broadcast(began), "rec").where(F.col("started") + F.col("begin") >= own["started"] + q["x1"]).drop("started").orderBy(F.desc("score"), "rec", "begin").limit(q["top"])
+        found = sequence.subsequences(scores).join(F.broadcast(example), (F.col("rec") == F.col("_r")) & (F.col("begin") <= F.col("x1")) & (F.col("x0") <= F.col("end")), "left_anti")
+        if q["scope"] != "after":
+            return sequence.suppress(found, ["rec"], "begin", "end", "score", q["top"])
+        # those after the question are chosen from all that are kept, however many come before it
+        best = sequence.suppress(found, ["rec"], "begin", "end", "score", None).join(footage.select("rec", "started"), "rec")
+        best = best.where(F.col("started") + F.col("begin") >= own["started"] + q["x1"]).drop("started").orderBy(F.desc("score"), "rec", "begin").limit(q["top"])
         return best
 
     def answer(self, id: str) -> DataFrame:
@@ -145,11 +150,17 @@ class Memory:
         cut = cuts.split(found, "score")
         out = found.join(F.broadcast(cut), F.lit(True)).select(F.lit(time.time_ns()).alias("ts"), F.lit(id).alias("query"), rank.alias("rank"), "rec", "begin", "end", "score", F.coalesce(F.col("score") > F.col("cut"), F.lit(False)).alias("apart"))
         t = self.store.table("answers")
-        if t.schema() is None:
-            t.append(out)
-        else:
-            kept = t.read().where(F.col("query") != id)
-            t.replace(kept.unionByName(out)) if not (kept.isEmpty() and out.isEmpty()) else None
+        while True:
+            version = t.state()["version"]
+            try:
+                if t.schema() is None:
+                    t.commit("append", t._write(out), schema=out.schema, kind="timeseries", on=version)
+                else:
+                    kept = t.read(version).where(F.col("query") != id)
+                    t.replace(kept.unionByName(out), version) if not (kept.isEmpty() and out.isEmpty()) else None
+                break
+            except CommitConflict:  # another question was answered meanwhile: its rows stay
+                continue
         self._mark(q, status="done")
         return self.events(id)
 

@@ -16,6 +16,7 @@ import uuid
 from dataclasses import asdict, dataclass, field
 
 import pyspark.sql.functions as F
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -71,15 +72,24 @@ class Files:
             stream.close()
 
     def create(self, at: str, text: str) -> bool:
-        """Writes a whole new file; False if there is one of that name."""
+        """Writes a whole new file; False if there is one of that name. It is written beside and then published in one
+        step that fails where the name is taken: a hard link on local disks, a rename elsewhere (which HDFS refuses)."""
         temporary = self.path(f"{at}.{uuid.uuid4().hex}.tmp")
         stream = self.fs.create(temporary, False)
         stream.write(bytearray(text.encode()))
         stream.close()
-        if self.exists(at) or not self.fs.rename(temporary, self.path(at)):
+        try:
+            if self.fs.getUri().getScheme() == "file":
+                local = lambda p: self.jvm.java.io.File(p.toUri().getPath()).toPath()
+                self.jvm.java.nio.file.Files.createLink(local(self.path(at)), local(temporary))
+                return True
+            return not self.exists(at) and self.fs.rename(temporary, self.path(at))
+        except Py4JJavaError as e:
+            if "FileAlreadyExists" in e.java_exception.getClass().getName():
+                return False
+            raise
+        finally:
             self.fs.delete(temporary, False)
-            return False
-        return True
 
     def delete(self, at: str) -> None:
         self.fs.delete(self.path(at), True)
@@ -121,9 +131,12 @@ class Table:
         state["version"] = version
         return state
 
-    def commit(self, op: str, add: list[FileEntry], remove: list[str] = (), meta: dict | None = None, schema: T.StructType | None = None, kind: str | None = None) -> int:
+    def commit(self, op: str, add: list[FileEntry], remove: list[str] = (), meta: dict | None = None, schema: T.StructType | None = None, kind: str | None = None, on: int | None = None) -> int:
+        """Adds a version and returns it. on: the version that the change was computed from, if it holds for no other."""
         for _ in range(RETRIES):
             now = self.state()
+            if on is not None and now["version"] != on:
+                raise CommitConflict(f"{self.name} is at version {now['version']}, no longer {on}")
             if missing := [p for p in remove if p not in now["files"]]:
                 raise CommitConflict(f"{len(missing)} files are gone from {self.name}")
             version = now["version"] + 1
@@ -190,17 +203,22 @@ class Table:
     def set_layout(self, column: str) -> int:
         return self.commit("layout", [], meta={"layout": column})
 
-    def replace(self, df: DataFrame) -> int:
-        old, schema = list(self.state()["files"]), self._checked(df, True)
+    def replace(self, df: DataFrame, on: int | None = None) -> int:
+        """All rows by others. on: the version that df was computed from; if the table has another by then, nothing is
+        written and CommitConflict raised, so that rows appended meanwhile aren't lost. Default: the version at the call.
+        """
+        state = self.state(on)
+        schema = self._checked(df, True)
         add = self._write(df)
         if not sum(f.rows for f in add):
             raise ValueError("a replacement without rows is refused")
-        return self.commit("replace", add, old, schema=schema)
+        return self.commit("replace", add, list(state["files"]), schema=schema, on=state["version"])
 
     def compact(self) -> int:
         """Few files by ts (or the layout), with their statistics."""
-        old = list(self.state()["files"])
-        return self.commit("compact", self._write(self.read(), None if self.state()["meta"].get("layout") else ["ts"]), old)
+        state = self.state()
+        old = list(state["files"])  # rows appended meanwhile are in other files, which stay
+        return self.commit("compact", self._write(self.read(state["version"]), None if self.state()["meta"].get("layout") else ["ts"]), old)
 
     def delete_range(self, t0: int, t1: int) -> int:
         """Drops rows with ts in [t0, t1]: covered files go, others that may hold such rows are written anew."""
@@ -334,23 +352,40 @@ class Store:
                 self.files.delete(f)
         return gone
 
-    def upsert(self, name: str, rows: DataFrame, keys: list[str], insert_only: list[str] = ()) -> int:
+    def upsert(self, name: str, rows: DataFrame, keys: list[str], insert_only: list[str] = (), on: int | None = None) -> int:
         """Rows by key: new ones are added, known ones get the new values but for the insert-only columns. Repeats of a
-        key in rows must be equal. Rewrites the table in one commit."""
+        key in rows must be equal. Rewrites the table in one commit, bound to the version it read: if another came
+        first, the rows are joined to that one anew. on: the only version the change holds for; another is a conflict."""
+        for last in reversed(range(RETRIES)):
+            try:
+                return self._upsert(name, rows, keys, insert_only, on)
+            except CommitConflict:
+                if on is not None or not last:
+                    raise
+        raise AssertionError
+
+    def _upsert(self, name: str, rows: DataFrame, keys: list[str], insert_only: list[str], on: int | None) -> int:
         t = self.table(name)
+        version = t.state()["version"] if on is None else on
         if t.schema() is None:
-            return t.append(rows.dropDuplicates(keys))
-        old, new = t.read().alias("o"), rows.dropDuplicates(keys).alias("n")
-        on = [F.col(f"o.{k}").eqNullSafe(F.col(f"n.{k}")) for k in keys]
+            return t.commit("append", t._write(rows.dropDuplicates(keys)), schema=t._checked(rows, False), kind="timeseries", on=version)
+        old, new = t.read(version).alias("o"), rows.dropDuplicates(keys).alias("n")
+        same = [F.col(f"o.{k}").eqNullSafe(F.col(f"n.{k}")) for k in keys]
         pick = [(F.coalesce(f"o.{c}", f"n.{c}") if c in insert_only or c in keys else F.when(F.col("n.ts").isNotNull(), F.col(f"n.{c}")).otherwise(F.col(f"o.{c}"))).alias(c) for c in rows.columns]
-        return t.replace(old.join(new, on, "full_outer").select(*pick))
+        return t.replace(old.join(new, same, "full_outer").select(*pick), version)
 
     def write_new(self, name: str, rows: DataFrame, key: str) -> int:
         """Appends rows whose key the table doesn't hold yet, each once; how many there were."""
         t = self.table(name)
-        new = rows.dropDuplicates([key])
-        if t.schema() is not None:
-            new = new.join(t.read().select(key), key, "left_anti").select(*rows.columns)
-        before = sum(f.rows for f in t.state()["files"].values())
-        t.append(new)
-        return sum(f.rows for f in t.state()["files"].values()) - before
+        for last in reversed(range(RETRIES)):
+            version, new = t.state()["version"], rows.dropDuplicates([key])
+            if t.schema() is not None:
+                new = new.join(t.read(version).select(key), key, "left_anti").select(*rows.columns)
+            add = t._write(new)
+            try:  # what is new depends on the version read
+                t.commit("append", add, schema=t._checked(new, False), kind="timeseries", on=version)
+                return sum(f.rows for f in add)
+            except CommitConflict:
+                if not last:
+                    raise
+        raise AssertionError

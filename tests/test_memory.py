@@ -116,3 +116,20 @@ def test_terminal_commands(spark, tmp_path):
     assert run(spark, [at, "history", "people"]).count() == 1 and run(spark, [at, "check"]).count() == 4
     with pytest.raises(SystemExit):
         run(spark, [at, "source", "x", "p", "toaster", "y"])
+
+
+def test_one_owner_for_each_question(spark, tmp_path):
+    """Two workers see the same question queued; the second one's claim is a conflict, so it takes the next."""
+    store = Store.create(spark, str(tmp_path / "claims"))
+    m, other = Memory(store), Memory(Store.open(spark, str(tmp_path / "claims")))
+    ids = {m.enqueue(0, 0, 1), m.enqueue(0, 2, 3)}
+    taken, mark = [], m._mark
+
+    def late(row, on=None, /, **new):
+        if not taken:
+            taken.append(other.claim("second"))
+        mark(row, on, **new)
+
+    m._mark = late
+    assert {m.claim("first"), *taken} == ids
+    assert m.claim("first") is None and m.rows("queries").where("status = 'running'").count() == 2

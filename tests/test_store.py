@@ -77,3 +77,35 @@ def test_upserts_layout_ingest_and_alignment(spark, store):
     assert {r["name"] for r in store.describe().collect()} == {"s", "e"}
     with pytest.raises(FileNotFoundError):
         Store.open(spark, store.root + "-none")
+
+
+def test_two_writers_lose_nothing(spark, tmp_path):
+    """An append between the read and the commit of a replacement: the replacement is refused, an upsert done anew."""
+    store = Store.create(spark, str(tmp_path / "two"))
+    t = store.table("t")
+    rows = lambda *xs: spark.createDataFrame(list(xs), "ts long, id string, v long")
+    t.append(rows((1, "a", 1)))
+    version = t.state()["version"]
+    t.append(rows((2, "b", 2)))
+    with pytest.raises(CommitConflict):
+        t.replace(rows((9, "z", 9)), version)
+    assert t.read().count() == 2
+    held, writes = t._write, []
+
+    def slow(df, order=None):
+        made = held(df, order)
+        if not writes:  # another writer comes first
+            writes.append(1)
+            store.table("t").append(rows((3, "c", 3)))
+        return made
+
+    store.table = lambda name, table=store.table: setattr(made := table(name), "_write", slow) or made if not writes else table(name)
+    store.upsert("t", rows((4, "a", 7), (5, "d", 4)), ["id"])
+    assert writes and sorted((r["id"], r["v"]) for r in t.read().collect()) == [("a", 7), ("b", 2), ("c", 3), ("d", 4)]
+
+
+def test_a_name_is_created_once(spark, tmp_path):
+    files = Store.create(spark, str(tmp_path / "once")).files
+    at = str(tmp_path / "once" / "x.json")
+    assert files.create(at, "1") and not files.create(at, "2") and files.read(at) == "1"
+    assert not [n for n in files.names(str(tmp_path / "once")) if n.endswith(".tmp")]
