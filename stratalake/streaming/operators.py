@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+
 import pandas as pd
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
@@ -26,18 +29,27 @@ def once_each(stream: DataFrame, key: str, on: str, late: str) -> DataFrame:
 
 
 def grid_sampler(stream: DataFrame, by: str, time: str, value: str, period: float, size: int) -> DataFrame:
-    """Takes a key's first row at or after each multiple of `period` seconds, and emits an atom (key, t0, mean) when
-    `size` rows have been taken. State holds at most `size` values a key; rows must come in time order within a key."""
+    """Takes a key's first row at or after each time of a grid of `period` seconds, and emits an atom (key, t0, mean) when
+    `size` rows have been taken. t0 is the grid time that the atom's first row was due on, so atoms tile the stream
+    whatever its jitter; the grid begins at the last multiple of `period` before the key's first row. A row without a
+    value ends its key's recording: a partial atom is emitted as it is, and the next row begins a new grid. State holds at
+    most `size` values a key; rows must come in time order within a key."""
 
     def step(key, frames, state: GroupState):
         due, t0, held = state.get if state.exists else (None, None, [])
         held, out = list(held), []
         for pdf in frames:
             for t, v in pdf.sort_values(time)[[time, value]].itertuples(index=False):
-                if due is None or t >= due:
-                    t0 = t if not held else t0
+                if pd.isna(v):
+                    if held:
+                        out.append((key[0], t0, sum(held) / len(held)))
+                    due, held = None, []
+                    continue
+                due = t // period * period if due is None else due
+                if t >= due - 1e-9:
+                    t0 = due if not held else t0
                     held.append(float(v))
-                    due = (t // period + 1) * period
+                    due += period
                     if len(held) == size:
                         out.append((key[0], t0, sum(held) / size))
                         held = []
@@ -70,7 +82,22 @@ def stable_files(polls: DataFrame) -> DataFrame:
 
 
 def run_to_end(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """What a stream gives once all its present input is processed (in memory: for results of bounded size)."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    """What a stream gives once all its present input is processed, read from files in the shared checkpoint folder. In
+    complete mode each batch is the whole result and replaces the one before."""
+    spark = stream.sparkSession
+    at = f"{shared_folder(spark)}/streams/{name}"
+    out = stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{at}/progress")
+    if mode == "append":
+        query = out.format("parquet").option("path", f"{at}/rows").start()
+    else:
+        query = out.foreachBatch(lambda rows, _: rows.write.mode("overwrite").parquet(f"{at}/rows")).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    return spark.read.schema(stream.schema).parquet(f"{at}/rows")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session names for checkpoints; a temporary one on a single machine that names none."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return named or os.path.join(tempfile.gettempdir(), "stratalake-checkpoints")
