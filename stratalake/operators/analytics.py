@@ -58,7 +58,9 @@ def gated_events(df: DataFrame, by: list[str], on: str, score: str, q: float, le
 
 
 def apart(a: np.ndarray, b: np.ndarray, trials: int = 200, seed: int = 0) -> tuple[float, float]:
-    """Distance of two means, and the share of random relabellings with at least that distance, (k + 1) / (n + 1)."""
+    """Distance of the means of two sets of vectors scaled to length 1, and the share of random relabellings with at least
+    that distance, (k + 1) / (n + 1)."""
+    a, b = (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300) for x in (a, b))
     gap = lambda x, y: float(np.linalg.norm(x.mean(0) - y.mean(0)))
     seen, both, rng = gap(a, b), np.concatenate((a, b)), np.random.default_rng(seed)
     more = 0

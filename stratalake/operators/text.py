@@ -45,10 +45,18 @@ def tfidf_search(df: DataFrame, key: str, terms: Column, query_terms: list[str])
 
 
 def parsed(query: Column) -> Column:
-    """wanted and unwanted clauses of a query: parts between AND or ;, those after NOT or a leading minus unwanted."""
-    parts = F.filter(F.transform(F.split(query, r"\s+AND\s+|;"), lambda p: F.trim(p)), lambda p: p != "")
-    negative = lambda p: p.rlike(r"^(NOT\s+|-)")
-    return F.struct(F.filter(parts, lambda p: ~negative(p)).alias("wanted"), F.transform(F.filter(parts, negative), lambda p: F.regexp_replace(p, r"^(NOT\s+|-)", "")).alias("unwanted"))
+    """wanted and unwanted clauses of a query.
+
+    What follows a NOT, up to the next one, is unwanted, as are words with a leading minus wherever they stand before it;
+    the rest is parted at AND or ;. A query that wants nothing wants its own text.
+    """
+    sides = F.split(query, r"\bNOT\b")
+    terms = F.transform(F.split(sides[0], r"\bAND\b|;"), lambda t: F.filter(F.split(F.trim(t), r"\s+"), lambda w: w != ""))
+    minus = lambda w: w.rlike(r"^-.")
+    wanted = F.filter(F.transform(terms, lambda ws: F.array_join(F.filter(ws, lambda w: ~minus(w)), " ")), lambda t: t != "")
+    after = F.filter(F.transform(F.slice(sides, 2, F.size(sides)), lambda t: F.trim(t)), lambda t: t != "")
+    words = F.transform(F.filter(F.flatten(terms), minus), lambda w: F.substring(w, F.lit(2), F.length(w)))
+    return F.struct(F.when(F.size(wanted) > 0, wanted).otherwise(F.array(query)).alias("wanted"), F.concat(after, words).alias("unwanted"))
 
 
 def stem(word: Column) -> Column:

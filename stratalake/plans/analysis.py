@@ -49,7 +49,9 @@ def shifted_stretches(spark, d):
 
 @query()
 def aligned_paths(spark, d):
-    v = vectors(spark, d).where("label in (1, 2)").select(F.lit(0).cast("long").alias("key"), (F.col("label") - 1).alias("side"), "vec_id", "v")
+    """Labels by twos, stretch by stretch of 50 rows: a table of one alignment has 2500 cells at most."""
+    v = vectors(spark, d).withColumn("k", F.floor((F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1) / 50))
+    v = v.select((F.floor(F.col("label") / 2) * 2**32 + F.col("k")).cast("long").alias("key"), (F.col("label") % 2).alias("side"), "vec_id", "v")
     return analytics.aligned_path(v, ["key"], "side", "vec_id", "v")
 
 
@@ -63,11 +65,10 @@ def region_nesting(spark, d):
     return analytics.smallest_enclosing(b, ["g"], "k", "x0", "y0", "x1", "y1").select("g", "k", F.coalesce("parent", F.lit(-1)).alias("parent"))
 
 
-@query(f"""WITH {VECTORS}, s AS (SELECT * FROM vectors WHERE vec_id < 40), e AS (SELECT vec_id, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM s), m AS (SELECT i, avg(x) AS m FROM e GROUP BY 1), c AS (SELECT vec_id, list(x - m ORDER BY i) AS v FROM e JOIN m USING (i) GROUP BY 1)
+@query(f"""WITH {VECTORS}, e AS (SELECT vec_id, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM vectors), m AS (SELECT i, avg(x) AS m FROM e GROUP BY 1), c AS (SELECT vec_id, list(x - m ORDER BY i) AS v FROM e JOIN m USING (i) GROUP BY 1)
   SELECT a.vec_id, arg_min(b.vec_id, (round(list_cosine_similarity(a.v, b.v), 9), b.vec_id)) AS opposite FROM c a JOIN c b ON a.vec_id <> b.vec_id GROUP BY 1""")
 def opposite_pairs(spark, d):
-    """Of the first 40 ids, as the SQL has it; all vectors: opposite_pairs_all."""
-    return analytics.opposites(vectors(spark, d).where("vec_id < 40"), "vec_id", "v")
+    return analytics.opposites(vectors(spark, d), "vec_id", "v")
 
 
 @query(f"""WITH {VECTORS}, e AS (SELECT vec_id, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM vectors), m AS (SELECT i, avg(x) AS m FROM e GROUP BY 1), c AS (SELECT vec_id, list(x - m ORDER BY i) AS v FROM e JOIN m USING (i) GROUP BY 1)
@@ -151,12 +152,13 @@ def atoms_of_span(spark, d):
     return q.withColumn("anyin", F.max("within").over(Window.partitionBy("cust"))).where(F.col("within") | ~F.col("anyin")).select("id")
 
 
-@query(f"WITH {SPANS} SELECT a.id AS a, b.id AS b, round(greatest(0, least(a.t1, b.t1) - greatest(a.t0, b.t0))::DOUBLE / (greatest(a.t1, b.t1) - least(a.t0, b.t0)), 6) AS iou FROM spans a JOIN spans b ON a.cust = b.cust AND a.id < b.id AND a.t0 < b.t1 AND b.t0 < a.t1 WHERE a.t1 > a.t0 OR b.t1 > b.t0")
+@query(f"WITH {SPANS} SELECT a.id AS a, b.id AS b, greatest(0, least(a.t1, b.t1) - greatest(a.t0, b.t0)) AS shared, greatest(a.t1, b.t1) - least(a.t0, b.t0) AS both FROM spans a JOIN spans b ON a.cust = b.cust AND a.id < b.id AND a.t0 < b.t1 AND b.t0 < a.t1 WHERE a.t1 > a.t0 OR b.t1 > b.t0")
 def span_iou(spark, d):
     s = spans(spark, d)
     a, b = s.select(F.col("id").alias("a"), "cust", "t0", "t1"), s.select(F.col("id").alias("b"), "cust", F.col("t0").alias("u0"), F.col("t1").alias("u1"))
     j = intervals.range_join(a, b, ["cust"], ("t0", "t1"), ("u0", "u1"), 128).where("a < b and t0 < u1 and u0 < t1")
-    return j.select("a", "b", F.round(iou(F.col("t0"), F.col("t1"), F.col("u0"), F.col("u1")), 6).alias("iou"))
+    both = F.greatest("t1", "u1") - F.least("t0", "u0")
+    return j.select("a", "b", F.round(iou(F.col("t0"), F.col("t1"), F.col("u0"), F.col("u1")) * both).cast("long").alias("shared"), both.alias("both"))
 
 
 @query("SELECT o_orderkey FROM orders WHERE o_orderstatus IN ('O', 'F', 'P') AND o_totalprice > 0 AND length(o_orderpriority) BETWEEN 1 AND 40 AND o_custkey IS NOT NULL")

@@ -61,9 +61,10 @@ def cover_greedy(spark, d):
     return vec.farthest_points(vectors(spark, d), "vec_id", "v", 5)
 
 
-@query(f"""WITH {VECTORS}, e AS (SELECT label, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM vectors WHERE label IN (1, 2)), m AS (SELECT label, i, avg(x) AS m FROM e GROUP BY 1, 2) SELECT round(sqrt(sum((a.m - b.m) * (a.m - b.m))), 6) AS apart FROM m a JOIN m b ON a.i = b.i AND a.label = 1 AND b.label = 2""")
+@query(f"""WITH {VECTORS}, u AS (SELECT label, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM vectors WHERE label IN (1, 2)), e AS (SELECT label, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM u), m AS (SELECT label, i, avg(x) AS m FROM e GROUP BY 1, 2) SELECT round(sqrt(sum((a.m - b.m) * (a.m - b.m))), 6) AS apart FROM m a JOIN m b ON a.i = b.i AND a.label = 1 AND b.label = 2""")
 def apart_distance(spark, d):
-    m = vec.mean_vector(vectors(spark, d).where("label in (1, 2)"), ["label"], "v")
+    """Distance of the means of two groups of unit vectors."""
+    m = vec.mean_vector(vectors(spark, d).where("label in (1, 2)").withColumn("v", unit(F.col("v"))), ["label"], "v")
     pair = m.where("label = 1").select(F.col("v").alias("a")).join(m.where("label = 2").select(F.col("v").alias("b")), F.lit(True))
     gap = F.zip_with("a", "b", lambda x, y: x - y)
     return pair.select(F.round(F.sqrt(dot(gap, gap)), 6).alias("apart"))
@@ -206,11 +207,14 @@ def recall_text(spark, d):
     return text.recall(load(spark, d, "conversations"), {"role": 3.0, "text": 1.0}, "the users thing").select("conv_id", "turn", "score")
 
 
-@query("""WITH q AS (SELECT event_id, event_type || ' AND user ' || user_id || '; NOT ' || event_type || ' page;-old ;' AS q FROM events), p AS (SELECT event_id, list_filter(list_transform(regexp_split_to_array(q, '\\s+AND\\s+|;'), lambda x: trim(x)), lambda x: x <> '') AS p FROM q)
-  SELECT event_id, array_to_string(list_filter(p, lambda x: NOT regexp_matches(x, '^(NOT\\s+|-)')), '|') AS wanted, array_to_string(list_transform(list_filter(p, lambda x: regexp_matches(x, '^(NOT\\s+|-)')), lambda x: regexp_replace(x, '^(NOT\\s+|-)', '')), '|') AS unwanted FROM p""")
+@query("""WITH q AS (SELECT event_id, CASE WHEN event_id % 5 = 0 THEN '-' || event_type ELSE event_type || ' -old AND user ' || user_id || '; - ' || event_type || ' page NOT a -x phone NOT ' || user_id || ' AND tail' END AS q FROM events),
+  s AS (SELECT event_id, q, regexp_split_to_array(q, '\\bNOT\\b') AS s FROM q), t AS (SELECT event_id, q, s, list_transform(regexp_split_to_array(s[1], '\\bAND\\b|;'), lambda x: list_filter(regexp_split_to_array(trim(x), '\\s+'), lambda w: w <> '')) AS t FROM s),
+  w AS (SELECT *, list_filter(list_transform(t, lambda ws: array_to_string(list_filter(ws, lambda w: NOT regexp_matches(w, '^-.')), ' ')), lambda x: x <> '') AS w FROM t)
+  SELECT event_id, CASE WHEN len(w) > 0 THEN array_to_string(w, '|') ELSE q END AS wanted, array_to_string(list_concat(list_filter(list_transform(s[2:], lambda x: trim(x)), lambda x: x <> ''), list_transform(list_filter(flatten(t), lambda w: regexp_matches(w, '^-.')), lambda w: w[2:])), '|') AS unwanted FROM w""")
 def parse_query(spark, d):
     e = load(spark, d, "events")
-    q = F.concat("event_type", F.lit(" AND user "), F.col("user_id").cast("string"), F.lit("; NOT "), "event_type", F.lit(" page;-old ;"))
+    long = F.concat("event_type", F.lit(" -old AND user "), F.col("user_id").cast("string"), F.lit("; - "), "event_type", F.lit(" page NOT a -x phone NOT "), F.col("user_id").cast("string"), F.lit(" AND tail"))
+    q = F.when(F.col("event_id") % 5 == 0, F.concat(F.lit("-"), "event_type")).otherwise(long)
     p = e.select("event_id", text.parsed(q).alias("p"))
     return p.select("event_id", F.array_join("p.wanted", "|").alias("wanted"), F.array_join("p.unwanted", "|").alias("unwanted"))
 

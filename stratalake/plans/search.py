@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+
 import pyspark.sql.functions as F
 from pyspark.sql import Window
 
@@ -18,7 +21,10 @@ QUERIES, ORACLES = query.queries, query.oracles
 
 def _checkpointed(spark):
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "/tmp/stratalake-checkpoints"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "stratalake-checkpoints"))
 
 
 FAR = f"""WITH {VECTORS}, n AS (SELECT a.vec_id, 1 - max(list_cosine_similarity(a.v, b.v)) AS far FROM vectors a, vectors b WHERE a.label >= 3 AND b.label < 3 GROUP BY 1),
@@ -65,7 +71,7 @@ def hybrid_search(spark, d):
     docs, v = load(spark, d, "documents", "embeddings")
     q = v.where("vec_id = 3").select(F.col("embedding").alias("q"))
     look = v.join(F.broadcast(q), F.lit(True)).select(F.col("vec_id").alias("doc_id"), cosine(F.col("embedding"), F.col("q")).alias("appearance"))
-    words = docs.where("doc_id = 3").select(F.substring("text", 1, 60)).first()[0]  # the question: the words of one row
+    words = docs.where("doc_id = 3").select("text").first()[0]  # the question: the words of one row
     return search.hybrid(docs.where("text is not null"), "doc_id", "text", words, look, dims=16)
 
 

@@ -68,10 +68,10 @@ def stream_sampler(spark, d):
     return streams.run_to_end(streams.grid_sampler(s, "event_type", "t", "value", 3600.0, 4), f"t{uuid.uuid4().hex}")
 
 
-@query("SELECT event_id, sum(user_id) OVER (ORDER BY event_id DESC)::BIGINT AS used FROM events WHERE event_id < 200 QUALIFY used <= 4096")
+@query("SELECT event_id, sum(user_id) OVER (ORDER BY event_id DESC)::BIGINT AS used FROM events QUALIFY used <= 4096")
 def token_budget(spark, d):
-    """The newest rows whose token counts sum to a budget, of the first 200 ids as the SQL has it; all events: token_budget_all."""
-    return ranking.within_budget(load(spark, d, "events").where("event_id < 200"), "event_id", "user_id", 4096, "used").select("event_id", "used")
+    """The newest rows whose token counts sum to a budget."""
+    return ranking.within_budget(load(spark, d, "events"), "event_id", "user_id", 4096, "used").select("event_id", "used")
 
 
 @query("SELECT event_id, sum(user_id) OVER (ORDER BY event_id DESC)::BIGINT AS used FROM events QUALIFY used <= 4096")
