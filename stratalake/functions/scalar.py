@@ -5,6 +5,8 @@ from __future__ import annotations
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame
 
+from stratalake.functions.quantiles import quantiles
+
 #: Upper bounds of the median magnitude of an epoch for seconds, milliseconds and microseconds; nanoseconds beyond.
 EPOCH_BOUNDS = ((1e11, "s", 10**9), (1e14, "ms", 10**6), (1e17, "us", 10**3))
 
@@ -20,7 +22,7 @@ def epoch_unit(df: DataFrame, column: str) -> DataFrame:
     unit, factor = F.lit("ns"), F.lit(1)
     for bound, name, k in reversed(EPOCH_BOUNDS):
         unit, factor = F.when(m < bound, name).otherwise(unit), F.when(m < bound, k).otherwise(factor)
-    return df.agg(F.median(F.abs(F.col(column))).alias("median_abs")).select("median_abs", unit.alias("unit"), factor.cast("long").alias("to_ns"))
+    return quantiles(df.select(F.abs(F.col(column)).alias("_abs")), "_abs", {"median_abs": 0.5}).select("median_abs", unit.alias("unit"), factor.cast("long").alias("to_ns"))
 
 
 def overlaps(a0: Column, a1: Column, b0, b1) -> Column:

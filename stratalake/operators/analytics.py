@@ -7,7 +7,10 @@ import pandas as pd
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame, Window
 
-from stratalake.functions.scalar import dot
+from stratalake.functions.quantiles import quantiles
+from stratalake.functions.scalar import dot, unit
+from stratalake.operators.cuts import split
+from stratalake.operators.islands import _islands
 from stratalake.operators.sequence import align_path
 from stratalake.operators.vectors import BLOCK, mean_vector
 
@@ -32,6 +35,73 @@ def spaced(df: DataFrame, by: list[str], on: str, score: str, least: float) -> D
     return df.groupBy(*by).applyInPandas(one, df.schema)
 
 
+def lag_changes(df: DataFrame, by: list[str], on: str, vector: str, lags: tuple[int, ...] = (1, 2, 4, 8)) -> DataFrame:
+    """Adds `pyramid`: the sum over lags of 1 - cosine with the row that many before, over the median of all rows at that
+    lag (1 if that isn't positive), credited to the row (lag - 1) // 2 before the later of the two. Keys of fewer than
+    three rows have 0."""
+    w = Window.partitionBy(*by).orderBy(on)
+    v = df.withColumn("_u", unit(F.col(vector))).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*by)))
+    far = v.select("*", *((1 - dot(F.col("_u"), F.lag("_u", k).over(w))).alias(f"_far{k}") for k in lags))
+    long = far.select(F.explode(F.array(*(F.struct(F.lit(k).alias("_lag"), F.col(f"_far{k}").alias("_far")) for k in lags))).alias("_e")).select("_e.*")
+    medians = quantiles(long, "_far", {"_mid": 0.5}, ["_lag"])
+    row = medians.groupBy().agg(*(F.max(F.when((F.col("_lag") == k) & (F.col("_mid") > 0), F.col("_mid"))).alias(f"_mid{k}") for k in lags))
+    total = F.lit(0.0)
+    for k in lags:
+        credited = F.lead(f"_far{k}", (k - 1) // 2).over(w) if k > 2 else F.col(f"_far{k}")
+        total = total + F.coalesce(credited / F.coalesce(F.col(f"_mid{k}"), F.lit(1.0)), F.lit(0.0))
+    return far.join(F.broadcast(row), F.lit(True)).select(*df.columns, F.when(F.col("_n") < 3, F.lit(0.0)).otherwise(total).alias("pyramid"))
+
+
+def frozen(df: DataFrame, by: list[str], on: str, vector: str, at: float | None = None) -> DataFrame:
+    """Runs where nothing changes: keys, first and last row of each. The cosine with the next row is at least `at`, or
+    at least the cut that splits these cosines if one group lies close to 1 (else there is no run). Keys of fewer than
+    three rows have none."""
+    w = Window.partitionBy(*by).orderBy(on)
+    u = df.select(*by, on, unit(F.col(vector)).alias("_u"), F.count(F.lit(1)).over(Window.partitionBy(*by)).alias("_n"))
+    same = u.select(*by, on, F.lead(on).over(w).alias("_next"), dot(F.col("_u"), F.lead("_u").over(w)).alias("_cos"), "_n").where("_n > 2 and _next is not null")
+    if at is None:
+        same = same.join(F.broadcast(split(same, "_cos", 1.0)), F.lit(True)).withColumn("_still", F.col("_cos") >= F.col("cut"))
+    else:
+        same = same.withColumn("_still", F.col("_cos") >= at)
+    still = _islands(same, by, [on], ~F.coalesce(F.lag("_still").over(w), F.lit(False)) | ~F.col("_still")).where("_still")
+    return still.groupBy(*by, "island").agg(F.min(on).alias("first"), F.max("_next").alias("last")).drop("island")
+
+
+def changed(path: DataFrame, at: float | None = None) -> DataFrame:
+    """The steps of aligned paths (see aligned_path) whose distance is at least `at`, or at least the cut that splits the
+    distances if one group lies close to 0; no step without such a cut."""
+    if at is not None:
+        return path.where(F.col("distance") >= at)
+    return path.join(F.broadcast(split(path, "distance", 0.0)), F.col("distance") >= F.col("cut")).drop("cut")
+
+
+def first_hit_rate(df: DataFrame, key: str, left: str, right: str) -> DataFrame:
+    """One row, `rate`: the share of rows whose left vector is nearest to their own right vector (inner products, the
+    smallest key among equal ones); null for fewer than two rows. Vectors meet in blocks, and a row's best is kept per
+    block: nothing is collected."""
+    n = df.count()
+    blocks = max(1, -(-n // BLOCK))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
+    own = F.pmod(F.xxhash64(key), F.lit(blocks))
+    a = df.select(F.col(key).alias("key"), F.col(left).cast("array<double>").alias("vec"), own.alias("i"), every.alias("j"))
+    b = df.select(F.col(key).alias("key"), F.col(right).cast("array<double>").alias("vec"), own.alias("j"), every.alias("i"))
+    kind = dict(a.dtypes)["key"]
+
+    def meet(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        y = y.sort_values("key")
+        for lo in range(0, len(x) if len(y) else 0, 512):
+            part = x.iloc[lo : lo + 512]
+            s = np.stack(part["vec"].to_numpy()) @ np.stack(y["vec"].to_numpy()).T
+            top = s.argmax(1)
+            out.append(pd.DataFrame({"key": part["key"].to_numpy(), "match": y["key"].to_numpy()[top], "score": s[np.arange(len(s)), top]}))
+        return pd.concat(out) if out else pd.DataFrame({"key": [], "match": [], "score": []})
+
+    met = a.groupBy("i", "j").cogroup(b.groupBy("i", "j")).applyInPandas(meet, f"key {kind}, match {kind}, score double")
+    best = met.groupBy("key").agg(F.min_by("match", F.struct(-F.col("score"), "match")).alias("match"))
+    return best.agg(F.when(F.count(F.lit(1)) > 1, F.avg((F.col("key") == F.col("match")).cast("double"))).alias("rate"))
+
+
 def coarse(df: DataFrame, by: list[str], score: str) -> DataFrame:
     """Adds `coarse`: whether the score is above its key's mean."""
     m = df.groupBy(*by).agg(F.avg(score).alias("_m"))
@@ -43,7 +113,7 @@ def gated_events(df: DataFrame, by: list[str], on: str, score: str, q: float, le
     `least` rows apart: key and row of each start."""
     w = Window.partitionBy(*by).orderBy(on)
     smooth = df.select(*by, on, (F.sum(score).over(w.rowsBetween(-2, 2)) / 5).alias("_s"))
-    cut = smooth.groupBy(*by).agg(F.percentile("_s", F.lit(q)).alias("_cut"))
+    cut = quantiles(smooth, "_s", {"_cut": q}, by).drop("n")
     up = smooth.join(cut, by).withColumn("_b", F.lag("_s").over(w)).where((F.col("_s") > F.col("_cut")) & ((F.col("_b") <= F.col("_cut")) | F.col("_b").isNull())).select(*by, on)
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, Window
 
+from stratalake.functions.quantiles import order_values, quantiles
+
 BINS = 64
 
 
@@ -35,22 +37,65 @@ def split(df: DataFrame, column: str, anchor: float | None = None) -> DataFrame:
     return g.select(F.when(ok, (F.col("m_lo") + F.col("m_hi")) / 2).alias("cut"))
 
 
-def widest_gap(df: DataFrame, column: str, low: float = 0.05, high: float = 0.95, least: int = 8) -> DataFrame:
-    """One row, `cut`: the middle of the widest gap between neighbouring distinct values within two quantiles; null
-    for fewer than `least` values. Neighbours are found in range buckets, whose borders are joined by their ends."""
-    v = df.select(F.col(column).cast("double").alias("v")).where("v is not null")
-    q = v.agg(F.percentile("v", F.lit(low)).alias("a"), F.percentile("v", F.lit(high)).alias("b"), F.count("v").alias("n"))
-    inner = v.join(F.broadcast(q), F.lit(True)).where((F.col("v") >= F.col("a")) & (F.col("v") <= F.col("b")) & (F.col("n") >= least))
-    bucket = F.least(F.floor((F.col("v") - F.col("a")) / (F.col("b") - F.col("a")) * 1024), F.lit(1023))
+def _numbers(df: DataFrame, column: str) -> DataFrame:
+    return df.select(F.col(column).cast("double").alias("v")).where("v is not null and not isnan(v)")
+
+
+def _gap_between(v: DataFrame, ends: DataFrame) -> DataFrame:
+    """One row, `cut`: the middle of the widest gap (the first of equal ones) between neighbouring distinct values from
+    a to b, both in the one row of ends; neighbours are found in range buckets, whose borders are joined by their ends."""
+    inner = v.join(F.broadcast(ends), F.lit(True)).where((F.col("v") >= F.col("a")) & (F.col("v") <= F.col("b")))
+    bucket = F.least(F.floor(F.try_divide(F.col("v") - F.col("a"), F.col("b") - F.col("a")) * 1024), F.lit(1023))
     inner = inner.select("v", F.coalesce(bucket, F.lit(0)).alias("k")).distinct()
     inside = inner.select("v", F.lead("v").over(Window.partitionBy("k").orderBy("v")).alias("next")).where("next is not null")
-    ends = inner.groupBy("k").agg(F.min("v").alias("first"), F.max("v").alias("v"))  # 1024 rows at most
-    across = ends.select("v", F.lead("first").over(Window.orderBy("k")).alias("next")).where("next is not null")
+    borders = inner.groupBy("k").agg(F.min("v").alias("first"), F.max("v").alias("v"))  # 1024 rows at most
+    across = borders.select("v", F.lead("first").over(Window.orderBy("k")).alias("next")).where("next is not null")
     best = inside.union(across).agg(F.max_by(F.struct("v", "next"), F.struct(F.col("next") - F.col("v"), -F.col("v"))).alias("g"))
     return best.select(((F.col("g.v") + F.col("g.next")) / 2).alias("cut"))
 
 
+def widest_gap(df: DataFrame, column: str, low: float = 0.05, high: float = 0.95, least: int = 8) -> DataFrame:
+    """One row, `cut`: the middle of the widest gap between neighbouring distinct values within two quantiles; null
+    for fewer than `least` values."""
+    v = _numbers(df, column)
+    return _gap_between(v, quantiles(v, "v", {"a": low, "b": high}).where(F.col("n") >= least))
+
+
+def fit_cut(df: DataFrame, column: str, mode: str = "knee", q: float = 99.0) -> DataFrame:
+    """One row: n, cut, separation, frac_below.
+
+    knee: the middle of the widest gap between the values at places floor(n / 20) and floor(19 n / 20) - 1 of the order
+    (their value if they are all equal). quantile: the q-th percentile. otsu: the upper edge of the histogram bin after
+    which the between-class variance is largest, of n / 8 bins, but 16 at least and 256 at most. separation is the gap of
+    the means on both sides over the deviation of all values (0 with one side only), frac_below the share of values up
+    to the cut, both to three places. Fewer than eight values, or for otsu one value only: the cut and what follows are
+    null.
+    """
+    v, n = _numbers(df, column), F.col("n")
+    if mode == "quantile":
+        cut = quantiles(v, "v", {"cut": q / 100}).select("cut")
+    elif mode == "knee":
+        ends = order_values(v, "v", {"a": (0.05, F.floor(F.lit(0.05) * n)), "b": (0.95, F.floor(F.lit(0.95) * n) - 1)})
+        cut = ends.join(F.broadcast(_gap_between(v, ends)), F.lit(True)).select(F.coalesce("cut", "a").alias("cut"))
+    elif mode == "otsu":
+        r = v.agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.least(F.lit(256), F.greatest(F.lit(16), F.floor(F.count("v") / 8))).alias("bins"))
+        bin_ = F.least(F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * F.col("bins")), F.col("bins") - 1)
+        h = v.join(F.broadcast(r), F.lit(True)).where("hi > lo").groupBy(bin_.alias("bin"), "lo", "hi", "bins").agg(F.count(F.lit(1)).alias("c"))  # 256 rows at most
+        upto, whole = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0), Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        h = h.select("bin", "lo", "hi", "bins", *(F.sum(x).over(w).cast("double").alias(k + side) for k, x in (("w", F.col("c")), ("s", F.col("c") * F.col("bin"))) for side, w in (("0", upto), ("1", whole))))
+        between = F.pow(F.col("s1") * F.col("w0") - F.col("s0") * F.col("w1"), F.lit(2)) / (F.col("w0") * (F.col("w1") - F.col("w0")))
+        edge = F.col("lo") + (F.col("bin") + 1) * (F.col("hi") - F.col("lo")) / F.col("bins")
+        cut = h.where("w0 < w1").agg(F.max_by(edge, F.struct(between, -F.col("bin"))).alias("cut"))
+    else:
+        raise ValueError(f"no mode {mode!r}: knee, quantile or otsu")
+    below = F.col("v") <= F.col("cut")
+    met = v.join(F.broadcast(cut), F.lit(True), "left")
+    said = met.agg(F.count("v").alias("n"), F.max("cut").alias("cut"), F.stddev_pop("v").alias("dev"), F.avg(F.when(below, F.col("v"))).alias("lower"), F.avg(F.when(~below, F.col("v"))).alias("upper"), F.count(F.when(below, 1)).alias("under"))
+    ok = (n >= 8) & F.col("cut").isNotNull()
+    return said.select("n", F.when(ok, F.col("cut")).alias("cut"), F.when(ok, F.round(F.coalesce((F.col("upper") - F.col("lower")) / (F.col("dev") + 1e-12), F.lit(0.0)), 3)).alias("separation"), F.when(ok, F.round(F.col("under") / n, 3)).alias("frac_below"))
+
+
 def floor_at(df: DataFrame, column: str, q: float) -> DataFrame:
     """Rows at or above a quantile (linear interpolation) of the column."""
-    cut = df.agg(F.percentile(column, F.lit(q)).alias("_cut"))
+    cut = quantiles(df, column, {"_cut": q}).select("_cut")
     return df.join(F.broadcast(cut), F.col(column) >= F.col("_cut")).drop("_cut")

@@ -5,6 +5,8 @@ from __future__ import annotations
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame, Window
 
+from stratalake.functions.quantiles import quantiles
+
 
 def _islands(df: DataFrame, by: list[str], order: list, opens: Column) -> DataFrame:
     """Numbers runs: a row for which `opens` holds, or is unknown, starts a new one."""
@@ -37,7 +39,8 @@ def merge_spans(df: DataFrame, by: list[str], t0: str, t1: str, gap: Column | in
 def segments(df: DataFrame, by: list[str], t0: str, t1: str, score: str, lift: float = 0.55) -> DataFrame:
     """Segments of rows that score above median + lift * (top - median) of all rows, merged over gaps of up to the
     median length plus one: t0, t1, peak, mean, n of each."""
-    cut = df.agg(F.median(score).alias("_m"), F.max(score).alias("_top"), F.floor(F.median(F.col(t1) - F.col(t0))).alias("_len"))
+    length = quantiles(df.select((F.col(t1) - F.col(t0)).alias("_d")), "_d", {"_d": 0.5}).select(F.floor("_d").alias("_len"))
+    cut = quantiles(df, score, {"_m": 0.5}).select("_m").join(df.agg(F.max(score).alias("_top")), F.lit(True)).join(length, F.lit(True))
     high = df.join(F.broadcast(cut), F.lit(True)).where(F.col(score) > F.col("_m") + lift * (F.col("_top") - F.col("_m")))
     merged = merge_spans(high, by, t0, t1, F.col("_len") + 1)
     return merged.groupBy(*by, "island").agg(F.min(t0).alias("t0"), F.max(t1).alias("t1"), F.max(score).alias("peak"), F.avg(score).alias("mean"), F.count(F.lit(1)).alias("n"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, Window
 
+from stratalake.functions.quantiles import quantiles
 from stratalake.functions.scalar import unit
 from stratalake.operators import cuts, islands, lsa, ranking, sequence, text
 from stratalake.operators.vectors import nearest
@@ -69,7 +70,7 @@ def contrasted(steps: DataFrame, rec: int, begin: int, end: int, spans: DataFram
     if not sides:
         return mine
     near = plain_scores(own, steps.sparkSession.createDataFrame([(rec, a, b) for a, b in sides], "rec long, begin long, end long"))
-    gate = mine.agg(F.median("score").alias("mid")).join(near.agg(F.max("score").alias("near")), F.lit(True)).select((F.col("near") <= F.col("mid")).alias("open"))
+    gate = quantiles(mine, "score", {"mid": 0.5}).join(near.agg(F.max("score").alias("near")), F.lit(True)).select((F.col("near") <= F.col("mid")).alias("open"))
     out = mine.withColumn("less", F.lit(0.0))
     for a, b in sides:
         s = plain_scores(scored(a, b), spans).withColumnRenamed("score", "side")

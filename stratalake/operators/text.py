@@ -27,21 +27,21 @@ def attested(df: DataFrame, text: str, least: int, share: float) -> DataFrame:
 def tfidf_search(df: DataFrame, key: str, terms: Column, query_terms: list[str]) -> DataFrame:
     """key, score: cosine of sublinear TF-IDF vectors with the query's.
 
-    Counts are combined before the shuffle and vectors never leave the long form. The query is a short list, the IDF
-    table is joined by term.
+    Counts are combined before the shuffle and vectors never leave the long form. The query is a short list whose weights
+    ride on the IDF table, which is joined by term, so that lengths and products are sums of one aggregation.
     """
     n = df.count()
     tf = df.select(key, F.explode(terms).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
     idf = tf.groupBy("term").agg((F.log(F.lit(1.0 + n) / (1 + F.count(F.lit(1)))) + 1).alias("idf"))
-    w = tf.join(idf, "term").withColumn("w", (1 + F.log("tf")) * F.col("idf"))
-    length = w.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("len"))
     counts: dict[str, int] = {}
     for t in query_terms:
         counts[t] = counts.get(t, 0) + 1
-    q = df.sparkSession.createDataFrame(list(counts.items()), "term string, qtf long").join(idf, "term").withColumn("qw", (1 + F.log("qtf")) * F.col("idf"))
-    q = q.join(q.agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qlen")), F.lit(True)).select("term", "qw", "qlen")
-    hits = w.join(F.broadcast(q), "term").groupBy(key).agg(F.sum(F.col("w") * F.col("qw")).alias("dot"), F.first("qlen").alias("qlen"))
-    return hits.join(length, key).select(key, (F.col("dot") / (F.col("len") * F.col("qlen"))).alias("score"))
+    asked = df.sparkSession.createDataFrame(list(counts.items()), "term string, qtf long")
+    weights = idf.join(F.broadcast(asked), "term", "left").select("term", "idf", ((1 + F.log("qtf")) * F.col("idf")).alias("qw"))
+    own = weights.where(F.col("term").isin(list(counts))).agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qlen"))  # one row
+    w = tf.join(weights, "term").withColumn("w", (1 + F.log("tf")) * F.col("idf"))
+    met = w.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("len"), F.sum(F.col("w") * F.col("qw")).alias("dot")).where("dot is not null")
+    return met.join(F.broadcast(own), F.lit(True)).select(key, (F.col("dot") / (F.col("len") * F.col("qlen"))).alias("score"))
 
 
 def parsed(query: Column) -> Column:
@@ -59,6 +59,29 @@ def parsed(query: Column) -> Column:
     return F.struct(F.when(F.size(wanted) > 0, wanted).otherwise(F.array(query)).alias("wanted"), F.concat(after, words).alias("unwanted"))
 
 
+def clauses(query: Column) -> Column:
+    """The query with single spaces, and after it its parts between commas, "and", "AND" and "then" that have two words
+    or more and aren't the whole query, in order."""
+    whole = F.regexp_replace(F.trim(query), r"\s+", " ")
+    parts = F.transform(F.split(whole, r",|\b(?:and then|then|and|AND)\b"), lambda p: F.trim(p))
+    return F.concat(F.array(whole), F.filter(parts, lambda p: p.contains(" ") & (F.lower(p) != F.lower(whole))))
+
+
+# fixed values: articles, the words that end a phrase, and heads that name the scene itself
+ARTICLES = ("a", "an", "the")
+ENDS = (*ARTICLES, "and", "then", "it", "of", "to", "on", "in", "into", "onto", "from", "at")
+SCENE = ("table", "robot", "arm")
+
+
+def phrases(query: Column) -> Column:
+    """Phrases of an article and up to three words after it, in lower case, each once, in order. A word of ENDS is taken
+    as the third or sole word at most, and goes from the end; so do phrases that name the scene."""
+    stop = "|".join(ENDS)
+    found = F.regexp_extract_all(F.lower(query), F.lit(rf"\b((?:{'|'.join(ARTICLES)})\s+(?:(?!(?:{stop})\b)\w+\s+){{0,2}}\w+)"), 1)
+    bare = F.transform(found, lambda p: F.regexp_replace(F.regexp_replace(p, r"\s+", " "), rf"( (?:{stop}))+$", ""))
+    return F.array_distinct(F.filter(bare, lambda p: p.contains(" ") & ~F.get(F.split(p, " "), F.lit(1)).isin(*SCENE)))
+
+
 def stem(word: Column) -> Column:
     """Light stemming: a plural or verb ending goes from words of over four letters."""
     return F.when(F.length(word) > 4, F.regexp_replace(word, "(ing|ed|es|s)$", "")).otherwise(word)

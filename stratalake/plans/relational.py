@@ -5,6 +5,7 @@ from __future__ import annotations
 import pyspark.sql.functions as F
 from pyspark.sql import Window
 
+from stratalake.functions.quantiles import quantiles
 from stratalake.functions.scalar import epoch_unit, epoch_us
 from stratalake.operators import cuts, intervals, islands, ranking
 from stratalake.plans.base import SERIES, SPANS, Registry, load, series, spans
@@ -115,10 +116,11 @@ def join_predecessors(spark, d):
 @query("""SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users, round(min(value), 6) AS lo, round(max(value), 6) AS hi, round(avg(value), 6) AS mean, round(median(value), 6) AS med,
   round(stddev_pop(value), 6) AS dev, round(quantile_cont(value, 0.9), 6) AS q90 FROM events GROUP BY 1""")
 def group_sources(spark, d):
-    v = F.col("value")
-    return load(spark, d, "events").groupBy("event_type").agg(
-        F.count(F.lit(1)).alias("n"), F.count_distinct("user_id").alias("users"), F.round(F.min(v), 6).alias("lo"), F.round(F.max(v), 6).alias("hi"), F.round(F.avg(v), 6).alias("mean"),
-        F.round(F.median(v), 6).alias("med"), F.round(F.stddev_pop(v), 6).alias("dev"), F.round(F.percentile(v, F.lit(0.9)), 6).alias("q90"))
+    v, e = F.col("value"), load(spark, d, "events")
+    told = e.groupBy("event_type").agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("user_id").alias("users"), F.round(F.min(v), 6).alias("lo"), F.round(F.max(v), 6).alias("hi"), F.round(F.avg(v), 6).alias("mean"), F.round(F.stddev_pop(v), 6).alias("dev"))
+    places = quantiles(e, "value", {"med": 0.5, "q90": 0.9}, ["event_type"]).select("event_type", F.round("med", 6).alias("med"), F.round("q90", 6).alias("q90"))
+    return told.join(places, "event_type")
 
 
 @query("SELECT user_id, event_type, count(*) AS found_by, max(value) AS best, arg_max(event_id, (value, -event_id)) AS event_id FROM events GROUP BY 1, 2")

@@ -295,3 +295,11 @@ def context_summary(spark, d):
     c, o = load(spark, d, "customer", "orders")
     per = o.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"), F.min("o_orderkey").alias("lo"))
     return c.join(per, F.col("o_custkey") == F.col("c_custkey")).groupBy(F.col("c_mktsegment").alias("segment")).agg(F.count(F.lit(1)).alias("customers"), F.sum("n").alias("orders"), F.min("lo").alias("first_order"))
+
+
+@query(r"""WITH q AS (SELECT conv_id, turn, regexp_replace(trim(text), '\s+', ' ', 'g') AS q FROM conversations WHERE text IS NOT NULL), p AS (SELECT *, list_transform(regexp_split_to_array(q, ',|\b(?:and then|then|and|AND)\b'), lambda x: trim(x)) AS p FROM q)
+  SELECT conv_id, turn, array_to_string([q] || list_filter(p, lambda x: contains(x, ' ') AND lower(x) <> lower(q)), '|') AS clauses FROM p""")
+def query_clauses(spark, d):
+    """Every turn as a question: itself and its clauses."""
+    c = load(spark, d, "conversations").where("text is not null")
+    return c.select("conv_id", "turn", F.array_join(text.clauses(F.col("text")), "|").alias("clauses"))

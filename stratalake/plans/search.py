@@ -8,6 +8,7 @@ import tempfile
 import pyspark.sql.functions as F
 from pyspark.sql import Window
 
+from stratalake.functions.quantiles import quantiles
 from stratalake.functions.scalar import cosine
 from stratalake.functions.sql import register
 from stratalake.operators import clusters, graph_index, search, sequence
@@ -141,7 +142,7 @@ def score_bars(spark, d):
 def newest_share(spark, d):
     """The latest 30 per cent by time, as held-out rows."""
     o = load(spark, d, "orders").select("o_orderkey", F.unix_micros(F.col("o_orderdate").cast("timestamp")).alias("us"))
-    return o.join(F.broadcast(o.agg(F.percentile("us", F.lit(0.7)).alias("cut"))), F.col("us") >= F.col("cut")).select("o_orderkey")
+    return o.join(F.broadcast(quantiles(o, "us", {"cut": 0.7}).select("cut")), F.col("us") >= F.col("cut")).select("o_orderkey")
 
 
 @query("""WITH l AS (SELECT l_orderkey, list(l_quantity::DOUBLE ORDER BY l_linenumber, l_quantity)[:4] AS q FROM lineitem GROUP BY 1), f AS (SELECT l_orderkey, len(q) AS n, CASE len(q) WHEN 1 THEN q || [q[1], q[1], q[1]] WHEN 2 THEN q || [q[2], q[2]] WHEN 3 THEN q || [q[3]] ELSE q END AS q FROM l)

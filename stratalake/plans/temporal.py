@@ -5,7 +5,8 @@ from __future__ import annotations
 import pyspark.sql.functions as F
 from pyspark.sql import Window
 
-from stratalake.operators import intervals, islands
+from stratalake.functions.quantiles import quantiles
+from stratalake.operators import analytics, cuts, intervals, islands
 from stratalake.plans.base import SERIES, SPANS, VECTORS, Registry, series, spans, vectors
 
 query = Registry()
@@ -141,7 +142,7 @@ def lag_change(spark, d):
 
     w = Window.partitionBy("label").orderBy("vec_id")
     s = vectors(spark, d).select("label", "v", F.lag("v").over(w).alias("p"), (F.row_number().over(w) - 1).cast("long").alias("pos")).where("p is not null").select("label", "pos", (1 - cosine(F.col("v"), F.col("p"))).alias("x"))
-    return s.join(s.groupBy("label").agg(F.median("x").alias("m")), "label").select("label", "pos", F.round(F.col("x") / F.col("m"), 6).alias("change"))
+    return s.join(quantiles(s, "x", {"m": 0.5}, ["label"]), "label").select("label", "pos", F.round(F.col("x") / F.col("m"), 6).alias("change"))
 
 
 @query(f"""WITH {SPANS}, e AS (SELECT stream, t0, row_number() OVER (PARTITION BY stream ORDER BY t0) AS k FROM (SELECT DISTINCT stream, t0 FROM spans)) SELECT a.stream, a.t0, b.t0 AS t1, b.k - a.k AS events FROM e a JOIN e b ON a.stream = b.stream AND b.k - a.k BETWEEN 1 AND 3""")
@@ -151,3 +152,45 @@ def proposals(spark, d):
     e = spans(spark, d).select("stream", "t0").distinct()
     ahead = F.array(*(F.struct(F.lead("t0", k).over(w).alias("t1"), F.lit(k).cast("long").alias("events")) for k in (1, 2, 3)))
     return e.withColumn("ahead", ahead).select("stream", "t0", F.explode("ahead").alias("p")).select("stream", "t0", "p.*").where("t1 is not null")
+
+
+@query(f"""WITH {VECTORS}, w AS (SELECT vec_id, label, v, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS k, count(*) OVER (PARTITION BY label) AS n FROM vectors),
+  f AS (SELECT a.label, a.k - (l.lag - 1) // 2 AS k, l.lag, 1 - list_cosine_similarity(a.v, b.v) AS far FROM w a CROSS JOIN (SELECT unnest([1, 2, 4, 8]) AS lag) l JOIN w b ON b.label = a.label AND b.k = a.k - l.lag),
+  m AS (SELECT lag, median(far) AS mid FROM f GROUP BY 1), s AS (SELECT label, k, sum(far / CASE WHEN mid > 0 THEN mid ELSE 1 END) AS x FROM f JOIN m USING (lag) GROUP BY 1, 2)
+  SELECT vec_id, round(CASE WHEN n < 3 THEN 0 ELSE coalesce(x, 0) END, 6) AS pyramid FROM w LEFT JOIN s ON s.label = w.label AND s.k = w.k""")
+def lag_pyramid(spark, d):
+    """Changes at lags of 1, 2, 4 and 8 rows, each over the median at that lag, summed at the middle of the lag."""
+    return analytics.lag_changes(vectors(spark, d), ["label"], "vec_id", "v").select("vec_id", F.round("pyramid", 6).alias("pyramid"))
+
+
+@query(f"""WITH {VECTORS}, w AS (SELECT vec_id, label, v, lead(v) OVER o AS nv, lead(vec_id) OVER o AS nid, row_number() OVER o AS k, count(*) OVER (PARTITION BY label) AS n FROM vectors WINDOW o AS (PARTITION BY label ORDER BY vec_id)),
+  s AS (SELECT label, vec_id, nid, k - row_number() OVER (PARTITION BY label ORDER BY k) AS g FROM w WHERE n > 2 AND nid IS NOT NULL AND list_cosine_similarity(v, nv) >= 0.05)
+  SELECT label, min(vec_id) AS first, max(nid) AS last FROM s GROUP BY label, g""")
+def frozen_runs(spark, d):
+    return analytics.frozen(vectors(spark, d), ["label"], "vec_id", "v", 0.05)
+
+
+FIT = """WITH v AS (SELECT value::DOUBLE AS v FROM events WHERE value IS NOT NULL), n AS (SELECT count(*) AS n FROM v), p AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS k FROM v),
+  e AS (SELECT v AS a, lead(v) OVER (ORDER BY k) AS b, k FROM p, n WHERE k BETWEEN floor(0.05::DOUBLE * n) AND floor(0.95::DOUBLE * n) - 1),
+  r AS (SELECT min(v) AS lo, max(v) AS hi, least(256, greatest(16, count(*) // 8)) AS bins FROM v), b AS (SELECT least(floor((v - lo) / (hi - lo) * bins), bins - 1) AS bin, lo, hi, bins, count(*) AS c FROM v, r GROUP BY ALL),
+  h AS (SELECT *, (sum(c) OVER (ORDER BY bin))::DOUBLE AS w0, (sum(c * bin) OVER (ORDER BY bin))::DOUBLE AS s0, (sum(c) OVER ())::DOUBLE AS w1, (sum(c * bin) OVER ())::DOUBLE AS s1 FROM b),
+  cuts AS (SELECT 'knee' AS mode, arg_max((a + b) / 2, (b - a, -a)) AS cut FROM e WHERE b IS NOT NULL UNION ALL SELECT 'quantile', quantile_cont(v, 0.99) FROM v
+    UNION ALL SELECT 'otsu', arg_max(lo + (bin + 1) * (hi - lo) / bins, ((s1 * w0 - s0 * w1) * (s1 * w0 - s0 * w1) / (w0 * (w1 - w0)), -bin)) FROM h WHERE w0 < w1)
+  SELECT mode, count(*) AS n, round(any_value(cut), 6) AS cut, round((avg(v) FILTER (v > cut) - avg(v) FILTER (v <= cut)) / (stddev_pop(v) + 1e-12), 3) AS separation, round(count(*) FILTER (v <= cut) / count(*), 3) AS frac_below FROM v, cuts GROUP BY mode"""
+
+
+@query(FIT)
+def fit_cut_modes(spark, d):
+    """The three ways to read a cut off the values of all events, with what tells whether they have a structure."""
+    v = series(spark, d).select("value")
+    modes = [cuts.fit_cut(v, "value", m).select(F.lit(m).alias("mode"), "n", F.round("cut", 6).alias("cut"), "separation", "frac_below") for m in ("knee", "quantile", "otsu")]
+    return modes[0].union(modes[1]).union(modes[2])
+
+
+@query(f"""WITH {VECTORS}, w AS (SELECT vec_id, v, lead(v, 1, v) OVER (PARTITION BY label ORDER BY vec_id) AS u FROM vectors), s AS (SELECT a.vec_id, arg_max(b.vec_id, (list_inner_product(a.v, b.u), -b.vec_id)) AS m FROM w a, w b GROUP BY 1)
+  SELECT round(avg((vec_id = m)::INT), 6) AS rate FROM s""")
+def first_hits(spark, d):
+    """How often a vector is nearest to the one that follows it in its recording, among all that follow some vector."""
+    w = Window.partitionBy("label").orderBy("vec_id")
+    v = vectors(spark, d).select("vec_id", "v", F.coalesce(F.lead("v").over(w), "v").alias("u"))
+    return analytics.first_hit_rate(v, "vec_id", "v", "u").select(F.round("rate", 6).alias("rate"))
