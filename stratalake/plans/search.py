@@ -11,7 +11,7 @@ from pyspark.sql import Window
 from stratalake.functions.quantiles import quantiles
 from stratalake.functions.scalar import cosine
 from stratalake.functions.sql import register
-from stratalake.operators import clusters, graph_index, search, sequence
+from stratalake.operators import clusters, graph_index, quantised, search, sequence
 from stratalake.plans.base import VECTORS, Registry, load, vectors
 from stratalake.plans.relational import SPLIT
 from stratalake.plans.retrieval import SCORES, _scores
@@ -58,6 +58,14 @@ def graph_index_search(spark, d):
     return graph_index.search(graph_index.build(v, "vec_id", "v"), v.where("vec_id % 100 = 0"), "vec_id", "v", 10)
 
 
+@query()
+def quantised_index_search(spark, d):
+    """Every row whose id 100 divides, against all rows, by stored codes in two thirds of the cells."""
+    v = vectors(spark, d)
+    index = quantised.build(v, "vec_id", "v")
+    return quantised.cell_search(index, v.where("vec_id % 100 = 0"), "vec_id", "v", 10, -(-2 * len(index.centres) // 3))
+
+
 @query()
 def contrasted_search(spark, d):
     _checkpointed(spark)

@@ -11,10 +11,12 @@ Every table has a column ts (long, not null); a column t1, if there is one, make
 from __future__ import annotations
 
 import json
+import os
 import time
 import uuid
 from dataclasses import asdict, dataclass, field
 
+import pandas as pd
 import pyspark.sql.functions as F
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
@@ -327,18 +329,42 @@ class Store:
                     out = out.join(resample(df.withColumn(c, F.col(c).cast("double")), ["_one"], "ts", c, step, how).select("ts", F.col(c).alias(f"{n}_{c}")), "ts", "left")
         return out
 
-    def ingest(self, name: str, df: DataFrame, ts_column: str, evolve: bool = False) -> int:
-        """Appends rows whose time is a timestamp, ISO text or an epoch of a unit told by its median magnitude."""
+    def ingest(self, name: str, data, ts_column: str = "ts", evolve: bool = False, unit: str = "auto") -> int:
+        """Appends rows in one commit; their time is a timestamp, ISO text or an epoch, whose unit (s, ms, us, ns) is told
+        by the median magnitude unless it is named.
+
+        data is a DataFrame, a pandas frame, an Arrow table, a dict of columns, or the path of CSV (with a header) or
+        Parquet files, which executors read in splits whatever their size.
+        """
         from stratalake.functions.scalar import epoch_unit, epoch_us
 
+        df = self._frame(data)
+        if ts_column not in df.columns:
+            raise ValueError(f"no column {ts_column!r} among {df.columns}")
         kind = dict(df.dtypes)[ts_column]
         if kind in ("timestamp", "timestamp_ntz", "date", "string"):
             ts = epoch_us(F.col(ts_column).cast("timestamp")) * 1000
         else:
-            factor = epoch_unit(df, ts_column).first()["to_ns"]
-            ts = F.round(F.col(ts_column) * F.lit(factor)).cast("long")
+            factors = {"s": 10**9, "ms": 10**6, "us": 10**3, "ns": 1}
+            if unit != "auto" and unit not in factors:
+                raise ValueError(f"no unit {unit!r}: auto, s, ms, us or ns")
+            factor = factors.get(unit) or epoch_unit(df, ts_column).first()["to_ns"]
+            ts = F.round(F.col(ts_column) * F.lit(factor).cast("long")).cast("long")
         return self.table(name).append(df.withColumn("_ts", ts.cast("long")).drop(*({ts_column, "ts"} & set(df.columns))).withColumnRenamed("_ts", "ts"), evolve)
 
+    def _frame(self, data) -> DataFrame:
+        if isinstance(data, DataFrame):
+            return data
+        if isinstance(data, (str, os.PathLike)):
+            path = os.fspath(data)
+            return self.spark.read.parquet(path) if path.endswith((".parquet", ".pq")) else self.spark.read.csv(path, header=True, inferSchema=True)
+        if isinstance(data, dict):
+            lengths = {len(v) for v in data.values()}
+            if len(lengths) > 1:
+                raise ValueError("columns of different lengths")
+            data = pd.DataFrame(data)
+        return self.spark.createDataFrame(data)
+
     def vacuum(self, retain: int = 1, dry_run: bool = True) -> list[str]:
         """Data files that none of the last `retain` versions of their table refers to; deleted unless dry."""
         gone = []

@@ -109,3 +109,21 @@ def test_a_name_is_created_once(spark, tmp_path):
     at = str(tmp_path / "once" / "x.json")
     assert files.create(at, "1") and not files.create(at, "2") and files.read(at) == "1"
     assert not [n for n in files.names(str(tmp_path / "once")) if n.endswith(".tmp")]
+
+
+def test_ingest_of_files_dicts_and_frames(spark, store, tmp_path):
+    (tmp_path / "x.csv").write_text("when,v\n1700000000,1.5\n1700000010,2.5\n")
+    (tmp_path / "iso.csv").write_text("when,v\n2024-01-01T00:00:01Z,7\n")
+    spark.createDataFrame([(5, 1.0)], "ts long, v double").write.parquet(str(tmp_path / "x.parquet"))
+    store.ingest("csv", str(tmp_path / "x.csv"), "when")
+    assert sorted(map(tuple, store.table("csv").read().select("ts", "v").collect())) == [(1_700_000_000 * 10**9, 1.5), (1_700_000_010 * 10**9, 2.5)]
+    assert store.table("csv").state()["version"] == 1  # one commit
+    store.ingest("iso", tmp_path / "iso.csv", "when")
+    assert store.table("iso").read().first()["ts"] == 1_704_067_201 * 10**9
+    store.ingest("parquet", str(tmp_path / "x.parquet"), unit="ms")
+    assert store.table("parquet").read().first()["ts"] == 5_000_000
+    store.ingest("dict", {"ts": [1, 2], "v": [0.5, 1.5]}, unit="ns")
+    assert [r["ts"] for r in store.table("dict").read().orderBy("ts").collect()] == [1, 2]
+    for bad in (lambda: store.ingest("bad", {"v": [1]}), lambda: store.ingest("bad", {"ts": [1]}, unit="h"), lambda: store.ingest("bad", {"ts": [1], "v": [1, 2]})):
+        with pytest.raises(ValueError):
+            bad()
