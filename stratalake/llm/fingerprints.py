@@ -81,9 +81,10 @@ def likeness(df: DataFrame, a: str, b: str, name: str) -> DataFrame:
 BUCKET_ROWS, BUCKETS = 2000, 8192
 
 
-def with_next(docs: DataFrame, *carried: str) -> DataFrame:
+def with_next(docs: DataFrame, made=lambda df: df, carried: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, text and carried columns of each row, and the same of the next row (next_...), by doc_id and then text;
-    after the last row comes the first. Null ids come first.
+    after the last row comes the first. Null ids come first. made adds the carried columns, which follow from the text;
+    it is applied once to each row, and once more to the first row of each bucket.
 
     Ids are dealt into buckets by quantiles, and each bucket also receives the first row of the bucket after it, so
     neighbours meet in windows over buckets: no window spans the table.
@@ -91,7 +92,7 @@ def with_next(docs: DataFrame, *carried: str) -> DataFrame:
     keyed = docs.withColumn("_key", F.coalesce("doc_id", F.lit(-(2**63))))
     n = docs.count()
     if not n:
-        return keyed.select("doc_id", "text", *carried, *(F.col(c).alias(f"next_{c}") for c in ("text", *carried)))
+        return made(keyed).select("doc_id", "text", *carried, *(F.col(c).alias(f"next_{c}") for c in ("text", *carried)))
     wanted = min(BUCKETS, n // BUCKET_ROWS)
     bounds: list[int] = []
     if wanted > 1:
@@ -106,9 +107,9 @@ def with_next(docs: DataFrame, *carried: str) -> DataFrame:
     heads = keyed.groupBy("_bucket").agg(F.min("_key").alias("_key"))  # a row for each bucket
     heads = heads.withColumn("_to", F.coalesce(F.lag("_bucket").over(Window.orderBy("_bucket")), F.max("_bucket").over(Window.partitionBy())))
     first = keyed.drop("_bucket").join(F.broadcast(heads.select("_key", "_to")), "_key")
-    first = first.groupBy("_to").agg(F.min(F.struct("text", *carried)).alias("_first")).select(F.col("_to").alias("_bucket"), "_first.*")
-    guest = first.select("_bucket", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("_key"), "text", *carried, F.lit(1).alias("_guest"))
-    both = keyed.select("_bucket", "doc_id", "_key", "text", *carried, F.lit(0).alias("_guest")).unionByName(guest)
+    first = first.groupBy("_to").agg(F.min("text").alias("text")).withColumnRenamed("_to", "_bucket")
+    guest = made(first).select("_bucket", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("_key"), "text", *carried, F.lit(1).alias("_guest"))
+    both = made(keyed).select("_bucket", "doc_id", "_key", "text", *carried, F.lit(0).alias("_guest")).unionByName(guest)
     order = Window.partitionBy("_bucket").orderBy("_guest", "_key", "text")
     return both.select("doc_id", "text", *carried, "_guest", *(F.lead(c).over(order).alias(f"next_{c}") for c in ("text", *carried))).where("_guest = 0").drop("_guest")
 
@@ -122,7 +123,7 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     ignored. A row's vector is computed once and goes along to the row before it.
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    both = with_next(vectors(base, "text", "v"), "v").withColumnRenamed("next_v", "x")
+    both = with_next(base, lambda df: vectors(df, "text", "v"), ("v",)).withColumnRenamed("next_v", "x")
     half = F.floor(F.length("text") / 2).cast("int")
     both = both.withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), F.length("text") - half), F.substring(F.col("next_text"), F.lit(1), half)))
     made = vectors(both, "edited", "e")
