@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stratalake.llm import byte_pairs, chat, fingerprints, licenses, media, ngram_join, packing, pieces, pii, quality, secrets
+from stratalake.llm import byte_pairs, chat, divergence, fingerprints, licenses, media, ngram_join, packing, pieces, pii, quality, secrets
 from stratalake.llm.common import table
 from stratalake.llm.vocabulary import tokenizer_path
 
@@ -54,6 +54,10 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_edits(table(spark, sf_dir, "documents"))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -67,7 +71,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = (op1_sentencepiece, op2_ngram_jaccard, op3_quality, op4_packing, op5_licenses, op6_chat, op7_pii, op8_media, op9_secrets, op10_fingerprints, op12_byte_bpe, pipeline)
+    found = (op1_sentencepiece, op2_ngram_jaccard, op3_quality, op4_packing, op5_licenses, op6_chat, op7_pii, op8_media, op9_secrets, op10_fingerprints, op11_divergence, op12_byte_bpe, pipeline)
     return {f.__name__: f for f in found}
 
 
