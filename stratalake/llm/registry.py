@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stratalake.llm import byte_pairs, chat, divergence, fingerprints, licenses, media, ngram_join, packing, pieces, pii, quality, secrets
+from stratalake.llm import byte_pairs, chat, divergence, fingerprints, licenses, media, ngram_join, packing, pieces, pii, quality, repair, secrets
 from stratalake.llm.common import table
 from stratalake.llm.vocabulary import tokenizer_path
 
@@ -64,6 +64,11 @@ def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_pairs.round_trip(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    return repair.summary(repair.repair(repair.damaged(conversations)), conversations)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -71,7 +76,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = (op1_sentencepiece, op2_ngram_jaccard, op3_quality, op4_packing, op5_licenses, op6_chat, op7_pii, op8_media, op9_secrets, op10_fingerprints, op11_divergence, op12_byte_bpe, pipeline)
+    found = (op1_sentencepiece, op2_ngram_jaccard, op3_quality, op4_packing, op5_licenses, op6_chat, op7_pii, op8_media, op9_secrets, op10_fingerprints, op11_divergence, op12_byte_bpe, op13_repair, pipeline)
     return {f.__name__: f for f in found}
 
 
