@@ -29,7 +29,7 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 KINDS = (*BASE, "format")
 #: Confidence of the merge test, examples used for inference, and the share of ordinary identifiers that may pass.
-ALPHA, EXAMPLES, FALSE_SHARE = 0.05, 2000, 0.001
+ALPHA, EXAMPLES, FALSE_SHARE = 0.05, 4000, 0.001
 #: Character classes and their members; any other character is a class of its own.
 CLASSES = {"vowel of hex": "ae", "consonant of hex": "bcdf", "vowel": "iou", "consonant": "ghjklmnpqrstvwxyz", "digit": "0123456789", "upper": "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
 CLASS_OF = {c: k for k, members in CLASSES.items() for c in members}
@@ -157,9 +157,10 @@ def credentials(seed: int, count: int) -> list[str]:
     forms = (
         lambda: "AKIA" + pick(upper + digit, 16), lambda: "ghp_" + pick(upper + lower + digit, 36), lambda: "sk_live_" + pick(upper + lower + digit, 24),
         lambda: "xoxb-" + pick(digit, 11) + "-" + pick(digit, 11) + "-" + pick(upper + lower + digit, 24), lambda: pick(upper + lower + digit + "+/", 40),
-        lambda: pick("0123456789abcdef", 32), lambda: "AIza" + pick(upper + lower + digit + "_-", 35),
+        lambda: pick("0123456789abcdef", 32), lambda: "AIza" + pick(upper + lower + digit + "_-", 35), lambda: pick(lower + digit, rng.randint(24, 44)),
+        lambda: pick(lower, rng.randint(2, 6)) + rng.choice("_-") + pick(upper + lower + digit + rng.choice(("", "_-")), rng.randint(16, 24)),
     )
-    alphabets = (upper + lower + digit, upper + lower + digit + "_-", "0123456789abcdef", upper + digit, lower + digit, upper + lower + digit)
+    alphabets = (upper + lower + digit, upper + lower + digit + "_-", "0123456789abcdef", upper + digit, lower + digit, lower + digit)
 
     def any_form() -> str:
         parts = [pick(rng.choice((lower, lower, upper)), rng.randint(2, 6)) for _ in range(rng.choice((0, 1, 1, 1, 2)))]
@@ -174,7 +175,7 @@ def credentials(seed: int, count: int) -> list[str]:
 def ordinary(seed: int, count: int) -> list[str]:
     """Long runs of token characters that are no secrets: identifiers, paths, dates, numbers, words, slugs, codes."""
     rng = random.Random(seed)
-    onsets, vowels, codas = "b c d f g h j k l m n p r s t v w br ch cl cr dr fl gr pl pr sc sh sp st str th tr".split(), "a e i o u ai ea io ou".split(), ["", "", "n", "r", "s", "t", "l", "m", "ng", "st", "ck"]
+    onsets, vowels, codas = "b c d f g h j k l m n p r s t v w br ch cl cr dr fl gr pl pr sc sh sp st str th tr sch pf kn qu schw z".split(), "a e i o u ai ea io ou".split(), ["", "", "", "n", "r", "s", "t", "l", "m", "ng", "st", "ck", "cht", "ft", "mpf", "hrt", "ll", "rg", "nd", "ff"]
     word = lambda: "".join(rng.choice(onsets) + rng.choice(vowels) + rng.choice(codas) for _ in range(rng.randint(1, 4)))
     number = lambda a, b: str(rng.randint(10**a, 10**b))
     year = lambda: str(rng.randint(1950, 2039))
@@ -208,21 +209,28 @@ def model() -> tuple[Automaton, Automaton, float]:
 
 
 def by_format(text: str, base: list, secret: Automaton, plain: Automaton, margin: float) -> list[tuple[int, int, str]]:
-    """Candidate runs, digits and letters in them, that no base span touches and whose margin is reached."""
+    """Candidate runs, digits and letters in them, that reach beyond the base spans and whose margin is reached. A run with
+    a base span in it is a secret already, in part: it only has to look more like a credential than like ordinary text."""
     raw = text.encode("utf-8", "replace")
     if len(raw.translate(None, _DIGITS)) == len(raw):
         return []
-    out, k, reach = [], 0, 0
+    out, k, reach, starts = [], 0, 0, [a for a, _, _ in base]
     for m in CANDIDATE.finditer(text):
-        while k < len(base) and base[k][0] < m.end():  # base spans go by start, candidates too
+        while k < len(base) and starts[k] <= m.start():  # base spans go by start, candidates too
             reach = max(reach, base[k][1])
             k += 1
-        if reach <= m.start() and any(c.isdigit() for c in m[0]) and sum(c.isalpha() for c in m[0]) >= 4:
-            if secret.bits(m[0]) - plain.bits(m[0]) >= margin:
+        if reach < m.end() and any(c.isdigit() for c in m[0]) and sum(c.isalpha() for c in m[0]) >= 4:
+            touched = reach > m.start() or (k < len(base) and starts[k] < m.end())
+            if secret.bits(m[0]) - plain.bits(m[0]) >= (0 if touched else margin):
                 out.append((*m.span(), "format"))
     return out
 
 
+def all_spans(text: str, base: list, learnt: tuple[Automaton, Automaton, float]) -> list[tuple[int, int, str]]:
+    """The base spans and those of the automata, by start, then kind and end."""
+    return sorted([*base, *by_format(text, base, *learnt)], key=lambda x: (x[0], KINDS.index(x[2]), x[1]))
+
+
 def find_secrets(docs: DataFrame) -> DataFrame:
     """A row for each row of docs: doc_id, text, base and spans (arrays of struct<start, end, kind>, in code points).
 
@@ -238,7 +246,7 @@ def find_secrets(docs: DataFrame) -> DataFrame:
         as_rows = lambda spans: [{"start": a, "end": b, "kind": k} for a, b, k in spans]
         for b in batches:
             base = [base_spans(t or "") for (t,) in rows(b, "text")]
-            more = [sorted([*s, *by_format(t or "", s, *learnt)], key=lambda x: (x[0], KINDS.index(x[2]), x[1])) for (t,), s in zip(rows(b, "text"), base)]
+            more = [all_spans(t or "", s, learnt) for (t,), s in zip(rows(b, "text"), base)]
             yield pa.record_batch([*b.columns, pa.array(map(as_rows, base), kind), pa.array(map(as_rows, more), kind)], ["doc_id", "text", "base", "spans"])
 
     span = "array<struct<start: long, end: long, kind: string>>"
@@ -261,8 +269,7 @@ def redact_secrets(docs: DataFrame) -> DataFrame:
             old = b.column(at).to_pylist()
             new = []
             for t in old:
-                base = base_spans(t) if t else []
-                spans = [*base, *by_format(t, base, *learnt)] if t else []
+                spans = all_spans(t, base_spans(t), learnt) if t else []
                 new.append(redacted(t, spans) if spans else t)
             columns = list(b.columns)
             columns[at] = pa.array(new, b.schema.field(at).type)
