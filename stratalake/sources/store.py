@@ -16,13 +16,17 @@ import time
 import uuid
 from dataclasses import asdict, dataclass, field
 
-import pandas as pd
+import pyarrow as pa
 import pyspark.sql.functions as F
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import types as T
 
 CHECKPOINT_EVERY, RETRIES = 10, 5
+#: File systems where a link or a rename fails if the name is taken, so that of two writers one sees the other.
+EXCLUSIVE = ("file", "hdfs", "viewfs", "webhdfs", "abfs", "abfss")
+#: Files that no version ever had may be of a write under way: they are spared until they are so old (seconds).
+UNDER_WAY = 24 * 3600
 
 
 class CommitConflict(RuntimeError):
@@ -44,15 +48,17 @@ class FileEntry:
         return not self.rows or ((t0 is None or end is None or end >= t0) and (t1 is None or self.min_ts is None or self.min_ts <= t1))
 
     def may_hold(self, column: str, low, high) -> bool:
+        """Whether a row may lie in [low, high]. A bound that is NaN (which sorts after all numbers) compares as neither, so it
+        rules nothing out."""
         zone = self.zone.get(column)
-        return zone is None or zone[0] is None or (low is None or zone[1] >= low) and (high is None or zone[0] <= high)
+        return zone is None or zone[0] is None or (low is None or not zone[1] < low) and (high is None or not zone[0] > high)
 
 
 class Files:
     """The few file operations a log needs, on any Hadoop file system."""
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.jvm = spark._jvm
+    def __init__(self, spark: SparkSession, root: str, single_writer: bool = False):
+        self.jvm, self.single_writer = spark._jvm, single_writer
         path = self.jvm.org.apache.hadoop.fs.Path(root)
         self.fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
         self.path = self.jvm.org.apache.hadoop.fs.Path
@@ -66,6 +72,11 @@ class Files:
     def sizes(self, at: str) -> dict[str, int]:
         return {s.getPath().getName(): s.getLen() for s in self.fs.listStatus(self.path(at))} if self.exists(at) else {}
 
+    def ages(self, at: str) -> dict[str, float]:
+        """Seconds since each file was changed."""
+        now = time.time()
+        return {s.getPath().getName(): now - s.getModificationTime() / 1000 for s in self.fs.listStatus(self.path(at))} if self.exists(at) else {}
+
     def read(self, at: str) -> str:
         stream = self.fs.open(self.path(at))
         try:
@@ -75,7 +86,10 @@ class Files:
 
     def create(self, at: str, text: str) -> bool:
         """Writes a whole new file; False if there is one of that name. It is written beside and then published in one
-        step that fails where the name is taken: a hard link on local disks, a rename elsewhere (which HDFS refuses)."""
+        step that fails where the name is taken: a hard link on local disks, a rename elsewhere (which HDFS refuses). Where
+        neither fails (object stores) two writers could both win, so writing is refused unless there is a single writer."""
+        if self.fs.getUri().getScheme() not in EXCLUSIVE and not self.single_writer:
+            raise ValueError(f"{self.fs.getUri().getScheme()} can't create files exclusively: open the store with single_writer=True if nobody else writes")
         temporary = self.path(f"{at}.{uuid.uuid4().hex}.tmp")
         stream = self.fs.create(temporary, False)
         stream.write(bytearray(text.encode()))
@@ -133,8 +147,9 @@ class Table:
         state["version"] = version
         return state
 
-    def commit(self, op: str, add: list[FileEntry], remove: list[str] = (), meta: dict | None = None, schema: T.StructType | None = None, kind: str | None = None, on: int | None = None) -> int:
-        """Adds a version and returns it. on: the version that the change was computed from, if it holds for no other."""
+    def commit(self, op: str, add: list[FileEntry], remove: list[str] = (), meta: dict | None = None, schema: T.StructType | None = None, kind: str | None = None, on: int | None = None, evolve: bool = False) -> int:
+        """Adds a version and returns it. on: the version that the change was computed from, if it holds for no other.
+        schema: that of the rows added; it joins the table's as of the version before, whoever wrote that."""
         for _ in range(RETRIES):
             now = self.state()
             if on is not None and now["version"] != on:
@@ -142,7 +157,8 @@ class Table:
             if missing := [p for p in remove if p not in now["files"]]:
                 raise CommitConflict(f"{len(missing)} files are gone from {self.name}")
             version = now["version"] + 1
-            entry = {"version": version, "ts_utc": time.time(), "op": op, "kind": kind, "schema": schema.json() if schema else None, "add": [asdict(f) for f in add], "remove": list(remove), "meta": meta or {}}
+            whole = self._law(schema, now["schema"] and T.StructType.fromJson(json.loads(now["schema"])), evolve) if schema else None
+            entry = {"version": version, "ts_utc": time.time(), "op": op, "kind": kind, "schema": whole.json() if whole else None, "add": [asdict(f) for f in add], "remove": list(remove), "meta": meta or {}}
             if self.files_.create(f"{self.root}/_log/{version:020d}.json", json.dumps(entry)):
                 if version % CHECKPOINT_EVERY == 0:
                     state = self.state(version)
@@ -163,21 +179,28 @@ class Table:
 
     # writing
 
-    def _checked(self, df: DataFrame, evolve: bool) -> T.StructType:
-        kinds, old = dict(df.dtypes), self.schema()
-        if kinds.get("ts") != "bigint":
+    @staticmethod
+    def _law(schema: T.StructType, old: T.StructType | None, evolve: bool) -> T.StructType:
+        """The schema of a table with rows of `schema` added to those of `old`."""
+        kinds = {f.name: f.dataType for f in schema}
+        if kinds.get("ts") != T.LongType():
             raise ValueError("a table needs a long column ts")
         if old is None:
-            return df.schema
+            return schema
         before = {f.name: f.dataType for f in old}
-        for f in df.schema:
+        for f in schema:
             if f.name in before and f.dataType != before[f.name]:
                 raise ValueError(f"{f.name} is {before[f.name].simpleString()}, not {f.dataType.simpleString()}")
-        new, gone = [f for f in df.schema if f.name not in before], set(before) - set(df.columns)
+        new, gone = [f for f in schema if f.name not in before], set(before) - set(kinds)
         if (new or gone) and not evolve:
             raise ValueError(f"columns differ: new {[f.name for f in new]}, missing {sorted(gone)}")
         return T.StructType([*old, *(T.StructField(f.name, f.dataType, True) for f in new)])
 
+    def _checked(self, df: DataFrame, evolve: bool) -> T.StructType:
+        """df's schema, once it is known to suit the table as it is now; the commit tells whether it still does."""
+        self._law(df.schema, self.schema(), evolve)
+        return df.schema
+
     def _write(self, df: DataFrame, order: list[str] | None = None) -> list[FileEntry]:
         """Parts of a write with their statistics, gathered by one grouped pass over what was written."""
         layout = self.state()["meta"].get("layout")
@@ -195,7 +218,7 @@ class Table:
 
     def append(self, df: DataFrame, evolve: bool = False, kind: str = "timeseries") -> int:
         schema = self._checked(df, evolve)
-        return self.commit("append", self._write(df), schema=schema, kind=kind)
+        return self.commit("append", self._write(df), schema=schema, kind=kind, evolve=evolve)
 
     def append_grouped(self, df: DataFrame, group: str) -> int:
         """Clustered by a column, so that its values lie in few files."""
@@ -214,7 +237,7 @@ class Table:
         add = self._write(df)
         if not sum(f.rows for f in add):
             raise ValueError("a replacement without rows is refused")
-        return self.commit("replace", add, list(state["files"]), schema=schema, on=state["version"])
+        return self.commit("replace", add, list(state["files"]), schema=schema, on=state["version"], evolve=True)
 
     def compact(self) -> int:
         """Few files by ts (or the layout), with their statistics."""
@@ -274,19 +297,19 @@ class Table:
 
 
 class Store:
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root, self.files = spark, root.rstrip("/"), Files(spark, root)
+    def __init__(self, spark: SparkSession, root: str, single_writer: bool = False):
+        self.spark, self.root, self.files = spark, root.rstrip("/"), Files(spark, root, single_writer)
 
     @classmethod
-    def create(cls, spark: SparkSession, root: str) -> Store:
-        store = cls(spark, root)
+    def create(cls, spark: SparkSession, root: str, single_writer: bool = False) -> Store:
+        store = cls(spark, root, single_writer)
         if not store.files.create(f"{store.root}/_store.json", json.dumps({"format": 1})):
             raise FileExistsError(root)
         return store
 
     @classmethod
-    def open(cls, spark: SparkSession, root: str) -> Store:
-        store = cls(spark, root)
+    def open(cls, spark: SparkSession, root: str, single_writer: bool = False) -> Store:
+        store = cls(spark, root, single_writer)
         if not store.files.exists(f"{store.root}/_store.json"):
             raise FileNotFoundError(root)
         return store
@@ -333,8 +356,9 @@ class Store:
         """Appends rows in one commit; their time is a timestamp, ISO text or an epoch, whose unit (s, ms, us, ns) is told
         by the median magnitude unless it is named.
 
-        data is a DataFrame, a pandas frame, an Arrow table, a dict of columns, or the path of CSV (with a header) or
-        Parquet files, which executors read in splits whatever their size.
+        data is a DataFrame, a pandas frame, an Arrow table, a dict of columns (whose values, nulls and large integers too,
+        stay as they are), or the path of CSV (with a header) or Parquet files, which executors read in splits whatever
+        their size; a folder is Parquet if files in it are.
         """
         from stratalake.functions.scalar import epoch_unit, epoch_us
 
@@ -357,30 +381,40 @@ class Store:
             return data
         if isinstance(data, (str, os.PathLike)):
             path = os.fspath(data)
-            return self.spark.read.parquet(path) if path.endswith((".parquet", ".pq")) else self.spark.read.csv(path, header=True, inferSchema=True)
+            suffixes = (".parquet", ".pq")
+            inside = [] if any(c in path for c in "*?{[") else Files(self.spark, path).names(path)
+            return self.spark.read.parquet(path) if path.endswith(suffixes) or any(n.endswith(suffixes) for n in inside) else self.spark.read.csv(path, header=True, inferSchema=True)
         if isinstance(data, dict):
             lengths = {len(v) for v in data.values()}
             if len(lengths) > 1:
                 raise ValueError("columns of different lengths")
-            data = pd.DataFrame(data)
+            data = pa.table({k: pa.array(v) for k, v in data.items()})
         return self.spark.createDataFrame(data)
 
-    def vacuum(self, retain: int = 1, dry_run: bool = True) -> list[str]:
-        """Data files that none of the last `retain` versions of their table refers to; deleted unless dry."""
+    def vacuum(self, retain: int = 3, dry_run: bool = True, under_way: float = UNDER_WAY) -> list[str]:
+        """Data files that none of the last `retain` versions of their table refers to; deleted unless dry. Files that no
+        version has had are left by a write that failed, or are of one under way: they go once they are `under_way` seconds
+        old, which must be more than the longest write takes."""
         gone = []
         for n in self.tables():
             t = self.table(n)
-            kept = {p for v in t.versions()[-retain:] for p in t.state(v)["files"]}
+            versions = t.versions()
+            kept = {p for v in versions[-retain:] for p in t.state(v)["files"]}
+            known = {f["path"] for v in versions for f in t._commit_at(v)["add"]}
             for d in self.files.names(f"{t.root}/data"):
-                gone += [f"{t.root}/data/{d}/{f}" for f in self.files.names(f"{t.root}/data/{d}") if f.startswith("part-") and f"data/{d}/{f}" not in kept]
+                for f, age in self.files.ages(f"{t.root}/data/{d}").items():
+                    path = f"data/{d}/{f}"
+                    if f.startswith("part-") and path not in kept and (path in known or age > under_way):
+                        gone.append(f"{t.root}/{path}")
         if not dry_run:
             for f in gone:
                 self.files.delete(f)
         return gone
 
     def upsert(self, name: str, rows: DataFrame, keys: list[str], insert_only: list[str] = (), on: int | None = None) -> int:
-        """Rows by key: new ones are added, known ones get the new values but for the insert-only columns. Repeats of a
-        key in rows must be equal. Rewrites the table in one commit, bound to the version it read: if another came
+        """Rows by key: new ones are added, known ones get the new values but for the insert-only columns and those that rows
+        hasn't, which stay (null in new rows). Columns that the table hasn't are added, null in its other rows. Repeats of
+        a key in rows must be equal; null keys are equal. Rewrites the table in one commit, bound to the version it read: if another came
         first, the rows are joined to that one anew. on: the only version the change holds for; another is a conflict."""
         for last in reversed(range(RETRIES)):
             try:
@@ -397,16 +431,25 @@ class Store:
             return t.commit("append", t._write(rows.dropDuplicates(keys)), schema=t._checked(rows, False), kind="timeseries", on=version)
         old, new = t.read(version).alias("o"), rows.dropDuplicates(keys).alias("n")
         same = [F.col(f"o.{k}").eqNullSafe(F.col(f"n.{k}")) for k in keys]
-        pick = [(F.coalesce(f"o.{c}", f"n.{c}") if c in insert_only or c in keys else F.when(F.col("n.ts").isNotNull(), F.col(f"n.{c}")).otherwise(F.col(f"o.{c}"))).alias(c) for c in rows.columns]
+        own, held = set(old.columns), set(rows.columns)
+
+        def value(c: str) -> Column:
+            if c not in held or c not in own:
+                return F.col(f"{'n' if c in held else 'o'}.{c}")
+            if c in insert_only or c in keys:
+                return F.coalesce(f"o.{c}", f"n.{c}")
+            return F.when(F.col("n.ts").isNotNull(), F.col(f"n.{c}")).otherwise(F.col(f"o.{c}"))
+
+        pick = [value(c).alias(c) for c in (*old.columns, *(c for c in rows.columns if c not in own))]
         return t.replace(old.join(new, same, "full_outer").select(*pick), version)
 
     def write_new(self, name: str, rows: DataFrame, key: str) -> int:
-        """Appends rows whose key the table doesn't hold yet, each once; how many there were."""
+        """Appends rows whose key the table doesn't hold yet, each once (null is a key too); how many there were."""
         t = self.table(name)
         for last in reversed(range(RETRIES)):
             version, new = t.state()["version"], rows.dropDuplicates([key])
             if t.schema() is not None:
-                new = new.join(t.read(version).select(key), key, "left_anti").select(*rows.columns)
+                new = new.alias("n").join(t.read(version).select(F.col(key).alias("_key")), F.col(f"n.{key}").eqNullSafe(F.col("_key")), "left_anti")
             add = t._write(new)
             try:  # what is new depends on the version read
                 t.commit("append", add, schema=t._checked(new, False), kind="timeseries", on=version)

@@ -127,3 +127,82 @@ def test_ingest_of_files_dicts_and_frames(spark, store, tmp_path):
     for bad in (lambda: store.ingest("bad", {"v": [1]}), lambda: store.ingest("bad", {"ts": [1]}, unit="h"), lambda: store.ingest("bad", {"ts": [1], "v": [1, 2]})):
         with pytest.raises(ValueError):
             bad()
+
+
+def test_upserts_keep_columns_they_do_not_name(spark, store):
+    t = store.table("a")
+    t.append(spark.createDataFrame([(1, "k1", 7), (2, "k2", 8), (3, None, 9)], "ts long, id string, extra long"))
+    store.upsert("a", spark.createDataFrame([(10, "k1", 0.5), (20, "new", 0.25), (30, None, 0.75)], "ts long, id string, more double"), ["id"])
+    assert sorted(map(tuple, t.read().collect()), key=repr) == sorted([(10, "k1", 7, 0.5), (2, "k2", 8, None), (20, "new", None, 0.25), (30, None, 9, 0.75)], key=repr)
+
+
+def test_nan_bounds_rule_nothing_out(spark, store):
+    t, nan = store.table("a"), float("nan")
+    t.append(rows(spark, (1, 2, nan, "x"), (3, 4, 1.0, "y")))
+    t.append(rows(spark, (5, 6, nan, "x")))
+    t.append(rows(spark, (7, 8, None, "x")))
+    assert [r["ts"] for r in t.where("v", 0.5, 2.0).collect()] == [3]
+    whole = t.read()
+    for low, high in ((0.5, None), (None, 0.5), (2.0, None), (1.0, 1.0)):
+        want = whole if low is None else whole.where(f"v >= {low}")
+        want = want if high is None else want.where(f"v <= {high}")
+        assert sorted(r["ts"] for r in t.where("v", low, high).collect()) == sorted(r["ts"] for r in want.collect())
+
+
+def test_two_evolving_appends_keep_both_columns(spark, store):
+    t = store.table("a")
+    t.append(rows(spark, (1, 2, 1.0, "x")))
+    one = spark.createDataFrame([(3, 4, 1.0, "x", 5)], "ts long, t1 long, v double, who string, p int")
+    other = spark.createDataFrame([(5, 6, 1.0, "x", "q")], "ts long, t1 long, v double, who string, q string")
+    schema, add = t._checked(other, True), t._write(other)  # written before, committed after the first
+    t.append(one, evolve=True)
+    t.commit("append", add, schema=schema, evolve=True)
+    assert sorted((r["ts"], r["p"], r["q"]) for r in t.read().collect()) == [(1, None, None), (3, 5, None), (5, None, "q")]
+    with pytest.raises(ValueError):  # and a kind that differs from what came meanwhile is refused
+        t.append(spark.createDataFrame([(5, 6, 1.0, "x", "no")], "ts long, t1 long, v double, who string, p string"), evolve=True)
+
+
+def test_vacuum_spares_a_write_under_way(spark, store):
+    t = store.table("a")
+    t.append(rows(spark, (1, 2, 1.0, "x")))
+    df = rows(spark, (3, 4, 1.0, "y"))
+    schema, add = t._checked(df, False), t._write(df)
+    assert store.vacuum(1, dry_run=False) == []
+    t.commit("append", add, schema=schema)
+    assert t.read().count() == 2
+    t._write(df)  # never committed
+    assert len(store.vacuum(1, under_way=-1)) == 1
+    for k in range(3):
+        t.replace(rows(spark, (k, k, 1.0, "z")))
+    assert t.read(t.state()["version"] - 2).count() == 1 and len(store.vacuum(dry_run=False)) == 2
+    assert t.read(t.state()["version"] - 2).count() == 1
+
+
+def test_dicts_keep_their_numbers(spark, store, tmp_path):
+    store.ingest("a", {"ts": [1, 2], "k": [9007199254740993, None]}, unit="ns")
+    assert sorted((r["ts"], r["k"]) for r in store.table("a").read().collect()) == [(1, 9007199254740993), (2, None)]
+    rows(spark, (1, 2, 1.0, "x")).write.parquet(f"{tmp_path}/folder")
+    store.ingest("b", f"{tmp_path}/folder", unit="ns")
+    assert store.table("b").read().count() == 1
+
+
+def test_null_keys_are_written_once(spark, store):
+    one = spark.createDataFrame([(1, None), (2, "a"), (2, "a")], "ts long, k string")
+    assert [store.write_new("a", one, "k") for _ in range(3)] == [2, 0, 0]
+
+
+def test_object_stores_need_a_single_writer(spark, tmp_path):
+    from stratalake.sources.store import Files
+
+    files = Files(spark, f"{tmp_path}/x")
+    files.fs = spark._jvm.org.apache.hadoop.fs.RawLocalFileSystem()
+    files.fs.initialize(spark._jvm.java.net.URI("file:///"), spark._jsc.hadoopConfiguration())
+    assert files.create(f"{tmp_path}/x", "1") and not files.create(f"{tmp_path}/x", "2")
+
+    class Elsewhere:
+        def getUri(self):
+            return spark._jvm.java.net.URI("bucket://b")
+
+    files.fs = Elsewhere()
+    with pytest.raises(ValueError, match="single_writer"):
+        files.create(f"{tmp_path}/y", "1")
