@@ -182,8 +182,8 @@ def smallest_enclosing(df: DataFrame, by: list[str], key: str, x0: str, y0: str,
     return df.select(*by, key).join(best, [*by, key], "left")
 
 
-def opposites(df: DataFrame, key: str, vector: str) -> DataFrame:
-    """key, opposite: the row most unlike each one after the common mean is taken away; cosines equal to nine digits go to
+def opposites(df: DataFrame, key: str, vector: str, score: str | None = None) -> DataFrame:
+    """key, opposite (and the cosine, if a name for it is given): the row most unlike each one after the common mean is taken away; cosines equal to nine digits go to
     the smaller key, and rows that lie in the mean are unlike nothing.
 
     Blocked products as in vectors.nearest: each block meets each other once, in memory bounded by a block, so the work
@@ -218,7 +218,7 @@ def opposites(df: DataFrame, key: str, vector: str) -> DataFrame:
         return pd.DataFrame({n: np.concatenate(v) if v else [] for n, v in (("key", keys), ("match", match), ("cosine", found))})
 
     met = dealt("a", "b").cogroup(dealt("b", "a")).applyInPandas(meet, f"key {kind}, match {kind}, cosine double")
-    return met.groupBy(F.col("key").alias(key)).agg(F.min_by("match", F.struct("cosine", "match")).alias("opposite"))
+    return met.groupBy(F.col("key").alias(key)).agg(F.min_by("match", F.struct("cosine", "match")).alias("opposite"), *([F.min("cosine").alias(score)] if score else []))
 
 
 def cached_scores(asked: DataFrame, cache: DataFrame, keys: list[str], score: str, judge) -> tuple[DataFrame, DataFrame]:

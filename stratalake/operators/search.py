@@ -108,12 +108,13 @@ def chains(scores: DataFrame, follows: DataFrame, inside: DataFrame, relations:
     return pool.select("node", "path", (F.col("mean") * 1e-3 - F.col("r_mean") - F.col("r_low")).alias("score"))
 
 
-def recalled(df: DataFrame, by: str, pos: str, channels: dict[str, float], tie: str, per: int, pad: int) -> DataFrame:
-    """by, t0, t1, rrf: the best `per` places of every channel, widened by pad, clamped to their recording and merged
-    where they touch; each stretch has its best score of every channel, and these are fused by weighted ranks."""
+def recalled(df: DataFrame, by: str, pos: str, channels: dict[str, float], tie: str, per: int, pad: int, proposing: list[str] | None = None) -> DataFrame:
+    """by, t0, t1, rrf: the best `per` places of every channel (or of those that propose), widened by pad, clamped to
+    their recording and merged where they touch; each stretch has its best score of every channel, and these are fused by
+    weighted ranks."""
     ends = df.groupBy(by).agg(F.min(pos).alias("_lo"), F.max(pos).alias("_hi"))
     best = None
-    for c in channels:
+    for c in proposing or channels:
         top = df.where(F.col(c).isNotNull()).orderBy(F.desc(c), tie).limit(per).select(by, pos)
         best = top if best is None else best.union(top)
     wide = best.distinct().join(ends, by).select(by, F.greatest(F.col(pos) - pad, "_lo").alias("t0"), F.least(F.col(pos) + pad, "_hi").alias("t1"))
@@ -123,6 +124,31 @@ def recalled(df: DataFrame, by: str, pos: str, channels: dict[str, float], tie:
     return ranking.fuse(held, channels, "_tie").drop("_tie")
 
 
+#: Places that a search looks at in all: a share of the rows between bounds; and by clause at least. How much a direction weighs.
+PLACES, ROWS_A_PLACE, PLACES_BOUNDS, CLAUSE_PLACES, DIRECTION = 48, 1500, (120, 256), 12, 2.5
+
+
+def clause_budget(rows: int, clauses: int, places: int = PLACES) -> int:
+    """Places for each clause: those of the search follow from the rows, and are shared by the clauses down to a floor."""
+    low, high = PLACES_BOUNDS
+    return max(max(places, min(max(rows // ROWS_A_PLACE, low), high)) // clauses, CLAUSE_PLACES)
+
+
+def verified(df: DataFrame, by: str, pos: str, clauses: list[str], others: dict[str, float], tie: str, pad: int, keep: int, direction: str | None = None, places: int = PLACES) -> DataFrame:
+    """by, t0, t1, mean, rrf: the best `keep` stretches for a question of several clauses.
+
+    Every clause proposes places, as many as clause_budget grants, and so does every other channel (column: weight). A
+    place scores by the mean of its clauses, so that it must suit them all: that mean, not a clause, is ranked. A
+    direction (a column, for questions that have one) proposes nothing and weighs DIRECTION in the ranks. Null scores
+    abstain; a place that lacks a clause has no mean. No rows, no stretches.
+    """
+    mean = sum((F.col(c) for c in clauses), F.lit(0.0)) / len(clauses)
+    per = clause_budget(df.count(), len(clauses), places)
+    channels = {"mean": 1.0, **others} | ({direction: DIRECTION} if direction else {})
+    found = recalled(df.withColumn("mean", F.round(mean, 9)), by, pos, channels, tie, per, pad, [*clauses, *others])
+    return found.orderBy(F.desc(F.round("rrf", 9)), by, "t0").limit(keep).select(by, "t0", "t1", "mean", "rrf")
+
+
 def hybrid(docs: DataFrame, key: str, body: str, query: str, appearance: DataFrame, dims: int = 48, k: int = 20, stop: tuple = ()) -> DataFrame:
     """key, rrf and the three ranks of the best k rows: appearance (given: key, appearance), meaning (cosine in the latent
     space) and wording (cosine of TF-IDF), fused by ranks. A row without words abstains from the latter two."""

@@ -61,27 +61,68 @@ def parsed(query: Column) -> Column:
     return F.struct(F.when(F.size(wanted) > 0, wanted).otherwise(F.array(query)).alias("wanted"), F.concat(after, words).alias("unwanted"))
 
 
+def tokens(text: Column) -> Column:
+    """A text's words, and what stands between them, with commas apart: all of it, in order."""
+    return F.regexp_extract_all(text, F.lit(r"\w+|,|[^\w,]+"), F.lit(0))
+
+
+#: Words that part clauses.
+PARTING = ("then", "and", "AND")
+
+
 def clauses(query: Column) -> Column:
     """The query with single spaces, and after it its parts between commas, "and", "AND" and "then" that have two words
-    or more and aren't the whole query, in order."""
+    or more and aren't the whole query, in order.
+
+    Tokens are walked once: each joins the part that is open, or closes it.
+    """
     whole = F.regexp_replace(F.trim(query), r"\s+", " ")
-    parts = F.transform(F.split(whole, r",|\b(?:and then|then|and|AND)\b"), lambda p: F.trim(p))
+
+    def take(state: Column, token: Column) -> Column:
+        parts = (token == ",") | token.isin(*PARTING)
+        return F.struct(F.when(parts, F.concat(state["done"], F.array(state["open"]))).otherwise(state["done"]).alias("done"),
+                        F.when(parts, "").otherwise(F.concat(state["open"], token)).alias("open"))
+
+    none = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
+    parts = F.aggregate(F.concat(tokens(whole), F.array(F.lit(","))), none, take, lambda s: F.transform(s["done"], lambda p: F.trim(p)))
     return F.concat(F.array(whole), F.filter(parts, lambda p: p.contains(" ") & (F.lower(p) != F.lower(whole))))
 
 
-# fixed values: articles, the words that end a phrase, and heads that name the scene itself
+# fixed values: articles, the words that end a phrase (articles among them), and heads that name the scene itself
 ARTICLES = ("a", "an", "the")
-ENDS = (*ARTICLES, "and", "then", "it", "of", "to", "on", "in", "into", "onto", "from", "at")
+ENDS = ("a", "an", "the", "and", "then", "it", "of", "to", "on", "in", "into", "onto", "from", "at")
 SCENE = ("table", "robot", "arm")
 
 
 def phrases(query: Column) -> Column:
-    """Phrases of an article and up to three words after it, in lower case, each once, in order. A word of ENDS is taken
-    as the third or sole word at most, and goes from the end; so do phrases that name the scene."""
-    stop = "|".join(ENDS)
-    found = F.regexp_extract_all(F.lower(query), F.lit(rf"\b((?:{'|'.join(ARTICLES)})\s+(?:(?!(?:{stop})\b)\w+\s+){{0,2}}\w+)"), 1)
-    bare = F.transform(found, lambda p: F.regexp_replace(F.regexp_replace(p, r"\s+", " "), rf"( (?:{stop}))+$", ""))
-    return F.array_distinct(F.filter(bare, lambda p: p.contains(" ") & ~F.get(F.split(p, " "), F.lit(1)).isin(*SCENE)))
+    """Phrases of an article and up to three words after it, parted by white space alone, in lower case, each once, in
+    order. A word of ENDS closes a phrase and is dropped from its end; phrases that name the scene, or nothing, go.
+
+    Tokens are walked once with the phrase that is open: an article opens one; the third word, a word of ENDS or anything
+    but white space closes it. What closes it isn't looked at again as an opening, if it was a word of the phrase.
+    """
+    nothing = F.array().cast("array<string>")
+
+    def close(state: Column, word: Column | None) -> Column:
+        taken = state["open"] if word is None else F.concat(state["open"], F.array(word))
+        return F.struct(F.concat(state["done"], F.array(taken)).alias("done"), nothing.alias("open"))
+
+    def take(state: Column, token: Column) -> Column:
+        word, gap, held = token.rlike(r"^\w"), token.rlike(r"^\s+$"), F.size(state["open"])
+        last = (held == 3) | token.isin(*ENDS)
+        more = F.struct(state["done"].alias("done"), F.concat(state["open"], F.array(token)).alias("open"))
+        return (F.when((held == 0) & word & token.isin(*ARTICLES), more).when((held == 0) | gap, state)
+                .when(~word, close(state, None)).when(last, close(state, token)).otherwise(more))
+
+    def bare(phrase: Column) -> Column:
+        """A phrase without the words of ENDS at its end; the words before the last one that isn't of them stay."""
+        inner = F.transform(phrase, lambda w, i: F.when((i > 0) & ~w.isin(*ENDS), i + 1).otherwise(F.lit(0)))
+        return F.slice(phrase, F.lit(1), F.array_max(inner))
+
+    none = F.struct(F.array().cast("array<array<string>>").alias("done"), nothing.alias("open"))
+    found = F.aggregate(F.concat(tokens(F.lower(query)), F.array(F.lit("."))), none, take, lambda s: F.transform(s["done"], bare))
+    kept = F.filter(found, lambda p: (F.size(p) > 1) & ~F.get(p, F.lit(1)).isin(*SCENE))
+    return F.array_distinct(F.transform(kept, lambda p: F.array_join(p, " ")))
 
 
 def stem(word: Column) -> Column:
