@@ -77,14 +77,15 @@ def changed(path: DataFrame, at: float | None = None) -> DataFrame:
 
 def first_hit_rate(df: DataFrame, key: str, left: str, right: str) -> DataFrame:
     """One row, `rate`: the share of rows whose left vector is nearest to their own right vector (inner products, the
-    smallest key among equal ones); null for fewer than two rows. Vectors meet in blocks, and a row's best is kept per
-    block: nothing is collected."""
+    smallest key among equal ones); null for fewer than two rows. Rows without one of their vectors, or with vectors of
+    two lengths, are left out. Vectors meet in blocks, and a row's best is kept per block: nothing is collected."""
+    df = df.where(F.size(left) == F.size(right)).withColumn("_dim", F.size(left))
     n = df.count()
     blocks = max(1, -(-n // BLOCK))
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
     own = F.pmod(F.xxhash64(key), F.lit(blocks))
-    a = df.select(F.col(key).alias("key"), F.col(left).cast("array<double>").alias("vec"), own.alias("i"), every.alias("j"))
-    b = df.select(F.col(key).alias("key"), F.col(right).cast("array<double>").alias("vec"), own.alias("j"), every.alias("i"))
+    a = df.select(F.col(key).alias("key"), F.col(left).cast("array<double>").alias("vec"), own.alias("i"), every.alias("j"), "_dim")
+    b = df.select(F.col(key).alias("key"), F.col(right).cast("array<double>").alias("vec"), own.alias("j"), every.alias("i"), "_dim")
     kind = dict(a.dtypes)["key"]
 
     def meet(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
@@ -97,7 +98,7 @@ def first_hit_rate(df: DataFrame, key: str, left: str, right: str) -> DataFrame:
             out.append(pd.DataFrame({"key": part["key"].to_numpy(), "match": y["key"].to_numpy()[top], "score": s[np.arange(len(s)), top]}))
         return pd.concat(out) if out else pd.DataFrame({"key": [], "match": [], "score": []})
 
-    met = a.groupBy("i", "j").cogroup(b.groupBy("i", "j")).applyInPandas(meet, f"key {kind}, match {kind}, score double")
+    met = a.groupBy("i", "j", "_dim").cogroup(b.groupBy("i", "j", "_dim")).applyInPandas(meet, f"key {kind}, match {kind}, score double")
     best = met.groupBy("key").agg(F.min_by("match", F.struct(-F.col("score"), "match")).alias("match"))
     return best.agg(F.when(F.count(F.lit(1)) > 1, F.avg((F.col("key") == F.col("match")).cast("double"))).alias("rate"))
 

@@ -32,13 +32,15 @@ def nearest(queries: DataFrame, corpus: DataFrame, key: str, vector: str, k: int
     """key, match, cosine, rank: the k most alike corpus rows of each query (earlier_only: among smaller keys).
 
     Blocked matrix products: the corpus is dealt into blocks by size, each query meets every block once, and a query's
-    k best of all blocks are ranked at the end. Nothing is collected, and memory is bounded by a block.
+    k best of all blocks are ranked at the end. Nothing is collected, and memory is bounded by a block. Null vectors
+    neither ask nor match, and vectors of different lengths don't meet.
     """
+    corpus, queries = (x.where(F.col(vector).isNotNull()).withColumn("_dim", F.size(vector)) for x in (corpus, queries))
     n = corpus.count()
     blocks = max(1, -(-n // BLOCK))
-    c = corpus.select(F.pmod(F.xxhash64(key), F.lit(blocks)).alias("b"), F.lit(0).alias("part"), F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("vec"))
+    c = corpus.select(F.pmod(F.xxhash64(key), F.lit(blocks)).alias("b"), F.lit(0).alias("part"), "_dim", F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("vec"))
     parts = max(1, -(-queries.count() // BLOCK))
-    q = queries.select(F.pmod(F.xxhash64(key), F.lit(parts)).alias("part"), F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("vec"))
+    q = queries.select(F.pmod(F.xxhash64(key), F.lit(parts)).alias("part"), "_dim", F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("vec"))
     q = q.withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
     c = c.drop("part").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
     kind = dict(corpus.select(F.col(key).alias("key")).dtypes)["key"]
@@ -61,7 +63,7 @@ def nearest(queries: DataFrame, corpus: DataFrame, key: str, vector: str, k: int
                 out["cosine"].append(got[ok])
         return pd.DataFrame({c: np.concatenate(v) if v else [] for c, v in out.items()})
 
-    met = q.groupBy("b", "part").cogroup(c.groupBy("b", "part")).applyInPandas(meet, f"key {kind}, match {kind}, cosine double")
+    met = q.groupBy("b", "part", "_dim").cogroup(c.groupBy("b", "part", "_dim")).applyInPandas(meet, f"key {kind}, match {kind}, cosine double")
     w = Window.partitionBy("key").orderBy(F.desc("cosine"), "match")
     return met.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

@@ -1,15 +1,18 @@
-"""Queries of phrases, directions and the verified search."""
+"""Queries of phrases, directions, the verified and the sharp search."""
 
 from __future__ import annotations
 
+import uuid
+
 import pyspark.sql.functions as F
 from pyspark.sql import Window
 
-from stratalake.operators import analytics, directions, search, text
+from stratalake.operators import analytics, directions, search, sharp, text
 from stratalake.operators.vectors import mean_vector
 from stratalake.plans.base import VECTORS, Registry, load, vectors
 from stratalake.plans.retrieval import SCORES, _scores
 from stratalake.plans.search import _checkpointed
+from stratalake.sources.store import Store
 
 query = Registry()
 QUERIES, ORACLES = query.queries, query.oracles
@@ -119,3 +122,23 @@ def verified_search(spark, d):
     p = _places(spark, d).select("vec_id", "label", "pos", "a", "b", F.when(F.col("vec_id") % 4 > 0, F.col("a") - F.col("b")).alias("w"), F.when(F.col("vec_id") % 3 > 0, F.col("b") - F.col("a")).alias("dir"))
     found = search.verified(p, "label", "pos", ["a", "b"], {"w": 0.5}, "vec_id", 2, 30, "dir")
     return found.select("label", "t0", "t1", F.round("mean", 6).alias("mean"), F.round("rrf", 9).alias("rrf"))
+
+
+@query(f"""WITH {VECTORS}, h AS (SELECT vec_id, v, v[1:len(v) // 2] AS r FROM vectors), m AS (SELECT a.vec_id AS key, b.vec_id AS match, list_cosine_similarity(a.r, b.r) AS rough, round(list_cosine_similarity(a.v, b.v), 9) AS score FROM h a JOIN h b ON a.vec_id % 100 = 0),
+  s AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY key ORDER BY rough DESC, match) <= 150)
+  SELECT key, match, round(score, 6) AS score, row_number() OVER (PARTITION BY key ORDER BY score DESC, match) AS rank FROM s QUALIFY rank <= 10""")
+def sharp_search(spark, d):
+    """Every row whose id 100 divides, against all rows: half of each vector makes the shortlist, the whole vectors, kept in
+    a table once they are computed, rank it. Asked twice: the second time nothing is computed."""
+    _checkpointed(spark)
+    v = vectors(spark, d)
+    rows = v.select("vec_id", F.slice("v", F.lit(1), F.floor(F.size("v") / 2).cast("int")).alias("r"))
+    asked = v.where("vec_id % 100 = 0").select("vec_id", "v").join(rows, "vec_id")
+    teach = lambda wanted: v.join(wanted.select("vec_id"), "vec_id", "left_semi").select("vec_id", F.col("v").alias("vec"))
+    store = Store.create(spark, f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/sharp-{uuid.uuid4().hex}")
+    ask = lambda: sharp.search(store, "known", rows, asked, "vec_id", "r", "v", teach, 10, 150)
+    ask()
+    found, fresh = ask()
+    if fresh:
+        raise RuntimeError(f"{fresh} rows were computed again")
+    return found.select("key", "match", F.round("score", 6).alias("score"), "rank")
