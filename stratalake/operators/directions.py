@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame
 
@@ -10,11 +14,57 @@ from stratalake.operators import analytics, text
 from stratalake.operators.intervals import containing
 
 
+#: Rows of a lexicon that is met by broadcast; a larger one is joined by shuffle.
+SMALL = 100_000
+#: Terms whose sums a task holds before it hands them on.
+HELD = 20_000
+
+
+def _met(pairs: DataFrame) -> DataFrame:
+    return F.broadcast(pairs) if pairs.count() <= SMALL else pairs
+
+
+def term_means(docs: DataFrame, terms: DataFrame, body: str, vector: str) -> DataFrame:
+    """term, vec: the mean vector of the rows whose text has the term, for the terms given.
+
+    Rows are summed by term where they are read, so that a sum leaves a task and not a row's vector for each of its words.
+    """
+    ws = F.array_distinct(text.words(F.col(body)))
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def flush() -> Iterator[pa.RecordBatch]:
+            names = list(held)
+            for lo in range(0, len(names), 2000):
+                part = names[lo : lo + 2000]
+                yield pa.record_batch([pa.array(part), pa.array([held[t][0].tolist() for t in part]), pa.array([held[t][1] for t in part])], ["term", "sums", "n"])
+            held.clear()
+
+        held: dict[str, list] = {}
+        for b in batches:
+            for found, v in zip(b.column("ws").to_pylist(), b.column("v").to_pylist()):
+                v = np.array(v, float)
+                for t in found:
+                    if t in held:
+                        held[t][0] += v
+                        held[t][1] += 1
+                    else:
+                        held[t] = [v.copy(), 1]
+            if len(held) > HELD:
+                yield from flush()
+        yield from flush()
+
+    rows = docs.where(F.col(body).isNotNull() & F.col(vector).isNotNull()).select(ws.alias("ws"), F.col(vector).cast("array<double>").alias("v"))
+    part = rows.mapInArrow(sums, "term string, sums array<double>, n long").join(_met(terms.select("term")), "term")
+    each = part.select("term", "n", F.posexplode("sums").alias("i", "x")).groupBy("term", "i").agg((F.sum("x") / F.sum("n")).alias("m"))
+    return each.groupBy("term").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda e: e["m"]).alias("vec"))
+
+
 def shared_contexts(docs: DataFrame, body: str, pairs: DataFrame) -> DataFrame:
     """a, b, shared: how many different words stand right before both of two terms. Terms meet their contexts by equi-joins."""
     ws = text.words(F.col(body))
     steps = F.zip_with(F.slice(ws, F.lit(1), F.size(ws) - 1), F.slice(ws, F.lit(2), F.size(ws) - 1), lambda x, y: F.struct(x.alias("before"), y.alias("term")))
-    before = docs.where(F.size(ws) > 1).select(F.explode(steps).alias("s")).select("s.before", "s.term").distinct()
+    paired = pairs.select(F.explode(F.array("a", "b")).alias("term")).distinct()
+    before = docs.where(F.size(ws) > 1).select(F.explode(steps).alias("s")).select("s.before", "s.term").join(_met(paired), "term").distinct()
     of = lambda side: before.select("before", F.col("term").alias(side))
     return pairs.join(of("a"), "a").join(of("b"), ["b", "before"]).groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
 
@@ -41,10 +91,10 @@ def swapped(questions: DataFrame, key: str, body: str, pairs: DataFrame) -> Data
     size = F.greatest(F.length("a"), F.length("b"))
     ways = pairs.select("a", "b", size.alias("size"), F.explode(F.array(F.struct(F.col("a").alias("from"), F.col("b").alias("to"), F.lit(0).alias("way")), F.struct(F.col("b").alias("from"), F.col("a").alias("to"), F.lit(1).alias("way")))).alias("w"))
     ways = ways.select("a", "b", "size", "w.*")
-    asked = questions.select(key, F.split(F.lower(body), " ").alias("ws"))
-    met = asked.select(key, F.posexplode("ws").alias("at", "from")).where("`from` <> ''").join(ways, "from")
+    asked = questions.select(key, F.lower(body).alias("body"))
+    met = asked.select(key, F.posexplode(F.split("body", " ")).alias("at", "from")).where("`from` <> ''").join(_met(ways), "from")
     first = met.groupBy(key).agg(F.min_by(F.struct("at", "to"), F.struct(-F.col("size"), "a", "b", "way", "at")).alias("m"))
-    return asked.join(first, key).select(key, F.array_join(F.transform("ws", lambda w, i: F.when(i == F.col("m.at"), F.col("m.to")).otherwise(w)), " ").alias("swap"))
+    return asked.join(first, key).select(key, F.array_join(F.transform(F.split("body", " "), lambda w, i: F.when(i == F.col("m.at"), F.col("m.to")).otherwise(w)), " ").alias("swap"))
 
 
 def changing(places: DataFrame, recordings: DataFrame, by: str, question: DataFrame, top: int) -> DataFrame:

@@ -8,7 +8,6 @@ import pyspark.sql.functions as F
 from pyspark.sql import Window
 
 from stratalake.operators import analytics, directions, search, sharp, text
-from stratalake.operators.vectors import mean_vector
 from stratalake.plans.base import VECTORS, Registry, load, vectors
 from stratalake.plans.retrieval import SCORES, _scores
 from stratalake.plans.search import _checkpointed
@@ -42,9 +41,8 @@ LEAST, SHARE = 20, 0.5
 
 def _term_vectors(spark, d):
     docs = load(spark, d, "documents").join(vectors(spark, d).select(F.col("vec_id").alias("doc_id"), "v"), "doc_id").where("text is not null")
-    held = docs.select("doc_id", "v", F.explode(F.array_distinct(text.words(F.col("text")))).alias("term"))
-    terms = text.attested(docs, "text", LEAST, SHARE).select("term")
-    return mean_vector(held.join(terms, "term"), ["term"], "v").select("term", F.col("v").alias("vec")), docs
+    terms = text.attested(docs, "text", LEAST, SHARE).select("term").checkpoint()
+    return directions.term_means(docs, terms, "text", "v"), docs
 
 
 PAIRS = f"""{VECTORS}, ed AS (SELECT doc_id, text, v, list_filter(string_split(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: w <> '') AS ws FROM documents JOIN vectors ON doc_id = vec_id WHERE text IS NOT NULL),
@@ -60,7 +58,7 @@ PAIRS = f"""{VECTORS}, ed AS (SELECT doc_id, text, v, list_filter(string_split(r
 def _pairs(spark, d):
     _checkpointed(spark)
     terms, docs = _term_vectors(spark, d)
-    return directions.lexicon(terms, docs, "text")
+    return directions.lexicon(terms.checkpoint(), docs, "text").checkpoint()
 
 
 @query(f"WITH {PAIRS} SELECT a, b, round(far, 6) AS far, shared FROM pairs")
