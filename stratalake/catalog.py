@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["relational", "temporal", "retrieval", "store_log", "analysis", "search", "directions"]
+MODULES = ["relational", "temporal", "retrieval", "store_log", "analysis", "search", "directions", "objects"]
 
 
 def queries() -> dict:
