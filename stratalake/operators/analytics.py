@@ -128,32 +128,46 @@ def gated_events(df: DataFrame, by: list[str], on: str, score: str, q: float, le
     return up.groupBy(*by).applyInPandas(one, up.schema)
 
 
-def apart(a: np.ndarray, b: np.ndarray, trials: int = 200, seed: int = 0) -> tuple[float, float]:
-    """Distance of the means of two sets of vectors scaled to length 1, and the share of random relabellings with at least
-    that distance, (k + 1) / (n + 1)."""
-    a, b = (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300) for x in (a, b))
-    gap = lambda x, y: float(np.linalg.norm(x.mean(0) - y.mean(0)))
-    seen, both, rng = gap(a, b), np.concatenate((a, b)), np.random.default_rng(seed)
-    more = 0
-    for _ in range(trials):
-        p = rng.permutation(len(both))
-        more += gap(both[p[: len(a)]], both[p[len(a) :]]) >= seen - 1e-12
-    return seen, (more + 1) / (trials + 1)
-
-
-def shifts(df: DataFrame, by: list[str], stretch: str, vector: str, trials: int = 200, seed: int = 0) -> DataFrame:
-    """For neighbouring stretches of a key: distance of their means and its permutation p. A pair is one group."""
-    last = F.max(stretch).over(Window.partitionBy(*by))
-    pairs = df.withColumn("_last", last).withColumn("pair", F.explode(F.array(F.col(stretch), F.col(stretch) - 1))).where((F.col("pair") >= 1) & (F.col("pair") < F.col("_last")))
-    kind = ", ".join(f"{c} {k}" for c, k in df.dtypes if c in by)
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        k = pdf["pair"].iloc[0]
-        sides = [np.stack(pdf.loc[pdf[stretch] == s, vector].to_numpy()) for s in (k, k + 1)]
-        d, p = apart(*sides, trials, seed)
-        return pd.DataFrame([[*pdf.iloc[0][by], k, d, p]], columns=[*by, "pair", "distance", "p"])
-
-    return pairs.groupBy(*by, "pair").applyInPandas(one, f"{kind}, pair long, distance double, p double")
+def shifts(df: DataFrame, by: list[str], stretch: str, key: str, vector: str, trials: int = 200, seed: int = 0) -> DataFrame:
+    """by, pair, distance, p: for neighbouring stretches of a key (numbered from 1 without gaps) the distance of the means of
+    their vectors, scaled to length 1, and the share (k + 1) / (trials + 1) of random relabellings that part them as far.
+
+    A trial orders the rows of a pair by a hash of seed, trial and row key, and calls the first of them, as many as the
+    first stretch has, its rows. The place where that order is cut is found by counting in buckets of the hash, so neither a
+    stretch nor a trial need fit in one task; vectors are summed by trial in the batches that hold them. Keys of rows are
+    unique within a pair. Rows with a null vector are left out; pairs that then lack a side give no row.
+    """
+    on = [*by, "pair"]
+    rows = df.where(F.col(vector).isNotNull()).select(*by, F.col(stretch).cast("long").alias("_s"), F.col(key).cast("string").alias("_k"), unit(F.col(vector)).alias("_v"))
+    rows = rows.withColumn("pair", F.explode(F.array(F.col("_s"), F.col("_s") - 1))).withColumn("_a", F.col("_s") == F.col("pair"))
+    size = rows.groupBy(*on).agg(F.count_if("_a").alias("_na"), F.count_if(~F.col("_a")).alias("_nb")).where("_na > 0 and _nb > 0")
+    mark = lambda t: F.md5(F.concat_ws(":", F.lit(seed), t, F.col("_k")))
+    drawn = rows.select(*on, "_k", F.explode(F.sequence(F.lit(1), F.lit(trials))).alias("_trial")).select(*on, "_trial", mark(F.col("_trial")).alias("_h"))
+    drawn = drawn.withColumn("_bucket", F.substring("_h", 1, 3))
+    w = Window.partitionBy(*on, "_trial").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
+    upto = drawn.groupBy(*on, "_trial", "_bucket").agg(F.count(F.lit(1)).alias("_c")).withColumn("_upto", F.sum("_c").over(w)).join(size, on)
+    edge = upto.where("_upto >= _na and _upto - _c < _na").select(*on, "_trial", "_bucket", (F.col("_na") - F.col("_upto") + F.col("_c")).alias("_nth"))
+    last = drawn.join(edge, [*on, "_trial", "_bucket"]).withColumn("_n", F.row_number().over(Window.partitionBy(*on, "_trial").orderBy("_h"))).where("_n = _nth")
+    last = last.groupBy(*on).agg(F.map_from_entries(F.collect_list(F.struct("_trial", "_h"))).alias("_last"))  # `trials` entries
+    inside = F.transform(F.sequence(F.lit(1), F.lit(trials)), lambda t: mark(t) <= F.try_element_at("_last", t))
+    met = rows.join(last, on).select(*on, "_v", F.concat(F.array("_a"), inside, F.array(F.lit(True))).alias("_m"))
+
+    def sums(batches):
+        for b in batches:
+            out = []
+            for k, g in b.groupby(on, sort=False, dropna=False):
+                s = np.stack(g["_m"].to_numpy()).T.astype(float) @ np.stack(g["_v"].to_numpy())
+                out += [(*k, t, x) for t, x in enumerate(s)]
+            yield pd.DataFrame(out, columns=[*on, "_trial", "_sum"])
+
+    kinds = ", ".join(f"`{c}` {k}" for c, k in rows.dtypes if c in on)
+    part = met.mapInPandas(sums, f"{kinds}, _trial int, _sum array<double>").select(*on, "_trial", F.posexplode("_sum").alias("_i", "_x"))
+    total = part.groupBy(*on, "_i", "_trial").agg(F.sum("_x").alias("_x"))
+    whole = total.where(F.col("_trial") == trials + 1).select(*on, "_i", F.col("_x").alias("_whole"))
+    gaps = total.where(F.col("_trial") <= trials).join(whole, [*on, "_i"]).join(size, on)
+    gaps = gaps.groupBy(*on, "_trial").agg(F.sqrt(F.sum(F.pow(F.col("_x") / F.col("_na") - (F.col("_whole") - F.col("_x")) / F.col("_nb"), F.lit(2)))).alias("_gap"))
+    seen = gaps.groupBy(*on).agg(F.max(F.when(F.col("_trial") == 0, F.col("_gap"))).alias("distance"), F.collect_list(F.when(F.col("_trial") > 0, F.col("_gap"))).alias("_g"))
+    return seen.select(*on, "distance", ((F.size(F.filter("_g", lambda x: x >= F.col("distance") - 1e-12)) + 1) / (trials + 1)).alias("p"))
 
 
 def aligned_path(df: DataFrame, by: list[str], side: str, on: str, vector: str) -> DataFrame:

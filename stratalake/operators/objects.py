@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame, Window
 
 from stratalake.operators import cuts, islands
 from stratalake.operators.intervals import range_join
-from stratalake.operators.ranking import top_per
 
 # Words that name nothing, and colours, which don't say where something is.
 STOP = """the a an and or of to in on at from into onto with for by is are was were be been being it its
@@ -88,20 +87,24 @@ def present(scores: DataFrame) -> DataFrame:
     return scores.join(F.broadcast(cuts.split_per(scores, ["object"], "score")), "object").where(F.col("score") > F.col("cut")).drop("cut")
 
 
-def places(spans: DataFrame, steps: DataFrame, words: DataFrame, pieces: DataFrame, t0: str = "t0") -> DataFrame:
-    """object, rec, t0, t1, place: the words of most mass in the steps from `t0` to t1 of each span that aren't the object's
-    own, its plural or singular, in STOP or COLOURS, or short; best first, equal ones by word. Spans without any are left out.
-    """
+def places(spans: DataFrame, steps: DataFrame, words: DataFrame, pieces: DataFrame) -> DataFrame:
+    """object, rec, t0, t1, place, end_place: the words of most mass in the steps of each span, and in its last one, that
+    aren't the object's own, its plural or singular, in STOP or COLOURS, or short; best first, equal ones by word. Spans
+    without any are left out. Words that can't name a place are dropped before steps meet spans."""
+    key = ["object", "rec", "t0", "t1"]
     own = words.join(pieces, "id").select("object", F.lower(F.trim("piece")).alias("w")).where("w <> ''")
     own = own.select("object", F.explode(F.array("w", F.concat("w", F.lit("s")), F.regexp_replace("w", "s$", ""))).alias("text")).distinct()
-    asked = spans.select("object", "rec", "t0", "t1").distinct().withColumn("pos", F.explode(F.sequence(t0, "t1")))
-    told = asked.join(_listed(steps, LISTED), ["rec", "pos"]).join(words.select("object", "id").distinct(), ["object", "id"], "left_anti")
-    told = told.groupBy("object", "rec", "t0", "t1", "id").agg(F.sum(F.exp("lp")).alias("mass"))
-    told = told.join(pieces, "id").withColumn("text", F.lower(F.trim("piece"))).where(F.col("text").rlike(r"^\p{L}+$") & (F.length("text") >= LETTERS) & ~F.col("text").isin(STOP + COLOURS))
-    told = told.join(own, ["object", "text"], "left_anti").groupBy("object", "rec", "t0", "t1", "text").agg(F.round(F.max("mass"), 9).alias("mass"))
-    best = top_per(told, ["object", "rec", "t0", "t1"], "mass", "text", PLACE)
-    listed = F.array_sort(F.collect_list(F.struct("rank", "text")))
-    return best.groupBy("object", "rec", "t0", "t1").agg(F.transform(listed, lambda e: e["text"]).alias("place"))
+    texts = pieces.select("id", F.lower(F.trim("piece")).alias("text"))
+    texts = texts.where(F.col("text").rlike(r"^\p{L}+$") & (F.length("text") >= LETTERS) & ~F.col("text").isin(STOP + COLOURS))
+    named = _listed(steps, LISTED).join(texts, "id").select("rec", "pos", "id", "text", F.exp("lp").alias("p"))
+    asked = spans.select(*key).distinct().withColumn("pos", F.explode(F.sequence("t0", "t1")))
+    told = asked.join(named, ["rec", "pos"]).join(own, ["object", "text"], "left_anti")
+    told = told.groupBy(*key, "text", "id").agg(F.sum("p").alias("mass"), F.sum(F.when(F.col("pos") == F.col("t1"), F.col("p"))).alias("tail"))
+    told = told.groupBy(*key, "text").agg(F.round(F.max("mass"), 9).alias("mass"), F.round(F.max("tail"), 9).alias("tail"))
+    w = Window.partitionBy(*key)
+    told = told.withColumn("k", F.row_number().over(w.orderBy(F.desc("mass"), "text"))).withColumn("e", F.row_number().over(w.orderBy(F.desc_nulls_last("tail"), "text")))
+    best = lambda k, ok: F.transform(F.array_sort(F.collect_list(F.when(ok, F.struct(k, "text")))), lambda e: e["text"])
+    return told.groupBy(*key).agg(best("k", F.col("k") <= PLACE).alias("place"), best("e", (F.col("e") <= PLACE) & F.col("tail").isNotNull()).alias("end_place"))
 
 
 def likeness(steps: DataFrame, examples: DataFrame, top: int = 10) -> DataFrame:
@@ -142,9 +145,7 @@ def sightings(steps: DataFrame, words: DataFrame, pieces: DataFrame, matches: Da
     found = found.checkpoint()
     key = ["object", "rec", "t0", "t1"]
     none = F.array().cast("array<string>")
-    whole = places(found, steps, words, pieces)
-    last = places(found, steps, words, pieces, "t1").withColumnRenamed("place", "end_place")
-    out = found.join(whole, key, "left").join(last, key, "left")
+    out = found.join(places(found, steps, words, pieces), key, "left")
     return out.select(*key, "by", "score", F.coalesce("place", none).alias("place"), F.coalesce("end_place", none).alias("end_place"))
 
 

@@ -25,7 +25,11 @@ def coarse_edges(spark, d):
     return analytics.coarse(local_peaks(spark, d), ["user_id"], "value").select("user_id", "us", "coarse")
 
 
-@query()
+@query(f"""WITH RECURSIVE {SERIES}, ab AS (SELECT user_id, us, abs(value - lag(value) OVER q) AS a, us - lag(us) OVER q AS b FROM series WINDOW q AS (PARTITION BY user_id ORDER BY us)),
+  rk AS (SELECT user_id, us, (row_number() OVER (PARTITION BY user_id ORDER BY a, us) + row_number() OVER (PARTITION BY user_id ORDER BY b, us))::DOUBLE AS score FROM ab WHERE a IS NOT NULL), pn AS (SELECT *, lag(score) OVER q AS p, lead(score) OVER q AS n FROM rk WINDOW q AS (PARTITION BY user_id ORDER BY us)),
+  pk AS (SELECT user_id, us, score, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, us) AS k FROM pn WHERE (p IS NULL OR score >= p) AND (n IS NULL OR score > n)),
+  g AS (SELECT user_id, k, [us] AS kept FROM pk WHERE k = 1 UNION ALL SELECT g.user_id, pk.k, CASE WHEN len(list_filter(kept, lambda x: abs(x - us) < 3600000000)) = 0 THEN kept || [us] ELSE kept END FROM g JOIN pk ON pk.user_id = g.user_id AND pk.k = g.k + 1)
+  SELECT user_id, us, score FROM pk JOIN (SELECT user_id, arg_max(kept, k) AS kept FROM g GROUP BY 1) USING (user_id) WHERE list_contains(kept, us)""")
 def fused_edges(spark, d):
     """Local maxima of summed change ranks of two channels, at least an hour apart."""
     w = Window.partitionBy("user_id")
@@ -34,17 +38,24 @@ def fused_edges(spark, d):
     return analytics.spaced(analytics.local_peaks(r, ["user_id"], "us", "score"), ["user_id"], "us", "score", 3_600_000_000)
 
 
-@query()
+@query(f"""WITH RECURSIVE {SERIES}, nr AS (SELECT event_type, row_number() OVER (PARTITION BY event_type ORDER BY us) AS k, value FROM series), sm AS (SELECT event_type, k, sum(value) OVER (PARTITION BY event_type ORDER BY k ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) / 5 AS s FROM nr),
+  ct AS (SELECT event_type, quantile_cont(s, 0.8) AS cut FROM sm GROUP BY 1), bf AS (SELECT *, lag(s) OVER (PARTITION BY event_type ORDER BY k) AS b FROM sm), up AS (SELECT event_type, k FROM bf JOIN ct USING (event_type) WHERE s > cut AND (b IS NULL OR b <= cut)),
+  nx AS (SELECT u.event_type, u.k, min(v.k) AS next FROM up u LEFT JOIN up v ON v.event_type = u.event_type AND v.k >= u.k + 6 GROUP BY ALL),
+  g AS (SELECT event_type, min(k) AS k FROM up GROUP BY 1 UNION ALL SELECT g.event_type, next FROM g JOIN nx USING (event_type, k) WHERE next IS NOT NULL) SELECT event_type, k FROM g""")
 def gated_events(spark, d):
     s = series(spark, d).select("event_type", F.row_number().over(Window.partitionBy("event_type").orderBy("us")).cast("long").alias("k"), "value")
     return analytics.gated_events(s, ["event_type"], "k", "value", 0.8, 6)
 
 
-@query()
+@query(f"""WITH {VECTORS}, u AS (SELECT label, vec_id, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v, (row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1) // 10 + 1 AS s FROM vectors), pr AS (SELECT label, vec_id, s, unnest([s, s - 1]) AS pair FROM u),
+  ok AS (SELECT label, pair, count(*) FILTER (s = pair) AS na, count(*) FILTER (s > pair) AS nb FROM pr GROUP BY ALL HAVING na > 0 AND nb > 0), dr AS (SELECT label, pair, vec_id, trial, row_number() OVER (PARTITION BY label, pair, trial ORDER BY CASE WHEN trial > 0 THEN md5('0:' || trial || ':' || vec_id) ELSE s::VARCHAR END, s) <= na AS a FROM (SELECT *, unnest(range(0, 51)) AS trial FROM pr) JOIN ok USING (label, pair) WHERE trial > 0),
+  al AS (SELECT label, pair, vec_id, trial, a FROM dr UNION ALL SELECT label, pair, vec_id, 0, s = pair FROM pr JOIN ok USING (label, pair)), dx AS (SELECT vec_id, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM u),
+  ms AS (SELECT label, pair, trial, i, avg(x) FILTER (a) - avg(x) FILTER (NOT a) AS m FROM al JOIN dx USING (vec_id) GROUP BY ALL), gp AS (SELECT label, pair, trial, sqrt(sum(m * m)) AS g FROM ms GROUP BY ALL), sn AS (SELECT label, pair, g AS distance FROM gp WHERE trial = 0)
+  SELECT label, pair, round(distance, 6) AS distance, round((count(*) FILTER (g >= distance - 1e-12) + 1) / 51, 9) AS p FROM gp JOIN sn USING (label, pair) WHERE trial > 0 GROUP BY label, pair, distance""")
 def shifted_stretches(spark, d):
     w = Window.partitionBy("label").orderBy("vec_id")
     v = vectors(spark, d).withColumn("k", (F.floor((F.row_number().over(w) - 1) / 10) + 1))
-    return analytics.shifts(v, ["label"], "k", "v", 50)
+    return analytics.shifts(v, ["label"], "k", "vec_id", "v", 50).select("label", "pair", F.round("distance", 6).alias("distance"), F.round("p", 9).alias("p"))
 
 
 @query()

@@ -180,7 +180,10 @@ def topk_per_key(spark, d):
     return ranking.top_per(load(spark, d, "events"), ["event_type"], "value", "event_id", 7).select("event_type", "event_id", "value", F.col("rank").cast("long").alias("rank"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {SERIES}, c AS (SELECT event_type, us AS t0, us + 3600000000 AS t1, value, event_id, row_number() OVER (PARTITION BY event_type ORDER BY value DESC, us) AS k FROM series),
+  g AS (SELECT event_type, k, [t0] AS kept, [k] AS ks FROM c WHERE k = 1 UNION ALL SELECT g.event_type, c.k, CASE WHEN apart THEN kept || [t0] ELSE kept END, CASE WHEN apart THEN ks || [c.k] ELSE ks END
+    FROM g JOIN c ON c.event_type = g.event_type AND c.k = g.k + 1, LATERAL (SELECT len(list_filter(kept, lambda x: abs(x - t0) <= 3600000000)) = 0 AS apart) WHERE len(kept) < 50)
+  SELECT event_type, t0, t1, value, event_id FROM c JOIN (SELECT event_type, arg_max(ks, k) AS ks FROM g GROUP BY 1) USING (event_type) WHERE list_contains(ks, k) ORDER BY value DESC, event_type, t0 LIMIT 50""")
 def nms_rank(spark, d):
     s = series(spark, d).select("event_type", F.col("us").alias("t0"), (F.col("us") + 3_600_000_000).alias("t1"), "value", "event_id")
     return ranking.suppress(s, ["event_type"], "t0", "t1", "value", 50)
