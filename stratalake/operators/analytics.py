@@ -76,8 +76,8 @@ def changed(path: DataFrame, at: float | None = None) -> DataFrame:
 
 
 def first_hit_rate(df: DataFrame, key: str, left: str, right: str) -> DataFrame:
-    """One row, `rate`: the share of rows whose left vector is nearest to their own right vector (inner products, the
-    smallest key among equal ones); null for fewer than two rows. Rows without one of their vectors, or with vectors of
+    """One row, `rate`: the share of rows whose left vector is nearest to their own right vector (inner products to 12
+    places, the smallest key among equal ones); null for fewer than two rows. Rows without one of their vectors, or with vectors of
     two lengths, are left out. Vectors meet in blocks, and a row's best is kept per block: nothing is collected."""
     df = df.where(F.size(left) == F.size(right)).withColumn("_dim", F.size(left))
     n = df.count()
@@ -93,7 +93,7 @@ def first_hit_rate(df: DataFrame, key: str, left: str, right: str) -> DataFrame:
         y = y.sort_values("key")
         for lo in range(0, len(x) if len(y) else 0, 512):
             part = x.iloc[lo : lo + 512]
-            s = np.stack(part["vec"].to_numpy()) @ np.stack(y["vec"].to_numpy()).T
+            s = (np.stack(part["vec"].to_numpy()) @ np.stack(y["vec"].to_numpy()).T).round(12)  # a product of equal vectors hangs on their places
             top = s.argmax(1)
             out.append(pd.DataFrame({"key": part["key"].to_numpy(), "match": y["key"].to_numpy()[top], "score": s[np.arange(len(s)), top]}))
         return pd.concat(out) if out else pd.DataFrame({"key": [], "match": [], "score": []})
