@@ -37,16 +37,18 @@ def split(df: DataFrame, column: str, anchor: float | None = None) -> DataFrame:
     return g.select(F.when(ok, (F.col("m_lo") + F.col("m_hi")) / 2).alias("cut"))
 
 
-def split_per(df: DataFrame, by: list[str], column: str) -> DataFrame:
+def split_per(df: DataFrame, by: list[str], column: str, few: bool = False) -> DataFrame:
     """by, cut: `split` of each key's own values; keys that show one group only are left out. Null and NaN values don't count.
 
     A key's histogram is summed in the tasks that read its values before BINS rows a key and task are shuffled, so a key
-    with very many rows is no task of its own. The statistics of keys are joined as rows.
+    with very many rows is no task of its own. The statistics of keys are joined as rows; few: the keys are a stated set, so
+    that these are broadcast and no value is shuffled.
     """
+    met = F.broadcast if few else lambda x: x
     v = df.select(*by, F.col(column).cast("double").alias("v")).where("v is not null and not isnan(v)")
     r = v.groupBy(*by).agg(F.min("v").alias("lo"), F.max("v").alias("hi")).where("hi - lo > 1e-5")
     bin_ = F.least(F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * BINS), F.lit(BINS - 1))
-    t = v.join(r, by).groupBy(*by, bin_.alias("bin"), "lo", "hi").agg(F.count(F.lit(1)).alias("c"))
+    t = v.join(met(r), by).groupBy(*by, bin_.alias("bin"), "lo", "hi").agg(F.count(F.lit(1)).alias("c"))
     t = t.withColumn("mid", F.col("lo") + (F.col("bin") + 0.5) * (F.col("hi") - F.col("lo")) / BINS)
     w = Window.partitionBy(*by).orderBy("bin")
     upto, whole = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -54,7 +56,7 @@ def split_per(df: DataFrame, by: list[str], column: str) -> DataFrame:
     t = t.withColumn("between", F.col("w0") * (F.col("w") - F.col("w0")) * F.pow(F.col("s0") / F.col("w0") - (F.col("s") - F.col("s0")) / (F.col("w") - F.col("w0")), F.lit(2)))
     best = t.groupBy(*by).agg(F.max_by("mid", F.struct(F.round("between", 6), -F.col("mid"))).alias("at"))
     low, high = F.when(F.col("v") <= F.col("at"), F.col("v")), F.when(F.col("v") > F.col("at"), F.col("v"))
-    g = v.join(best, by).groupBy(*by).agg(*(f(x).alias(f"{k}_{name}") for name, x in (("lo", low), ("hi", high)) for k, f in (("m", F.avg), ("s", F.stddev_pop))))
+    g = v.join(met(best), by).groupBy(*by).agg(*(f(x).alias(f"{k}_{name}") for name, x in (("lo", low), ("hi", high)) for k, f in (("m", F.avg), ("s", F.stddev_pop))))
     return g.where(F.col("m_hi") - F.col("m_lo") > F.col("s_lo") + F.col("s_hi")).select(*by, ((F.col("m_lo") + F.col("m_hi")) / 2).alias("cut"))
 
 

@@ -76,7 +76,9 @@ def name_scores(steps: DataFrame, words: DataFrame) -> DataFrame:
     said = said.groupBy("rec", "pos").agg(F.map_from_entries(F.collect_list(F.struct("object", "x"))).alias("said"))  # an entry an object at most
     base = usual.groupBy("object").agg(F.max(-F.col("less")).alias("base"), F.max("mid").alias("mid"))
     base = base.agg(F.collect_list(F.struct("object", "base", "mid")).alias("all"))  # the stated set of objects
-    met = steps.select("rec", "pos", "floor").join(said, ["rec", "pos"], "left").join(F.broadcast(base), F.lit(True))
+    # steps are few bytes and many scores: dealt by number, as adaptive execution would put them into too few tasks
+    tasks = int(steps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = steps.select("rec", "pos", "floor").join(said, ["rec", "pos"], "left").repartition(tasks, "rec", "pos").join(F.broadcast(base), F.lit(True))
     each = met.select("rec", "pos", "floor", "said", F.explode("all").alias("o"))
     value = F.greatest(F.col("o.base"), F.coalesce(F.try_element_at("said", F.col("o.object")), F.col("o.base")))
     return each.select("rec", "pos", F.col("o.object").alias("object"), F.round(F.col("floor") - F.col("o.mid") + value, 9).alias("score"))
@@ -84,27 +86,43 @@ def name_scores(steps: DataFrame, words: DataFrame) -> DataFrame:
 
 def present(scores: DataFrame) -> DataFrame:
     """The scores over the cut that each object's own scores show; none where they show none."""
-    return scores.join(F.broadcast(cuts.split_per(scores, ["object"], "score")), "object").where(F.col("score") > F.col("cut")).drop("cut")
+    return scores.join(F.broadcast(cuts.split_per(scores, ["object"], "score", few=True)), "object").where(F.col("score") > F.col("cut")).drop("cut")
 
 
 def places(spans: DataFrame, steps: DataFrame, words: DataFrame, pieces: DataFrame) -> DataFrame:
-    """object, rec, t0, t1, place, end_place: the words of most mass in the steps of each span, and in its last one, that
-    aren't the object's own, its plural or singular, in STOP or COLOURS, or short; best first, equal ones by word. Spans
-    without any are left out. Words that can't name a place are dropped before steps meet spans."""
-    key = ["object", "rec", "t0", "t1"]
+    """spans (object, rec, t0, t1, each once, and what else they have) with place, end_place: the words of most mass in the
+    steps of each span, and in its last one, that aren't the object's own, its plural or singular, in STOP or COLOURS, or
+    short; best first, equal ones by word. Empty where there is none.
+
+    What a stretch says is the same for all objects: words are summed once for each different stretch, and its objects are
+    one row beside them. Each object then takes the first words that aren't its own; so a list is needed no further than
+    by as many words as an object has. Words that can't name a place are dropped before steps meet stretches.
+    """
+    at = ["rec", "t0", "t1"]
     own = words.join(pieces, "id").select("object", F.lower(F.trim("piece")).alias("w")).where("w <> ''")
-    own = own.select("object", F.explode(F.array("w", F.concat("w", F.lit("s")), F.regexp_replace("w", "s$", ""))).alias("text")).distinct()
+    own = own.select("object", F.explode(F.array("w", F.concat("w", F.lit("s")), F.regexp_replace("w", "s$", ""))).alias("text"))
+    own = own.groupBy("object").agg(F.collect_set("text").alias("own"))  # the stated set of objects
+    own = own.agg(F.map_from_entries(F.collect_list(F.struct("object", "own"))).alias("owned"), F.coalesce(F.max(F.size("own")), F.lit(0)).alias("most")).checkpoint()
     texts = pieces.select("id", F.lower(F.trim("piece")).alias("text"))
     texts = texts.where(F.col("text").rlike(r"^\p{L}+$") & (F.length("text") >= LETTERS) & ~F.col("text").isin(STOP + COLOURS))
     named = _listed(steps, LISTED).join(texts, "id").select("rec", "pos", "id", "text", F.exp("lp").alias("p"))
-    asked = spans.select(*key).distinct().withColumn("pos", F.explode(F.sequence("t0", "t1")))
-    told = asked.join(named, ["rec", "pos"]).join(own, ["object", "text"], "left_anti")
-    told = told.groupBy(*key, "text", "id").agg(F.sum("p").alias("mass"), F.sum(F.when(F.col("pos") == F.col("t1"), F.col("p"))).alias("tail"))
-    told = told.groupBy(*key, "text").agg(F.round(F.max("mass"), 9).alias("mass"), F.round(F.max("tail"), 9).alias("tail"))
-    w = Window.partitionBy(*key)
+    asked = spans.select(*at).distinct().withColumn("pos", F.explode(F.sequence("t0", "t1")))
+    told = asked.join(named, ["rec", "pos"])
+    told = told.groupBy(*at, "text", "id").agg(F.sum("p").alias("mass"), F.sum(F.when(F.col("pos") == F.col("t1"), F.col("p"))).alias("tail"))
+    told = told.groupBy(*at, "text").agg(F.round(F.max("mass"), 9).alias("mass"), F.round(F.max("tail"), 9).alias("tail"))
+    w = Window.partitionBy(*at)
     told = told.withColumn("k", F.row_number().over(w.orderBy(F.desc("mass"), "text"))).withColumn("e", F.row_number().over(w.orderBy(F.desc_nulls_last("tail"), "text")))
-    best = lambda k, ok: F.transform(F.array_sort(F.collect_list(F.when(ok, F.struct(k, "text")))), lambda e: e["text"])
-    return told.groupBy(*key).agg(best("k", F.col("k") <= PLACE).alias("place"), best("e", (F.col("e") <= PLACE) & F.col("tail").isNotNull()).alias("end_place"))
+    told = told.join(F.broadcast(own.select("most")), F.lit(True))
+    first = lambda k, ok: F.transform(F.array_sort(F.collect_list(F.when(ok, F.struct(k, "text")))), lambda e: e["text"])
+    far = PLACE + F.col("most")
+    told = told.groupBy(*at).agg(first("k", F.col("k") <= far).alias("place"), first("e", (F.col("e") <= far) & F.col("tail").isNotNull()).alias("end_place"))
+    rest = [c for c in spans.columns if c not in at]
+    there = spans.groupBy(*at).agg(F.collect_list(F.struct(*rest)).alias("of")).join(told, at, "left").join(F.broadcast(own.select("owned")), F.lit(True))
+    each = there.select(*at, "place", "end_place", "owned", F.explode("of").alias("of"))
+    none = F.array().cast("array<string>")
+    mine = F.coalesce(F.try_element_at("owned", F.col("of.object")), none)
+    best = lambda c: F.coalesce(F.slice(F.array_except(c, mine), 1, PLACE), none).alias(c)
+    return each.select(*at, *(F.col(f"of.{c}").alias(c) for c in rest), best("place"), best("end_place"))
 
 
 def likeness(steps: DataFrame, examples: DataFrame, top: int = 10) -> DataFrame:
@@ -124,9 +142,9 @@ def sightings(steps: DataFrame, words: DataFrame, pieces: DataFrame, matches: Da
     By name: runs of neighbouring steps of a recording over the object's cut. By example: the matches (object, example,
     rec, t0, t1, score) over the cut of their example's scores, if the name is present in one of their steps too, or the
     object has no words at all. A span found both ways counts by name. answerable: rec; others are not reported, but count
-    for means and cuts. place is named by all steps of the span, end_place by the last one. Needs a checkpoint folder.
+    for means and cuts. place is named by all steps of the span, end_place by the last one. Needs a checkpoint folder; steps
+    that are costly should come from a checkpoint, as they are read several times.
     """
-    steps = steps.checkpoint()
     seen = present(name_scores(steps, words)).checkpoint()
     here = seen if answerable is None else seen.join(answerable.select("rec").distinct(), "rec", "left_semi")
     found = islands.runs(here, ["object", "rec"], "pos", 1).groupBy("object", "rec", "island").agg(F.min("pos").alias("t0"), F.max("pos").alias("t1"), F.max("score").alias("score"))
@@ -134,7 +152,7 @@ def sightings(steps: DataFrame, words: DataFrame, pieces: DataFrame, matches: Da
     if matches is not None:
         like = matches if answerable is None else matches.join(answerable.select("rec").distinct(), "rec", "left_semi")
         like = like.checkpoint()
-        good = like.join(cuts.split_per(like, ["object", "example"], "score"), ["object", "example"]).where("score > cut")
+        good = like.join(F.broadcast(cuts.split_per(like, ["object", "example"], "score", few=True)), ["object", "example"]).where("score > cut")
         named = words.select("object").distinct()
         at = here.select("object", "rec", F.col("pos").alias("_a"), F.col("pos").alias("_z"))
         sure = range_join(good.join(named, "object", "left_semi"), at, ["object", "rec"], ("t0", "t1"), ("_a", "_z"), 64)
@@ -143,10 +161,7 @@ def sightings(steps: DataFrame, words: DataFrame, pieces: DataFrame, matches: Da
         spans = spans.join(found, ["object", "rec", "t0", "t1"], "left_anti")
         found = found.unionByName(spans.select("object", "rec", "t0", "t1", F.lit("example").alias("by"), "score"))
     found = found.checkpoint()
-    key = ["object", "rec", "t0", "t1"]
-    none = F.array().cast("array<string>")
-    out = found.join(places(found, steps, words, pieces), key, "left")
-    return out.select(*key, "by", "score", F.coalesce("place", none).alias("place"), F.coalesce("end_place", none).alias("end_place"))
+    return places(found, steps, words, pieces).select("object", "rec", "t0", "t1", "by", "score", "place", "end_place")
 
 
 def refreshed(kept: DataFrame, found: DataFrame) -> DataFrame:

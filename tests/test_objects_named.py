@@ -123,3 +123,17 @@ def test_nothing_at_all(spark, pieces):
     assert objects.sightings(none, _words(spark), pieces).count() == 0
     some = spark.createDataFrame([(None, None, None, None, None), (1, 1, -3.0, None, None), (1, 2, -3.0, [], [])], STEPS)
     assert objects.sightings(some, _words(spark), pieces).count() == 0
+
+
+def test_words_of_a_stretch_are_summed_once_for_all_objects(spark):
+    listed = [" alpha", " beta", " gamma", " delta", " epsilon", " zeta", " eta"]
+    steps = spark.createDataFrame([(1, 0, -3.0, listed, [-1.0, -1.1, -1.2, -1.3, -1.4, -1.5, -1.6])], "rec long, pos long, floor double, ids array<string>, lps array<double>").checkpoint()
+    pieces = steps.select(F.explode("ids").alias("id")).withColumn("piece", F.col("id")).checkpoint()
+    words = spark.createDataFrame([(1, 0, 0, " alpha"), (1, 1, 0, " gamma"), (2, 0, 0, " eta")], "object long, phrase int, word int, id string")
+    spans = spark.createDataFrame([(o, 1, 0, 0, "name") for o in range(50)] + [(7, 9, 0, 0, "example")], "object long, rec long, t0 long, t1 long, by string").checkpoint()
+    out = objects.places(spans, steps, words, pieces)
+    assert not [x for x in out._jdf.queryExecution().executedPlan().toString().split("hashpartitioning(")[1:] if "object" in x.split(")")[0] and "text" in x.split(")")[0]]
+    got = {(r["object"], r["rec"]): (r["by"], r["place"], r["end_place"]) for r in out.collect()}
+    assert len(got) == 51 and got[7, 9] == ("example", [], [])
+    assert got[1, 1][1] == ["beta", "delta", "epsilon", "zeta", "eta"] == got[1, 1][2]
+    assert got[2, 1][1] == ["alpha", "beta", "gamma", "delta", "epsilon"] == got[0, 1][1]
