@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 import pyspark.sql.functions as F
@@ -11,6 +13,20 @@ from stratalake.functions.scalar import unit
 
 #: Rows of the right side in one block of a blocked product.
 BLOCK = 20_000
+#: Products that a task holds at once: of two blocks, as many rows meet the other block as make these (8 MB).
+HELD = 1 << 20
+
+
+def tiles(a: np.ndarray, b: np.ndarray) -> Iterator[tuple[slice, np.ndarray]]:
+    """Places of rows of a, and their products with all rows of b, HELD at most at a time (one row at least)."""
+    step = max(1, HELD // max(len(b), 1))
+    for lo in range(0, len(a), step):
+        at = slice(lo, lo + step)
+        yield at, a[at] @ b.T
+
+
+def stacked(vectors: pd.Series) -> np.ndarray:
+    return np.stack(vectors.to_numpy()).astype(float, copy=False)
 
 
 def mean_vector(df: DataFrame, by: list[str], vector: str, weight: str | None = None) -> DataFrame:
@@ -32,7 +48,7 @@ def nearest(queries: DataFrame, corpus: DataFrame, key: str, vector: str, k: int
     """key, match, cosine, rank: the k most alike corpus rows of each query (earlier_only: among smaller keys).
 
     Blocked matrix products: the corpus is dealt into blocks by size, each query meets every block once, and a query's
-    k best of all blocks are ranked at the end. Nothing is collected, and memory is bounded by a block. Null vectors
+    k best of all blocks are ranked at the end. Nothing is collected, and memory is bounded by two blocks and HELD products. Null vectors
     neither ask nor match, and vectors of different lengths don't meet.
     """
     corpus, queries = (x.where(F.col(vector).isNotNull()).withColumn("_dim", F.size(vector)) for x in (corpus, queries))
@@ -48,17 +64,23 @@ def nearest(queries: DataFrame, corpus: DataFrame, key: str, vector: str, k: int
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = {"key": [], "match": [], "cosine": []}
         if len(left) and len(right):
-            a, b = (np.stack(x["vec"].to_numpy()).astype(float) for x in (left, right))
-            a, b = (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300) for x in (a, b))
+            a, b = stacked(left["vec"]), stacked(right["vec"])
+            for x in (a, b):
+                x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
             right_keys, left_keys = right["key"].to_numpy(), left["key"].to_numpy()
-            for lo in range(0, len(a), 512):
-                s = a[lo : lo + 512] @ b.T
+            for at, s in tiles(a, b):
                 if earlier_only:
-                    s[right_keys[None, :] >= left_keys[lo : lo + 512, None]] = -np.inf
-                top = np.argpartition(-s, min(k, s.shape[1]) - 1, axis=1)[:, :k] if s.shape[1] > k else np.tile(np.arange(s.shape[1]), (len(s), 1))
+                    s[right_keys[None, :] >= left_keys[at, None]] = -np.inf
+                if k == 1:
+                    top = s.argmax(1)[:, None]
+                elif s.shape[1] > k:
+                    top = np.argpartition(np.negative(s, out=s), k - 1, axis=1)[:, :k]
+                    np.negative(s, out=s)
+                else:
+                    top = np.tile(np.arange(s.shape[1]), (len(s), 1))
                 got = np.take_along_axis(s, top, 1)
                 ok = np.isfinite(got)
-                out["key"].append(np.repeat(left_keys[lo : lo + 512], top.shape[1]).reshape(top.shape)[ok])
+                out["key"].append(np.repeat(left_keys[at], top.shape[1]).reshape(top.shape)[ok])
                 out["match"].append(right_keys[top][ok])
                 out["cosine"].append(got[ok])
         return pd.DataFrame({c: np.concatenate(v) if v else [] for c, v in out.items()})

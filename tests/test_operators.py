@@ -191,3 +191,11 @@ def test_sliding_windows_hold_their_members(spark):
     got = sorted(map(tuple, intervals.window_members(df, ["k"], "t", 8, 4).select("t0", "t").collect()))
     starts = [3, 7, 11, 15, 19]
     assert got == sorted((s, t) for s in starts for t in (3, 4, 9, 15, 16, 23) if s <= t < s + 8)
+
+
+def test_products_of_blocks_are_held_in_part(spark, monkeypatch):
+    monkeypatch.setattr(vec, "HELD", 100)
+    a, b = np.arange(60.0).reshape(30, 2), np.arange(80.0).reshape(40, 2)
+    parts = list(vec.tiles(a, b))
+    assert max(s.size for _, s in parts) <= 100 and np.array_equal(np.concatenate([s for _, s in parts]), a @ b.T)
+    assert [s.shape for _, s in vec.tiles(a, np.ones((400, 2)))] == [(1, 400)] * 30
