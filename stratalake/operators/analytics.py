@@ -12,7 +12,7 @@ from stratalake.functions.scalar import dot, unit
 from stratalake.operators.cuts import split
 from stratalake.operators.islands import _islands
 from stratalake.operators.sequence import align_path
-from stratalake.operators.vectors import BLOCK, mean_vector
+from stratalake.operators.vectors import BLOCK, mean_vector, stacked, tiles
 
 
 def local_peaks(df: DataFrame, by: list[str], on: str, score: str) -> DataFrame:
@@ -90,12 +90,13 @@ def first_hit_rate(df: DataFrame, key: str, left: str, right: str) -> DataFrame:
 
     def meet(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         out = []
-        y = y.sort_values("key")
-        for lo in range(0, len(x) if len(y) else 0, 512):
-            part = x.iloc[lo : lo + 512]
-            s = (np.stack(part["vec"].to_numpy()) @ np.stack(y["vec"].to_numpy()).T).round(12)  # a product of equal vectors hangs on their places
-            top = s.argmax(1)
-            out.append(pd.DataFrame({"key": part["key"].to_numpy(), "match": y["key"].to_numpy()[top], "score": s[np.arange(len(s)), top]}))
+        if len(x) and len(y):
+            order = y["key"].argsort().to_numpy()
+            keys, others = x["key"].to_numpy(), y["key"].to_numpy()[order]
+            for at, s in tiles(stacked(x["vec"]), stacked(y["vec"])[order]):
+                s.round(12, out=s)  # a product of equal vectors hangs on their places
+                top = s.argmax(1)
+                out.append(pd.DataFrame({"key": keys[at], "match": others[top], "score": s[np.arange(len(s)), top]}))
         return pd.concat(out) if out else pd.DataFrame({"key": [], "match": [], "score": []})
 
     met = a.groupBy("i", "j", "_dim").cogroup(b.groupBy("i", "j", "_dim")).applyInPandas(meet, f"key {kind}, match {kind}, score double")
@@ -215,19 +216,20 @@ def opposites(df: DataFrame, key: str, vector: str, score: str | None = None) ->
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         keys, match, found = [], [], []
         if len(left) and len(right):
-            right = right.sort_values("key")
-            a, b = (np.stack(x["vec"].to_numpy()).astype(float) for x in (left, right))
+            order = right["key"].argsort().to_numpy()
+            a, b = stacked(left["vec"]), stacked(right["vec"])[order]
             with np.errstate(invalid="ignore"):
-                a, b = (x / np.linalg.norm(x, axis=1, keepdims=True) for x in (a, b))
-            left_keys, right_keys = left["key"].to_numpy(), right["key"].to_numpy()
-            for lo in range(0, len(a), 512):
-                s = np.round(a[lo : lo + 512] @ b.T, 9)
+                for x in (a, b):
+                    x /= np.linalg.norm(x, axis=1, keepdims=True)
+            left_keys, right_keys = left["key"].to_numpy(), right["key"].to_numpy()[order]
+            for at, s in tiles(a, b):
+                np.round(s, 9, out=s)
                 s[np.isnan(s)] = 2.0
-                s[left_keys[lo : lo + 512, None] == right_keys[None, :]] = np.inf
+                s[left_keys[at, None] == right_keys[None, :]] = np.inf
                 least = s.argmin(1)  # the first of equal ones, so the smallest key
                 best = s[np.arange(len(s)), least]
                 ok = np.isfinite(best)
-                keys.append(left_keys[lo : lo + 512][ok])
+                keys.append(left_keys[at][ok])
                 match.append(right_keys[least][ok])
                 found.append(best[ok])
         return pd.DataFrame({n: np.concatenate(v) if v else [] for n, v in (("key", keys), ("match", match), ("cosine", found))})
