@@ -24,24 +24,30 @@ def attested(df: DataFrame, text: str, least: int, share: float) -> DataFrame:
     return df.select(F.explode(F.array_distinct(words(F.col(text)))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")).where((F.col("df") >= least) & (F.col("df") <= share * n))
 
 
+#: Rows whose terms one task counts and joins, on average.
+TASK_ROWS = 2000
+
+
 def tfidf_search(df: DataFrame, key: str, terms: Column, query_terms: list[str]) -> DataFrame:
     """key, score: cosine of sublinear TF-IDF vectors with the query's.
 
     Keys are unique. Rows are dealt by their key as they are, so that terms are counted where they are parted; how many
     rows hold a term is counted before any shuffle. The query is a short list whose weights ride on the IDF table, which
-    is joined by term, so that lengths and products are sums of one aggregation.
+    is joined by term, so that lengths and products are sums of one aggregation. Terms are many times what their texts are,
+    so tasks are numbered by rows, not by bytes: what one holds at once doesn't grow with the input.
     """
     n = df.count()
+    tasks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // TASK_ROWS))
     seen = df.select(F.explode(F.array_distinct(terms)).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("rows"))
     idf = seen.select("term", (F.log(F.lit(1.0 + n) / (1 + F.col("rows"))) + 1).alias("idf"))
-    tf = df.repartition(key).select(key, F.explode(terms).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+    tf = df.repartition(tasks, key).select(key, F.explode(terms).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
     counts: dict[str, int] = {}
     for t in query_terms:
         counts[t] = counts.get(t, 0) + 1
     asked = df.sparkSession.createDataFrame(list(counts.items()), "term string, qtf long")
     weights = idf.join(F.broadcast(asked), "term", "left").select("term", "idf", ((1 + F.log("qtf")) * F.col("idf")).alias("qw"))
     own = weights.agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qlen"))  # one row
-    w = tf.join(weights, "term").withColumn("w", (1 + F.log("tf")) * F.col("idf"))
+    w = tf.repartition(tasks, "term").join(weights.repartition(tasks, "term"), "term").withColumn("w", (1 + F.log("tf")) * F.col("idf"))
     met = w.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("len"), F.sum(F.col("w") * F.col("qw")).alias("dot")).where("dot is not null")
     return met.join(F.broadcast(own), F.lit(True)).select(key, (F.col("dot") / (F.col("len") * F.col("qlen"))).alias("score"))
 

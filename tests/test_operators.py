@@ -199,3 +199,15 @@ def test_products_of_blocks_are_held_in_part(spark, monkeypatch):
     parts = list(vec.tiles(a, b))
     assert max(s.size for _, s in parts) <= 100 and np.array_equal(np.concatenate([s for _, s in parts]), a @ b.T)
     assert [s.shape for _, s in vec.tiles(a, np.ones((400, 2)))] == [(1, 400)] * 30
+
+
+def test_tasks_of_tfidf_follow_the_rows(spark, monkeypatch):
+    from stratalake.operators import text
+
+    df = spark.createDataFrame([(i, f"w{i % 7} w{i % 5} the") for i in range(200)], "id long, body string").checkpoint()
+    plan = lambda: text.tfidf_search(df, "id", text.words(F.col("body")), ["w1", "the"])
+    want = {r["id"]: round(r["score"], 9) for r in plan().collect()}
+    monkeypatch.setattr(text, "TASK_ROWS", 10)
+    shown = plan()._jdf.queryExecution().optimizedPlan().toString()
+    assert shown.count("term#") and sum(", 20" in x for x in shown.splitlines() if "RepartitionByExpression" in x) == 3
+    assert {r["id"]: round(r["score"], 9) for r in plan().collect()} == want and len(want) == 200
