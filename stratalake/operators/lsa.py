@@ -1,14 +1,24 @@
-"""Latent semantic space of weighted terms, by randomised range finding over the long form (row, term, weight)."""
+"""Latent semantic space of weighted terms, by randomised range finding over the long form (row, term, weight), or over
+blocks of the vocabulary that rows visit."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import pyspark.sql.functions as F
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 
+from stratalake.functions.scalar import dot, unit
+
 #: Extra directions beyond those asked for, and power rounds.
 EXTRA, ROUNDS = 8, 3
+#: Rows for each block of the vocabulary, and terms of rows that a product of a block takes at once.
+BLOCK, HELD = 16384, 1 << 20
 
 
 def weights(df: DataFrame, key: str, terms: Column) -> tuple[DataFrame, DataFrame]:
@@ -76,3 +86,181 @@ def basis(w: DataFrame, key: str, dims: int = 48) -> DataFrame:
 def embed(w: DataFrame, key: str, terms: DataFrame, dims: int = 48) -> DataFrame:
     """key, vec: rows in the space (not scaled)."""
     return _gathered(w.join(terms, "term"), key, F.col("vec"), dims)
+
+
+def _lists(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """How many elements each list has, and all of them; a null list has none."""
+    return column.value_lengths().fill_null(0).to_numpy(), column.flatten().to_numpy()
+
+
+def dealt(df: DataFrame, key: str, terms: Column, blocks: int) -> DataFrame:
+    """block, key, once, more, counts: the different terms of each row as 64-bit hashes, those it has once and those it has
+    more often, in the blocks of the vocabulary that their hashes name: a row for each row and block that have any.
+
+    Two terms of one hash would count as one; of 10^8 terms that any two do has a chance of 3 in 10,000.
+    """
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (b.slice(lo, 256) for b in batches for lo in range(0, len(b), 256)):
+            size, h = _lists(b.column("h"))
+            row = np.repeat(np.arange(len(size)), size)
+            h = h[np.lexsort((h, row))]  # rows stay in their places
+            new = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (row[1:] != row[:-1])])[: len(h)])
+            h, row, tf = h[new], row[new], np.diff(np.append(new, len(h)))
+            at = row * blocks + (h.view(np.uint64) % np.uint64(blocks)).astype(np.int64)
+            order = np.argsort(at, kind="stable")
+            h, tf = h[order], tf[order]
+            at, group = np.unique(at[order], return_inverse=True)
+            lists = lambda ok, x: pa.ListArray.from_arrays(np.append(0, np.cumsum(np.bincount(group[ok], minlength=len(at)))).astype(np.int32), pa.array(x[ok]))
+            yield pa.record_batch([pa.array(at % blocks), b.column("key").take(pa.array(at // blocks)), lists(tf == 1, h), lists(tf > 1, h), lists(tf > 1, tf.astype(np.int32))], ["block", "key", "once", "more", "counts"])
+
+    rows = df.select(F.col(key).alias("key"), F.transform(terms, lambda t: F.xxhash64(t)).alias("h"))
+    return rows.mapInArrow(deal, f"block long, key {dict(rows.dtypes)['key']}, once array<long>, more array<long>, counts array<int>")
+
+
+def _sign(h: np.ndarray, i: int) -> np.ndarray:
+    """The signs of terms in direction i, as `basis` draws them: xxhash64(term, i), of the term's hash."""
+    p1, p2, p3, p5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5))
+    with np.errstate(over="ignore"):
+        x = (h.view(np.uint64) + p5 + np.uint64(4)) ^ (np.uint64(i) * p1)
+        x = ((x << np.uint64(23)) | (x >> np.uint64(41))) * p2 + p3
+        x = (x ^ (x >> np.uint64(33))) * p2
+        x = (x ^ (x >> np.uint64(29))) * p3
+    return np.where((x ^ (x >> np.uint64(32))) & np.uint64(1), 1.0, -1.0)
+
+
+class _Block:
+    """The rows of one block of the vocabulary: who they are (names), and for each of their terms row, term and weight (not
+    yet scaled). Terms are numbered from 0; hashes are the terms themselves. Rows without a key count for idf alone."""
+
+    def __init__(self, t: pa.Table, n: int):
+        one, once = _lists(t.column("once").combine_chunks())
+        many, more = _lists(t.column("more").combine_chunks())
+        known = t.column("key").combine_chunks().dictionary_encode()
+        self.names, rows = known.dictionary, known.indices.fill_null(len(known.dictionary)).to_numpy()
+        row, tf = np.concatenate([np.repeat(rows, one), np.repeat(rows, many)]).astype(np.int32), np.concatenate([np.ones(len(once), np.int32), _lists(t.column("counts").combine_chunks())[1]])
+        self.hashes, term = np.unique(np.concatenate([once, more]), return_inverse=True)
+        if len(np.unique(rows)) < len(rows):  # a key on several rows: its terms are counted together
+            pair, at = np.unique(row.astype(np.int64) * len(self.hashes) + term, return_inverse=True)
+            row, term, tf = (pair // len(self.hashes)).astype(np.int32), pair % len(self.hashes), np.bincount(at, tf)
+        self.idf = np.log((1.0 + n) / (1 + np.bincount(term, minlength=len(self.hashes)))) + 1
+        self.row, self.term = row, term.astype(np.int32)
+        self.w = np.where(row < len(self.names), (1 + np.log(tf)) * self.idf[self.term], 0.0)
+
+    def rows(self, x: np.ndarray) -> np.ndarray:
+        """The sum of x over each row's terms."""
+        return np.bincount(self.row, x, len(self.names) + 1)[: len(self.names)]
+
+    def by_row(self, values: np.ndarray) -> np.ndarray:
+        """Rows times values (a number a term), HELD terms at a time."""
+        out = np.zeros(len(self.names) + 1)
+        for lo in range(0, len(self.row), HELD):
+            at = slice(lo, lo + HELD)
+            out += np.bincount(self.row[at], self.w[at] * values[self.term[at]], len(out))
+        return out[:-1]
+
+    def product(self, q: np.ndarray, length: np.ndarray, told: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For rows scaled by their lengths and vectors q of these: rows times their terms' vectors (the terms' sums of q);
+        the products of the terms' vectors with each other; and the question (told) times them.
+
+        A term that one row alone has needs no vector: it gives that row its own q back."""
+        size, count = q.shape[1], np.bincount(self.term, minlength=len(self.hashes))
+        q, own = np.vstack([q, np.zeros(size)]), np.append(1 / length, 0.0)
+        some = count[self.term] > 1
+        alone, number = np.flatnonzero(~some), np.cumsum(count > 1) - 1
+        w = self.w * own[self.row]
+        square = np.bincount(self.row[alone], w[alone] ** 2, len(q))
+        said = w[alone] * told[self.term[alone]]
+        at = np.flatnonzero(said)
+        back, out = np.zeros((size, int((count > 1).sum()))), square[:, None] * q
+        question, gram = said[at] @ q[self.row[alone[at]]], (square[:, None] * q).T @ q
+        row, term, w = self.row[some], number[self.term[some]].astype(np.int32), w[some]
+        for k in range(size):
+            for lo in range(0, len(row), HELD):
+                at = slice(lo, lo + HELD)
+                back[k] += np.bincount(term[at], w[at] * q[row[at], k], back.shape[1])
+            for lo in range(0, len(row), HELD):
+                at = slice(lo, lo + HELD)
+                out[:, k] += np.bincount(row[at], w[at] * back[k, term[at]], len(q))
+        return out[:-1], gram + back @ back.T, question + back @ told[count > 1]
+
+
+def _vectors(x: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32), pa.array(np.ascontiguousarray(x).ravel()))
+
+
+def _summed(df: DataFrame, by: list[str], size: int, *others: str) -> DataFrame:
+    """Sums by key of vec, a vector of a size, and of other columns."""
+    parts = df.groupBy(*by).agg(*(F.sum(F.col("vec")[i]).alias(f"_s{i}") for i in range(size)), *(F.sum(c).alias(c) for c in others))
+    return parts.select(*by, F.array(*(F.col(f"_s{i}") for i in range(size))).alias("vec"), *others)
+
+
+def likeness(df: DataFrame, key: str, terms: Column, asked: dict[int, int], dims: int = 48) -> DataFrame:
+    """key, meaning, wording of the rows that have terms: cosines with a question, in the latent space and of the TF-IDF
+    rows themselves (null meaning where the question has no term that a row has). asked: how often it says a term, by the term's hash.
+
+    As weights, basis and embed give them, but terms stay where their block of the vocabulary is. In a round a row's
+    vector goes to every block, which makes its terms' vectors of them and sends the rows' products with these back; what
+    makes them orthonormal is a small matrix that is known afterwards. So a round moves `dims` + EXTRA numbers a row and
+    block, and none a term of a row; terms are moved once.
+    """
+    n, size, kind = df.count(), dims + EXTRA, dict(df.dtypes)[key]
+    blocks = max(4, -(-n // BLOCK))
+    held = dealt(df, key, terms, blocks).repartition(blocks, "block").persist(StorageLevel.DISK_ONLY)
+
+    def told(block: _Block) -> np.ndarray:
+        """The question's weight of each term of the block."""
+        at = np.searchsorted(block.hashes, np.fromiter(asked, np.int64, len(asked)))
+        out = np.zeros(len(block.hashes))
+        for i, (h, c) in zip(at.tolist(), asked.items()):
+            if i < len(out) and block.hashes[i] == h:
+                out[i] = (1 + np.log(c)) * block.idf[i]
+        return out
+
+    def begun(t: pa.Table) -> pa.Table:
+        block = _Block(t, n)
+        vec = np.column_stack([block.by_row(_sign(block.hashes, i)) for i in range(size)])
+        own = block.rows(block.w * block.w), block.by_row(told(block))
+        return pa.table([block.names, _vectors(vec), *map(pa.array, own)], ["key", "vec", "len", "wording"])
+
+    def turned(a: pa.Table, b: pa.Table) -> pa.Table:
+        """Of each row its product (part 0); without a key, the products of the terms' vectors (parts 1 to size) and what the
+        question gives (the part after, if it says a term of the block)."""
+        key = a.schema.field("key").type
+        keys, vec, part = pa.array([], key), np.empty((0, size)), np.empty(0, np.int32)
+        if len(a) and len(b):
+            block = _Block(a, n)
+            at = pc.index_in(block.names, value_set=b.column("key").combine_chunks()).to_numpy()
+            q, length = _lists(b.column("vec").combine_chunks())[1].reshape(-1, size)[at], b.column("len").to_numpy()[at]
+            weights = told(block)
+            out, gram, question = block.product(q, length, weights)
+            more = [gram, question[None]] if weights.any() else [gram]
+            vec = np.vstack([out, *more])
+            keys = pa.concat_arrays([block.names, pa.nulls(len(vec) - len(out), key)])
+            part = np.concatenate([np.zeros(len(out), np.int32), np.arange(1, len(vec) - len(out) + 1, dtype=np.int32)])
+        return pa.table([keys, _vectors(vec), pa.array(part)], ["key", "vec", "part"])
+
+    # a row is scaled at the end of a sum over its blocks: its length is that of all of them
+    root = F.sqrt("len")
+    first = _summed(held.groupBy("block").applyInArrow(begun, f"key {kind}, vec array<double>, len double, wording double"), ["key"], size, "len", "wording")
+    rows = first.select("key", F.transform("vec", lambda x: x / root).alias("vec"), root.alias("len"), (F.col("wording") / root).alias("wording")).checkpoint()
+    known, point = rows.select("key", "len", "wording"), None
+    for k in range(ROUNDS):
+        q = _orthonormal(rows, "key", size).checkpoint()
+        sent = q.join(known.select("key", "len"), "key").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).repartition(blocks, "block")
+        met = held.groupBy("block").cogroup(sent.select("block", "key", "vec", "len").groupBy("block")).applyInArrow(turned, f"key {kind}, vec array<double>, part int")
+        total = _summed(met, ["key", "part"], size).checkpoint()
+        small = {r["part"]: np.array(r["vec"]) for r in total.where("part > 0").collect()}  # size + 1 rows at most
+        values, vectors = np.linalg.eigh(np.stack([small.get(i + 1, np.zeros(size)) for i in range(size)]))
+        order = np.argsort(-values)[:dims] if k + 1 == ROUNDS else np.arange(size)
+        ok = values[order] > max(values.max(), 1e-300) * 1e-12
+        turn = vectors[:, order] * np.where(ok, 1 / np.sqrt(np.where(ok, values[order], 1)), 0)
+        rows = _times(total.where("part = 0"), "key", turn).checkpoint()
+        point = small[size + 1] @ turn if size + 1 in small else None
+    held.unpersist()
+    if point is None:
+        meaning = F.lit(None).cast("double")
+    else:
+        point = point / max(np.linalg.norm(point), 1e-300)
+        meaning = dot(unit(F.col("vec")), F.array(*map(F.lit, map(float, point))))
+    return rows.select(F.col("key").alias(key), meaning.alias("meaning")).join(known.select(F.col("key").alias(key), "wording"), key)

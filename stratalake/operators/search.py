@@ -154,15 +154,9 @@ def hybrid(docs: DataFrame, key: str, body: str, query: str, appearance: DataFra
     space) and wording (cosine of TF-IDF), fused by ranks. A row without words abstains from the latter two."""
     words = F.filter(text.words(F.col(body)), lambda w: ~w.isin(*stop)) if stop else text.words(F.col(body))
     grams = lambda ws: F.concat(ws, F.when(F.size(ws) > 1, F.zip_with(F.slice(ws, F.lit(1), F.size(ws) - 1), F.slice(ws, F.lit(2), F.size(ws) - 1), lambda a, b: F.concat_ws(" ", a, b))).otherwise(F.array().cast("array<string>")))
-    w, idf = lsa.weights(docs, key, grams(words))
-    w = w.checkpoint()
     asked = docs.sparkSession.createDataFrame([(0, query)], f"{key} long, {body} string")
-    q = asked.select(F.explode(grams(words)).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n")).join(idf, "term").select("term", ((1 + F.log("n")) * F.col("idf")).alias("qw")).checkpoint()
-    wording = w.join(F.broadcast(q), "term").groupBy(key).agg(F.sum(F.col("w") * F.col("qw")).alias("wording"))
-    terms = lsa.basis(w, key, dims).checkpoint()
-    point = lsa.embed(q.withColumnRenamed("qw", "w").withColumn("one", F.lit(0)), "one", terms, dims).select(unit(F.col("vec")).alias("q"))
-    meaning = lsa.embed(w, key, terms, dims).join(F.broadcast(point), F.lit(True), "left").select(key, F.aggregate(F.zip_with(unit(F.col("vec")), "q", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x).alias("meaning"))
-    known = meaning.join(wording, key, "left").fillna(0.0, ["wording"])
+    said = dict(asked.select(F.explode(grams(words)).alias("term")).groupBy(F.xxhash64("term")).count().collect())  # one question
+    known = lsa.likeness(docs, key, grams(words), said, dims)
     rows = docs.select(key).join(appearance, key, "left").join(known, key, "left")
     rows = rows.withColumns({c: F.round(c, 9) for c in ("appearance", "meaning", "wording")}).checkpoint()
     fused = ranking.fuse(rows, {"appearance": 1.0, "meaning": 1.0, "wording": 1.0}, key)

@@ -80,6 +80,32 @@ def test_latent_space_spans_what_svd_spans(spark):
     assert np.allclose(made @ made.T, want @ want.T, atol=1e-4)
 
 
+def test_hybrid_keeps_rows_and_no_terms_of_rows(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    docs = [(i, " ".join(rng.choice([f"w{k}" for k in range(300)], 60))) for i in range(70)] + [(70, ""), (71, "w1 w1 alone"), (71, "w1 w2"), (None, "w3 w4")]
+    df = spark.createDataFrame(docs, "id long, text string")
+    said = {"w1": 1, "w5": 2, "alone": 1, "absent": 1}
+    w, idf = lsa.weights(df, "id", text.words(F.col("text")))
+    w = w.checkpoint()
+    q = spark.createDataFrame([(k, n) for k, n in said.items()], "term string, n int").join(idf, "term").select(F.lit(0).alias("one"), "term", ((1 + F.log("n")) * F.col("idf")).alias("w")).checkpoint()
+    wording = {r["id"]: r["x"] for r in w.join(q.select("term", F.col("w").alias("qw")), "term").groupBy("id").agg(F.sum(F.col("w") * F.col("qw")).alias("x")).collect()}
+    terms = lsa.basis(w, "id", 4).checkpoint()
+    unit = lambda v: np.array(v) / np.linalg.norm(v)
+    point = unit(lsa.embed(q, "one", terms, 4).first()["vec"])
+    want = {r["id"]: (unit(r["vec"]) @ point, wording.get(r["id"], 0.0)) for r in lsa.embed(w, "id", terms, 4).collect()}
+
+    kept, kind = [], type(df)
+    plain = kind.checkpoint
+    monkeypatch.setattr(kind, "checkpoint", lambda self, *a: (out := plain(self, *a), kept.append(out.count()))[0])
+    monkeypatch.setattr(lsa, "HELD", 50)
+    hashes = {r[0]: r[1] for r in spark.createDataFrame([(t,) for t in said], "term string").select("term", F.xxhash64("term")).collect()}
+    got = {r["id"]: (r["meaning"], r["wording"]) for r in lsa.likeness(df, "id", text.words(F.col("text")), {hashes[t]: n for t, n in said.items()}, 4).collect()}
+    assert got.keys() == want.keys() and np.allclose([got[k] for k in want], [want[k] for k in want], atol=1e-9)
+    assert all(r["meaning"] is None and r["wording"] == 0 for r in lsa.likeness(df, "id", text.words(F.col("text")), {7: 1}, 4).collect())
+    search.hybrid(df.where("id is not null"), "id", "text", "w1 w5", df.select("id", F.lit(0.5).alias("appearance")).where("id < 70"), 4).collect()
+    assert max(kept) <= len(docs) + 4 + lsa.EXTRA + 1  # rows, and a small matrix
+
+
 def test_spend_stops_where_rows_repeat_what_is_held(spark):
     held = blobs(6, 20, 0.02)[:60]
     new = np.concatenate([held[:10] + 0.01, [np.eye(8)[6], np.eye(8)[7]]])
