@@ -93,15 +93,20 @@ def nearest(queries: DataFrame, corpus: DataFrame, key: str, vector: str, k: int
 def farthest_points(df: DataFrame, key: str, vector: str, count: int) -> DataFrame:
     """Greedy cover: from the smallest key on, the row farthest (1 - cosine) from those picked, `count` times.
 
-    Each round is one distributed pass that keeps every row's distance to the picks; only the pick reaches the driver.
+    Each round is one distributed pass over what the last one kept: every row's vector and its distance to the picks, held
+    by Spark so that no round repeats those before it. Only the pick reaches the driver.
     """
-    rows = df.select(F.col(key).alias("key"), unit(F.col(vector)).alias("vec"), F.lit(float("inf")).alias("far"))
+    rows = df.select(F.col(key).alias("key"), unit(F.col(vector)).alias("vec"), F.lit(float("inf")).alias("far")).persist()
     picked, spark = [], df.sparkSession
     best = rows.agg(F.min_by(F.struct("key", "vec", "far"), "key").alias("b")).first()["b"]
     while best is not None and len(picked) < count:
         picked.append((best["key"], float(best["far"]) if np.isfinite(best["far"]) else None, len(picked)))
+        if len(picked) == count:
+            break
         v = F.array(*map(F.lit, best["vec"]))
         d = 1 - F.aggregate(F.zip_with("vec", v, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-        rows = rows.withColumn("far", F.least(F.col("far"), F.greatest(d, F.lit(0.0)))).where("far > 1e-12")
+        before, rows = rows, rows.withColumn("far", F.least(F.col("far"), F.greatest(d, F.lit(0.0)))).where("far > 1e-12").persist()
         best = rows.agg(F.max_by(F.struct("key", "vec", "far"), F.struct(F.round("far", 9), -F.col("key"))).alias("b")).first()["b"]
+        before.unpersist()
+    rows.unpersist()
     return spark.createDataFrame(picked, "key long, distance double, pick int")

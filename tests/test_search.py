@@ -5,7 +5,8 @@ import pyspark.sql.functions as F
 import pytest
 
 from stratalake.functions.sql import register
-from stratalake.operators import clusters, graph_index, lsa, search, text
+from stratalake.functions import scalar
+from stratalake.operators import clusters, graph_index, lsa, search, text, vectors
 
 
 def rows_of(spark, x):
@@ -245,3 +246,16 @@ def test_cells_with_stored_codes(spark, tmp_path, monkeypatch):
     recall = np.mean([len(found[i] & set(np.argsort(-(u @ u[i]))[:10].tolist())) / 10 for i in range(0, 3000, 100)])
     assert recall >= 0.9
     assert quantised.build(df.where("v is null"), "i", "v") is None
+
+
+def test_units_take_a_norm_once_and_covers_keep_their_distances(spark):
+    x = blobs(5, 12, 0.3)
+    df = rows_of(spark, x)
+    plan = df.select(scalar.unit(F.col("v")).alias("u"))._jdf.queryExecution().analyzed().toString()
+    assert plan.lower().count("sqrt") == 1  # not in the lambda, where each element would take it anew
+    u, picked = x / np.linalg.norm(x, axis=1, keepdims=True), [0]
+    while len(picked) < 5:
+        picked.append(int(np.round((1 - u @ u[picked].T).min(1), 9).argmax()))
+    assert [r["key"] for r in vectors.farthest_points(df, "id", "v", 5).collect()] == picked
+    some = spark.createDataFrame([(1, [3.0, 4.0]), (2, [0.0, 0.0]), (3, None), (4, [])], "id long, v array<double>")
+    assert [r[0] for r in some.orderBy("id").select(scalar.unit(F.col("v"))).collect()] == [[0.6, 0.8], [0.0, 0.0], None, []]
