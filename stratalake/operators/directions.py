@@ -12,12 +12,13 @@ from pyspark.sql import DataFrame
 from stratalake.functions.scalar import dot, unit
 from stratalake.operators import analytics, text
 from stratalake.operators.intervals import containing
+from stratalake.operators.lsa import lists
 
 
 #: Rows of a lexicon that is met by broadcast; a larger one is joined by shuffle.
 SMALL = 100_000
-#: Terms whose sums a task holds before it hands them on.
-HELD = 20_000
+#: Terms whose sums a task holds, and rows that it meets at once, on average.
+HELD, PART = 20_000, 1 << 16
 
 
 def _met(pairs: DataFrame) -> DataFrame:
@@ -27,36 +28,52 @@ def _met(pairs: DataFrame) -> DataFrame:
 def term_means(docs: DataFrame, terms: DataFrame, body: str, vector: str) -> DataFrame:
     """term, vec: the mean vector of the rows whose text has the term, for the terms given.
 
-    Rows are summed by term where they are read, so that a sum leaves a task and not a row's vector for each of its words.
+    Terms are dealt into blocks by hash. A row sends each block its vector once and the hashes of its words there, and sums
+    are made where a block meets some PART rows, so that sums leave for each of these and not for each task that reads rows.
+    A word counts as a term if their 64-bit hashes are equal; vectors are of one length.
     """
     ws = F.array_distinct(text.words(F.col(body)))
-
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush() -> Iterator[pa.RecordBatch]:
-            names = list(held)
-            for lo in range(0, len(names), 2000):
-                part = names[lo : lo + 2000]
-                yield pa.record_batch([pa.array(part), pa.array([held[t][0].tolist() for t in part]), pa.array([held[t][1] for t in part])], ["term", "sums", "n"])
-            held.clear()
-
-        held: dict[str, list] = {}
-        for b in batches:
-            for found, v in zip(b.column("ws").to_pylist(), b.column("v").to_pylist()):
-                v = np.array(v, float)
-                for t in found:
-                    if t in held:
-                        held[t][0] += v
-                        held[t][1] += 1
-                    else:
-                        held[t] = [v.copy(), 1]
-            if len(held) > HELD:
-                yield from flush()
-        yield from flush()
-
-    rows = docs.where(F.col(body).isNotNull() & F.col(vector).isNotNull()).select(ws.alias("ws"), F.col(vector).cast("array<double>").alias("v"))
-    part = rows.mapInArrow(sums, "term string, sums array<double>, n long").join(_met(terms.select("term")), "term")
-    each = part.select("term", "n", F.posexplode("sums").alias("i", "x")).groupBy("term", "i").agg((F.sum("x") / F.sum("n")).alias("m"))
-    return each.groupBy("term").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda e: e["m"]).alias("vec"))
+    rows = docs.where(F.col(body).isNotNull() & F.col(vector).isNotNull()).select(F.transform(ws, lambda w: F.xxhash64(w)).alias("h"), F.col(vector).cast("array<double>").alias("v"))
+    parts, blocks = max(1, -(-docs.count() // PART)), max(8, -(-terms.count() // HELD))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (b.slice(lo, 256) for b in batches for lo in range(0, len(b), 256)):
+            size, h = lists(b.column("h"))
+            at = np.repeat(np.arange(len(size)), size) * blocks + h % blocks
+            order = np.argsort(at, kind="stable")
+            at, first = np.unique(at[order], return_index=True)
+            held = pa.ListArray.from_arrays(np.append(first, len(h)).astype(np.int32), pa.array(h[order]))
+            yield pa.record_batch([pa.array(at % blocks), held, b.column("v").take(pa.array(at // blocks)), b.column("part").take(pa.array(at // blocks))], ["block", "h", "v", "part"])
+
+    def sums(a: pa.Table, b: pa.Table) -> pa.Table:
+        named = np.array([], np.int64)
+        total, n = np.empty((0, 1)), np.array([], np.int64)
+        if len(a) and len(b):
+            order = np.argsort(b.column("h").to_numpy())
+            known, names = b.column("h").to_numpy()[order], b.column("term").combine_chunks().take(pa.array(order))
+            size, h = lists(a.column("h").combine_chunks())
+            v = lists(a.column("v").combine_chunks())[1].reshape(len(size), -1)
+            row, at = np.repeat(np.arange(len(size)), size), np.searchsorted(known, h)
+            ok = known[np.minimum(at, len(known) - 1)] == h
+            row, at = row[ok], at[ok]
+            total, n = np.zeros((len(known), v.shape[1])), np.bincount(at, minlength=len(known))
+            for lo in range(0, len(row), HELD):
+                order = np.argsort(at[lo : lo + HELD], kind="stable")
+                to, first = np.unique(at[lo : lo + HELD][order], return_index=True)
+                total[to] += np.add.reduceat(v[row[lo : lo + HELD][order]], first)
+            named = np.flatnonzero(n)
+            total, n = total[named], n[named]
+        names = names.take(pa.array(named)) if len(named) else pa.array([], pa.string())
+        vectors = pa.ListArray.from_arrays(np.arange(0, total.size + 1, total.shape[1], dtype=np.int32), pa.array(total.ravel()))
+        return pa.table([names, vectors, pa.array(n)], ["term", "sums", "n"])
+
+    sent = rows.withColumn("part", F.pmod(F.xxhash64("h", "v"), F.lit(parts))).mapInArrow(deal, "block long, h array<long>, v array<double>, part long")
+    asked = terms.select("term", F.xxhash64("term").alias("h")).withColumn("block", F.pmod("h", F.lit(blocks)))
+    asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+    part = sent.groupBy("block", "part").cogroup(asked.groupBy("block", "part")).applyInArrow(sums, "term string, sums array<double>, n long")
+    each = part.groupBy("term").agg(F.collect_list("sums").alias("sums"), F.sum("n").alias("n"))  # a list of `parts` at most
+    whole = F.aggregate(F.slice("sums", F.lit(2), F.size("sums")), F.get("sums", F.lit(0)), lambda s, x: F.zip_with(s, x, lambda a, b: a + b))
+    return each.withColumn("sums", whole).select("term", F.transform("sums", lambda x: x / F.col("n")).alias("vec"))
 
 
 def shared_contexts(docs: DataFrame, body: str, pairs: DataFrame) -> DataFrame:

@@ -88,7 +88,7 @@ def embed(w: DataFrame, key: str, terms: DataFrame, dims: int = 48) -> DataFrame
     return _gathered(w.join(terms, "term"), key, F.col("vec"), dims)
 
 
-def _lists(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def lists(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """How many elements each list has, and all of them; a null list has none."""
     return column.value_lengths().fill_null(0).to_numpy(), column.flatten().to_numpy()
 
@@ -102,7 +102,7 @@ def dealt(df: DataFrame, key: str, terms: Column, blocks: int) -> DataFrame:
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (b.slice(lo, 256) for b in batches for lo in range(0, len(b), 256)):
-            size, h = _lists(b.column("h"))
+            size, h = lists(b.column("h"))
             row = np.repeat(np.arange(len(size)), size)
             h = h[np.lexsort((h, row))]  # rows stay in their places
             new = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (row[1:] != row[:-1])])[: len(h)])
@@ -134,11 +134,11 @@ class _Block:
     yet scaled). Terms are numbered from 0; hashes are the terms themselves. Rows without a key count for idf alone."""
 
     def __init__(self, t: pa.Table, n: int):
-        one, once = _lists(t.column("once").combine_chunks())
-        many, more = _lists(t.column("more").combine_chunks())
+        one, once = lists(t.column("once").combine_chunks())
+        many, more = lists(t.column("more").combine_chunks())
         known = t.column("key").combine_chunks().dictionary_encode()
         self.names, rows = known.dictionary, known.indices.fill_null(len(known.dictionary)).to_numpy()
-        row, tf = np.concatenate([np.repeat(rows, one), np.repeat(rows, many)]).astype(np.int32), np.concatenate([np.ones(len(once), np.int32), _lists(t.column("counts").combine_chunks())[1]])
+        row, tf = np.concatenate([np.repeat(rows, one), np.repeat(rows, many)]).astype(np.int32), np.concatenate([np.ones(len(once), np.int32), lists(t.column("counts").combine_chunks())[1]])
         self.hashes, term = np.unique(np.concatenate([once, more]), return_inverse=True)
         if len(np.unique(rows)) < len(rows):  # a key on several rows: its terms are counted together
             pair, at = np.unique(row.astype(np.int64) * len(self.hashes) + term, return_inverse=True)
@@ -231,7 +231,7 @@ def likeness(df: DataFrame, key: str, terms: Column, asked: dict[int, int], dims
         if len(a) and len(b):
             block = _Block(a, n)
             at = pc.index_in(block.names, value_set=b.column("key").combine_chunks()).to_numpy()
-            q, length = _lists(b.column("vec").combine_chunks())[1].reshape(-1, size)[at], b.column("len").to_numpy()[at]
+            q, length = lists(b.column("vec").combine_chunks())[1].reshape(-1, size)[at], b.column("len").to_numpy()[at]
             weights = told(block)
             out, gram, question = block.product(q, length, weights)
             more = [gram, question[None]] if weights.any() else [gram]

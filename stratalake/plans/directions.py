@@ -41,6 +41,7 @@ LEAST, SHARE = 20, 0.5
 
 def _term_vectors(spark, d):
     docs = load(spark, d, "documents").join(vectors(spark, d).select(F.col("vec_id").alias("doc_id"), "v"), "doc_id").where("text is not null")
+    docs = docs.select("doc_id", "text", "v").checkpoint()  # read three times, and joined by text once
     terms = text.attested(docs, "text", LEAST, SHARE).select("term").checkpoint()
     return directions.term_means(docs, terms, "text", "v"), docs
 

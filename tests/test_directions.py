@@ -100,3 +100,18 @@ def test_a_place_must_suit_every_clause(spark):
     assert best()["who"] == "s" and best()["t0"] <= 5 <= best()["t1"]
     none = search.verified(df.where("false"), "who", "pos", ["a", "b"], {}, "tie", 0, 3)
     assert none.count() == 0
+
+
+def test_term_means_meet_in_blocks_and_parts(spark, monkeypatch):
+    monkeypatch.setattr(directions, "PART", 9)
+    monkeypatch.setattr(directions, "HELD", 5)
+    rng = np.random.default_rng(4)
+    texts = [" ".join(rng.choice([f"w{k}" for k in range(60)], 12)) for _ in range(50)] + ["", None, "w1 W1!"]
+    x = rng.normal(size=(53, 3))
+    df = spark.createDataFrame([(t, v.tolist()) for t, v in zip(texts, x)] + [("w2 w3", None)], "text string, v array<double>")
+    terms = spark.createDataFrame([(f"w{k}",) for k in range(55)] + [("absent",)], "term string")
+    means = directions.term_means(df, terms, "text", "v")
+    got = {r["term"]: r["vec"] for r in means.collect()}
+    has = {f"w{k}": [i for i, t in enumerate(texts) if f"w{k}" in (t or "").lower().replace("!", "").split()] for k in range(55)}
+    assert got.keys() == {t for t, at in has.items() if at} and all(np.allclose(v, x[has[t]].mean(0)) for t, v in got.items())
+    assert "posexplode" not in means._jdf.queryExecution().analyzed().toString()  # sums stay arrays when they are shuffled
