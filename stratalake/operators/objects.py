@@ -136,13 +136,14 @@ def likeness(steps: DataFrame, examples: DataFrame, top: int = 10) -> DataFrame:
     return s.withColumn("k", F.row_number().over(w)).where(F.col("k") <= top).select("object", "example", "rec", F.col("pos").alias("t0"), F.col("pos").alias("t1"), "score")
 
 
-def sightings(steps: DataFrame, words: DataFrame, pieces: DataFrame, matches: DataFrame | None = None, answerable: DataFrame | None = None) -> DataFrame:
+def sightings(steps: DataFrame, words: DataFrame, pieces: DataFrame, matches: DataFrame | None = None, answerable: DataFrame | None = None, placed: bool = True) -> DataFrame:
     """object, rec, t0, t1, by, score, place, end_place: where objects are, by name and by example.
 
     By name: runs of neighbouring steps of a recording over the object's cut. By example: the matches (object, example,
     rec, t0, t1, score) over the cut of their example's scores, if the name is present in one of their steps too, or the
     object has no words at all. A span found both ways counts by name. answerable: rec; others are not reported, but count
-    for means and cuts. place is named by all steps of the span, end_place by the last one. Needs a checkpoint folder; steps
+    for means and cuts. place is named by all steps of the span, end_place by the last one; both are null if places are not asked for
+    (placed), which spares meeting spans with their words. Needs a checkpoint folder; steps
     that are costly should come from a checkpoint, as they are read several times.
     """
     seen = present(name_scores(steps, words)).checkpoint()
@@ -161,6 +162,9 @@ def sightings(steps: DataFrame, words: DataFrame, pieces: DataFrame, matches: Da
         spans = spans.join(found, ["object", "rec", "t0", "t1"], "left_anti")
         found = found.unionByName(spans.select("object", "rec", "t0", "t1", F.lit("example").alias("by"), "score"))
     found = found.checkpoint()
+    if not placed:
+        none = F.lit(None).cast("array<string>")
+        return found.select("object", "rec", "t0", "t1", "by", "score", none.alias("place"), none.alias("end_place"))
     return places(found, steps, words, pieces).select("object", "rec", "t0", "t1", "by", "score", "place", "end_place")
 
 

@@ -71,13 +71,13 @@ def object_words(spark, d):
     return w.groupBy("object", "phrase", F.col("word").cast("long").alias("word")).agg(F.count(F.lit(1)).alias("spellings"), F.array_join(F.array_sort(F.collect_list("id")), "|").alias("ids"))
 
 
-def _sightings(spark, d):
+def _sightings(spark, d, placed=True):
     _checkpointed(spark)
     steps, named = _steps(spark, d).checkpoint(), _named(spark, d)
     pieces = steps.select(F.explode("ids").alias("id")).distinct().withColumn("piece", F.col("id"))
     words = objects.name_words(named, pieces).checkpoint()
     shown = named.select("object", F.lit(0).alias("example"), F.col("object").alias("rec"), F.lit(1).cast("long").alias("pos"))
-    return objects.sightings(steps, words, pieces, objects.likeness(steps, shown))
+    return objects.sightings(steps, words, pieces, objects.likeness(steps, shown), placed=placed)
 
 
 @query(f"WITH {SEEN} SELECT object, rec, t0, t1, found_by, round(score, 6) AS score, place, end_place FROM sg")
@@ -103,7 +103,7 @@ REFRESHED = f"""{SEEN}, kp AS (SELECT object, object + o AS rec, 1 AS t0, 1 AS t
 @query(f"WITH {REFRESHED} SELECT object, rec, t0, t1, kind, apart, confirmed, rejected, round(score, 6) AS score FROM rf")
 def object_refresh(spark, d):
     """Sightings after another look: new ones, those found again, and those that stand apart no more."""
-    s = objects.refreshed(_kept(_named(spark, d)), _sightings(spark, d))
+    s = objects.refreshed(_kept(_named(spark, d)), _sightings(spark, d, placed=False))
     return s.select("object", "rec", "t0", "t1", "kind", "apart", "confirmed", "rejected", F.round("score", 6).alias("score"))
 
 
@@ -112,5 +112,5 @@ def object_refresh(spark, d):
   tr AS (SELECT object, rec, min(t0) AS t0, max(t1) AS t1 FROM ig GROUP BY object, rec, g) SELECT object, count(*) AS sightings, max((rec, t1))[1] AS last_rec, max((rec, t1))[2] AS last_pos FROM tr GROUP BY 1""")
 def object_last_known(spark, d):
     """How often each object is believed seen, and where last."""
-    b = objects.believed(objects.refreshed(_kept(_named(spark, d)), _sightings(spark, d)))
+    b = objects.believed(objects.refreshed(_kept(_named(spark, d)), _sightings(spark, d, placed=False)))
     return b.groupBy("object").agg(F.count(F.lit(1)).alias("sightings"), F.max(F.struct("rec", "t1")).alias("m")).select("object", "sightings", F.col("m.rec").alias("last_rec"), F.col("m.t1").alias("last_pos"))

@@ -7,6 +7,7 @@ import pyspark.sql.functions as F
 import pytest
 
 from stratalake.operators import cuts, objects
+from stratalake.plans import objects as plans
 
 PIECES = ["keys", " keys", "Keys", "k", " ", "table", " Table", "cup", "blue", "the", "lamp", "red"]
 STEPS = "rec long, pos long, floor double, ids array<string>, lps array<double>"
@@ -137,3 +138,9 @@ def test_words_of_a_stretch_are_summed_once_for_all_objects(spark):
     assert len(got) == 51 and got[7, 9] == ("example", [], [])
     assert got[1, 1][1] == ["beta", "delta", "epsilon", "zeta", "eta"] == got[1, 1][2]
     assert got[2, 1][1] == ["alpha", "beta", "gamma", "delta", "epsilon"] == got[0, 1][1]
+
+
+def test_sightings_without_places_meet_no_words(spark):
+    for name in ("object_refresh", "object_last_known"):
+        plan = plans.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().analyzed().toString()
+        assert "mass" not in plan  # words of stretches are summed for places alone, which these don't give
