@@ -214,7 +214,8 @@ def whole_clusters(df: DataFrame, key: str, vector: str, least: int) -> DataFram
     blocks = max(1, -(-n // BLOCK))
     size = F.sqrt(F.aggregate("raw", F.lit(0.0), lambda s, x: s + x * x))
     rows = df.select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("raw"))
-    rows = rows.select("key", F.transform("raw", lambda x: x / F.greatest(size, F.lit(1e-300))).alias("vec"), F.pmod(F.xxhash64("key", "raw"), F.lit(blocks)).cast("int").alias("block"))
+    scaled = F.aggregate(F.array(F.lit(0)), F.greatest(size, F.lit(1e-300)), lambda n, _: n, lambda n: F.transform("raw", lambda x: x / n))  # the length once, not for each element
+    rows = rows.select("key", scaled.alias("vec"), F.pmod(F.xxhash64("key", "raw"), F.lit(blocks)).cast("int").alias("block"))
     sizes = dict(rows.groupBy("block").count().collect())
     before = F.array(*(F.lit(sum(sizes.get(c, 0) for c in range(b))).cast("long") for b in range(blocks)))
     rows = rows.withColumn("id", F.get(before, F.col("block")) + F.row_number().over(Window.partitionBy("block").orderBy("key", "vec")) - 1)

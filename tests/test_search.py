@@ -259,3 +259,12 @@ def test_units_take_a_norm_once_and_covers_keep_their_distances(spark):
     assert [r["key"] for r in vectors.farthest_points(df, "id", "v", 5).collect()] == picked
     some = spark.createDataFrame([(1, [3.0, 4.0]), (2, [0.0, 0.0]), (3, None), (4, [])], "id long, v array<double>")
     assert [r[0] for r in some.orderBy("id").select(scalar.unit(F.col("v"))).collect()] == [[0.6, 0.8], [0.0, 0.0], None, []]
+
+
+def test_cluster_rows_take_their_length_once(spark):
+    x = blobs(3, 20, 0.05)
+    made = clusters.density_clusters(rows_of(spark, x), "id", "v")
+    assert "/ greatest(sqrt(" not in made._jdf.queryExecution().analyzed().toString().lower()  # not in the lambda
+    want = clusters.density_labels(x / np.linalg.norm(x, axis=1, keepdims=True), 8)
+    both = {(r["cluster"], int(want[r["id"]])) for r in made.collect()}
+    assert len(both) == len({a for a, _ in both}) == len({b for _, b in both})  # the same clusters, whatever their names
