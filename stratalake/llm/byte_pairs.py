@@ -2,11 +2,11 @@
 
 A word (a match of the pattern) becomes an array of one-byte pieces; a fold merges the neighbours of the lowest rank,
 leftmost first, until no two neighbours have a rank. Ranks are a literal of the plan: a perfect hash over arrays, so that a
-look-up costs the same whatever the size of the vocabulary. Frequent words are rows of a table of distinct words, folded
-once each. Texts take their words' ids from there; words that are not in it (they are rare) are merged with a heap in the
-task that meets them, to the same ids, and remembered there. So no word is shuffled to a document or back.
+look-up costs the same whatever the size of the vocabulary. Every distinct word is folded in the plan: frequent ones once,
+beforehand, to be broadcast, and all others once each, grouped by word. Texts are dealt in blocks and hold their words as
+numbers; a block meets the ids of its own words in a join, so that no word is shuffled to a document.
 
-`encode_in_plan` does without Python but for very long words, and folds every rare word where it stands.
+`encode_in_plan` does without Python, and folds every rare word where it stands.
 """
 
 from __future__ import annotations
@@ -19,19 +19,23 @@ from collections.abc import Iterator
 from itertools import accumulate
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyspark.sql.functions as F
 import xxhash
 from pyspark.sql import Column, DataFrame
 
-from stratalake.llm.common import WORDS_KEPT, ready, rows, texts
+from stratalake.llm.common import ready, rows, texts
 
 #: Distinct words folded beforehand, at most, and how many rows (about) they are taken from. Parameters of speed: words that
-#: are not among them are merged where they stand, so neither changes an id.
-FREQUENT, FROM_ROWS = 1 << 16, 20_000
-#: Bytes of the longest word that is folded in the plan.
+#: are not among them are folded by block, so neither changes an id.
+FREQUENT, FROM_ROWS = 1 << 18, 20_000
+#: Bytes of the longest word that is folded in one go; longer ones are folded by windows, of this length at first.
 LONG = 128
+#: Bytes beyond which a word is not folded but merged by the heap in its block's task: a fold of a megabyte didn't end in 100 s.
+HUGE = 1 << 13
+#: Words, and distinct words that are not frequent, at which a block of texts ends; words whose ids are put together at once.
+BLOCK_WORDS, BLOCK_RARE, AT_ONCE = 1 << 20, 1 << 17, 1 << 18
 #: Rank of neighbours that don't merge.
 NONE = (1 << 31) - 1
 #: Parts the entries of a literal; no one-byte character.
@@ -132,16 +136,59 @@ class RankMap:
             near = F.zip_with(F.slice(p, F.lit(1), F.size(p) - 1), F.slice(p, F.lit(2), F.size(p) - 1), lambda a, b: F.concat(a, b))
             return F.struct(p.alias("p"), of(near).alias("r"))
 
-        def folded(w: Column) -> Column:
-            start = bound(F.split(w, ""), begun)
-            return F.aggregate(F.sequence(F.lit(2), F.length(w)), start, step, lambda s: of(s["p"]))
+        def folded(p: Column) -> Column:
+            """The pieces that one-byte pieces become."""
+            return F.when(F.size(p) < 2, p).otherwise(F.aggregate(F.sequence(F.lit(2), F.size(p)), bound(p, begun), step, lambda s: s["p"]))
 
-        whole = lambda w: bound(F.get(of(F.array(w)), F.lit(0)), lambda k: F.when(k != NONE, F.array(k)).otherwise(folded(w)))
-        return bound(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), whole)
+        def by_windows(b: Column) -> Column:
+            """As folded of a word's bytes, in time that grows with the length.
+
+            A window begins with the last piece that was taken and must give that piece again. So all neighbours taken are
+            what folding makes of their own bytes, and then no merge of the whole word crosses them: the first that did would
+            be the first among the bytes of these two as well. What is near the cut is not taken; where a window gives
+            another first piece, the word is begun again with windows twice as long, at last with one of the whole word.
+            """
+            n = F.octet_length(b)
+
+            def state(done: Column, at: Column, width: Column, first: Column, ended: Column, read: Column, w: Column) -> Column:
+                return F.struct(done.alias("done"), at.alias("at"), width.alias("width"), first.alias("first"), ended.alias("ended"), read.alias("read"), w.alias("w"))
+
+            def begin(width: Column) -> Column:
+                return state(F.array().cast("array<array<string>>"), F.lit(1), width, F.lit(""), F.lit(False), F.lit(b""), F.array().cast("array<string>"))
+
+            def took(s: Column, x: Column, w: Column) -> Column:
+                """The state after a window of the bytes x with the pieces w."""
+                last = s["at"] + s["width"] > n
+                ends = F.aggregate(w, F.struct(F.lit(0).alias("bytes"), F.lit(0).alias("k"), F.lit(0).alias("start")),
+                                   lambda c, y: F.when((c["k"] >= 2) & (c["bytes"] + F.length(y) > s["width"] / 2), c).otherwise(
+                                       F.struct((c["bytes"] + F.length(y)).alias("bytes"), (c["k"] + 1).alias("k"), c["bytes"].alias("start"))))
+
+                def on(c: Column) -> Column:
+                    skip = F.when(s["first"] == "", F.lit(0)).otherwise(F.lit(1))
+                    kept = F.when(last, F.size(w)).otherwise(c["k"])
+                    first = F.when(last, F.lit("")).otherwise(F.get(w, c["k"] - 1))
+                    return state(F.concat(s["done"], F.array(F.slice(w, skip + 1, kept - skip))), (s["at"] + c["start"]).cast("int"), s["width"], first, last, x, w)
+
+                wrong = ((s["first"] != "") & (F.get(w, F.lit(0)) != s["first"])) | (~last & (F.size(w) < 3))
+                return F.when(wrong, begin(s["width"] * 2)).otherwise(bound(ends, on))
+
+            def window(s: Column, _: Column) -> Column:
+                """A window that equals the last one, as in long runs of the same characters, is not folded again."""
+                pieces = lambda x: F.when(x == s["read"], s["w"]).otherwise(bound(chars(x), folded))
+                read = lambda x: bound(pieces(x), lambda w: took(s, x, w))
+                return F.when(s["ended"], s).otherwise(bound(F.substring(b, s["at"], s["width"]), read))
+
+            return F.aggregate(F.sequence(F.lit(1), n), begin(F.lit(LONG)), window, lambda s: F.when(s["ended"], F.flatten(s["done"])).otherwise(bound(chars(b), folded)))
+
+        chars = lambda b: F.split(F.decode(b, "ISO-8859-1"), "")
+        pieces = lambda b: F.when(F.octet_length(b) <= LONG, bound(chars(b), folded)).otherwise(by_windows(b))
+        known = lambda b: self.slots.place(table, F.decode(b, "ISO-8859-1"))
+        whole = lambda b: bound(known(b), lambda k: F.when(k.isNotNull(), F.array(k)).otherwise(bound(pieces(b), of)))
+        return bound(F.encode(word, "UTF-8"), whole)
 
 
 def merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """The ids of one word of any length, in time n log n: neighbours by rank, then place, on a heap."""
+    """The ids of one word, neighbours by rank, then place, on a heap: for huge words, and the plain version that tests hold the fold against."""
     if word in ranks:
         return [ranks[word]]
     n = len(word)
@@ -195,23 +242,15 @@ def encode_in_plan(docs: DataFrame, ranks: RankMap, pattern: str, frequent: int
     ready(docs.sparkSession)
     docs = texts(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     often = sorted((r["word"], r["ids"]) for r in folded_words(docs, ranks, pattern, frequent, from_rows).collect() if _PART not in r["word"])
-    memo, known = Slots([w for w, _ in often]), ranks.ranks
+    memo = Slots([w for w, _ in often])
     held = memo.literal(ids=_numbers([k for _, ids in often for k in ids] or [0]), starts=_numbers([0, *accumulate(len(ids) for _, ids in often)]))
-
-    @F.pandas_udf("array<array<int>>")
-    def merged(several: pd.Series) -> pd.Series:
-        return several.map(lambda ws: [merge(w.encode(), known) for w in ws])
-
     split = docs.select("doc_id", words(F.col("text"), pattern).alias("words"))
-    split = split.withColumn("long", F.array_distinct(F.filter("words", lambda w: F.octet_length(w) > LONG)))
-    split = split.withColumn("longs", merged("long"))
 
     def ids(t: Column) -> Column:
         def of(w: Column) -> Column:
             start = lambda k: F.get(t["memo"]["starts"], k)
             often = bound(memo.place(t["memo"], w), lambda k: F.when(k.isNotNull(), F.slice(t["memo"]["ids"], start(k) + 1, start(k + 1) - start(k))))
-            lengthy = F.when(F.octet_length(w) > LONG, F.get(F.col("longs"), F.array_position("long", w).cast("int") - 1))
-            return F.coalesce(often, lengthy, ranks.fold(t["ranks"], w))
+            return F.coalesce(often, ranks.fold(t["ranks"], w))
 
         return F.flatten(F.transform("words", of))
 
@@ -229,53 +268,139 @@ def decode(encoded: DataFrame, ranks: RankMap) -> DataFrame:
     return encoded.withColumn("decoded", as_bytes(F.col("ids"), ranks.pieces))
 
 
-class WordIds(dict):
-    """word -> its ids as little-endian 32-bit numbers: the frequent ones from the start, others merged when first met."""
+class Numbers(dict):
+    """word -> its number: the frequent ones' from the start, others' of a block in the order met."""
+
+    def __init__(self, frequent: list[str]):
+        super().__init__(zip(frequent, range(len(frequent))))
+        self.first, self.rare = len(frequent), []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = k = self.first + len(self.rare)
+        self.rare.append(word)
+        return k
+
+    def renew(self) -> None:
+        for word in self.rare:
+            del self[word]
+        self.rare = []
+
+
+class Runs:
+    """Lists of numbers, one after the other in an array, to be taken by their places."""
+
+    def __init__(self, values: np.ndarray, lengths: np.ndarray):
+        self.values, self.lengths, self.starts = values, lengths, np.cumsum(lengths) - lengths
+
+    def of(self, places: np.ndarray) -> np.ndarray:
+        lengths = self.lengths[places]
+        return self.values[np.repeat(self.starts[places] - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())]
+
+
+def _runs(lists: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    flat, lengths = (pc.list_flatten(lists), pc.list_value_length(lists)) if len(lists) else ([], [])
+    return np.asarray(flat, np.int32), np.asarray(lengths, np.int64)
 
-    def __init__(self, ranks: dict[bytes, int], frequent: dict[str, bytes]):
-        super().__init__(frequent)
-        self.ranks, self.frequent = ranks, frequent
 
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= len(self.frequent) + WORDS_KEPT:
-            self.clear()
-            self.update(self.frequent)
-        ids = self[word] = np.array(merge(word.encode(), self.ranks), "<u4").tobytes()
-        return ids
+BLOCK = "block long, doc_ids array<long>, sizes array<int>, numbers binary, rare array<string>"
 
 
-def _encoder(docs: DataFrame, ranks: RankMap, pattern: str, frequent: int, from_rows: int):
-    """A function to call in a task: it gives a function from a text to the bytes of its ids."""
-    folded = {r["word"]: np.array(r["ids"], "<u4").tobytes() for r in folded_words(docs, ranks, pattern, frequent, from_rows).collect()}
-    shared, known = docs.sparkSession.sparkContext.broadcast(folded), ranks.ranks
+def _blocks(docs: DataFrame, pattern: str, often: list[str]) -> DataFrame:
+    """Texts in blocks: their ids, how many words each has, the words' numbers (planes of bytes, compressed) and the words
+    that are not in often. A number below len(often) is a place in it, others count on through `rare`."""
+    shared = docs.sparkSession.sparkContext.broadcast(often)
 
-    def start():
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
+        from pyspark import TaskContext
+
+        split, numbers, block = regex.compile(pattern).findall, Numbers(shared.value), TaskContext.get().partitionId() << 32
+        doc_ids, found, n = [], [], 0
+
+        def ended() -> pa.RecordBatch:
+            planes = np.concatenate(found).view(np.uint8).reshape(-1, 4).T.tobytes()
+            columns = [[block], [doc_ids], [[len(f) for f in found]], [pa.compress(planes, "zstd", asbytes=True)], [numbers.rare]]
+            kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.list_(pa.string())]
+            return pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds)], ["block", "doc_ids", "sizes", "numbers", "rare"])
+
+        for b in batches:
+            for name, text in rows(b, "doc_id", "text"):
+                doc_ids.append(name)
+                found.append(np.array(list(map(numbers.__getitem__, split(text or ""))), "<u4"))
+                n += len(found[-1])
+                if n >= BLOCK_WORDS or len(numbers.rare) >= BLOCK_RARE or len(found) >= BLOCK_WORDS:
+                    yield ended()
+                    numbers.renew()
+                    doc_ids, found, n, block = [], [], 0, block + 1
+        if found:
+            yield ended()
+
+    return docs.mapInArrow(run, BLOCK)
+
+
+def _huge(word: str) -> bool:
+    return 4 * len(word) > HUGE and len(word.encode()) > HUGE
+
 
-        split, ids = regex.compile(pattern).findall, WordIds(known, shared.value)
-        return lambda text: b"".join(map(ids.__getitem__, split(text)))
+def _rare(blocks: DataFrame) -> DataFrame:
+    """word, block, number: each block's own words, numbered from nought."""
 
-    return start
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k, words in rows(b, "block", "rare"):
+                kept = [i for i, w in enumerate(words) if not _huge(w)]
+                for at in range(0, len(kept), 10_000):
+                    part = kept[at : at + 10_000]
+                    columns = [pa.array([words[i] for i in part], pa.string()), pa.array([k] * len(part), pa.int64()), pa.array(part, pa.int32())]
+                    yield pa.record_batch(columns, ["word", "block", "number"])
+
+    return blocks.mapInArrow(run, "word string, block long, number int")
+
+
+def _encoded(docs: DataFrame, ranks: RankMap, pattern: str, frequent: int, from_rows: int, finish, schema: str) -> DataFrame:
+    """finish(doc_id, the text's ids by parts) as rows. Blocks are dealt by name; their words, grouped, are folded once each
+    and go back to the blocks they are from."""
+    folded = folded_words(docs, ranks, pattern, frequent, from_rows).toArrow().combine_chunks()
+    lists, merges = _runs(folded.column("ids")), docs.sparkSession.sparkContext.broadcast(ranks.ranks)
+    shared, tasks = docs.sparkSession.sparkContext.broadcast(lists), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = _blocks(docs, pattern, folded.column("word").to_pylist()).repartition(tasks, "block")
+    rare = _rare(blocks).repartition(tasks, "word").groupBy("word").agg(F.collect_list(F.struct("block", "number")).alias("places"))
+    rare = rare.select("places", bound(ranks.literal(), lambda t: ranks.fold(t, F.col("word"))).alias("ids"))
+    rare = rare.select(F.explode("places").alias("place"), "ids").select("place.block", "place.number", "ids")
+    known = {"long": pa.int64(), "string": pa.string(), "array<int>": pa.list_(pa.int32())}
+    fields = pa.schema([(name, known[kind]) for name, kind in map(str.split, schema.split(","))])
+
+    def run(block: pa.Table, own: pa.Table) -> pa.Table:
+        huge = [(i, merge(w.encode(), merges.value)) for words in block.column("rare").to_pylist() for i, w in enumerate(words) if _huge(w)]
+        own = pa.table({"number": own.column("number").cast(pa.int32()), "ids": own.column("ids").cast(pa.list_(pa.int32()))})
+        if huge:
+            own = pa.concat_tables([own, pa.table({"number": pa.array([i for i, _ in huge], pa.int32()), "ids": pa.array([x for _, x in huge], pa.list_(pa.int32()))})])
+        values, lengths = _runs(own.sort_by("number").column("ids"))
+        runs, out = Runs(np.concatenate([shared.value[0], values]), np.concatenate([shared.value[1], lengths])), []
+        for r in block.to_pylist():
+            if len(r["rare"]) != own.num_rows:
+                raise RuntimeError("a block lacks words")
+            at, planes = 0, pa.decompress(r["numbers"], 4 * sum(r["sizes"]), "zstd", asbytes=True)
+            numbers = np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+            for name, n in zip(r["doc_ids"], r["sizes"]):
+                out.append(finish(name, (runs.of(numbers[i : min(i + AT_ONCE, at + n)]) for i in range(at, at + n, AT_ONCE))))
+                at += n
+        return pa.table([pa.array(c, f.type) for c, f in zip(zip(*out), fields)], fields)
+
+    return blocks.groupBy("block").cogroup(rare.groupBy("block")).applyInArrow(run, schema)
 
 
 def encode(docs: DataFrame, ranks: RankMap, pattern: str, frequent: int = FREQUENT, from_rows: int = FROM_ROWS) -> DataFrame:
     """doc_id, ids (array<int>): the ids of each whole text, a row for each row.
 
     Null and empty texts have no ids; repeated rows are encoded each; an empty table gives none; other columns, whatever
-    their names, are ignored. A text may have any length: memory is that of one batch of texts. Neighbours of equal ranks
+    their names, are ignored. A text may have any length: memory is that of one block of texts. Neighbours of equal ranks
     merge from the left.
     """
     docs = texts(docs)
     ready(docs.sparkSession)
-    start = _encoder(docs, ranks, pattern, frequent, from_rows)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoded = start()
-        for b in batches:
-            ids = [np.frombuffer(encoded(t or ""), "<u4").astype(np.int32) for t in b.column("text").to_pylist()]
-            yield pa.record_batch([b.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
-
-    return docs.mapInArrow(run, "doc_id long, ids array<int>")
+    finish = lambda name, parts: (name, np.concatenate([np.zeros(0, np.int32), *parts]))
+    return _encoded(docs, ranks, pattern, frequent, from_rows, finish, "doc_id long, ids array<int>")
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str, frequent: int = FREQUENT, from_rows: int = FROM_ROWS) -> DataFrame:
@@ -285,18 +410,14 @@ def round_trip(docs: DataFrame, path: str, pattern: str, frequent: int = FREQUEN
     docs = texts(docs)
     ready(docs.sparkSession)
     ranks = RankMap(load_ranks(path))
-    start, pieces = _encoder(docs, ranks, pattern, frequent, from_rows), ranks.pieces
+    shared = docs.sparkSession.sparkContext.broadcast(Runs(np.frombuffer(b"".join(ranks.pieces), np.uint8), np.array([len(p) for p in ranks.pieces])))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoded = start()
-        for b in batches:
-            out = []
-            for name, text in rows(b, "doc_id", "text"):
-                ids = encoded(text or "")
-                decoded = b"".join(map(pieces.__getitem__, np.frombuffer(ids, "<u4").tolist()))
-                out.append((name, len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest()))
-            if out:
-                names, kinds = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"], [pa.int64(), pa.int64(), pa.string(), pa.string()]
-                yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
-
-    return docs.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    def finish(name: int, parts: Iterator[np.ndarray]) -> tuple:
+        n, ids, decoded, pieces = 0, hashlib.sha256(), hashlib.sha256(), shared.value
+        for part in parts:
+            n += len(part)
+            ids.update(part.astype("<u4").tobytes())
+            decoded.update(pieces.of(part).tobytes())
+        return name, n, ids.hexdigest(), decoded.hexdigest()
+
+    return _encoded(docs, ranks, pattern, frequent, from_rows, finish, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

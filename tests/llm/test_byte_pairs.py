@@ -81,3 +81,15 @@ def test_empty_table_and_unknown_ids(spark, ranks):
 def test_ranks_must_count_from_nought():
     with pytest.raises(ValueError):
         byte_pairs.RankMap({b"a": 1})
+
+
+def test_rare_words_are_folded_in_the_plan(spark, ranks):
+    plan = byte_pairs.encode(odd(spark), ranks, PATTERN, 1)._jdf.queryExecution().analyzed().toString()
+    assert "array_min" in plan and "collect_list" in plan
+
+
+def test_long_words_by_windows(spark, ranks):
+    words = ["a" * 1500, "=" * 700, "ab" * 300, "é" * 65, "-=" * 333]
+    df = spark.createDataFrame([(w,) for w in words], "word string")
+    for r in df.select("word", byte_pairs.bound(ranks.literal(), lambda t: ranks.fold(t, F.col("word"))).alias("ids")).collect():
+        assert r.ids == byte_pairs.merge(r.word.encode(), ranks.ranks)
