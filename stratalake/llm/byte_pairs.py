@@ -4,7 +4,8 @@ A word (a match of the pattern) becomes an array of one-byte pieces; a fold merg
 leftmost first, until no two neighbours have a rank. Ranks are a literal of the plan: a perfect hash over arrays, so that a
 look-up costs the same whatever the size of the vocabulary. Every distinct word is folded in the plan: frequent ones once,
 beforehand, to be broadcast, and all others once each, grouped by word. Texts are dealt in blocks and hold their words as
-numbers; a block meets the ids of its own words in a join, so that no word is shuffled to a document.
+numbers; a block meets the ids of its own words in a join, so that no word is shuffled to a document. What is shuffled is
+packed: numbers by frequency, a block's own words in order, and the ids that go back to a block in one row a task.
 
 `encode_in_plan` does without Python, and folds every rare word where it stands.
 """
@@ -36,6 +37,8 @@ LONG = 128
 HUGE = 1 << 13
 #: Words, and distinct words that are not frequent, at which a block of texts ends; words whose ids are put together at once.
 BLOCK_WORDS, BLOCK_RARE, AT_ONCE = 1 << 20, 1 << 17, 1 << 18
+#: Characters of distinct words that are not frequent, at which a block ends too: these words may be long.
+BLOCK_CHARS = 1 << 24
 #: Rank of neighbours that don't merge.
 NONE = (1 << 31) - 1
 #: Parts the entries of a literal; no one-byte character.
@@ -225,12 +228,12 @@ def words(text: Column, pattern: str) -> Column:
 
 
 def folded_words(docs: DataFrame, ranks: RankMap, pattern: str, frequent: int = FREQUENT, from_rows: int = FROM_ROWS) -> DataFrame:
-    """word, ids: frequent words of a sample of the rows of docs (column text), each folded once."""
+    """word, count, ids: frequent words of a sample of the rows of docs (column text), each folded once."""
     n = docs.count()
     found = docs.sample(min(1.0, from_rows / max(n, 1)), seed=7).select(F.explode(words(F.col("text"), pattern)).alias("word"))
     often = found.groupBy("word").count().where(F.octet_length("word") <= LONG).orderBy(F.desc("count"), "word").limit(frequent)
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return often.repartition(tasks, "word").select("word", bound(ranks.literal(), lambda t: ranks.fold(t, F.col("word"))).alias("ids"))
+    return often.repartition(tasks, "word").select("word", "count", bound(ranks.literal(), lambda t: ranks.fold(t, F.col("word"))).alias("ids"))
 
 
 def encode_in_plan(docs: DataFrame, ranks: RankMap, pattern: str, frequent: int = FREQUENT, from_rows: int = FROM_ROWS) -> DataFrame:
@@ -273,17 +276,18 @@ class Numbers(dict):
 
     def __init__(self, frequent: list[str]):
         super().__init__(zip(frequent, range(len(frequent))))
-        self.first, self.rare = len(frequent), []
+        self.first, self.rare, self.chars = len(frequent), [], 0
 
     def __missing__(self, word: str) -> int:
         self[word] = k = self.first + len(self.rare)
         self.rare.append(word)
+        self.chars += len(word)
         return k
 
     def renew(self) -> None:
         for word in self.rare:
             del self[word]
-        self.rare = []
+        self.rare, self.chars = [], 0
 
 
 class Runs:
@@ -302,12 +306,22 @@ def _runs(lists: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return np.asarray(flat, np.int32), np.asarray(lengths, np.int64)
 
 
-BLOCK = "block long, doc_ids array<long>, sizes array<int>, numbers binary, rare array<string>"
+def _packed(numbers: np.ndarray) -> bytes:
+    """32-bit numbers as planes of bytes, compressed."""
+    return pa.compress(np.ascontiguousarray(numbers, "<i4").view(np.uint8).reshape(-1, 4).T.tobytes(), "zstd", asbytes=True)
+
+
+def _unpacked(packed: bytes, n: int) -> np.ndarray:
+    planes = pa.decompress(packed, 4 * n, "zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view("<i4").ravel()
+
+
+BLOCK = "block long, doc_ids array<long>, sizes array<int>, numbers binary, n_rare int, rare_sizes binary, rare binary"
 
 
 def _blocks(docs: DataFrame, pattern: str, often: list[str]) -> DataFrame:
-    """Texts in blocks: their ids, how many words each has, the words' numbers (planes of bytes, compressed) and the words
-    that are not in often. A number below len(often) is a place in it, others count on through `rare`."""
+    """Texts in blocks: their ids, how many words each has, the words' numbers, and the words that are not in often (their
+    sizes and bytes, in order). A number below len(often) is a place in it, others count on through these words."""
     shared = docs.sparkSession.sparkContext.broadcast(often)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -318,17 +332,21 @@ def _blocks(docs: DataFrame, pattern: str, often: list[str]) -> DataFrame:
         doc_ids, found, n = [], [], 0
 
         def ended() -> pa.RecordBatch:
-            planes = np.concatenate(found).view(np.uint8).reshape(-1, 4).T.tobytes()
-            columns = [[block], [doc_ids], [[len(f) for f in found]], [pa.compress(planes, "zstd", asbytes=True)], [numbers.rare]]
-            kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.list_(pa.string())]
-            return pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds)], ["block", "doc_ids", "sizes", "numbers", "rare"])
+            met = sorted(range(len(numbers.rare)), key=numbers.rare.__getitem__)
+            places = np.arange(numbers.first + len(met), dtype="<i4")
+            places[numbers.first + np.array(met, np.int64)] = places[numbers.first :].copy()
+            rare = [numbers.rare[k].encode() for k in met]
+            columns = [block, doc_ids, [len(f) for f in found], _packed(places[np.concatenate(found)]), len(rare), _packed(np.array([len(w) for w in rare], "<i4")),
+                       pa.compress(b"".join(rare), "zstd", asbytes=True)]
+            kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.int32(), pa.binary(), pa.binary()]
+            return pa.record_batch([pa.array([c], k) for c, k in zip(columns, kinds)], [c.split()[0] for c in BLOCK.split(", ")])
 
         for b in batches:
             for name, text in rows(b, "doc_id", "text"):
                 doc_ids.append(name)
-                found.append(np.array(list(map(numbers.__getitem__, split(text or ""))), "<u4"))
+                found.append(np.array(list(map(numbers.__getitem__, split(text or ""))), "<i4"))
                 n += len(found[-1])
-                if n >= BLOCK_WORDS or len(numbers.rare) >= BLOCK_RARE or len(found) >= BLOCK_WORDS:
+                if n >= BLOCK_WORDS or len(numbers.rare) >= BLOCK_RARE or numbers.chars >= BLOCK_CHARS or len(found) >= BLOCK_WORDS:
                     yield ended()
                     numbers.renew()
                     doc_ids, found, n, block = [], [], 0, block + 1
@@ -338,8 +356,12 @@ def _blocks(docs: DataFrame, pattern: str, often: list[str]) -> DataFrame:
     return docs.mapInArrow(run, BLOCK)
 
 
-def _huge(word: str) -> bool:
-    return 4 * len(word) > HUGE and len(word.encode()) > HUGE
+def _own_words(n: int, sizes: bytes, words: bytes) -> tuple[np.ndarray, pa.Array]:
+    """The sizes of a block's own words, in bytes, and the words."""
+    lengths = _unpacked(sizes, n)
+    ends = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
+    held = pa.decompress(words, int(ends[-1]), "zstd")
+    return lengths, pa.Array.from_buffers(pa.large_string(), n, [None, pa.py_buffer(ends), held])
 
 
 def _rare(blocks: DataFrame) -> DataFrame:
@@ -347,41 +369,86 @@ def _rare(blocks: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for k, words in rows(b, "block", "rare"):
-                kept = [i for i, w in enumerate(words) if not _huge(w)]
+            for k, *packed in rows(b, "block", "n_rare", "rare_sizes", "rare"):
+                lengths, words = _own_words(*packed)
+                kept = np.flatnonzero(lengths <= HUGE)
                 for at in range(0, len(kept), 10_000):
                     part = kept[at : at + 10_000]
-                    columns = [pa.array([words[i] for i in part], pa.string()), pa.array([k] * len(part), pa.int64()), pa.array(part, pa.int32())]
+                    columns = [words.take(pa.array(part)).cast(pa.string()), pa.array(np.full(len(part), k)), pa.array(part, pa.int32())]
                     yield pa.record_batch(columns, ["word", "block", "number"])
 
     return blocks.mapInArrow(run, "word string, block long, number int")
 
 
+def _returned(folded: DataFrame) -> DataFrame:
+    """From places (block, number) and ids of words: block, n, size, own. own: the n places' numbers as differences, then
+    how many ids each has, then all ids, together `size` numbers, packed."""
+
+    def dealt(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        block, number, lengths, ids = map(np.concatenate, zip(*held))
+        order, runs = np.lexsort((number, block)), Runs(ids, lengths)
+        starts = np.flatnonzero(np.diff(block[order], prepend=-1))
+        out = []
+        for at in np.split(order, starts[1:]):
+            numbers = np.concatenate([np.diff(number[at], prepend=0), lengths[at], runs.of(at)])
+            out.append((int(block[at[0]]), len(at), len(numbers), _packed(numbers)))
+        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+        yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["block", "n", "size", "own"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for b in batches:
+            places, (ids, lengths) = b.column("places"), _runs(b.column("ids"))
+            words, places = np.repeat(np.arange(len(lengths)), np.asarray(pc.list_value_length(places), np.int64)), pc.list_flatten(places)
+            block, number = (np.asarray(pc.struct_field(places, [i]), np.int64) for i in (0, 1))
+            held.append((block, number, lengths[words], Runs(ids, lengths).of(words)))
+            n += len(block)
+            if n >= BLOCK_WORDS:
+                yield from dealt(held)
+                held, n = [], 0
+        if n:
+            yield from dealt(held)
+
+    return folded.select("places", "ids").mapInArrow(run, "block long, n int, size int, own binary")
+
+
 def _encoded(docs: DataFrame, ranks: RankMap, pattern: str, frequent: int, from_rows: int, finish, schema: str) -> DataFrame:
     """finish(doc_id, the text's ids by parts) as rows. Blocks are dealt by name; their words, grouped, are folded once each
     and go back to the blocks they are from."""
-    folded = folded_words(docs, ranks, pattern, frequent, from_rows).toArrow().combine_chunks()
+    folded = folded_words(docs, ranks, pattern, frequent, from_rows).toArrow().sort_by([("count", "descending"), ("word", "ascending")]).combine_chunks()
     lists, merges = _runs(folded.column("ids")), docs.sparkSession.sparkContext.broadcast(ranks.ranks)
     shared, tasks = docs.sparkSession.sparkContext.broadcast(lists), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     blocks = _blocks(docs, pattern, folded.column("word").to_pylist()).repartition(tasks, "block")
     rare = _rare(blocks).repartition(tasks, "word").groupBy("word").agg(F.collect_list(F.struct("block", "number")).alias("places"))
-    rare = rare.select("places", bound(ranks.literal(), lambda t: ranks.fold(t, F.col("word"))).alias("ids"))
-    rare = rare.select(F.explode("places").alias("place"), "ids").select("place.block", "place.number", "ids")
+    rare = _returned(rare.select("places", bound(ranks.literal(), lambda t: ranks.fold(t, F.col("word"))).alias("ids")))
     known = {"long": pa.int64(), "string": pa.string(), "array<int>": pa.list_(pa.int32())}
     fields = pa.schema([(name, known[kind]) for name, kind in map(str.split, schema.split(","))])
 
+    def own_runs(n_rare: int, sizes: bytes, words: bytes, packets: list[dict]) -> Runs:
+        """The ids of a block's own words: those that came back, and the huge ones, merged here."""
+        at, lengths, ids = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
+        for p in packets:
+            numbers = _unpacked(p["own"], p["size"])
+            at.append(np.cumsum(numbers[: p["n"]], dtype=np.int64))
+            lengths.append(numbers[p["n"] : 2 * p["n"]].astype(np.int64))
+            ids.append(numbers[2 * p["n"] :])
+        own_sizes, own_words = _own_words(n_rare, sizes, words)
+        for k in np.flatnonzero(own_sizes > HUGE):
+            ids.append(np.array(merge(own_words[k].as_py().encode(), merges.value), np.int32))
+            at.append(np.array([k]))
+            lengths.append(np.array([len(ids[-1])]))
+        at, lengths = np.concatenate(at), np.concatenate(lengths)
+        order = np.argsort(at)
+        if not np.array_equal(at[order], np.arange(n_rare)):
+            raise RuntimeError("a block lacks words")
+        return Runs(Runs(np.concatenate(ids), lengths).of(order), lengths[order])
+
     def run(block: pa.Table, own: pa.Table) -> pa.Table:
-        huge = [(i, merge(w.encode(), merges.value)) for words in block.column("rare").to_pylist() for i, w in enumerate(words) if _huge(w)]
-        own = pa.table({"number": own.column("number").cast(pa.int32()), "ids": own.column("ids").cast(pa.list_(pa.int32()))})
-        if huge:
-            own = pa.concat_tables([own, pa.table({"number": pa.array([i for i, _ in huge], pa.int32()), "ids": pa.array([x for _, x in huge], pa.list_(pa.int32()))})])
-        values, lengths = _runs(own.sort_by("number").column("ids"))
-        runs, out = Runs(np.concatenate([shared.value[0], values]), np.concatenate([shared.value[1], lengths])), []
+        out, packets = [], own.to_pylist()
         for r in block.to_pylist():
-            if len(r["rare"]) != own.num_rows:
-                raise RuntimeError("a block lacks words")
-            at, planes = 0, pa.decompress(r["numbers"], 4 * sum(r["sizes"]), "zstd", asbytes=True)
-            numbers = np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+            rare = own_runs(r["n_rare"], r["rare_sizes"], r["rare"], packets)
+            runs = Runs(np.concatenate([shared.value[0], rare.values]), np.concatenate([shared.value[1], rare.lengths]))
+            at, numbers = 0, _unpacked(r["numbers"], sum(r["sizes"]))
             for name, n in zip(r["doc_ids"], r["sizes"]):
                 out.append(finish(name, (runs.of(numbers[i : min(i + AT_ONCE, at + n)]) for i in range(at, at + n, AT_ONCE))))
                 at += n

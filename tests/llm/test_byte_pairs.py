@@ -93,3 +93,41 @@ def test_long_words_by_windows(spark, ranks):
     df = spark.createDataFrame([(w,) for w in words], "word string")
     for r in df.select("word", byte_pairs.bound(ranks.literal(), lambda t: ranks.fold(t, F.col("word"))).alias("ids")).collect():
         assert r.ids == byte_pairs.merge(r.word.encode(), ranks.ranks)
+
+
+def shuffled(spark) -> int:
+    """Bytes that the session's stages have written to shuffles."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+    return sum(s.shuffleWriteBytes() for s in sc._jvm.scala.jdk.javaapi.CollectionConverters.asJava(stages))
+
+
+def test_what_is_shuffled_is_packed(spark, ranks):
+    texts = [" ".join(f"{w:07d}w" for w in range(k * 400, k * 400 + 1600)) for k in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8).cache()
+    docs.count()
+    held = shuffled(spark)
+    assert byte_pairs.encode(docs, ranks, PATTERN, 1).selectExpr("sum(size(ids))").first()[0] > 0
+    assert shuffled(spark) - held < 3 * sum(map(len, texts))  # 4.8 as rows of words and ids
+    docs.unpersist()
+
+
+def test_frequent_words_have_low_numbers(spark, ranks):
+    docs = spark.createDataFrame([(1, "a b b b c c c c d d")], "doc_id long, text string")
+    found = byte_pairs.folded_words(docs, ranks, PATTERN, 3).collect()
+    assert sorted((r["count"], r["word"]) for r in found) == [(2, " d"), (3, " b"), (4, " c")]
+
+
+def test_only_empty_texts(spark, ranks):
+    df = spark.createDataFrame([(1, ""), (2, None)], "doc_id long, text string")
+    assert sorted(map(tuple, byte_pairs.encode(df, ranks, PATTERN).collect())) == [(1, []), (2, [])]
+
+
+def test_long_rare_words_end_a_block(spark, library, ranks, monkeypatch):
+    monkeypatch.setattr(byte_pairs, "BLOCK_CHARS", 3000)
+    texts = {k: chr(97 + k) * 2000 + " " + "xyz"[k % 3] * 9000 for k in range(8)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").coalesce(1)
+    assert byte_pairs._blocks(df, PATTERN, []).count() == 8
+    got = {r.doc_id: r.ids for r in byte_pairs.encode(df, ranks, PATTERN, 1).collect()}
+    assert got == {k: library.encode_ordinary(t) for k, t in texts.items()}
