@@ -111,8 +111,8 @@ def dealt(df: DataFrame, key: str, terms: Column, blocks: int) -> DataFrame:
             order = np.argsort(at, kind="stable")
             h, tf = h[order], tf[order]
             at, group = np.unique(at[order], return_inverse=True)
-            lists = lambda ok, x: pa.ListArray.from_arrays(np.append(0, np.cumsum(np.bincount(group[ok], minlength=len(at)))).astype(np.int32), pa.array(x[ok]))
-            yield pa.record_batch([pa.array(at % blocks), b.column("key").take(pa.array(at // blocks)), lists(tf == 1, h), lists(tf > 1, h), lists(tf > 1, tf.astype(np.int32))], ["block", "key", "once", "more", "counts"])
+            listed = lambda ok, x: pa.ListArray.from_arrays(np.append(0, np.cumsum(np.bincount(group[ok], minlength=len(at)))).astype(np.int32), pa.array(x[ok]))
+            yield pa.record_batch([pa.array(at % blocks), b.column("key").take(pa.array(at // blocks)), listed(tf == 1, h), listed(tf > 1, h), listed(tf > 1, tf.astype(np.int32))], ["block", "key", "once", "more", "counts"])
 
     rows = df.select(F.col(key).alias("key"), F.transform(terms, lambda t: F.xxhash64(t)).alias("h"))
     return rows.mapInArrow(deal, f"block long, key {dict(rows.dtypes)['key']}, once array<long>, more array<long>, counts array<int>")

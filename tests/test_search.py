@@ -268,3 +268,17 @@ def test_cluster_rows_take_their_length_once(spark):
     want = clusters.density_labels(x / np.linalg.norm(x, axis=1, keepdims=True), 8)
     both = {(r["cluster"], int(want[r["id"]])) for r in made.collect()}
     assert len(both) == len({a for a, _ in both}) == len({b for _, b in both})  # the same clusters, whatever their names
+
+
+def test_terms_are_dealt_to_the_blocks_of_their_hashes(spark):
+    docs = [(1, ["a", "b", "a", "c"]), (2, ["b"]), (3, []), (4, None), (None, ["c", "c"])]
+    df = spark.createDataFrame(docs, "id long, words array<string>")
+    h = {t: spark.createDataFrame([(t,)], "t string").select(F.xxhash64("t")).first()[0] for t in "abc"}
+    got, rows = {}, lsa.dealt(df, "id", F.col("words"), 4).collect()
+    for r in rows:
+        assert len(r["more"]) == len(r["counts"])
+        for x, n in [*((x, 1) for x in r["once"]), *zip(r["more"], r["counts"])]:
+            assert x % 4 == r["block"]
+            got[r["key"], x] = n
+    assert got == {(1, h["a"]): 2, (1, h["b"]): 1, (1, h["c"]): 1, (2, h["b"]): 1, (None, h["c"]): 2}
+    assert len({(r["block"], r["key"]) for r in rows}) == len(rows)  # a row for each row and block
