@@ -54,9 +54,9 @@ def cosine(a: Column, b: Column) -> Column:
 
 def unit(a: Column) -> Column:
     """Scaled to length one; a zero vector stays."""
-    # the norm rides along as the value of a fold: inside the lambda of a transform it would be computed for each element
-    scaled = lambda n: F.transform(a, lambda x: F.when(n == 0, F.lit(0.0)).otherwise(x.cast("double") / n))
-    return F.when(a.isNotNull(), F.aggregate(F.array(F.lit(0)), norm(a), lambda n, _: n, scaled))
+    # the norm is a list beside the vector: inside the lambda of a transform it would be computed for each element, and a
+    # lambda inside another that uses its variable can't be merged into the argument of a Python function
+    return F.zip_with(a, F.array_repeat(norm(a), F.size(a)), lambda x, n: F.when(n == 0, F.lit(0.0)).otherwise(x.cast("double") / n))
 
 
 def ago(seconds: Column) -> Column:

@@ -20,6 +20,15 @@ SAMPLE, PARTS, CODES = 20_000, 8, 16
 #: embeddings at sf0.1 (two thirds of the cells); with 64 it is 0.95 and 0.93.
 CELL_CODES = 64
 
+#: Numbers that differences of rows and centres take at once.
+HELD = 1 << 18
+
+
+def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Which centre is nearest to each row, HELD differences at a time."""
+    step = max(1, HELD // max(1, centres.size))
+    return np.concatenate([((x[lo : lo + step, None] - centres[None]) ** 2).sum(2).argmin(1) for lo in range(0, max(1, len(x)), step)])
+
 
 def codebooks(rows: np.ndarray, parts: int = PARTS, codes: int = CODES, rounds: int = 10) -> np.ndarray:
     """parts x codes x width centroids, by seeded k-means in each sub-space."""
@@ -27,7 +36,7 @@ def codebooks(rows: np.ndarray, parts: int = PARTS, codes: int = CODES, rounds:
     for sub in np.split(rows, parts, axis=1):
         centre = sub[rng.choice(len(sub), codes, replace=len(sub) < codes)]
         for _ in range(rounds):
-            near = ((sub[:, None] - centre[None]) ** 2).sum(2).argmin(1)
+            near = _nearest(sub, centre)
             centre = np.stack([sub[near == c].mean(0) if (near == c).any() else centre[c] for c in range(codes)])
         out.append(centre)
     return np.stack(out)
@@ -94,7 +103,7 @@ def build(df: DataFrame, key: str, vector: str, cells: int | None = None) -> Cel
         x = np.stack(v.to_numpy())
         cell = (x @ centres.T - (centres**2).sum(1) / 2).argmax(1)
         parts = np.split(x - centres[cell], len(books), axis=1)
-        codes = np.stack([((p[:, None] - b[None]) ** 2).sum(2).argmin(1) for p, b in zip(parts, books)], axis=1)
+        codes = np.stack([_nearest(p, b) for p, b in zip(parts, books)], axis=1)
         return pd.DataFrame({"cell": cell.astype("int32"), "codes": list(codes.astype("int32"))})
 
     return CellIndex(rows.withColumn("_c", coded("vec")).select("key", "vec", "_c.cell", "_c.codes"), centres, books)

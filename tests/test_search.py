@@ -282,3 +282,34 @@ def test_terms_are_dealt_to_the_blocks_of_their_hashes(spark):
             got[r["key"], x] = n
     assert got == {(1, h["a"]): 2, (1, h["b"]): 1, (1, h["c"]): 1, (2, h["b"]): 1, (None, h["c"]): 2}
     assert len({(r["block"], r["key"]) for r in rows}) == len(rows)  # a row for each row and block
+
+
+def test_cells_are_searched_without_being_stored(spark):
+    """Rows whose vectors are made for their codes alone: nothing else reads them."""
+    from stratalake.operators import quantised
+
+    x = blobs(6, 60, 0.3)
+    df = rows_of(spark, x).union(spark.createDataFrame([(900, [0.0] * 8), (901, None)], "id long, v array<double>"))
+    index = quantised.build(df, "id", "v")
+    assert sum(r["count"] for r in index.rows.groupBy("cell").count().collect()) == 241
+    probes = len(index.centres)
+    got = quantised.cell_search(index, df.where("id in (0, 100)"), "id", "v", 10, probes, 100).collect()
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for q in (0, 100):
+        found = {r["rank"]: r["match"] for r in got if r["key"] == q}
+        assert [found[i + 1] for i in range(10)] == np.argsort(-(u @ u[q]), kind="stable")[:10].tolist()
+
+
+def test_code_books_hold_few_differences_at_once():
+    import tracemalloc
+
+    from stratalake.operators import quantised
+
+    x = np.random.default_rng(9).normal(size=(2000, 64))
+    tracemalloc.start()
+    centres = quantised.codebooks(x, 1, 100, 2)[0]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20e6 and centres.shape == (100, 64)  # all differences are 102 MB
+    whole = ((x[:, None] - centres[None]) ** 2).sum(2).argmin(1)
+    assert (quantised._nearest(x, centres) == whole).all()
