@@ -156,7 +156,8 @@ def hybrid(docs: DataFrame, key: str, body: str, query: str, appearance: DataFra
     grams = lambda ws: F.concat(ws, F.when(F.size(ws) > 1, F.zip_with(F.slice(ws, F.lit(1), F.size(ws) - 1), F.slice(ws, F.lit(2), F.size(ws) - 1), lambda a, b: F.concat_ws(" ", a, b))).otherwise(F.array().cast("array<string>")))
     asked = docs.sparkSession.createDataFrame([(0, query)], f"{key} long, {body} string")
     said = dict(asked.select(F.explode(grams(words)).alias("term")).groupBy(F.xxhash64("term")).count().collect())  # one question
-    known = lsa.likeness(docs, key, grams(words), said, dims)
+    # a projection of its own: grams read the words five times, and would make them as often
+    known = lsa.likeness(docs.select(key, words.alias("_words")), key, grams(F.col("_words")), said, dims)
     rows = docs.select(key).join(appearance, key, "left").join(known, key, "left")
     rows = rows.withColumns({c: F.round(c, 9) for c in ("appearance", "meaning", "wording")}).checkpoint()
     fused = ranking.fuse(rows, {"appearance": 1.0, "meaning": 1.0, "wording": 1.0}, key)

@@ -276,12 +276,13 @@ def test_terms_are_dealt_to_the_blocks_of_their_hashes(spark):
     h = {t: spark.createDataFrame([(t,)], "t string").select(F.xxhash64("t")).first()[0] for t in "abc"}
     got, rows = {}, lsa.dealt(df, "id", F.col("words"), 4).collect()
     for r in rows:
-        assert len(r["more"]) == len(r["counts"])
-        for x, n in [*((x, 1) for x in r["once"]), *zip(r["more"], r["counts"])]:
-            assert x % 4 == r["block"]
-            got[r["key"], x] = n
+        hashes, counts, own, tf = (lsa._unpacked(r[c]) for c in ("hashes", "counts", "rows", "tf"))
+        assert len(own) == len(tf) == counts.sum()
+        for x, i, n in zip(np.repeat(np.cumsum(hashes, dtype=np.uint64), counts).tolist(), own, tf):
+            assert x * 4 >> 64 == r["block"]
+            got[r["keys"][i], x - 2**64 * (x >= 2**63)] = n
     assert got == {(1, h["a"]): 2, (1, h["b"]): 1, (1, h["c"]): 1, (2, h["b"]): 1, (None, h["c"]): 2}
-    assert len({(r["block"], r["key"]) for r in rows}) == len(rows)  # a row for each row and block
+    assert {k for r in rows for k in r["keys"]} == {1, 2, None}  # rows without terms are left out
 
 
 def test_cells_are_searched_without_being_stored(spark):
